@@ -281,5 +281,58 @@ def q_regression_metrics(spark, d):
     return FC.regression_metrics(pr, "actual", "pred_ma7")
 
 
+# ------------------------------------------------------------------ ML (rows-only checks)
+def _spoil(spark, d):
+    from ..operators import models as M
+    return M.train_spoilage_model(V.lots(_t(spark, d)), P, cache_key=(d, P))
+
+
+def _demand_model(spark, d):
+    from ..operators import models as M
+    return M.train_demand_model(V.demand(_t(spark, d), P), P, cache_key=(d, P))
+
+
+@query("spoilage_model_metrics")
+def q_spoilage_model_metrics(spark, d):
+    from ..operators import models as M
+    return M.classification_metrics(_spoil(spark, d)[1])
+
+
+@query("confusion_matrix")
+def q_confusion_matrix(spark, d):
+    from ..operators import models as M
+    return M.confusion_matrix(_spoil(spark, d)[1])
+
+
+@query("feature_importance")
+def q_feature_importance(spark, d):
+    from ..operators import models as M
+    return M.feature_importance(_spoil(spark, d)[0], spark)
+
+
+@query("demand_model_mape")
+def q_demand_model_mape(spark, d):
+    from ..operators import models as M
+    return M.demand_model_mape(_demand_model(spark, d)[1])
+
+
+@query("actual_vs_predicted")
+def q_actual_vs_predicted(spark, d):
+    from ..operators import models as M
+    return M.actual_vs_predicted(_demand_model(spark, d)[1])
+
+
+@query("recursive_forecast")
+def q_recursive_forecast(spark, d):
+    from ..operators import models as M
+    return M.generate_forecast(_demand_model(spark, d)[0], V.demand(_t(spark, d), P), P)
+
+
+@query("score_active_lots")
+def q_score_active_lots(spark, d):
+    from ..operators import models as M
+    return M.score_active_lots(_spoil(spark, d)[0], V.active_lots(_t(spark, d), P.as_of, full=True))
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(REGISTRY)
