@@ -178,7 +178,7 @@ def q_demand_facts(spark, d):
 
 @query("demand_grid")
 def q_demand_grid(spark, d):
-    return V.demand(_t(spark, d), P).drop("base_demand")
+    return V.demand(_t(spark, d), P).drop("base_demand", "sold_kg")
 
 
 @query("calendar_features")
@@ -281,6 +281,141 @@ def q_regression_metrics(spark, d):
     return FC.regression_metrics(pr, "actual", "pred_ma7")
 
 
+# ------------------------------------------------------------------ tier D batch operators
+def _pl():
+    from ..operators import planning as PL
+    return PL
+
+
+def _stock_at_year_end(t):
+    return _pl().stock_by_series(V.active_lots(t, P.year_end))
+
+
+@query("d_dedup_lines")
+def q_d_dedup_lines(spark, d):
+    return _pl().dedup_lines(_t(spark, d).lineitem)
+
+
+@query("d_missing_fill")
+def q_d_missing_fill(spark, d):
+    return _pl().fill_missing(V.demand(_t(spark, d), P))
+
+
+@query("d_validation")
+def q_d_validation(spark, d):
+    return _pl().validate_lots(V.lots(_t(spark, d)))
+
+
+@query("d_stock_aware_purchase")
+def q_d_stock_aware_purchase(spark, d):
+    t = _t(spark, d)
+    return _pl().stock_aware_purchase(FC.heuristic_forecast(V.demand(t, P), P), _stock_at_year_end(t))
+
+
+@query("d_stockout_rate")
+def q_d_stockout_rate(spark, d):
+    import datetime as dt
+    t = _t(spark, d)
+    lo = V.lots(t, P.year_start - dt.timedelta(days=16), P.year_end + dt.timedelta(days=1))
+    return _pl().stockout_rate(lo, V.demand(t, P), P.year_start, P.year_end)
+
+
+@query("d_overview_counts")
+def q_d_overview_counts(spark, d):
+    t = _t(spark, d)
+    return _pl().overview_counts(V.active_lots(t, P.as_of), V.demand(t, P))
+
+
+@query("d_net_wastage_saved")
+def q_d_net_wastage_saved(spark, d):
+    return _pl().net_wastage_saved(V.fy_lots(_t(spark, d), P))
+
+
+@query("d_over_order_factor")
+def q_d_over_order_factor(spark, d):
+    t = _t(spark, d)
+    return _pl().over_order_factor(FC.heuristic_forecast(V.demand(t, P), P), _stock_at_year_end(t))
+
+
+@query("d_target_encoding")
+def q_d_target_encoding(spark, d):
+    from ..operators.models import with_split
+    return _pl().target_encoding(with_split(V.lots(_t(spark, d)), P.spoil_test_fraction))
+
+
+@query("d_discount_rule")
+def q_d_discount_rule(spark, d):
+    return _pl().discount_rule(V.active_lots(_t(spark, d), P.as_of, full=True))
+
+
+@query("d_approval_flags")
+def q_d_approval_flags(spark, d):
+    return _pl().approval_flags(V.demand(_t(spark, d), P), P)
+
+
+@query("d_sensor_gaps")
+def q_d_sensor_gaps(spark, d):
+    return _pl().sensor_gaps(V.sensor_readings(_t(spark, d)), P.sensor_gap_minutes)
+
+
+@query("d_sensor_offline")
+def q_d_sensor_offline(spark, d):
+    return _pl().sensor_offline(_pl().sensor_gaps(V.sensor_readings(_t(spark, d)), P.sensor_gap_minutes))
+
+
+@query("d_cold_start")
+def q_d_cold_start(spark, d):
+    t = _t(spark, d)
+    facts = V.demand_facts(t, *V.fy_bounds(P))
+    return _pl().cold_start_levels(V.demand(t, P), facts, P)
+
+
+@query("d_disruption_override")
+def q_d_disruption_override(spark, d):
+    t = _t(spark, d)
+    return _pl().disruption_override(V.demand(t, P), V.fy_lots(t, P), P.disruption_uplift)
+
+
+@query("d_fifo")
+def q_d_fifo(spark, d):
+    return _pl().fifo_check(V.active_lots(_t(spark, d), P.as_of, full=True))
+
+
+@query("d_supplier_degradation")
+def q_d_supplier_degradation(spark, d):
+    return _pl().supplier_degradation(V.lots(_t(spark, d)))
+
+
+@query("d_naive_baselines")
+def q_d_naive_baselines(spark, d):
+    return _pl().naive_baselines_by_series(V.demand(_t(spark, d), P), P)
+
+
+@query("d_demand_growth")
+def q_d_demand_growth(spark, d):
+    return _pl().demand_growth(V.demand(_t(spark, d), P), P)
+
+
+@query("d_season_features")
+def q_d_season_features(spark, d):
+    return FE.season_features(V.demand(_t(spark, d), P))
+
+
+@query("d_category_newsvendor")
+def q_d_category_newsvendor(spark, d):
+    return _pl().category_newsvendor(V.demand(_t(spark, d), P), P)
+
+
+@query("d_unconstrained_demand")
+def q_d_unconstrained_demand(spark, d):
+    return _pl().unconstrained_demand(_t(spark, d).events)
+
+
+@query("d_scenario_value")
+def q_d_scenario_value(spark, d):
+    return _pl().scenario_value(V.lots(_t(spark, d)))
+
+
 # ------------------------------------------------------------------ ML (rows-only checks)
 def _spoil(spark, d):
     from ..operators import models as M

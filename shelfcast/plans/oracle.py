@@ -7,6 +7,8 @@ same IEEE arithmetic; every rounding uses the same +1e-9 tie nudge.
 
 from __future__ import annotations
 
+import statistics
+
 FY_START = "DATE '2000-01-01'"
 FY_END = "DATE '2000-12-31'"
 AS_OF = "DATE '2000-06-30'"
@@ -130,7 +132,7 @@ demand AS (
          CAST(isodow(g.date) >= 6 AS INTEGER) AS is_weekend, CAST(month(g.date) AS INTEGER) AS month,
          CAST(dayofyear(g.date) AS INTEGER) AS day_of_year,
          round(greatest(CAST(1.0 AS DOUBLE), coalesce(fd.fm, 1.0)) + 1e-9, 2) AS festival_multiplier,
-         g.base_demand
+         g.base_demand, fa.sold_kg
   FROM grid g LEFT JOIN facts fa ON g.date = fa.date AND g.sku_id = fa.sku_id AND g.warehouse_id = fa.warehouse_id
   LEFT JOIN fest_day fd ON g.date = fd.date
 )"""
@@ -513,5 +515,216 @@ SELECT sku_id, {r4('avg(abs(actual - pred_ma7))')} AS mae, {r4('sqrt(avg((actual
 FROM naive GROUP BY sku_id""")
 
 
+# ------------------------------------------------------------------ tier D
+YE_STOCK = """
+, st AS (SELECT sku_id, warehouse_id, sum(quantity_kg) AS stock_kg FROM lots
+         WHERE procurement_date <= DATE '2000-12-31' AND (DATE '2000-12-31' - procurement_date) <= shelf_life_days
+         GROUP BY 1, 2)"""
+
+sql("d_dedup_lines", """
+SELECT l_orderkey, l_linenumber, n_copies, CAST(l_shipdate AS DATE) AS ship_date, l_partkey, l_suppkey,
+       l_quantity AS quantity_kg
+FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n_copies,
+             row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+                                ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC) AS rn
+      FROM lineitem) x WHERE rn = 1""")
+
+sql("d_missing_fill", """
+SELECT date, sku_id, warehouse_id, sold_kg,
+       coalesce(last_value(sold_kg IGNORE NULLS) OVER (PARTITION BY sku_id, warehouse_id ORDER BY date
+                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0.0) AS filled_kg
+FROM demand""")
+
+sql("d_validation", """
+SELECT 'valid' AS rule, count(*) AS n_lots FROM lots
+WHERE NOT (quantity_kg < 0 OR expiry_date < procurement_date OR sku_id IS NULL OR warehouse_id IS NULL
+           OR spoiled_kg > quantity_kg)
+UNION ALL SELECT 'negative_quantity', count(*) FROM lots WHERE quantity_kg < 0 HAVING count(*) > 0
+UNION ALL SELECT 'expiry_before_procurement', count(*) FROM lots WHERE expiry_date < procurement_date HAVING count(*) > 0
+UNION ALL SELECT 'null_key', count(*) FROM lots WHERE sku_id IS NULL OR warehouse_id IS NULL HAVING count(*) > 0
+UNION ALL SELECT 'spoiled_exceeds_quantity', count(*) FROM lots WHERE spoiled_kg > quantity_kg HAVING count(*) > 0""")
+
+sql("d_stock_aware_purchase", YE_STOCK + f"""
+, j AS (SELECT f.*, coalesce(st.stock_kg, 0.0) AS stock_kg FROM forecast f LEFT JOIN st USING (sku_id, warehouse_id)),
+k AS (SELECT *, greatest(stock_kg - coalesce(sum(forecast_kg) OVER (PARTITION BY sku_id, warehouse_id ORDER BY step
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), CAST(0.0 AS DOUBLE)) + 0.0 AS left_kg FROM j)
+SELECT sku_id, warehouse_id, date, step, forecast_kg, {r2('stock_kg')} AS stock_kg, {r2('left_kg')} AS stock_left_kg,
+       {r2('greatest(forecast_kg - left_kg, CAST(0.0 AS DOUBLE)) + 0.0')} AS purchase_kg
+FROM k""")
+
+sql("d_stockout_rate", f"""
+, av0 AS (SELECT sku_id, warehouse_id, quantity_kg,
+                 CAST(unnest(generate_series(procurement_date, expiry_date - 1, INTERVAL 1 DAY)) AS DATE) AS date
+          FROM lots WHERE l_shipdate >= TIMESTAMP '1999-12-16' AND l_shipdate < TIMESTAMP '2001-01-01'),
+av AS (SELECT sku_id, warehouse_id, date, sum(quantity_kg) AS avail_kg FROM av0
+       WHERE date BETWEEN {FY_START} AND {FY_END} GROUP BY 1, 2, 3),
+j AS (SELECT d.warehouse_id, d.actual_demand_kg AS dem,
+             greatest(d.actual_demand_kg - coalesce(av.avail_kg, 0.0), CAST(0.0 AS DOUBLE)) + 0.0 AS unf
+      FROM demand d LEFT JOIN av ON d.sku_id = av.sku_id AND d.warehouse_id = av.warehouse_id AND d.date = av.date)
+SELECT warehouse_id, {r2('sum(dem)')} AS demand_kg, {r2('sum(unf)')} AS unfilled_kg,
+       {r4('sum(unf) / sum(dem) * 100')} AS stockout_rate_pct
+FROM j GROUP BY warehouse_id""")
+
+sql("d_overview_counts", f"""
+SELECT (SELECT {r2('sum(quantity_kg)')} FROM active) AS total_inventory_kg,
+       (SELECT count(DISTINCT sku_id) FROM active) AS active_products,
+       (SELECT {r2('sum(actual_demand_kg) / count(DISTINCT date)')} FROM demand) AS daily_demand_kg,
+       (SELECT count(DISTINCT sku_id) FROM active WHERE risk_level IN ('CRITICAL', 'HIGH')) AS high_risk_products""")
+
+sql("d_net_wastage_saved", f"""
+, m AS (SELECT CAST(month(procurement_date) AS INTEGER) AS month, sum(lot_value) AS tv, sum(spoiled_value) AS sv
+        FROM fy_lots GROUP BY 1),
+b AS (SELECT *, sum(sv) OVER w / sum(tv) OVER w * 100 AS base, sv / tv * 100 AS cur FROM m
+      WINDOW w AS (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT month, {r2('tv')} AS total_value, {r4('cur')} AS wastage_pct, {r4('base')} AS baseline_pct,
+       {r2('(base - cur) / 100 * tv')} AS net_saved
+FROM b""")
+
+sql("d_over_order_factor", YE_STOCK + f"""
+, f3 AS (SELECT sku_id, warehouse_id, sum(forecast_kg) AS f3 FROM forecast WHERE step <= 3 GROUP BY 1, 2)
+SELECT f3.sku_id, f3.warehouse_id, {r2('coalesce(st.stock_kg, 0.0)')} AS stock_kg, {r2('f3.f3')} AS next3_forecast_kg,
+       CASE WHEN f3.f3 = 0 THEN NULL ELSE {r4('coalesce(st.stock_kg, 0.0) / f3.f3')} END AS over_order_factor
+FROM f3 LEFT JOIN st ON f3.sku_id = st.sku_id AND f3.warehouse_id = st.warehouse_id""")
+
+sql("d_target_encoding", f"""
+, tr AS (SELECT * FROM lots
+         WHERE ((l_orderkey * 7919 + l_linenumber * 104729 + l_partkey * 31 + supplier_id * 13) % 100) < 80)
+SELECT category AS level, {r4('avg(did_spoil)')} AS encoding, count(*) AS n_train, 'category' AS feature
+FROM tr GROUP BY category
+UNION ALL
+SELECT warehouse_id, {r4('avg(did_spoil)')}, count(*), 'warehouse_id' FROM tr GROUP BY warehouse_id""")
+
+sql("d_discount_rule", f"""
+, x AS (SELECT *, 30.0 - (pct - 0.4) / CAST(0.2 AS DOUBLE) * 15.0 AS off FROM active WHERE pct >= 0.4 AND pct <= 0.6)
+SELECT lot_id, sku_id, warehouse_id, pct_shelf_remaining, {r2('off')} AS discount_pct,
+       {r2('lot_value_inr * (1.0 - off / 100)')} AS discounted_value
+FROM x""")
+
+sql("d_approval_flags", f"""
+, h AS (SELECT sku_id, warehouse_id, avg(actual_demand_kg) AS hmean FROM demand GROUP BY 1, 2),
+o AS (SELECT s.sku_id, s.warehouse_id, h.hmean,
+             greatest(round(s.mu + -0.8416212335729142 * greatest(s.sigma, CAST(0.01 AS DOUBLE)) + 1e-9, 1),
+                      CAST(0.0 AS DOUBLE)) + 0.0 AS opt
+      FROM state s JOIN h ON s.sku_id = h.sku_id AND s.warehouse_id = h.warehouse_id)
+SELECT sku_id, warehouse_id, opt AS optimal_order, {r4('hmean')} AS history_mean,
+       {r4('abs(opt - hmean) / hmean * 100')} AS deviation_pct, abs(opt - hmean) / hmean > 0.2 AS needs_approval
+FROM o""")
+
+SENSOR_GAPS = f"""
+, rd AS (SELECT CAST(user_id % 10 AS INTEGER) AS room, ts, event_id,
+                CASE WHEN event_type = 'error' THEN NULL ELSE value / 10.0 END AS temp_c FROM events),
+gp AS (SELECT room, ts, lag(ts) OVER (PARTITION BY room ORDER BY ts, event_id) AS prev_ts,
+              max(temp_c) OVER (PARTITION BY room ORDER BY ts, event_id
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior_max FROM rd),
+gaps AS (SELECT room, prev_ts AS gap_start, ts AS gap_end, {r4('(epoch_us(ts) - epoch_us(prev_ts)) / 6.0e7')} AS gap_minutes,
+                prior_max AS imputed_temp_c
+         FROM gp WHERE prev_ts IS NOT NULL AND (epoch_us(ts) - epoch_us(prev_ts)) / 6.0e7 > 30)"""
+
+sql("d_sensor_gaps", SENSOR_GAPS + "\nSELECT * FROM gaps")
+
+sql("d_sensor_offline", SENSOR_GAPS + f"""
+SELECT room, count(*) AS n_gaps, {r2('sum(gap_minutes)')} AS offline_minutes, 1 AS sensor_offline_flag,
+       sum(gap_minutes) > 120.0 AS needs_inspection
+FROM gaps GROUP BY room""")
+
+sql("d_cold_start", f"""
+, seen AS (SELECT sku_id, warehouse_id, count(DISTINCT date) AS n_obs FROM facts GROUP BY 1, 2),
+cj AS (SELECT s.sku_id, s.warehouse_id, c.category, CAST(coalesce(seen.n_obs, 0) AS BIGINT) AS n_observed_days,
+              coalesce(seen.n_obs, 0) < 30 AS is_cold_start, s.mu
+       FROM state s JOIN (SELECT DISTINCT sku_id, warehouse_id, category FROM demand) c
+         ON s.sku_id = c.sku_id AND s.warehouse_id = c.warehouse_id
+       LEFT JOIN seen ON s.sku_id = seen.sku_id AND s.warehouse_id = seen.warehouse_id),
+warm AS (SELECT category, avg(mu) AS category_level FROM cj WHERE NOT is_cold_start GROUP BY category)
+SELECT cj.sku_id, cj.warehouse_id, cj.category, n_observed_days, is_cold_start, {r4('mu')} AS series_level,
+       {r4('w.category_level')} AS category_level,
+       {r4('CASE WHEN is_cold_start THEN coalesce(w.category_level, mu) ELSE mu END')} AS planning_level
+FROM cj LEFT JOIN warm w ON cj.category = w.category""")
+
+sql("d_disruption_override", f"""
+, fl AS (SELECT DISTINCT warehouse_id, procurement_date AS date FROM fy_lots WHERE temp_deviation_c >= 6)
+SELECT d.date, d.sku_id, d.warehouse_id, d.actual_demand_kg, fl.date IS NOT NULL AS disrupted,
+       {r4('CASE WHEN fl.date IS NOT NULL THEN d.actual_demand_kg * 1.2 ELSE d.actual_demand_kg END')} AS adjusted_demand_kg
+FROM demand d LEFT JOIN fl ON d.warehouse_id = fl.warehouse_id AND d.date = fl.date""")
+
+sql("d_fifo", """
+, a AS (SELECT lot_id, sku_id, warehouse_id, procurement_date, dispatched FROM active),
+o AS (SELECT sku_id, warehouse_id, procurement_date AS o_date, lot_id AS o_lot FROM
+      (SELECT *, row_number() OVER (PARTITION BY sku_id, warehouse_id ORDER BY procurement_date, lot_id) AS rn
+       FROM a WHERE NOT dispatched) q WHERE rn = 1),
+rk AS (SELECT sku_id, warehouse_id, procurement_date,
+              dense_rank() OVER (PARTITION BY sku_id, warehouse_id ORDER BY procurement_date) AS fifo_rank
+       FROM (SELECT DISTINCT sku_id, warehouse_id, procurement_date FROM a) q)
+SELECT a.lot_id, a.sku_id, a.warehouse_id, a.procurement_date, CAST(rk.fifo_rank AS INTEGER) AS fifo_rank, a.dispatched,
+       a.dispatched AND coalesce(o.o_date < a.procurement_date OR (o.o_date = a.procurement_date AND o.o_lot < a.lot_id),
+                                 false) AS fifo_violation
+FROM a LEFT JOIN o ON a.sku_id = o.sku_id AND a.warehouse_id = o.warehouse_id
+JOIN rk ON a.sku_id = rk.sku_id AND a.warehouse_id = rk.warehouse_id AND a.procurement_date = rk.procurement_date""")
+
+sql("d_supplier_degradation", f"""
+, g AS (SELECT supplier_id, count(*) AS n_lots, CAST(sum(did_spoil) AS BIGINT) AS n_spoiled,
+               {r2('sum(spoiled_value)')} AS spoiled_value FROM lots GROUP BY 1)
+SELECT supplier_id, n_lots, n_spoiled, {r4('n_spoiled / n_lots')} AS spoil_rate, spoiled_value,
+       row_number() OVER (ORDER BY n_spoiled / n_lots DESC, spoiled_value DESC, supplier_id) AS degradation_rank
+FROM g""")
+
+sql("d_naive_baselines", f"""
+, nb AS (SELECT sku_id, warehouse_id,
+                avg(abs(actual - pred_ma7) / greatest(abs(actual), 2.220446049250313e-16)) * 100 AS m7,
+                avg(abs(actual - pred_lag7) / greatest(abs(actual), 2.220446049250313e-16)) * 100 AS l7
+         FROM naive GROUP BY 1, 2)
+SELECT sku_id, warehouse_id, {r4('m7')} AS mape_ma7, {r4('l7')} AS mape_lag7,
+       {r4('(l7 - m7) / l7 * 100')} AS improvement_pct
+FROM nb""")
+
+sql("d_demand_growth", f"""
+, fl AS (SELECT sku_id, warehouse_id, avg(forecast_kg) AS fl FROM forecast GROUP BY 1, 2)
+SELECT s.sku_id, s.warehouse_id, {r4('s.mu')} AS current_level, {r4('fl.fl')} AS forecast_level,
+       {r4('(fl.fl - s.mu) / s.mu * 100')} AS growth_pct
+FROM state s JOIN fl ON s.sku_id = fl.sku_id AND s.warehouse_id = fl.warehouse_id""")
+
+sql("d_season_features", """
+SELECT date, sku_id, warehouse_id,
+       CASE WHEN month IN (12, 1, 2) THEN 'Winter' WHEN month IN (3, 4, 5) THEN 'Summer'
+            WHEN month IN (6, 7, 8, 9) THEN 'Monsoon' ELSE 'Post-monsoon' END AS season,
+       CAST(weekofyear(date) AS INTEGER) AS week_of_year, CAST(festival_multiplier > 1.0 AS INTEGER) AS is_festival
+FROM demand""")
+
+_CZ = ",\n".join(f"  ('{c}', CAST({cu / (cu + co)!r} AS DOUBLE), CAST({statistics.NormalDist().inv_cdf(cu / (cu + co))!r} AS DOUBLE))"
+                 for c, (cu, co) in {"Leafy Vegetables": (0.25, 1.00), "Other Vegetables": (0.25, 0.80),
+                                     "Root Vegetables": (0.25, 0.40), "Dairy": (0.25, 0.90),
+                                     "Meat & Poultry": (0.25, 1.00)}.items())
+
+sql("d_category_newsvendor", f"""
+, cz(category, cr, z) AS (VALUES
+{_CZ}),
+q AS (SELECT s.sku_id, s.warehouse_id, c.category, cz.cr,
+             greatest(round(s.mu + cz.z * greatest(s.sigma, CAST(0.01 AS DOUBLE)) + 1e-9, 1), CAST(0.0 AS DOUBLE)) + 0.0 AS q
+      FROM state s JOIN (SELECT DISTINCT sku_id, warehouse_id, category FROM demand) c
+        ON s.sku_id = c.sku_id AND s.warehouse_id = c.warehouse_id JOIN cz ON c.category = cz.category)
+SELECT sku_id, warehouse_id, category, {r4('cr')} AS critical_ratio, q AS optimal_order,
+       round(q * CAST(1.05 AS DOUBLE) + 1e-9, 1) AS order_with_margin
+FROM q""")
+
+sql("d_unconstrained_demand", f"""
+, e AS (SELECT 'Brand#' || CAST(user_id % 25 + 1 AS VARCHAR) AS sku_id, CAST(ts AS DATE) AS date, event_type, value
+        FROM events),
+g AS (SELECT sku_id, date, sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0.0 END) AS sold,
+             sum(CASE WHEN event_type IN ('view', 'click') THEN value ELSE 0.0 END) AS intent,
+             max(CAST(event_type = 'error' AS INTEGER)) AS oos
+      FROM e GROUP BY 1, 2)
+SELECT sku_id, date, {r2('sold')} AS sold_kg, {r2('intent')} AS intent_kg, oos = 1 AS out_of_stock,
+       {r2('sold + CASE WHEN oos = 1 THEN intent ELSE 0.0 END')} AS unconstrained_kg
+FROM g""")
+
+sql("d_scenario_value", f"""
+, g AS (SELECT warehouse_id, sum(lot_value) AS tv, sum(spoiled_value) AS sv,
+               count(DISTINCT date_trunc('month', procurement_date)) AS months FROM lots GROUP BY 1)
+SELECT warehouse_id, {r2('tv / months')} AS monthly_sourcing_value, {r4('sv / tv * 100')} AS wastage_before_pct,
+       {r4('sv / tv * 100 * 0.65')} AS wastage_after_pct,
+       {r2('tv / months * (sv / tv * 100 - sv / tv * 100 * 0.65) / 100')} AS saved_per_month,
+       {r2('tv / months * (sv / tv * 100 - sv / tv * 100 * 0.65) / 100 * 12')} AS saved_per_year
+FROM g""")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

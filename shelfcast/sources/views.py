@@ -235,7 +235,7 @@ def demand(t: Tables, p: C.Params = C.DEFAULT) -> DataFrame:
         is_weekend("date").alias("is_weekend"),
         F.month("date").alias("month"),
         doy.alias("day_of_year"),
-        "base_demand",
+        "base_demand", "sold_kg",
     )
     g = with_festival(g, "date", "_fest", year=p.fiscal_year)
     return g.withColumn("festival_multiplier", rnd("_fest", 2)).drop("_fest")
@@ -269,12 +269,17 @@ def active_lots(t: Tables, as_of: dt.date = C.AS_OF, full: bool = False) -> Data
 
 
 # ------------------------------------------------------------------ sensors
-def sensor_readings(t: Tables) -> DataFrame:
-    """Cold-room readings from ``events`` (FIXTURES 2: sensor readings)."""
+def sensor_readings(t: Tables, for_stream: bool = False) -> DataFrame:
+    """Cold-room readings from ``events`` (FIXTURES 2: sensor readings).
+
+    Batch code keeps the zone-less ``TIMESTAMP_NTZ`` of the file (wall-clock
+    arithmetic, no session-zone dependence); a stream needs ``TIMESTAMP`` for
+    its watermark, so ``for_stream`` casts it."""
     e = t.events
+    ts = F.col("ts").cast("timestamp") if for_stream else F.col("ts")
     return e.select(
         "event_id",
-        F.col("ts").cast("timestamp").alias("ts"),
+        ts.alias("ts"),
         (F.col("user_id") % 10).cast("int").alias("room"),
         F.when(F.col("event_type") == "error", F.lit(None).cast("double"))
         .otherwise(F.col("value") / 10.0).alias("temp_c"),
