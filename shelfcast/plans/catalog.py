@@ -416,6 +416,42 @@ def q_d_scenario_value(spark, d):
     return _pl().scenario_value(V.lots(_t(spark, d)))
 
 
+# ------------------------------------------------------------------ streaming (availableNow -> Parquet sink)
+def _st():
+    from ..streaming import streams as ST
+    return ST
+
+
+@query("stream_lot_alerts")
+def q_stream_lot_alerts(spark, d):
+    ST = _st()
+    return ST.run(ST.lot_alerts(ST.stream_table(spark, d, "lineitem"), _t(spark, d)), "lot_alerts")
+
+
+@query("stream_daily_kpi")
+def q_stream_daily_kpi(spark, d):
+    ST = _st()
+    return ST.run(ST.daily_kpis(ST.stream_table(spark, d, "events")), "daily_kpi")
+
+
+@query("stream_coldchain_windows")
+def q_stream_coldchain(spark, d):
+    ST = _st()
+    return ST.run(ST.coldchain_windows(ST.stream_table(spark, d, "events")), "coldchain")
+
+
+@query("stream_sensor_sessions")
+def q_stream_sensor_sessions(spark, d):
+    ST = _st()
+    return ST.run(ST.sensor_sessions(ST.stream_table(spark, d, "events")), "sensor_sessions")
+
+
+@query("stream_dedup_readings")
+def q_stream_dedup(spark, d):
+    ST = _st()
+    return ST.run(ST.dedup_readings(ST.stream_table(spark, d, "events")), "dedup_readings")
+
+
 # ------------------------------------------------------------------ ML (rows-only checks)
 def _spoil(spark, d):
     from ..operators import models as M

@@ -726,5 +726,54 @@ SELECT warehouse_id, {r2('tv / months')} AS monthly_sourcing_value, {r4('sv / tv
 FROM g""")
 
 
+# ------------------------------------------------------------------ streaming (final sink tables)
+# One file = one micro-batch, then the no-data batch: the watermark is
+# max(ts) - 1 hour and a window / session is emitted when its end <= watermark.
+WM = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+
+sql("stream_lot_alerts", f"""
+, a AS (SELECT *, days_to_expiry / effective_shelf_life AS p FROM lots)
+SELECT lot_id, sku_id, category, warehouse_id, procurement_date, days_to_expiry, effective_shelf_life,
+       {r4('p')} AS pct_left, CASE WHEN p < 0.2 THEN 'CRITICAL' ELSE 'HIGH' END AS risk_level,
+       CASE WHEN p < 0.2 THEN '🔴 Redistribute or discount immediately (< 12h)'
+            ELSE '🟠 Offer 25% discount to bulk buyers today' END AS recommended_action
+FROM a WHERE p < 0.4""")
+
+sql("stream_daily_kpi", f"""
+, d AS (SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
+               event_type, value FROM events)
+SELECT window_start, window_end, count(*) AS n_events, count(*) FILTER (WHERE event_type = 'purchase') AS n_purchases,
+       round(sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0.0 END), 2) AS sold_value,
+       count(*) FILTER (WHERE event_type = 'error') AS n_errors
+FROM d GROUP BY 1, 2 HAVING window_end <= {WM}""")
+
+sql("stream_coldchain_windows", f"""
+, rd AS (SELECT CAST(user_id % 10 AS INTEGER) AS room, ts, value / 10.0 AS temp_c,
+                date_trunc('hour', ts) + INTERVAL (CAST(floor(minute(ts) / 15) * 15 AS INTEGER)) MINUTE AS b
+         FROM events WHERE event_type <> 'error'),
+w AS (SELECT room, temp_c, b - INTERVAL (k * 15) MINUTE AS window_start FROM rd, range(0, 4) r(k))
+SELECT room, window_start, window_start + INTERVAL 1 HOUR AS window_end, max(temp_c) AS max_temp_c,
+       {r4('avg(temp_c)')} AS avg_temp_c, count(*) AS n_readings
+FROM w GROUP BY 1, 2 HAVING window_start + INTERVAL 1 HOUR <= {WM}""")
+
+sql("stream_sensor_sessions", f"""
+, rd AS (SELECT CAST(user_id % 10 AS INTEGER) AS room, ts, event_id,
+                CASE WHEN event_type = 'error' THEN NULL ELSE value / 10.0 END AS temp_c FROM events),
+s0 AS (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY room ORDER BY ts, event_id) IS NULL
+                        OR ts >= lag(ts) OVER (PARTITION BY room ORDER BY ts, event_id) + INTERVAL 30 MINUTE
+                      THEN 1 ELSE 0 END AS new_s FROM rd),
+s1 AS (SELECT *, sum(new_s) OVER (PARTITION BY room ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM s0)
+SELECT room, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n_readings,
+       max(temp_c) AS max_temp_c
+FROM s1 GROUP BY room, sid HAVING max(ts) + INTERVAL 30 MINUTE <= {WM}""")
+
+sql("stream_dedup_readings", """
+SELECT event_id, room, ts, temp_c FROM (
+  SELECT event_id, CAST(user_id % 10 AS INTEGER) AS room, ts,
+         CASE WHEN event_type = 'error' THEN NULL ELSE value / 10.0 END AS temp_c,
+         row_number() OVER (PARTITION BY user_id % 10, ts ORDER BY event_id) AS rn
+  FROM events) x WHERE rn = 1""")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

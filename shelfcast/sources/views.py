@@ -118,10 +118,12 @@ def with_festival(df: DataFrame, date_col: str = "date", out: str = "festival_mu
 
 
 # ------------------------------------------------------------------ lines + dims
-def lines(t: Tables, start: dt.date | None = None, end_exclusive: dt.date | None = None) -> DataFrame:
-    """lineitem x part attributes x supplier warehouse."""
+def lines(t: Tables, start: dt.date | None = None, end_exclusive: dt.date | None = None,
+          lineitem_df: DataFrame | None = None) -> DataFrame:
+    """lineitem x part attributes x supplier warehouse (J3). ``lineitem_df``
+    replaces the lineitem scan (e.g. a file stream: stream-static joins)."""
     li = shipdate_between(
-        t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+        (lineitem_df if lineitem_df is not None else t.lineitem).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                           "l_discount", "l_tax", "l_linestatus", "l_shipdate"),
         start, end_exclusive)
     return (li.join(part_skus(t), F.col("l_partkey") == F.col("p_partkey"))
@@ -133,9 +135,10 @@ def _temp_deviation(k: Column) -> Column:
     return (F.when(k < 85, 0).when(k < 93, 2).when(k < 98, 4).otherwise(6)).cast("int")
 
 
-def lots(t: Tables, start: dt.date | None = None, end_exclusive: dt.date | None = None) -> DataFrame:
+def lots(t: Tables, start: dt.date | None = None, end_exclusive: dt.date | None = None,
+         lineitem_df: DataFrame | None = None) -> DataFrame:
     """Historical lots (FIXTURES 2: lots) with B6-B9 columns."""
-    base = lines(t, start, end_exclusive)
+    base = lines(t, start, end_exclusive, lineitem_df)
     dev = _temp_deviation((F.col("l_orderkey") + F.col("l_linenumber")) % 100)
     b = base.select(
         "*",
