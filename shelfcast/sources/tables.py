@@ -14,6 +14,13 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+# Row cap under which a dimension may be broadcast (about 50-100 bytes per
+# projected row -> <= ~100 MB per executor). Override per session with the
+# ``shelfcast.broadcast.maxRows`` conf.
+BROADCAST_MAX_ROWS = 1_000_000
+_ROW_COUNTS: dict[str, int] = {}
+
+
 class Tables:
     """Lazy accessor: ``Tables(spark, dir).lineitem`` -> DataFrame."""
 
@@ -21,10 +28,29 @@ class Tables:
         self.spark = spark
         self.root = root.rstrip("/")
 
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}.parquet"
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        return self.spark.read.parquet(self.path(name))
+
+    def row_count(self, name: str) -> int:
+        """Row count of a table (Parquet footers only; cached per path)."""
+        p = self.path(name)
+        if p not in _ROW_COUNTS:
+            _ROW_COUNTS[p] = self.spark.read.parquet(p).count()
+        return _ROW_COUNTS[p]
+
+    def broadcast_if_small(self, df: DataFrame, base_table: str) -> DataFrame:
+        """Broadcast ``df`` only when its base table (whose row count bounds
+        ``df``'s, e.g. a projection or a many-to-one join of it) is under the
+        row cap; otherwise leave the join strategy to Catalyst and AQE
+        (shuffle join, runtime broadcast when small, skew-join splitting)."""
+        from pyspark.sql import functions as F
+        cap = int(self.spark.conf.get("shelfcast.broadcast.maxRows", str(BROADCAST_MAX_ROWS)))
+        return F.broadcast(df) if self.row_count(base_table) <= cap else df
 
 
 # ------------------------------------------------------------------ schemas
