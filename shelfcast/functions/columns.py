@@ -139,6 +139,16 @@ def lakhs_text(c) -> Column:
     return F.concat(F.lit("₹"), F.format_string("%.1f", rnd(col(c) / F.lit(1e5), 1)), F.lit("L"))
 
 
+def thousands_text(c) -> Column:
+    """rupee amount in thousands, no decimals ("K")."""
+    return F.concat(F.lit("₹"), F.format_string("%.0f", rnd(col(c) / F.lit(1e3), 0)), F.lit("K"))
+
+
+def lot_code(n) -> Column:
+    """zero-padded lot code."""
+    return F.format_string("LOT%04d", col(n))
+
+
 def pct_text(c) -> Column:
     return F.concat(F.format_string("%.1f", rnd(c, 1)), F.lit("%"))
 

@@ -134,12 +134,17 @@ def feature_importance(model: PipelineModel, spark, features=C.SPOILAGE_FEATURES
 
 
 # ------------------------------------------------------------------ M11, M12, B22
-def demand_pipeline(p: C.Params = C.DEFAULT) -> Pipeline:
+def available_features(df: DataFrame, features=C.DEMAND_FEATURES) -> list[str]:
+    """P10: keep only the feature columns the frame has."""
+    return [f for f in features if f in df.columns]
+
+
+def demand_pipeline(p: C.Params = C.DEFAULT, features=C.DEMAND_FEATURES) -> Pipeline:
     return Pipeline(stages=[
         StringIndexer(inputCol="sku_id", outputCol="sku_idx", stringOrderType="alphabetAsc", handleInvalid="keep"),
         StringIndexer(inputCol="warehouse_id", outputCol="wh_idx", stringOrderType="alphabetAsc",
                       handleInvalid="keep"),
-        VectorAssembler(inputCols=C.DEMAND_FEATURES + ["sku_idx", "wh_idx"], outputCol="features"),
+        VectorAssembler(inputCols=list(features) + ["sku_idx", "wh_idx"], outputCol="features"),
         GBTRegressor(featuresCol="features", labelCol="actual_demand_kg", maxIter=p.gbt_iters,
                      maxDepth=p.gbt_depth, stepSize=p.gbt_step, seed=p.seed, maxBins=64),
     ])
@@ -157,7 +162,7 @@ def train_demand_model(demand: DataFrame, p: C.Params = C.DEFAULT, cache_key=Non
     if cache_key is not None and ("demand", cache_key) in _CACHE:
         return _CACHE[("demand", cache_key)]
     rows = demand_feature_rows(demand, p)
-    model = demand_pipeline(p).fit(rows.filter(F.col("split") == "train"))
+    model = demand_pipeline(p, available_features(rows)).fit(rows.filter(F.col("split") == "train"))
     test = (model.transform(rows.filter(F.col("split") == "test"))
             .withColumn("predicted", clamp0("prediction"))
             .select(*SERIES, "date", "row_in_series", F.col("actual_demand_kg").alias("actual"), "predicted"))
@@ -188,6 +193,15 @@ def actual_vs_predicted(test: DataFrame, sku_id: str | None = None) -> DataFrame
                     r4("actual").alias("actual"), r4("predicted").alias("predicted"))
 
 
+def metrics_as_lists(test: DataFrame) -> DataFrame:
+    """per SKU, the test actuals and predictions as date-ordered lists
+    (bounded by the test tail of each series) and as JSON text."""
+    g = test.groupBy("sku_id").agg(
+        F.sort_array(F.collect_list(F.struct("date", "warehouse_id", "actual", "predicted"))).alias("_r"))
+    return g.select("sku_id", F.col("_r.actual").alias("test_actual"), F.col("_r.predicted").alias("test_predicted"),
+                    F.to_json(F.col("_r")).alias("records_json"))
+
+
 # ------------------------------------------------------------------ B18, B19, J7
 def _mean(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x) / F.size(arr)

@@ -64,3 +64,15 @@ def test_demand_model_and_recursive_forecast(spark):
     assert fc.count() == 125 * 14
     assert fc.filter(F.col("forecast_kg") < 0).count() == 0
     assert fc.filter(~((F.col("lower_bound") <= F.col("forecast_kg")) & (F.col("forecast_kg") <= F.col("upper_bound")))).count() == 0
+
+
+def test_metrics_as_lists(spark):
+    dm = V.demand(Tables(spark, SF001), SMALL)
+    _, test = M.train_demand_model(dm, SMALL)
+    lists = M.metrics_as_lists(test).collect()
+    assert sum(len(r["test_actual"]) for r in lists) == test.count()
+    assert all(len(r["test_actual"]) == len(r["test_predicted"]) for r in lists)
+    rows = M.demand_feature_rows(dm, SMALL).drop("temp_c")
+    assert M.available_features(rows) == [f for f in C.DEMAND_FEATURES if f != "temp_c"]
+    top = M.feature_importance(M.train_spoilage_model(V.lots(Tables(spark, SF001)), SMALL)[0], spark, k=2).collect()
+    assert len(top) == 2

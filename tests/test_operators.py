@@ -208,3 +208,27 @@ def test_procurement_schedule_interval(spark):
     out = AL.procurement_schedule(s, dt.date(2000, 1, 1), dt.date(2000, 1, 31))
     got = {r["sku_id"]: r["count"] for r in out.groupBy("sku_id").count().collect()}
     assert got == {"a": 31, "b": 5}
+
+
+def test_lot_code_and_thousands_text(spark):
+    from shelfcast.functions.columns import lot_code, thousands_text
+    r = spark.createDataFrame([(7, 12500.0)], "n int, v double").select(lot_code("n"), thousands_text("v")).first()
+    assert tuple(r) == ("LOT0007", "₹13K")
+
+
+def test_workspace_matches_catalog(spark):
+    import __spark_entry__ as E
+    from shelfcast.plans.workspace import Workspace
+    from .conftest import SF001
+    ws = Workspace(spark, SF001)
+    try:
+        out = ws.overview()
+        for k in ["wastage_kpi", "fill_rate_kpi", "wastage_by_category", "risk_level_summary"]:
+            a = sorted(map(tuple, out[k].collect()))
+            b = sorted(map(tuple, E.queries()[k](spark, SF001).collect()))
+            assert a == b, k
+        one = ws.series("Brand#1", "ASIA")
+        assert one.count() == 366 and not ws.is_empty(one)
+        assert ws.filtered(ws.lots, "ASIA HUB", []).select("warehouse_name").distinct().count() == 1
+    finally:
+        ws.close()
