@@ -141,8 +141,8 @@ def q_alert_table(spark, d):
 @query("procurement_schedule")
 def q_procurement_schedule(spark, d):
     t = _t(spark, d)
-    series = (V.lots(t).groupBy("sku_id", "warehouse_id")
-              .agg(F.first("shelf_life_days").alias("shelf_life_days")))
+    series = (V.lots(t).select("sku_id", "warehouse_id").distinct()
+              .select("sku_id", "warehouse_id", V.sku_attrs("sku_id")["shelf_life_days"].alias("shelf_life_days")))
     return AL.procurement_schedule(series, P.year_start, P.year_end)
 
 

@@ -44,19 +44,23 @@ def brand_number(brand="p_brand") -> Column:
     return F.substring(F.col(brand), 7, 8).cast("int")
 
 
-def sku_columns(brand: str = "p_brand") -> list[Column]:
-    """SKU attributes derived from the brand (FIXTURES 2: sku)."""
+def sku_attrs(brand: str = "p_brand") -> dict[str, Column]:
+    """SKU attributes derived from the brand (FIXTURES 2: sku), by name."""
     bn = brand_number(brand)
     cat_idx = bn % 5
-    return [
-        F.col(brand).alias("sku_id"),
-        F.col(brand).alias("sku_name"),
-        pick(C.CATEGORIES, cat_idx).alias("category"),
-        (F.lit(2) + bn % 14).cast("int").alias("shelf_life_days"),
-        pick(C.CATEGORY_IDEAL_TEMP, cat_idx).cast("int").alias("ideal_temp_c"),
-        (F.lit(20) + F.lit(17) * bn).cast("double").alias("price_per_kg"),
-        (F.lit(10) + F.lit(3) * bn).cast("double").alias("base_demand"),
-    ]
+    return {
+        "sku_id": F.col(brand),
+        "sku_name": F.col(brand),
+        "category": pick(C.CATEGORIES, cat_idx),
+        "shelf_life_days": (F.lit(2) + bn % 14).cast("int"),
+        "ideal_temp_c": pick(C.CATEGORY_IDEAL_TEMP, cat_idx).cast("int"),
+        "price_per_kg": (F.lit(20) + F.lit(17) * bn).cast("double"),
+        "base_demand": (F.lit(10) + F.lit(3) * bn).cast("double"),
+    }
+
+
+def sku_columns(brand: str = "p_brand") -> list[Column]:
+    return [c.alias(n) for n, c in sku_attrs(brand).items()]
 
 
 def part_skus(t: Tables) -> DataFrame:
@@ -200,32 +204,41 @@ def fy_lots(t: Tables, p: C.Params = C.DEFAULT) -> DataFrame:
 
 
 # ------------------------------------------------------------------ demand
+def _series_attributes(sku: str = "sku_id", wh: str = "warehouse_id") -> list[Column]:
+    """sku and warehouse attributes recomputed from the keys (they are pure
+    functions of the brand / region), so aggregates group on keys only."""
+    a = sku_attrs(sku)
+    return [a[n].alias(n) for n in ["sku_name", "category", "shelf_life_days", "price_per_kg", "base_demand"]] + [
+        F.concat(F.col(wh), F.lit(" HUB")).alias("warehouse_name")]
+
+
 def demand_facts(t: Tables, start: dt.date | None = None, end_exclusive: dt.date | None = None) -> DataFrame:
-    """Kg sold per (date, sku, warehouse) with sku/warehouse attributes.
-    Partial aggregation before the shuffle keeps hot keys cheap."""
+    """Kg sold per (date, sku, warehouse), with sku/warehouse attributes
+    projected from the keys. One partial + final aggregate over the lines."""
     ln = lines(t, start, end_exclusive)
     g = (ln.groupBy(F.col("l_shipdate").cast("date").alias("date"), "sku_id", "warehouse_id")
-         .agg(F.sum("l_quantity").alias("sold_kg"),
-              F.first("sku_name").alias("sku_name"), F.first("category").alias("category"),
-              F.first("warehouse_name").alias("warehouse_name"),
-              F.first("price_per_kg").alias("price_per_kg"),
-              F.first("base_demand").alias("base_demand")))
-    return g
+         .agg(F.sum("l_quantity").alias("sold_kg")))
+    return g.select("date", "sku_id", "warehouse_id", "sold_kg", *_series_attributes())
 
 
 def demand(t: Tables, p: C.Params = C.DEFAULT) -> DataFrame:
     """The demand fact table (FIXTURES 2: demand): every series seen in the
-    fiscal year, densified over all its days (J8). Each series has exactly
-    one row per day, so per-series windows are bounded."""
+    fiscal year, densified over all its days (J8). The facts are aggregated
+    once; each series then gathers its own (date -> kg) entries (at most one
+    per day of the year, a calendar-bounded group) and explodes the full day
+    sequence, looking each day up in that map, so there is no self-join and
+    the lines are scanned once. Each series has exactly one row per day, so
+    per-series windows downstream are bounded."""
     start, end_x = fy_bounds(p)
-    facts = demand_facts(t, start, end_x)
-    series = facts.groupBy("sku_id", "warehouse_id").agg(
-        F.first("sku_name").alias("sku_name"), F.first("category").alias("category"),
-        F.first("warehouse_name").alias("warehouse_name"),
-        F.first("price_per_kg").alias("price_per_kg"), F.first("base_demand").alias("base_demand"))
-    grid = series.select("*", F.explode(F.sequence(F.lit(p.year_start), F.lit(p.year_end))).alias("date"))
-    sold = facts.select("date", "sku_id", "warehouse_id", "sold_kg")
-    g = grid.join(sold, ["date", "sku_id", "warehouse_id"], "left")
+    ln = lines(t, start, end_x)
+    facts = (ln.groupBy(F.col("l_shipdate").cast("date").alias("date"), "sku_id", "warehouse_id")
+             .agg(F.sum("l_quantity").alias("sold_kg")))
+    per_series = facts.groupBy("sku_id", "warehouse_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("date", "sold_kg"))).alias("_sold"))
+    g = per_series.select("sku_id", "warehouse_id", "_sold",
+                          F.explode(F.sequence(F.lit(p.year_start), F.lit(p.year_end))).alias("date"))
+    g = g.select("date", "sku_id", "warehouse_id", F.try_element_at("_sold", F.col("date")).alias("sold_kg"),
+                 *_series_attributes())
     kg = F.col("base_demand") + F.coalesce(F.col("sold_kg"), F.lit(0.0))
     doy = F.dayofyear("date")
     temp = clip(rnd(F.lit(28.0) + F.lit(7.0) * F.sin(F.lit(2.0) * F.pi() * (doy - 30) / F.lit(365.0)), 1), 15.0, 45.0)
