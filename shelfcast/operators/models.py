@@ -31,6 +31,22 @@ from .forecast import _ape, forecast_band, heuristic_forecast, series_state
 _CACHE: dict = {}
 
 
+def _key(df: DataFrame, kind: str, cache_key):
+    """Cache key bound to the Spark application (frames die with it)."""
+    return None if cache_key is None else (kind, df.sparkSession.sparkContext.applicationId, cache_key)
+
+
+def _fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
+    """Fit with the training frame persisted (indexers, split finding and
+    tree-point conversion each read it); released afterwards."""
+    from pyspark import StorageLevel
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return pipeline.fit(train)
+    finally:
+        train.unpersist()
+
+
 # ------------------------------------------------------------------ M3, M4
 def split_bucket() -> Column:
     """Deterministic 0..99 bucket from the lot's natural key (M3). The same
@@ -77,15 +93,16 @@ def _spoil_frame(lots: DataFrame) -> DataFrame:
 
 def train_spoilage_model(lots: DataFrame, p: C.Params = C.DEFAULT, cache_key=None):
     """M5: returns (model, scored test frame)."""
-    if cache_key is not None and ("spoil", cache_key) in _CACHE:
-        return _CACHE[("spoil", cache_key)]
+    k = _key(lots, "spoil", cache_key)
+    if k in _CACHE:
+        return _CACHE[k]
     df = with_split(_spoil_frame(lots), p.spoil_test_fraction)
     train = balanced_weights(df.filter("is_train"))
-    model = spoilage_pipeline(p).fit(train)
+    model = _fit(spoilage_pipeline(p), train)
     test = score_spoilage(model, df.filter(~F.col("is_train")))
     out = (model, test)
-    if cache_key is not None:
-        _CACHE[("spoil", cache_key)] = out
+    if k is not None:
+        _CACHE[k] = out
     return out
 
 
@@ -159,16 +176,17 @@ def demand_feature_rows(demand: DataFrame, p: C.Params = C.DEFAULT) -> DataFrame
 
 def train_demand_model(demand: DataFrame, p: C.Params = C.DEFAULT, cache_key=None):
     """Returns (model, test predictions clamped at 0)."""
-    if cache_key is not None and ("demand", cache_key) in _CACHE:
-        return _CACHE[("demand", cache_key)]
+    k = _key(demand, "demand", cache_key)
+    if k in _CACHE:
+        return _CACHE[k]
     rows = demand_feature_rows(demand, p)
-    model = demand_pipeline(p, available_features(rows)).fit(rows.filter(F.col("split") == "train"))
+    model = _fit(demand_pipeline(p, available_features(rows)), rows.filter(F.col("split") == "train"))
     test = (model.transform(rows.filter(F.col("split") == "test"))
             .withColumn("predicted", clamp0("prediction"))
             .select(*SERIES, "date", "row_in_series", F.col("actual_demand_kg").alias("actual"), "predicted"))
     out = (model, test)
-    if cache_key is not None:
-        _CACHE[("demand", cache_key)] = out
+    if k is not None:
+        _CACHE[k] = out
     return out
 
 

@@ -70,11 +70,9 @@ def validate_lots(lots: DataFrame) -> DataFrame:
     """D3: rule names broken per lot (``array_compact``) -> counts per rule
     plus the count of valid lots."""
     broken = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules()]))
-    v = lots.select(broken.alias("broken"))
-    per_rule = v.select(F.explode("broken").alias("rule")).groupBy("rule").agg(F.count("*").alias("n_lots"))
-    valid = v.filter(F.size("broken") == 0).agg(F.count("*").alias("n_lots")).select(
-        F.lit("valid").alias("rule"), "n_lots")
-    return valid.unionByName(per_rule)
+    tags = F.when(F.size(broken) == 0, F.array(F.lit("valid"))).otherwise(broken)
+    return (lots.select(F.explode(tags).alias("rule"))
+            .groupBy("rule").agg(F.count("*").alias("n_lots")))
 
 
 # ------------------------------------------------------------------ stock

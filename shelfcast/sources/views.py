@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.columns import (clip, day_name, dow_multiplier, is_weekend, lookup, pick,
+from ..functions.columns import (clip, day_name, is_weekend, lookup, pick,
                                  rnd, sigmoid, weekday)
 from .tables import Tables
 
