@@ -52,7 +52,8 @@ def expected_demand(demand: DataFrame) -> DataFrame:
     heat = (F.when((F.col("temp_c") > 38) & (F.col("category") == "Meat & Poultry"), F.lit(0.85))
             .when((F.col("temp_c") > 35) & (F.col("category") == "Dairy"), F.lit(1.10))
             .otherwise(F.lit(1.0)))
-    j = demand.join(F.broadcast(warehouse_scale(demand)), "warehouse_id")
+    # one row per warehouse: AQE broadcasts it at run time by its measured size
+    j = demand.join(warehouse_scale(demand), "warehouse_id")
     val = (F.col("base_demand") * F.col("wh_scale") * dow_multiplier("date") * annual
            * F.col("festival_multiplier") * heat)
     return j.select("date", "sku_id", "warehouse_id", r4("wh_scale").alias("wh_scale"),

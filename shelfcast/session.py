@@ -34,6 +34,34 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
+                 target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Recommended settings for a cluster run over ``input_bytes`` of Parquet.
+
+    * initial shuffle partitions sized so the largest shuffle (about the
+      projected lineitem columns, taken as 1/4 of the input) lands near
+      ``target_partition_bytes`` per reducer, and never below 2 waves of the
+      cluster's cores; AQE coalesces the small ones;
+    * scan splits of 256 MB (row groups are the unit of a split);
+    * skew join splitting at 4x the median (and 512 MB), broadcast left to
+      AQE's runtime size measurement (64 MB).
+    """
+    cores = executors * cores_per_executor
+    shuffle = max(2 * cores, (input_bytes // 4) // target_partition_bytes)
+    return {
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+        "spark.sql.session.timeZone": "UTC",
+    }
+
+
 def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 

@@ -43,3 +43,11 @@ def test_shipdate_filter_reaches_scan(spark):
 def test_checkpoint_dir_is_set(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     assert root and os.path.isdir(root.replace("file:", ""))
+
+
+def test_cluster_conf_sizes_partitions():
+    from shelfcast.session import cluster_conf
+    c = cluster_conf(100 * (1 << 40), executors=1000, cores_per_executor=8)
+    assert int(c["spark.sql.shuffle.partitions"]) == 100 * (1 << 40) // 4 // (256 << 20)
+    small = cluster_conf(1 << 30, executors=10, cores_per_executor=4)
+    assert small["spark.sql.shuffle.partitions"] == "80"
