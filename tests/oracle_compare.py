@@ -48,6 +48,22 @@ def _rows(cols, rows):
     return sorted(out, key=lambda r: tuple((x is None, str(type(x)), x if x is not None else 0) for x in r))
 
 
+SPARK_TO_DUCK = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE",
+                 "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP", "smallint": "SMALLINT",
+                 "tinyint": "TINYINT", "float": "FLOAT", "timestamp": "TIMESTAMP WITH TIME ZONE"}
+
+
+def type_diffs(sdf, con, sql):
+    """Columns whose Spark type does not map to the DuckDB result type."""
+    duck_types = {r[0]: str(r[1]) for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    out = []
+    for f in sdf.schema.fields:
+        want = SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+        if duck_types.get(f.name) != want:
+            out.append((f.name, f.dataType.simpleString(), duck_types.get(f.name)))
+    return out
+
+
 def compare(spark, con, key, qfn, sql, sf_dir):
     t0 = time.time()
     sdf = qfn(spark, sf_dir)
@@ -62,6 +78,13 @@ def compare(spark, con, key, qfn, sql, sf_dir):
     ok_v = ok_cols and ok_n and _rows(s_cols, s_rows) == _rows(d_cols, d_rows)
     info = {"key": key, "cols": ok_cols, "rows": ok_n, "values": ok_v, "n_spark": len(s_rows),
             "n_duck": len(d_rows), "sec": round(t1 - t0, 2)}
+    try:
+        td = type_diffs(sdf, con, sql)
+    except Exception as e:  # DESCRIBE may not support every statement
+        td = [("?", repr(e)[:80], "")]
+    info["types"] = not td
+    if td:
+        info["type_diffs"] = td
     if not ok_cols:
         info["spark_cols"] = sorted(s_cols)
         info["duck_cols"] = sorted(d_cols)

@@ -19,7 +19,7 @@ def con():
 @pytest.mark.parametrize("key", KEYS)
 def test_matches_oracle(spark, con, key):
     info = compare(spark, con, key, E.queries()[key], E.oracle_sql()[key], SF001)
-    assert info["cols"] and info["rows"] and info["values"], info
+    assert info["cols"] and info["rows"] and info["values"] and info["types"], info
 
 
 def test_every_sql_key_is_a_query():
