@@ -109,16 +109,15 @@ def tail_rows(df: DataFrame, n: int, keys=SERIES, order: str = "date") -> DataFr
 
 
 def dow_pattern(demand: DataFrame, keys=SERIES) -> DataFrame:
-    """A10 + J5: mean demand per day name in Monday..Sunday order. The fixed
-    7-day domain is exploded per series (a literal array, no product join);
-    a day a series never has comes out null."""
-    g = demand.groupBy(*keys, "day_name").agg(r4(F.avg("actual_demand_kg")).alias("avg_demand_kg"))
-    days = F.array(*[F.struct(F.lit(d).alias("day_name"), F.lit(i).alias("dow_rank"))
-                     for i, d in enumerate(C.DAY_NAMES)])
-    s = (demand.select(*keys).distinct()
-         .select(*keys, F.explode(days).alias("d"))
-         .select(*keys, "d.day_name", "d.dow_rank"))
-    return s.join(g, [*keys, "day_name"], "left").orderBy(*keys, "dow_rank")
+    """A10 + J5: mean demand per day name in Monday..Sunday order. One
+    aggregate pivoted on the fixed 7-day domain (listed values: no extra
+    job to find them), then unpivoted; a day a series never has is null."""
+    wide = demand.groupBy(*keys).pivot("day_name", C.DAY_NAMES).agg(F.avg("actual_demand_kg"))
+    days = F.array(*[F.struct(F.lit(d).alias("day_name"), F.lit(i).alias("dow_rank"),
+                              F.col(f"`{d}`").alias("v")) for i, d in enumerate(C.DAY_NAMES)])
+    return (wide.select(*keys, F.explode(days).alias("d"))
+            .select(*keys, "d.day_name", "d.dow_rank", r4("d.v").alias("avg_demand_kg"))
+            .orderBy(*keys, "dow_rank"))
 
 
 # ------------------------------------------------------------------ D21

@@ -20,19 +20,32 @@ Y = "actual_demand_kg"
 
 
 # ------------------------------------------------------------------ A15, A16, W6
-def series_state(demand: DataFrame, p: C.Params = C.DEFAULT, keys=SERIES) -> DataFrame:
-    """Per series: last date, last-N mean and population std (A15, A16),
-    the damped trend over the last 14 rows (W6) and the row count (P8)."""
+def ranked(demand: DataFrame, keys=SERIES, extra=()) -> DataFrame:
+    """Rows of each series ranked newest first (one window over the bounded
+    per-series grid); shared by the state, the history tail and the union."""
     w = Window.partitionBy(*keys).orderBy(F.desc("date"))
-    r = demand.select(*keys, "date", Y, F.row_number().over(w).alias("_rk"))
+    return demand.select(*keys, *extra, "date", Y, F.row_number().over(w).alias("_rk"))
+
+
+def series_state(demand: DataFrame, p: C.Params = C.DEFAULT, keys=SERIES, carry=(),
+                 observed: str | None = None) -> DataFrame:
+    """Per series: last date, last-N mean and population std (A15, A16),
+    the damped trend over the last 14 rows (W6), the row count (P8) and the
+    mean over all rows, in one aggregate. ``carry`` are columns that depend
+    on the series key only (e.g. category); ``observed`` counts non-null
+    values of a column (e.g. days with a recorded sale)."""
+    r = ranked(demand, keys, tuple(carry) + ((observed,) if observed else ()))
     in_level = F.col("_rk") <= p.level_window
-    return (r.groupBy(*keys)
-            .agg(F.max("date").alias("last_date"),
-                 F.count("*").alias("n_rows"),
-                 F.avg(F.when(in_level, F.col(Y))).alias("mu"),
-                 F.stddev_pop(F.when(in_level, F.col(Y))).alias("sigma"),
-                 F.max(F.when(F.col("_rk") == 1, F.col(Y))).alias("y_last"),
-                 F.max(F.when(F.col("_rk") == p.trend_window, F.col(Y))).alias("y_first"))
+    aggs = [F.max("date").alias("last_date"),
+            F.count("*").alias("n_rows"),
+            F.avg(F.when(in_level, F.col(Y))).alias("mu"),
+            F.stddev_pop(F.when(in_level, F.col(Y))).alias("sigma"),
+            F.max(F.when(F.col("_rk") == 1, F.col(Y))).alias("y_last"),
+            F.max(F.when(F.col("_rk") == p.trend_window, F.col(Y))).alias("y_first"),
+            F.avg(Y).alias("mean_all")]
+    if observed:
+        aggs.append(F.count(observed).alias("n_observed"))
+    return (r.groupBy(*keys, *carry).agg(*aggs)
             .withColumn("trend", (F.col("y_last") - F.col("y_first")) / float(p.trend_window) * p.trend_damping))
 
 
@@ -48,21 +61,28 @@ def newsvendor(stats: DataFrame, mu: str = "mu", sigma: str = "sigma",
 def heuristic_forecast(demand: DataFrame, p: C.Params = C.DEFAULT, keys=SERIES,
                        horizon: int | None = None) -> DataFrame:
     """B16 + B17 for every series with at least ``min_history`` rows."""
+    return forecast_from_state(series_state(demand, p, keys), p, keys, horizon)
+
+
+def forecast_from_state(state: DataFrame, p: C.Params = C.DEFAULT, keys=SERIES,
+                        horizon: int | None = None, keep=()) -> DataFrame:
+    """B16 + B17 from per-series state rows (no access to the history);
+    ``keep`` carries state columns onto the forecast rows."""
     h = horizon or p.horizon
-    st = series_state(demand, p, keys).filter(F.col("n_rows") >= p.min_history)
-    f = st.select(*keys, "last_date", "mu", "sigma", "trend",
+    st = state.filter(F.col("n_rows") >= p.min_history)
+    f = st.select(*keys, "last_date", "mu", "sigma", "trend", *[c for c in keep if c not in ("mu", "sigma")],
                   F.explode(F.sequence(F.lit(1), F.lit(h))).alias("step"))
     f = f.withColumn("date", F.date_add("last_date", F.col("step")))
     base = clamp0((F.col("mu") + F.col("trend") * F.col("step")) * dow_multiplier("date"))
-    return forecast_band(f.withColumn("_f", base), p, keys)
+    return forecast_band(f.withColumn("_f", base), p, keys, keep=keep)
 
 
-def forecast_band(f: DataFrame, p: C.Params = C.DEFAULT, keys=SERIES, value: str = "_f") -> DataFrame:
+def forecast_band(f: DataFrame, p: C.Params = C.DEFAULT, keys=SERIES, value: str = "_f", keep=()) -> DataFrame:
     """Uncertainty widens 4% per step; band +-1.5u; newsvendor order."""
     u = F.col("sigma") * (F.lit(1.0) + F.col("step") * p.band_growth)
     z = z_value(p.cost_under, p.cost_over)
     fv = F.col(value)
-    return f.select(*keys, "date", "step",
+    return f.select(*keys, *keep, "date", "step",
                     rnd(fv, 1).alias("forecast_kg"),
                     rnd(clamp0(fv - u * p.band_width), 1).alias("lower_bound"),
                     rnd(fv + u * p.band_width, 1).alias("upper_bound"),
@@ -90,9 +110,8 @@ def inventory_recommendations(demand: DataFrame, skus: DataFrame, p: C.Params =
 def history_and_forecast(demand: DataFrame, forecast: DataFrame, p: C.Params = C.DEFAULT,
                          keys=SERIES) -> DataFrame:
     """Last 60 history rows + forecast rows as one typed series."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("date"))
-    hist = (demand.select(*keys, "date", F.col(Y).alias("demand_kg"), F.row_number().over(w).alias("_rk"))
-            .filter(F.col("_rk") <= p.history_tail).drop("_rk").withColumn("type", F.lit("History")))
+    hist = (ranked(demand, keys).filter(F.col("_rk") <= p.history_tail)
+            .select(*keys, "date", F.col(Y).alias("demand_kg")).withColumn("type", F.lit("History")))
     fc = forecast.select(*keys, "date", F.col("forecast_kg").alias("demand_kg"),
                          "lower_bound", "upper_bound", "optimal_order", "type")
     return hist.unionByName(fc, allowMissingColumns=True)

@@ -111,13 +111,16 @@ def over_ordering_by_category(lots: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ W8
 def monthly_kpis(lots: DataFrame, demand: DataFrame) -> DataFrame:
     """Wastage %, fill rate and turnover per procurement/demand month."""
-    lm = (lots.groupBy(F.month("procurement_date").alias("month"))
+    # one pass over the lots: per (month, sku) partial sums, then per month
+    ms = (lots.groupBy(F.month("procurement_date").alias("month"), "sku_id")
           .agg(F.sum("lot_value").alias("tv"), F.sum("spoiled_value").alias("sv"),
-               (F.sum("quantity_kg") - F.sum("spoiled_kg")).alias("sup")))
-    inv = (_inventory_parts(lots.withColumn("month", F.month("procurement_date")), ["month"])
-           .groupBy("month").agg((F.sum("m") * (F.sum("ps") / F.sum("n"))).alias("inv")))
+               F.sum("quantity_kg").alias("q"), F.sum("spoiled_kg").alias("s"),
+               F.avg("quantity_kg").alias("m"), F.sum("price_per_kg").alias("ps"), F.count("*").alias("n")))
+    lm = ms.groupBy("month").agg(F.sum("tv").alias("tv"), F.sum("sv").alias("sv"),
+                                 (F.sum("q") - F.sum("s")).alias("sup"),
+                                 (F.sum("m") * (F.sum("ps") / F.sum("n"))).alias("inv"))
     dm = demand.groupBy("month").agg(F.sum("actual_demand_kg").alias("dem"), F.sum("revenue").alias("rev"))
-    j = dm.join(lm, "month", "left").join(inv, "month", "left")
+    j = dm.join(lm, "month", "left")
     return j.select(
         "month",
         _ratio_pct(F.col("sv"), F.col("tv")).alias("wastage_pct"),

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.columns import clamp0, newsvendor_qty, r2, r4, rnd, z_value
 from .features import SERIES
-from .forecast import _ape, heuristic_forecast, naive_predictions, series_state
+from .forecast import _ape, forecast_from_state, naive_predictions, series_state
 from .ordering import global_rank, with_previous
 
 # Per-category newsvendor costs (cu, co) and the order margin (D22). These
@@ -173,10 +173,8 @@ def discount_rule(active_full: DataFrame, lo: float = 0.40, hi: float = 0.60,
 def approval_flags(demand: DataFrame, p: C.Params = C.DEFAULT) -> DataFrame:
     """A recommendation needs approval when it is off the series'
     historical mean by more than the tolerance."""
-    st = series_state(demand, p)
-    hist = demand.groupBy(*SERIES).agg(F.avg("actual_demand_kg").alias("hmean"))
-    j = st.join(hist, SERIES).withColumn("opt", newsvendor_qty("mu", "sigma", z_value(p.cost_under, p.cost_over),
-                                                                p.sigma_floor))
+    j = (series_state(demand, p).withColumnRenamed("mean_all", "hmean")
+         .withColumn("opt", newsvendor_qty("mu", "sigma", z_value(p.cost_under, p.cost_over), p.sigma_floor)))
     dev = F.abs(F.col("opt") - F.col("hmean")) / F.col("hmean")
     return j.select(*SERIES, F.col("opt").alias("optimal_order"), r4("hmean").alias("history_mean"),
                     r4(dev * 100).alias("deviation_pct"), (dev > p.approval_tolerance).alias("needs_approval"))
@@ -203,18 +201,18 @@ def sensor_offline(gaps: DataFrame, inspect_after_minutes: float = 120.0) -> Dat
 
 
 # ------------------------------------------------------------------ D15
-def cold_start_levels(demand: DataFrame, observed: DataFrame, p: C.Params = C.DEFAULT,
-                      min_days: int = 30) -> DataFrame:
+def cold_start_levels(demand: DataFrame, p: C.Params = C.DEFAULT, min_days: int = 30,
+                      observed: str = "sold_kg") -> DataFrame:
     """A series with fewer than ``min_days`` observed sale days takes the
-    mean level of the warm series in its category."""
-    st = series_state(demand, p).select(*SERIES, "mu")
-    seen = observed.groupBy(*SERIES).agg(F.count_distinct("date").alias("n_observed_days"))
-    cat = demand.select(*SERIES, "category").distinct()
-    j = (st.join(cat, SERIES).join(seen, SERIES, "left")
-         .withColumn("n_observed_days", F.coalesce("n_observed_days", F.lit(0)).cast("bigint"))
-         .withColumn("is_cold_start", F.col("n_observed_days") < min_days))
-    warm = (j.filter(~F.col("is_cold_start")).groupBy("category").agg(F.avg("mu").alias("category_level")))
-    o = j.join(warm, "category", "left")
+    mean level of the warm series in its category. One aggregate over the
+    demand grid gives level, category and observed days per series; the
+    category levels are a window over that small per-series table."""
+    st = (series_state(demand, p, carry=("category",), observed=observed)
+          .withColumn("n_observed_days", F.col("n_observed").cast("bigint"))
+          .withColumn("is_cold_start", F.col("n_observed_days") < min_days))
+    # category level: a window over the per-series table (one row per series)
+    o = st.withColumn("category_level", F.avg(F.when(~F.col("is_cold_start"), F.col("mu")))
+                      .over(Window.partitionBy("category")))
     lvl = F.when(F.col("is_cold_start"), F.coalesce("category_level", "mu")).otherwise(F.col("mu"))
     return o.select(*SERIES, "category", "n_observed_days", "is_cold_start", r4("mu").alias("series_level"),
                     r4("category_level").alias("category_level"), r4(lvl).alias("planning_level"))
@@ -238,16 +236,21 @@ def disruption_override(demand: DataFrame, lots: DataFrame, uplift: float = 0.20
 def fifo_check(active_full: DataFrame) -> DataFrame:
     """FIFO rank (dense rank of procurement date in the series) and
     violations: a dispatched lot while an older lot of the same series is
-    still in stock. The oldest undispatched lot per series is a grouped min
-    of a struct (map-side combine), not a window over the whole series."""
+    still in stock. One grouped summary per (series, date) (map-side
+    combined) carries the smallest undispatched lot of the day; the rank and
+    the series' oldest undispatched lot are windows over that small summary
+    (one row per day in stock), joined back once."""
     a = active_full.select("lot_id", *SERIES, "procurement_date", "dispatched")
-    oldest = (a.filter(~F.col("dispatched")).groupBy(*SERIES)
-              .agg(F.min(F.struct("procurement_date", "lot_id")).alias("o")))
-    ranks = (a.select(*SERIES, "procurement_date").distinct()
-             .withColumn("fifo_rank", F.dense_rank().over(Window.partitionBy(*SERIES).orderBy("procurement_date"))))
-    j = a.join(oldest, SERIES, "left").join(ranks, [*SERIES, "procurement_date"])
-    older = (F.col("o.procurement_date") < F.col("procurement_date")) | (
-        (F.col("o.procurement_date") == F.col("procurement_date")) & (F.col("o.lot_id") < F.col("lot_id")))
+    day = (a.groupBy(*SERIES, "procurement_date")
+           .agg(F.min(F.when(~F.col("dispatched"), F.col("lot_id"))).alias("_u")))
+    ws = Window.partitionBy(*SERIES)
+    day = day.select(*SERIES, "procurement_date",
+                     F.dense_rank().over(ws.orderBy("procurement_date")).alias("fifo_rank"),
+                     F.min(F.when(F.col("_u").isNotNull(), F.struct(F.col("procurement_date").alias("d"),
+                                                                     F.col("_u").alias("l")))).over(ws).alias("o"))
+    j = a.join(day, [*SERIES, "procurement_date"])
+    older = (F.col("o.d") < F.col("procurement_date")) | (
+        (F.col("o.d") == F.col("procurement_date")) & (F.col("o.l") < F.col("lot_id")))
     return j.select("lot_id", *SERIES, "procurement_date", F.col("fifo_rank").cast("int").alias("fifo_rank"),
                     "dispatched", (F.col("dispatched") & F.coalesce(older, F.lit(False))).alias("fifo_violation"))
 
@@ -278,9 +281,9 @@ def naive_baselines_by_series(demand: DataFrame, p: C.Params = C.DEFAULT) -> Dat
 # ------------------------------------------------------------------ D20
 def demand_growth(demand: DataFrame, p: C.Params = C.DEFAULT) -> DataFrame:
     """Mean forecast over the horizon against the current level."""
-    fc = heuristic_forecast(demand, p).groupBy(*SERIES).agg(F.avg("forecast_kg").alias("fl"))
-    st = series_state(demand, p).select(*SERIES, "mu")
-    j = st.join(fc, SERIES)
+    f = forecast_from_state(series_state(demand, p), p, keep=("mu",))
+    j = (f.withColumn("fl", F.avg("forecast_kg").over(Window.partitionBy(*SERIES)))
+         .filter(F.col("step") == 1))
     return j.select(*SERIES, r4("mu").alias("current_level"), r4("fl").alias("forecast_level"),
                     r4(F.try_divide(F.col("fl") - F.col("mu"), F.col("mu")) * 100).alias("growth_pct"))
 
@@ -295,7 +298,7 @@ def category_newsvendor(demand: DataFrame, p: C.Params = C.DEFAULT, costs=None,
     spark = demand.sparkSession
     rows = [(c, cu, co, cu / (cu + co), z_value(cu, co)) for c, (cu, co) in costs.items()]
     tbl = spark.createDataFrame(rows, "category string, cu double, co double, critical_ratio double, z double")
-    st = series_state(demand, p).join(demand.select(*SERIES, "category").distinct(), SERIES)
+    st = series_state(demand, p, carry=("category",))
     j = st.join(F.broadcast(tbl), "category")
     q = newsvendor_qty("mu", "sigma", F.col("z"), p.sigma_floor)
     return j.select(*SERIES, "category", r4("critical_ratio").alias("critical_ratio"),

@@ -41,6 +41,14 @@ def _t(spark, sf_dir) -> Tables:
     return Tables(spark, sf_dir)
 
 
+def _grid(t: Tables) -> DataFrame:
+    """The demand grid materialised once (reliable checkpoint in the shared
+    folder) for plans that read it in several branches: it is bounded by
+    series x days at any scale, while recomputing it re-reads the fiscal
+    year of lineitem."""
+    return V.demand(t, P).checkpoint(eager=True)
+
+
 # ------------------------------------------------------------------ KPIs
 @query("wastage_kpi")
 def q_wastage_kpi(spark, d):
@@ -201,7 +209,7 @@ def q_festival_multiplier(spark, d):
 
 @query("expected_demand")
 def q_expected_demand(spark, d):
-    return FE.expected_demand(V.demand(_t(spark, d), P))
+    return FE.expected_demand(_grid(_t(spark, d)))
 
 
 # ------------------------------------------------------------------ features
@@ -258,7 +266,7 @@ def q_inventory_recommendations(spark, d):
 
 @query("history_and_forecast")
 def q_history_and_forecast(spark, d):
-    dm = V.demand(_t(spark, d), P)
+    dm = _grid(_t(spark, d))
     return FC.history_and_forecast(dm, FC.heuristic_forecast(dm, P), P)
 
 
@@ -360,9 +368,7 @@ def q_d_sensor_offline(spark, d):
 
 @query("d_cold_start")
 def q_d_cold_start(spark, d):
-    t = _t(spark, d)
-    facts = V.demand_facts(t, *V.fy_bounds(P))
-    return PL.cold_start_levels(V.demand(t, P), facts, P)
+    return PL.cold_start_levels(V.demand(_t(spark, d), P), P)
 
 
 @query("d_disruption_override")
