@@ -232,9 +232,14 @@ def _std_samp(arr: Column) -> Column:
 
 
 def recursive_forecast(model: PipelineModel, demand: DataFrame, p: C.Params = C.DEFAULT,
-                       horizon: int | None = None, checkpoint_every: int = 5) -> DataFrame:
-    """Feed each prediction back as the next step's lags; temperature is
-    the last one seen, festival multiplier 1.0 (Q7)."""
+                       horizon: int | None = None, checkpoint_every: int = 5,
+                       known_future: bool = False) -> DataFrame:
+    """Feed each prediction back as the next step's lags. By default the
+    temperature is the last one seen and the festival multiplier 1.0 (Q7);
+    ``known_future`` takes both from the calendar instead (the seasonal
+    temperature cycle and the festival table of this and next year, joined
+    by date as a broadcast constant)."""
+    from ..sources.views import seasonal_temp, with_festival
     h = horizon or p.horizon
     ensure_checkpoint_dir(demand.sparkSession)
     w = Window.partitionBy(*SERIES).orderBy(F.desc("date"))
@@ -258,7 +263,11 @@ def recursive_forecast(model: PipelineModel, demand: DataFrame, p: C.Params = C.
             _mean(F.slice(hist, -14, 14)).alias("rolling_14_mean"),
             F.weekday(d).cast("int").alias("day_of_week"), F.month(d).alias("month"),
             F.dayofyear(d).alias("day_of_year"), (F.weekday(d) >= 5).cast("int").alias("is_weekend"),
-            F.col("last_temp").alias("temp_c"), F.lit(1.0).alias("festival_multiplier"))
+            (seasonal_temp(F.dayofyear(d)) if known_future else F.col("last_temp")).alias("temp_c"),
+            *([] if known_future else [F.lit(1.0).alias("festival_multiplier")]))
+        if known_future:
+            feats = with_festival(feats.withColumn("_d", d), "_d", "_fm", years=(p.fiscal_year, p.fiscal_year + 1))
+            feats = feats.withColumn("festival_multiplier", F.round("_fm", 2)).drop("_d", "_fm")
         scored = model.transform(feats).withColumn("_p", clamp0("prediction"))
         st = scored.select(*SERIES, "last_date", "last_temp",
                            F.slice(F.concat(hist, F.array("_p")), -14, 14).alias("hist"),
@@ -271,7 +280,7 @@ def recursive_forecast(model: PipelineModel, demand: DataFrame, p: C.Params = C.
 
 
 def generate_forecast(model: PipelineModel | None, demand: DataFrame, p: C.Params = C.DEFAULT,
-                      horizon: int | None = None) -> DataFrame:
+                      horizon: int | None = None, known_future: bool = False) -> DataFrame:
     """B19 + J7: the model's recursive forecast where the series was covered
     by training (>= 50 feature rows), the heuristic elsewhere; both with the
     B17 band and newsvendor order."""
@@ -281,7 +290,7 @@ def generate_forecast(model: PipelineModel | None, demand: DataFrame, p: C.Param
         return heur.withColumn("source", F.lit("heuristic"))
     st = series_state(demand, p).select(*SERIES, "sigma", "n_rows")
     covered = st.filter(F.col("n_rows") - 14 >= p.min_feature_rows).select(*SERIES)
-    ml = recursive_forecast(model, demand.join(covered, SERIES, "left_semi"), p, h)
+    ml = recursive_forecast(model, demand.join(covered, SERIES, "left_semi"), p, h, known_future=known_future)
     ml = forecast_band(ml.join(st, SERIES), p).withColumn("source", F.lit("model"))
     rest = heur.join(covered, SERIES, "left_anti").withColumn("source", F.lit("heuristic"))
     return ml.unionByName(rest)

@@ -98,11 +98,14 @@ def festival_dim(spark, year: int = C.FISCAL_YEAR) -> DataFrame:
     return spark.createDataFrame(rows, "name string, date date, demand_multiplier double, window_days int")
 
 
-def festival_days(spark, year: int = C.FISCAL_YEAR) -> DataFrame:
+def festival_days(spark, year: int = C.FISCAL_YEAR, years: tuple[int, ...] | None = None) -> DataFrame:
     """J2 as an equi-join table: each festival exploded to the days of its
     window with the tapered multiplier, max over overlapping festivals.
-    Bounded by the constant calendar (13 festivals x <= 19 days)."""
-    f = festival_dim(spark, year)
+    Bounded by the constant calendar (13 festivals x <= 19 days per year)."""
+    ys = years or (year,)
+    f = festival_dim(spark, ys[0])
+    for y in ys[1:]:
+        f = f.unionByName(festival_dim(spark, y))
     days = f.select("demand_multiplier", "window_days", "date",
                     F.explode(F.sequence(F.date_sub("date", F.col("window_days")),
                                          F.date_add("date", F.col("window_days")))).alias("day"))
@@ -112,10 +115,10 @@ def festival_days(spark, year: int = C.FISCAL_YEAR) -> DataFrame:
 
 
 def with_festival(df: DataFrame, date_col: str = "date", out: str = "festival_multiplier",
-                  spark=None, year: int = C.FISCAL_YEAR) -> DataFrame:
+                  spark=None, year: int = C.FISCAL_YEAR, years: tuple[int, ...] | None = None) -> DataFrame:
     """B2: max(1.0, best festival match) per row, by a broadcast equi join."""
     spark = spark or df.sparkSession
-    fd = F.broadcast(festival_days(spark, year)).withColumnRenamed("day", "_fday")
+    fd = F.broadcast(festival_days(spark, year, years)).withColumnRenamed("day", "_fday")
     return (df.join(fd, F.col(date_col) == F.col("_fday"), "left")
             .withColumn(out, F.greatest(F.lit(1.0), F.coalesce(F.col("fest_mult"), F.lit(1.0))))
             .drop("_fday", "fest_mult"))
@@ -204,6 +207,13 @@ def fy_lots(t: Tables, p: C.Params = C.DEFAULT) -> DataFrame:
 
 
 # ------------------------------------------------------------------ demand
+def seasonal_temp(day_of_year: Column) -> Column:
+    """Temperature cycle of the demand view: 28 + 7 sin(2 pi (doy - 30) / 365),
+    rounded to 0.1, clipped to 15..45."""
+    return clip(rnd(F.lit(28.0) + F.lit(7.0) * F.sin(F.lit(2.0) * F.pi() * (day_of_year - 30) / F.lit(365.0)), 1),
+                15.0, 45.0)
+
+
 def _series_attributes(sku: str = "sku_id", wh: str = "warehouse_id") -> list[Column]:
     """sku and warehouse attributes recomputed from the keys (they are pure
     functions of the brand / region), so aggregates group on keys only."""
@@ -241,7 +251,7 @@ def demand(t: Tables, p: C.Params = C.DEFAULT) -> DataFrame:
                  *_series_attributes())
     kg = F.col("base_demand") + F.coalesce(F.col("sold_kg"), F.lit(0.0))
     doy = F.dayofyear("date")
-    temp = clip(rnd(F.lit(28.0) + F.lit(7.0) * F.sin(F.lit(2.0) * F.pi() * (doy - 30) / F.lit(365.0)), 1), 15.0, 45.0)
+    temp = seasonal_temp(doy)
     g = g.select(
         "date", "sku_id", "sku_name", "category", "warehouse_id", "warehouse_name",
         F.col("warehouse_id").alias("city"),

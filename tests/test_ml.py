@@ -76,3 +76,17 @@ def test_metrics_as_lists(spark):
     assert M.available_features(rows) == [f for f in C.DEMAND_FEATURES if f != "temp_c"]
     top = M.feature_importance(M.train_spoilage_model(V.lots(Tables(spark, SF001)), SMALL)[0], spark, k=2).collect()
     assert len(top) == 2
+
+
+def test_recursive_forecast_known_future(spark):
+    dm = V.demand(Tables(spark, SF001), SMALL)
+    model, _ = M.train_demand_model(dm, SMALL)
+    a = M.recursive_forecast(model, dm, SMALL, horizon=3).collect()
+    b = M.recursive_forecast(model, dm, SMALL, horizon=3, known_future=True).collect()
+    assert len(a) == len(b) == 3 * dm.select("sku_id", "warehouse_id").distinct().count()
+    assert all(r["_f"] >= 0 for r in a + b)
+    # the calendar for the first forecast day (2001-01-01) carries the New Year Eve taper
+    from shelfcast.sources.views import festival_days
+    fd = {r["day"]: r["fest_mult"] for r in festival_days(spark, years=(2000, 2001)).collect()}
+    import datetime as _dt
+    assert fd[_dt.date(2001, 1, 1)] == pytest.approx(2.0 * (1 - 1 / 3 * 0.4))
