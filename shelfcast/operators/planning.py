@@ -156,6 +156,20 @@ def target_encoding(lots_split: DataFrame, label: str = "did_spoil") -> DataFram
     return parts[0].unionByName(parts[1])
 
 
+def apply_target_encoding(df: DataFrame, encoding: DataFrame, default: float | None = None) -> DataFrame:
+    """D10 applied: ``category_te`` / ``warehouse_te`` columns from the
+    encoding table (one row per category or warehouse: broadcast); unseen
+    levels take ``default`` (e.g. the training base rate)."""
+    out = df
+    for feat, col in [("category", "category_te"), ("warehouse_id", "warehouse_te")]:
+        e = (encoding.filter(F.col("feature") == feat)
+             .select(F.col("level").alias(f"_{col}_lvl"), F.col("encoding").alias(col)))
+        out = out.join(F.broadcast(e), F.col(feat) == F.col(f"_{col}_lvl"), "left").drop(f"_{col}_lvl")
+        if default is not None:
+            out = out.withColumn(col, F.coalesce(col, F.lit(default)))
+    return out
+
+
 # ------------------------------------------------------------------ D11
 def discount_rule(active_full: DataFrame, lo: float = 0.40, hi: float = 0.60,
                   max_off: float = 30.0, min_off: float = 15.0) -> DataFrame:

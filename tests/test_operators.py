@@ -232,3 +232,13 @@ def test_workspace_matches_catalog(spark):
         assert ws.filtered(ws.lots, "ASIA HUB", []).select("warehouse_name").distinct().count() == 1
     finally:
         ws.close()
+
+
+def test_apply_target_encoding(spark):
+    enc = spark.createDataFrame([("Dairy", 0.4, 10, "category"), ("ASIA", 0.3, 7, "warehouse_id")],
+                                "level string, encoding double, n_train bigint, feature string")
+    lots = spark.createDataFrame([("l1", "Dairy", "ASIA"), ("l2", "Root Vegetables", "ASIA")],
+                                 "lot_id string, category string, warehouse_id string")
+    got = {r["lot_id"]: (r["category_te"], r["warehouse_te"])
+           for r in PL.apply_target_encoding(lots, enc, default=0.1).collect()}
+    assert got == {"l1": (0.4, 0.3), "l2": (0.1, 0.3)}
