@@ -304,14 +304,18 @@ def demand_growth(demand: DataFrame, p: C.Params = C.DEFAULT) -> DataFrame:
 
 # ------------------------------------------------------------------ D22
 def category_newsvendor(demand: DataFrame, p: C.Params = C.DEFAULT, costs=None,
-                        margin: float = ORDER_MARGIN) -> DataFrame:
+                        margin: float = ORDER_MARGIN, per_row_z: bool = False) -> DataFrame:
     """Per-category cost ratios; z is folded on the driver per category
     (a constant table with one row per category, broadcast) and the order
-    gets a safety margin."""
+    gets a safety margin. ``per_row_z`` computes z from the ratio column with
+    the vectorised UDF instead (for cost tables too large to fold)."""
     costs = costs or CATEGORY_COSTS
     spark = demand.sparkSession
     rows = [(c, cu, co, cu / (cu + co), z_value(cu, co)) for c, (cu, co) in costs.items()]
     tbl = spark.createDataFrame(rows, "category string, cu double, co double, critical_ratio double, z double")
+    if per_row_z:
+        from ..functions.udfs import norm_ppf
+        tbl = tbl.withColumn("z", norm_ppf(F.col("cu") / (F.col("cu") + F.col("co"))))
     st = series_state(demand, p, carry=("category",))
     j = st.join(F.broadcast(tbl), "category")
     q = newsvendor_qty("mu", "sigma", F.col("z"), p.sigma_floor)

@@ -88,3 +88,22 @@ def test_rounding_is_half_up_with_nudge(spark):
     got = _one(spark, fc.rnd("x", 2), [(2.675,), (0.125,)], "x double")
     assert got == [2.68, 0.13]
     assert _one(spark, F.round("x", 2), [(0.125,)], "x double") == [0.13]
+
+
+def test_norm_ppf_udf_matches_stdlib(spark):
+    import statistics
+    from shelfcast.functions.udfs import norm_ppf
+    vals = [0.2, 0.2, 0.5, 0.975, 0.01]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in vals], "p double").select(norm_ppf("p")).collect()]
+    assert got == [statistics.NormalDist().inv_cdf(v) for v in vals]
+
+
+def test_category_newsvendor_per_row_z_matches_folded(spark):
+    from shelfcast.operators import planning as PL
+    from shelfcast.sources import views as V
+    from shelfcast.sources.tables import Tables
+    from .conftest import SF001
+    dm = V.demand(Tables(spark, SF001))
+    a = sorted(map(tuple, PL.category_newsvendor(dm).collect()))
+    b = sorted(map(tuple, PL.category_newsvendor(dm, per_row_z=True).collect()))
+    assert a == b
