@@ -20,6 +20,14 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 BROADCAST_MAX_ROWS = 1_000_000
 _ROW_COUNTS: dict[str, int] = {}
 
+# Views defined once per (session, table folder, view, arguments). A
+# DataFrame is an immutable lazy plan, so handing the same one to every query
+# is what a temp view does: the Parquet footers are read and the view's
+# expressions are built once instead of on every query. The cached frames
+# keep their session alive, so a session's id is never reused while its
+# entries exist.
+_VIEWS: dict[tuple, DataFrame] = {}
+
 
 class Tables:
     """Lazy accessor: ``Tables(spark, dir).lineitem`` -> DataFrame."""
@@ -34,7 +42,18 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
-        return self.spark.read.parquet(self.path(name))
+        return self.view(f"table:{name}", (), lambda: self.spark.read.parquet(self.path(name)))
+
+    def view(self, name: str, args: tuple, build) -> DataFrame:
+        """``build()`` once per session, folder, view name and arguments."""
+        key = (id(self.spark), self.root, name, args)
+        df = _VIEWS.get(key)
+        if df is None or df.sparkSession is not self.spark:
+            df = _VIEWS[key] = build()
+        return df
+
+    def broadcast_cap(self) -> int:
+        return int(self.spark.conf.get("shelfcast.broadcast.maxRows", str(BROADCAST_MAX_ROWS)))
 
     def row_count(self, name: str) -> int:
         """Row count of a table (Parquet footers only; cached per path)."""
@@ -49,8 +68,7 @@ class Tables:
         row cap; otherwise leave the join strategy to Catalyst and AQE
         (shuffle join, runtime broadcast when small, skew-join splitting)."""
         from pyspark.sql import functions as F
-        cap = int(self.spark.conf.get("shelfcast.broadcast.maxRows", str(BROADCAST_MAX_ROWS)))
-        return F.broadcast(df) if self.row_count(base_table) <= cap else df
+        return F.broadcast(df) if self.row_count(base_table) <= self.broadcast_cap() else df
 
 
 # ------------------------------------------------------------------ schemas

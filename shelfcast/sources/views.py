@@ -146,7 +146,15 @@ def _temp_deviation(k: Column) -> Column:
 
 def lots(t: Tables, start: dt.date | None = None, end_exclusive: dt.date | None = None,
          lineitem_df: DataFrame | None = None) -> DataFrame:
-    """Historical lots (FIXTURES 2: lots) with B6-B9 columns."""
+    """Historical lots (FIXTURES 2: lots) with B6-B9 columns. Over the
+    table scan the view is defined once per session (``Tables.view``)."""
+    if lineitem_df is None:
+        return t.view("lots", (start, end_exclusive, t.broadcast_cap()), lambda: _lots(t, start, end_exclusive, None))
+    return _lots(t, start, end_exclusive, lineitem_df)
+
+
+def _lots(t: Tables, start: dt.date | None, end_exclusive: dt.date | None,
+          lineitem_df: DataFrame | None) -> DataFrame:
     base = lines(t, start, end_exclusive, lineitem_df)
     dev = _temp_deviation((F.col("l_orderkey") + F.col("l_linenumber")) % 100)
     b = base.select(
@@ -238,7 +246,11 @@ def demand(t: Tables, p: C.Params = C.DEFAULT) -> DataFrame:
     per day of the year, a calendar-bounded group) and explodes the full day
     sequence, looking each day up in that map, so there is no self-join and
     the lines are scanned once. Each series has exactly one row per day, so
-    per-series windows downstream are bounded."""
+    per-series windows downstream are bounded. Defined once per session."""
+    return t.view("demand", (p, t.broadcast_cap()), lambda: _demand(t, p))
+
+
+def _demand(t: Tables, p: C.Params) -> DataFrame:
     start, end_x = fy_bounds(p)
     ln = lines(t, start, end_x)
     facts = (ln.groupBy(F.col("l_shipdate").cast("date").alias("date"), "sku_id", "warehouse_id")
@@ -273,7 +285,12 @@ def demand(t: Tables, p: C.Params = C.DEFAULT) -> DataFrame:
 def active_lots(t: Tables, as_of: dt.date = C.AS_OF, full: bool = False) -> DataFrame:
     """Lots in stock at ``as_of`` (base shelf life, Q14), with tier,
     in-band score and action. Shelf life is at most 15 days, so the scan is
-    bounded to the last 16 days of ship dates (pushed to Parquet)."""
+    bounded to the last 16 days of ship dates (pushed to Parquet). Defined
+    once per session."""
+    return t.view("active_lots", (as_of, full, t.broadcast_cap()), lambda: _active_lots(t, as_of, full))
+
+
+def _active_lots(t: Tables, as_of: dt.date, full: bool) -> DataFrame:
     from ..functions.columns import recommended_action, risk_tier, tier_score
     lo = lots(t, as_of - dt.timedelta(days=16), as_of + dt.timedelta(days=1))
     days_old = F.datediff(F.lit(as_of), F.col("procurement_date"))
