@@ -24,9 +24,9 @@ _ROW_COUNTS: dict[str, int] = {}
 # DataFrame is an immutable lazy plan, so handing the same one to every query
 # is what a temp view does: the Parquet footers are read and the view's
 # expressions are built once instead of on every query. The cached frames
-# keep their session alive, so a session's id is never reused while its
-# entries exist.
-_VIEWS: dict[tuple, DataFrame] = {}
+# hold their session, so a session's id is never reused while its entries
+# exist.
+_VIEWS: dict[tuple, tuple] = {}
 
 
 class Tables:
@@ -47,10 +47,21 @@ class Tables:
     def view(self, name: str, args: tuple, build) -> DataFrame:
         """``build()`` once per session, folder, view name and arguments."""
         key = (id(self.spark), self.root, name, args)
-        df = _VIEWS.get(key)
-        if df is None or df.sparkSession is not self.spark:
-            df = _VIEWS[key] = build()
-        return df
+        hit = _VIEWS.get(key)
+        if hit is None or hit[0] is not self.spark:
+            hit = _VIEWS[key] = (self.spark, build())
+        return hit[1]
+
+    def spread(self, df: DataFrame, table: str) -> DataFrame:
+        """Round-robin ``df`` (a pruned, filtered scan of ``table``) over the
+        session's default parallelism only when the table scans as fewer
+        splits than that: a file written as one row group is one task
+        however large it is. Large inputs have far more splits than cores
+        and are returned unchanged (no shuffle). Filters and column pruning
+        still reach the scan below the repartition."""
+        n = self.view(f"splits:{table}", (), lambda: getattr(self, table).rdd.getNumPartitions())
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if n < cores else df
 
     def broadcast_cap(self) -> int:
         return int(self.spark.conf.get("shelfcast.broadcast.maxRows", str(BROADCAST_MAX_ROWS)))

@@ -133,6 +133,8 @@ def lines(t: Tables, start: dt.date | None = None, end_exclusive: dt.date | None
         (lineitem_df if lineitem_df is not None else t.lineitem).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                           "l_discount", "l_tax", "l_linestatus", "l_shipdate"),
         start, end_exclusive)
+    if lineitem_df is None:
+        li = t.spread(li, "lineitem")
     parts = t.broadcast_if_small(part_skus(t), "part")
     sups = t.broadcast_if_small(supplier_warehouse(t), "supplier")
     return (li.join(parts, F.col("l_partkey") == F.col("p_partkey"))
