@@ -29,6 +29,12 @@ _ROW_COUNTS: dict[str, int] = {}
 _VIEWS: dict[tuple, tuple] = {}
 
 
+def clear_views(stopped_only: bool = False) -> None:
+    """Forget defined views (all, or only those of stopped sessions)."""
+    for k in [k for k, (s, _) in _VIEWS.items() if not stopped_only or s.sparkContext._jsc is None]:
+        del _VIEWS[k]
+
+
 class Tables:
     """Lazy accessor: ``Tables(spark, dir).lineitem`` -> DataFrame."""
 
@@ -49,6 +55,7 @@ class Tables:
         key = (id(self.spark), self.root, name, args)
         hit = _VIEWS.get(key)
         if hit is None or hit[0] is not self.spark:
+            clear_views(stopped_only=True)
             hit = _VIEWS[key] = (self.spark, build())
         return hit[1]
 

@@ -51,3 +51,13 @@ def test_cluster_conf_sizes_partitions():
     assert int(c["spark.sql.shuffle.partitions"]) == 100 * (1 << 40) // 4 // (256 << 20)
     small = cluster_conf(1 << 30, executors=10, cores_per_executor=4)
     assert small["spark.sql.shuffle.partitions"] == "80"
+
+
+def test_views_defined_once_per_session(spark):
+    from shelfcast.sources import views as V
+    t1, t2 = T.Tables(spark, SF001), T.Tables(spark, SF001)
+    assert V.lots(t1) is V.lots(t2)
+    import datetime as dt
+    assert V.lots(t1) is not V.lots(t1, dt.date(2000, 1, 1), None)
+    T.clear_views()
+    assert V.lots(T.Tables(spark, SF001)).count() == 6000
