@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .tokens import op2_token_store
+from .packing import op5_best_fit_packing
 
 QUERIES = {
     "op2_token_store": op2_token_store,
+    "op5_best_fit_packing": op5_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {}
