@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .tokens import op2_token_store
 from .packing import op5_best_fit_packing
+from .langid import op7_language_id
 
 QUERIES = {
     "op2_token_store": op2_token_store,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_language_id": op7_language_id,
 }
 
 ORACLES: dict[str, str] = {}
