@@ -6,12 +6,14 @@ from .tokens import op2_token_store
 from .packing import op5_best_fit_packing
 from .langid import op7_language_id
 from .warc import op9_arc_to_warc
+from .pii import op10_pii
 
 QUERIES = {
     "op2_token_store": op2_token_store,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_language_id": op7_language_id,
     "op9_arc_to_warc": op9_arc_to_warc,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {}
