@@ -7,6 +7,7 @@ from .packing import op5_best_fit_packing
 from .langid import op7_language_id
 from .warc import op9_arc_to_warc
 from .pii import op10_pii
+from .minhash import op1_minhash_near_dedup
 
 QUERIES = {
     "op2_token_store": op2_token_store,
@@ -14,6 +15,7 @@ QUERIES = {
     "op7_language_id": op7_language_id,
     "op9_arc_to_warc": op9_arc_to_warc,
     "op10_pii": op10_pii,
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
 }
 
 ORACLES: dict[str, str] = {}
