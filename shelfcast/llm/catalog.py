@@ -8,6 +8,7 @@ from .langid import op7_language_id
 from .warc import op9_arc_to_warc
 from .pii import op10_pii
 from .minhash import op1_minhash_near_dedup
+from .substring import op8_substring_dedup
 
 QUERIES = {
     "op2_token_store": op2_token_store,
@@ -16,6 +17,7 @@ QUERIES = {
     "op9_arc_to_warc": op9_arc_to_warc,
     "op10_pii": op10_pii,
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {}
