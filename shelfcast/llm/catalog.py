@@ -7,11 +7,13 @@ from .packing import op5_best_fit_packing
 from .langid import op7_language_id
 from .warc import op9_arc_to_warc
 from .pii import op10_pii
+from .quality import OP4_SQL, op4_adaptive_quality
 from .minhash import op1_minhash_near_dedup
 from .substring import op8_substring_dedup
 
 QUERIES = {
     "op2_token_store": op2_token_store,
+    "op4_adaptive_quality": op4_adaptive_quality,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_language_id": op7_language_id,
     "op9_arc_to_warc": op9_arc_to_warc,
@@ -20,4 +22,6 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_adaptive_quality": OP4_SQL,
+}
