@@ -6,6 +6,7 @@ from .tokens import op2_token_store
 from .packing import op5_best_fit_packing
 from .langid import op7_language_id
 from .warc import op9_arc_to_warc
+from .decontaminate import OP6_SQL, op6_decontamination
 from .pii import op10_pii
 from .quality import OP4_SQL, op4_adaptive_quality
 from .minhash import op1_minhash_near_dedup
@@ -14,6 +15,7 @@ from .substring import op8_substring_dedup
 QUERIES = {
     "op2_token_store": op2_token_store,
     "op4_adaptive_quality": op4_adaptive_quality,
+    "op6_decontamination": op6_decontamination,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_language_id": op7_language_id,
     "op9_arc_to_warc": op9_arc_to_warc,
@@ -24,4 +26,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op4_adaptive_quality": OP4_SQL,
+    "op6_decontamination": OP6_SQL,
 }
