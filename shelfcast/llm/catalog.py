@@ -11,6 +11,7 @@ from .pii import op10_pii
 from .quality import OP4_SQL, op4_adaptive_quality
 from .minhash import op1_minhash_near_dedup
 from .substring import op8_substring_dedup
+from .quotes import op3_quotation_linking
 
 QUERIES = {
     "op2_token_store": op2_token_store,
@@ -22,6 +23,7 @@ QUERIES = {
     "op10_pii": op10_pii,
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op8_substring_dedup": op8_substring_dedup,
+    "op3_quotation_linking": op3_quotation_linking,
 }
 
 ORACLES: dict[str, str] = {
