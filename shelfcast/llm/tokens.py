@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -22,49 +23,80 @@ from tokenizers import Tokenizer
 
 from .common import documents, map_rows, new_folder, stash, utf8
 
-CACHE = 400_000
+CACHE = 500_000
 #: Fixed values of the file format: zstd skippable-frame magic, format tag.
 SKIP, TAG = 0x184D2A50, b"SCT2"
 
 
+#: marks that split off the end of a chunk: never part of a word, a contraction or a special token
+_MARKS = b"!#$%&()*+,-./:;=?@[]^_`{}~\"\\"
+
+
+class _Chars(dict):
+    """Code point -> what byte-level pre-tokenization makes of it."""
+
+    def __init__(self, tok: Tokenizer):
+        super().__init__()
+        self.pre = tok.pre_tokenizer
+
+    def __missing__(self, c: int) -> str:
+        v = self[c] = self.pre.pre_tokenize_str(chr(c))[0][0]
+        return v
+
+
 class ChunkEncoder(dict):
-    """UTF-8 chunk -> little-endian uint32 ids as bytes."""
+    """UTF-8 chunk -> little-endian uint32 ids as bytes, in two generations:
+    past CACHE chunks the young one becomes the old one, and what is still in
+    use moves back."""
 
     def __init__(self, json: str):
         super().__init__()
         self.tok = Tokenizer.from_str(json)
+        self.model = self.tok.model
+        self.old: dict[bytes, bytes] = {}
+        self.chars = _Chars(self.tok)
+
+    def _word(self, w: str) -> bytes:
+        """Ids of one run of lower-case letters: the model alone, on the
+        characters that the tokenizer's own pre-tokenizer makes of them."""
+        return array("I", [x.id for x in self.model.tokenize(w.translate(self.chars))]).tobytes()
 
     def __missing__(self, w: bytes) -> bytes:
-        # a letter followed by one trailing mark, and upper case in plain ASCII
-        # words, split and fold the same way alone as inside the chunk
-        if w[-1:] in (b",", b".") and w[-2:-1].isalpha():
-            v = self[w[:-1]] + self[w[-1:]]
-        elif w.isalpha() and not w.islower():
-            v = self[w.lower()]
-        else:
-            v = np.array(self.tok.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        v = self.old.get(w)
+        if v is None:
+            head = w.rstrip(_MARKS)
+            if head.isalpha():  # ASCII letters and a run of marks: most chunks
+                if head.islower():
+                    v = self.old.get(head) or self.get(head)
+                    if v is None:
+                        v = self._word(head.decode())
+                        if len(head) < len(w):
+                            self[head] = v
+                else:
+                    v = self[head.lower()]
+                if len(head) < len(w):
+                    v += self[w[len(head):]]
+            else:
+                v = self._other(w, head)
         self[w] = v
         return v
 
+    def _other(self, w: bytes, head: bytes) -> bytes:
+        letters = head.decode()
+        low = letters.lower()
+        # letters below U+0250 fold and compose one by one; a run of marks
+        # after letters is a token run of its own
+        if letters.isalpha() and low.isalpha() and max(letters) < "\u0250":
+            if len(head) < len(w):
+                return self[head] + self[w[len(head):]]
+            return self[low.encode()] if low != letters else self._word(letters)
+        return array("I", self.tok.encode(w.decode(), add_special_tokens=False).ids).tobytes()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
         if len(self) > CACHE:
+            self.old = dict(self)
             self.clear()
-        new: dict[bytes, None] = {}
-        for words in split:
-            for w in set(words):
-                if w not in self:
-                    if w[-1:] in (b",", b".") and w[-2:-1].isalpha():
-                        w = w[:-1]
-                    if w.isalpha():
-                        w = w.lower()
-                    if w not in self:
-                        new[w] = None
-        if new:
-            got = self.tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            for w, e in zip(new, got):
-                self[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        return [b"".join(map(self.__getitem__, t.split())) for t in texts]
 
 
 @lru_cache(maxsize=2)
