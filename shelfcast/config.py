@@ -33,7 +33,7 @@ DOW_MULTIPLIER = [0.75, 0.90, 1.00, 1.05, 1.10, 1.20, 1.15]
 DAY_NAMES = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
 # Festival calendar: (name, month-day, demand multiplier, window days).
-# Dates are moved to the fiscal year of the demand view (see FISCAL_YEAR).
+# Dates are moved to each year of the demand view.
 FESTIVALS = [
     ("Pongal / Makar Sankranti", "01-15", 1.6, 3),
     ("Republic Day", "01-26", 1.3, 2),
@@ -95,13 +95,14 @@ MAPE_EPS = 2.220446049250313e-16
 # Parameters of the views over the driver tables and of the operators
 # --------------------------------------------------------------------------
 
-FISCAL_YEAR = 2000
 AS_OF = _dt.date(2000, 6, 30)
+# Member of a dimension for facts whose key it lacks.
+UNKNOWN = "UNKNOWN"
 
 
 @dataclass(frozen=True)
 class Params:
-    fiscal_year: int = FISCAL_YEAR
+    fiscal_year: int | None = None  # None: the whole date range of the data
     as_of: _dt.date = AS_OF
     horizon: int = 14
     level_window: int = 30          # last-N rows for mean / std of a series
@@ -133,13 +134,5 @@ class Params:
     categories_filter: tuple = field(default=("Dairy", "Meat & Poultry"))
     warehouse_filter: str = "ASIA HUB"
 
-    @property
-    def year_start(self) -> _dt.date:
-        return _dt.date(self.fiscal_year, 1, 1)
-
-    @property
-    def year_end(self) -> _dt.date:
-        return _dt.date(self.fiscal_year, 12, 31)
-
 
 DEFAULT = Params()

@@ -75,14 +75,14 @@ def wastage_by_category(lots: DataFrame) -> DataFrame:
 
 
 def wastage_by_month(lots: DataFrame) -> DataFrame:
-    """By month of procurement date; spoiled value also in lakhs."""
-    g = (lots.groupBy(F.month("procurement_date").alias("month"))
+    """By calendar month of procurement date; spoiled value also in lakhs."""
+    g = (lots.groupBy(F.year("procurement_date").alias("year"), F.month("procurement_date").alias("month"))
          .agg(F.sum("spoiled_value").alias("sv"), F.sum("lot_value").alias("tv")))
-    return g.select("month",
+    return g.select("year", "month",
                     month_name(F.make_date(F.lit(2000), F.col("month"), F.lit(1))).alias("month_name"),
                     r2("sv").alias("spoiled"), r2("tv").alias("total"),
                     _ratio_pct(F.col("sv"), F.col("tv")).alias("wastage_pct"),
-                    r4(F.col("sv") / 1e5).alias("spoiled_lakhs")).orderBy("month")
+                    r4(F.col("sv") / 1e5).alias("spoiled_lakhs")).orderBy("year", "month")
 
 
 def wastage_by_sku(lots: DataFrame) -> DataFrame:
@@ -112,17 +112,17 @@ def over_ordering_by_category(lots: DataFrame) -> DataFrame:
 def monthly_kpis(lots: DataFrame, demand: DataFrame) -> DataFrame:
     """Wastage %, fill rate and turnover per procurement/demand month."""
     # one pass over the lots: per (month, sku) partial sums, then per month
-    ms = (lots.groupBy(F.month("procurement_date").alias("month"), "sku_id")
+    ms = (lots.groupBy(F.year("procurement_date").alias("year"), F.month("procurement_date").alias("month"), "sku_id")
           .agg(F.sum("lot_value").alias("tv"), F.sum("spoiled_value").alias("sv"),
                F.sum("quantity_kg").alias("q"), F.sum("spoiled_kg").alias("s"),
                F.avg("quantity_kg").alias("m"), F.sum("price_per_kg").alias("ps"), F.count("*").alias("n")))
-    lm = ms.groupBy("month").agg(F.sum("tv").alias("tv"), F.sum("sv").alias("sv"),
+    lm = ms.groupBy("year", "month").agg(F.sum("tv").alias("tv"), F.sum("sv").alias("sv"),
                                  (F.sum("q") - F.sum("s")).alias("sup"),
                                  (F.sum("m") * (F.sum("ps") / F.sum("n"))).alias("inv"))
-    dm = demand.groupBy("month").agg(F.sum("actual_demand_kg").alias("dem"), F.sum("revenue").alias("rev"))
-    j = dm.join(lm, "month", "left")
+    dm = demand.groupBy(F.year("date").alias("year"), "month").agg(F.sum("actual_demand_kg").alias("dem"), F.sum("revenue").alias("rev"))
+    j = dm.join(lm, ["year", "month"], "left")
     return j.select(
-        "month",
+        "year", "month",
         _ratio_pct(F.col("sv"), F.col("tv")).alias("wastage_pct"),
         F.least(F.lit(100.0), rnd(F.try_divide(F.col("sup"), F.col("dem")) * 100.0, 1)).alias("fill_rate"),
         F.least(F.lit(C.TURNOVER_CAP), rnd(F.col("rev") / F.greatest(F.coalesce(F.col("inv"), F.lit(0.0)),
@@ -130,9 +130,9 @@ def monthly_kpis(lots: DataFrame, demand: DataFrame) -> DataFrame:
 
 
 def kpi_month_delta(lots: DataFrame, demand: DataFrame) -> DataFrame:
-    """Month-over-month change of each KPI (lag over <= 12 rows)."""
+    """Month-over-month change of each KPI (lag over one row per month)."""
     m = monthly_kpis(lots, demand)
-    w = Window.orderBy("month")
+    w = Window.orderBy("year", "month")
     out = m
     for k in ["wastage_pct", "fill_rate", "turnover"]:
         out = out.withColumn(f"{k}_delta", r4(F.col(k) - F.lag(k, 1).over(w)))

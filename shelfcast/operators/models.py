@@ -14,6 +14,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -233,15 +235,18 @@ def _std_samp(arr: Column) -> Column:
 
 def recursive_forecast(model: PipelineModel, demand: DataFrame, p: C.Params = C.DEFAULT,
                        horizon: int | None = None, checkpoint_every: int = 5,
-                       known_future: bool = False) -> DataFrame:
+                       known_future: bool = False, festivals: DataFrame | None = None) -> DataFrame:
     """Feed each prediction back as the next step's lags. By default the
     temperature is the last one seen and the festival multiplier 1.0 (Q7);
     ``known_future`` takes both from the calendar instead (the seasonal
-    temperature cycle and the festival table of this and next year, joined
-    by date as a broadcast constant)."""
-    from ..sources.views import seasonal_temp, with_festival
+    temperature cycle and ``festivals``, by default the built-in calendar of
+    the years around the last date)."""
+    from ..sources.views import festival_dim, seasonal_temp, with_festival, years_of
     h = horizon or p.horizon
     ensure_checkpoint_dir(demand.sparkSession)
+    if known_future:
+        last = demand.agg(F.max("date")).first()[0]
+        calendar = festivals or festival_dim(demand.sparkSession, years_of(last, last + dt.timedelta(days=h)) if last else (1970,))
     w = Window.partitionBy(*SERIES).orderBy(F.desc("date"))
     tail = demand.select(*SERIES, "date", "actual_demand_kg", "temp_c", F.row_number().over(w).alias("_rk")) \
         .filter(F.col("_rk") <= 14)
@@ -266,7 +271,7 @@ def recursive_forecast(model: PipelineModel, demand: DataFrame, p: C.Params = C.
             (seasonal_temp(F.dayofyear(d)) if known_future else F.col("last_temp")).alias("temp_c"),
             *([] if known_future else [F.lit(1.0).alias("festival_multiplier")]))
         if known_future:
-            feats = with_festival(feats.withColumn("_d", d), "_d", "_fm", years=(p.fiscal_year, p.fiscal_year + 1))
+            feats = with_festival(feats.withColumn("_d", d), calendar, "_d", "_fm")
             feats = feats.withColumn("festival_multiplier", F.round("_fm", 2)).drop("_d", "_fm")
         scored = model.transform(feats).withColumn("_p", clamp0("prediction"))
         st = scored.select(*SERIES, "last_date", "last_temp",

@@ -35,15 +35,11 @@ ORDER_MARGIN = 0.05
 
 # ------------------------------------------------------------------ D1
 def dedup_lines(lineitem: DataFrame) -> DataFrame:
-    """One row per (l_orderkey, l_linenumber). The kept row is the max of
-    a struct (deterministic); the aggregate combines duplicates map-side, so
-    a hot key is never gathered into one task."""
-    keep = F.max(F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_quantity"))
-    g = lineitem.groupBy("l_orderkey", "l_linenumber").agg(keep.alias("k"), F.count("*").alias("n_copies"))
-    return g.select("l_orderkey", "l_linenumber", "n_copies",
-                    F.col("k.l_shipdate").cast("date").alias("ship_date"),
-                    F.col("k.l_partkey").alias("l_partkey"), F.col("k.l_suppkey").alias("l_suppkey"),
-                    F.col("k.l_quantity").alias("quantity_kg"))
+    """One row per lot key (order, line, part, supplier, day) with its
+    number of copies and the largest quantity among them. A hash aggregate
+    over plain columns, combined map-side, so a hot key is never gathered."""
+    return (lineitem.groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_shipdate").cast("date").alias("ship_date"))
+            .agg(F.count("*").alias("n_copies"), F.max("l_quantity").alias("quantity_kg")))
 
 
 # ------------------------------------------------------------------ D2
@@ -62,14 +58,20 @@ def rules() -> list:
         ("negative_quantity", F.col("quantity_kg") < 0),
         ("expiry_before_procurement", F.col("expiry_date") < F.col("procurement_date")),
         ("null_key", F.col("sku_id").isNull() | F.col("warehouse_id").isNull()),
+        ("unknown_key", (F.col("sku_id") == C.UNKNOWN) | (F.col("warehouse_id") == C.UNKNOWN)),
         ("spoiled_exceeds_quantity", F.col("spoiled_kg") > F.col("quantity_kg")),
     ]
 
 
+def broken_rules():
+    """Names of the rules that a lot breaks."""
+    return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules()]))
+
+
 def validate_lots(lots: DataFrame) -> DataFrame:
     """D3: rule names broken per lot (``array_compact``) -> counts per rule
     plus the count of valid lots."""
-    broken = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules()]))
+    broken = broken_rules()
     tags = F.when(F.size(broken) == 0, F.array(F.lit("valid"))).otherwise(broken)
     return (lots.select(F.explode(tags).alias("rule"))
             .groupBy("rule").agg(F.count("*").alias("n_lots")))
@@ -96,10 +98,12 @@ def stock_aware_purchase(forecast: DataFrame, stock: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ D6
 def stockout_rate(lots: DataFrame, demand: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     """Unfilled kg / demanded kg per warehouse. A lot is available from
-    procurement to the day before expiry: each lot explodes to at most
-    15 days (bounded), then an equi join on (sku, warehouse, day)."""
+    procurement to the day before expiry. Lots of a series with the same two
+    days are summed first, then exploded to their days (at most the shelf
+    life), then joined on (sku, warehouse, day)."""
     days = F.sequence(F.col("procurement_date"), F.date_sub("expiry_date", 1))
-    avail = (lots.select(*SERIES, "quantity_kg", F.explode(days).alias("date"))
+    batches = lots.groupBy(*SERIES, "procurement_date", "expiry_date").agg(F.sum("quantity_kg").alias("quantity_kg"))
+    avail = (batches.select(*SERIES, "quantity_kg", F.explode(days).alias("date"))
              .filter((F.col("date") >= F.lit(start)) & (F.col("date") <= F.lit(end)))
              .groupBy(*SERIES, "date").agg(F.sum("quantity_kg").alias("avail_kg")))
     j = demand.select(*SERIES, "date", "actual_demand_kg").join(avail, [*SERIES, "date"], "left")
@@ -126,14 +130,14 @@ def overview_counts(active: DataFrame, demand: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ D8
 def net_wastage_saved(lots: DataFrame) -> DataFrame:
-    """Per month, saving against the baseline rate of all earlier months
-    (window over <= 12 monthly rows)."""
-    m = (lots.groupBy(F.month("procurement_date").alias("month"))
+    """Per calendar month, saving against the baseline rate of all earlier
+    months (window over one row per month)."""
+    m = (lots.groupBy(F.year("procurement_date").alias("year"), F.month("procurement_date").alias("month"))
          .agg(F.sum("lot_value").alias("tv"), F.sum("spoiled_value").alias("sv")))
-    w = Window.orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.orderBy("year", "month").rowsBetween(Window.unboundedPreceding, -1)
     base = F.sum("sv").over(w) / F.sum("tv").over(w) * 100
     cur = F.col("sv") / F.col("tv") * 100
-    return m.select("month", r2("tv").alias("total_value"), r4(cur).alias("wastage_pct"),
+    return m.select("year", "month", r2("tv").alias("total_value"), r4(cur).alias("wastage_pct"),
                     r4(base).alias("baseline_pct"), r2((base - cur) / 100 * F.col("tv")).alias("net_saved"))
 
 
@@ -148,12 +152,13 @@ def over_order_factor(forecast: DataFrame, stock: DataFrame, days: int = 3) -> D
 
 # ------------------------------------------------------------------ D10
 def target_encoding(lots_split: DataFrame, label: str = "did_spoil") -> DataFrame:
-    """Mean label per category and per warehouse on the training rows."""
-    tr = lots_split.filter("is_train")
-    parts = [tr.groupBy(F.col(c).alias("level")).agg(r4(F.avg(label)).alias("encoding"),
-                                                       F.count("*").alias("n_train"))
-             .withColumn("feature", F.lit(c)) for c in ["category", "warehouse_id"]]
-    return parts[0].unionByName(parts[1])
+    """Mean label per category and per warehouse on the training rows, in
+    one pass: each row counts once for either feature."""
+    features = ["category", "warehouse_id"]
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("level")) for c in features]))
+    return (lots_split.filter("is_train").select(F.col(label).alias("_y"), pairs.alias("_p"))
+            .groupBy("_p.feature", "_p.level").agg(r4(F.avg("_y")).alias("encoding"), F.count("*").alias("n_train"))
+            .select("level", "encoding", "n_train", "feature"))
 
 
 def apply_target_encoding(df: DataFrame, encoding: DataFrame, default: float | None = None) -> DataFrame:
@@ -206,11 +211,14 @@ def sensor_gaps(readings: DataFrame, gap_minutes: int = 30, unit: str = "hour")
                     r4(gap).alias("gap_minutes"), F.col("prior_max").alias("imputed_temp_c")))
 
 
-def sensor_offline(gaps: DataFrame, inspect_after_minutes: float = 120.0) -> DataFrame:
-    """Offline flag, offline minutes and the inspection list per room."""
-    g = gaps.groupBy("room").agg(F.count("*").alias("n_gaps"), F.sum("gap_minutes").alias("m"))
+def sensor_offline(readings: DataFrame, gaps: DataFrame, inspect_after_minutes: float = 120.0) -> DataFrame:
+    """For every room, whether it was ever offline, its gaps, offline
+    minutes and whether it needs inspection."""
+    u = (gaps.select("room", F.lit(1).alias("g"), F.col("gap_minutes").alias("m"))
+         .unionByName(readings.select("room", F.lit(0).alias("g"), F.lit(0.0).alias("m"))))
+    g = u.groupBy("room").agg(F.sum("g").alias("n_gaps"), F.sum("m").alias("m"))
     return g.select("room", "n_gaps", r2("m").alias("offline_minutes"),
-                    F.lit(1).alias("sensor_offline_flag"),
+                    (F.col("n_gaps") > 0).cast("int").alias("sensor_offline_flag"),
                     (F.col("m") > inspect_after_minutes).alias("needs_inspection"))
 
 
@@ -220,13 +228,13 @@ def cold_start_levels(demand: DataFrame, p: C.Params = C.DEFAULT, min_days: int
     """A series with fewer than ``min_days`` observed sale days takes the
     mean level of the warm series in its category. One aggregate over the
     demand grid gives level, category and observed days per series; the
-    category levels are a window over that small per-series table."""
+    category levels are an aggregate of that per-series table."""
     st = (series_state(demand, p, carry=("category",), observed=observed)
           .withColumn("n_observed_days", F.col("n_observed").cast("bigint"))
           .withColumn("is_cold_start", F.col("n_observed_days") < min_days))
-    # category level: a window over the per-series table (one row per series)
-    o = st.withColumn("category_level", F.avg(F.when(~F.col("is_cold_start"), F.col("mu")))
-                      .over(Window.partitionBy("category")))
+    # category levels: an aggregate (a hot category combines before the shuffle), joined back
+    level = st.where("not is_cold_start").groupBy("category").agg(F.avg("mu").alias("category_level"))
+    o = st.join(level, "category", "left")
     lvl = F.when(F.col("is_cold_start"), F.coalesce("category_level", "mu")).otherwise(F.col("mu"))
     return o.select(*SERIES, "category", "n_observed_days", "is_cold_start", r4("mu").alias("series_level"),
                     r4("category_level").alias("category_level"), r4(lvl).alias("planning_level"))

@@ -52,56 +52,56 @@ def _grid(t: Tables) -> DataFrame:
 # ------------------------------------------------------------------ KPIs
 @query("wastage_kpi")
 def q_wastage_kpi(spark, d):
-    return K.wastage_kpi(V.lots(_t(spark, d)))
+    return K.wastage_kpi(V.lots(_t(spark, d), warehouse=False))
 
 
 @query("fill_rate_kpi")
 def q_fill_rate_kpi(spark, d):
     t = _t(spark, d)
-    return K.fill_rate_kpi(V.fy_lots(t, P), V.demand(t, P))
+    return K.fill_rate_kpi(V.fy_lots(t, P, warehouse=False), V.demand(t, P))
 
 
 @query("inventory_turnover_kpi")
 def q_inventory_turnover_kpi(spark, d):
     t = _t(spark, d)
-    return K.inventory_turnover_kpi(V.fy_lots(t, P), V.demand(t, P))
+    return K.inventory_turnover_kpi(V.fy_lots(t, P, warehouse=False), V.demand(t, P))
 
 
 @query("impact_summary")
 def q_impact_summary(spark, d):
     t = _t(spark, d)
-    return K.impact_summary(V.lots(t), FC.naive_mape_by_sku(V.demand(t, P), P))
+    return K.impact_summary(V.lots(t, warehouse=False), FC.naive_mape_by_sku(V.demand(t, P), P))
 
 
 @query("wastage_by_category")
 def q_wastage_by_category(spark, d):
-    return K.wastage_by_category(V.lots(_t(spark, d)))
+    return K.wastage_by_category(V.lots(_t(spark, d), warehouse=False))
 
 
 @query("wastage_by_month")
 def q_wastage_by_month(spark, d):
-    return K.wastage_by_month(V.lots(_t(spark, d)))
+    return K.wastage_by_month(V.lots(_t(spark, d), warehouse=False))
 
 
 @query("wastage_by_sku")
 def q_wastage_by_sku(spark, d):
-    return K.wastage_by_sku(V.lots(_t(spark, d)))
+    return K.wastage_by_sku(V.lots(_t(spark, d), warehouse=False))
 
 
 @query("wastage_rollup")
 def q_wastage_rollup(spark, d):
-    return K.wastage_rollup(K.wastage_by_sku(V.lots(_t(spark, d))))
+    return K.wastage_rollup(K.wastage_by_sku(V.lots(_t(spark, d), warehouse=False)))
 
 
 @query("kpi_month_delta")
 def q_kpi_month_delta(spark, d):
     t = _t(spark, d)
-    return K.kpi_month_delta(V.fy_lots(t, P), V.demand(t, P))
+    return K.kpi_month_delta(V.fy_lots(t, P, warehouse=False), V.demand(t, P))
 
 
 @query("over_ordering_by_category")
 def q_over_ordering(spark, d):
-    return K.over_ordering_by_category(V.lots(_t(spark, d)))
+    return K.over_ordering_by_category(V.lots(_t(spark, d), warehouse=False))
 
 
 @query("filtered_lots")
@@ -113,12 +113,12 @@ def q_filtered_lots(spark, d):
 
 @query("sku_options")
 def q_sku_options(spark, d):
-    return K.sku_options(V.demand(_t(spark, d), P))
+    return K.sku_options(V.lines(_t(spark, d), warehouse=False))
 
 
 @query("warehouse_options")
 def q_warehouse_options(spark, d):
-    return K.warehouse_options(V.demand(_t(spark, d), P))
+    return K.warehouse_options(V.lines(_t(spark, d)))
 
 
 # ------------------------------------------------------------------ lots and alerts
@@ -155,29 +155,29 @@ def q_alert_table(spark, d):
 @query("procurement_schedule")
 def q_procurement_schedule(spark, d):
     t = _t(spark, d)
-    series = (V.lots(t).select("sku_id", "warehouse_id").distinct()
+    series = (V.series(V.lines(t))
               .select("sku_id", "warehouse_id", V.sku_attrs("sku_id")["shelf_life_days"].alias("shelf_life_days")))
-    return AL.procurement_schedule(series, P.year_start, P.year_end)
+    return AL.procurement_schedule(series, *V.bounds(t, P))
 
 
 @query("lot_freshness")
 def q_lot_freshness(spark, d):
-    return AL.lot_freshness(V.lots(_t(spark, d)))
+    return AL.lot_freshness(V.lots(_t(spark, d), warehouse=False))
 
 
 @query("lot_financials")
 def q_lot_financials(spark, d):
-    return AL.lot_financials(V.lots(_t(spark, d)))
+    return AL.lot_financials(V.lots(_t(spark, d), warehouse=False))
 
 
 @query("spoilage_probability")
 def q_spoilage_probability(spark, d):
-    return AL.spoilage_probability(V.lots(_t(spark, d)))
+    return AL.spoilage_probability(V.lots(_t(spark, d), warehouse=False))
 
 
 @query("lot_risk_score")
 def q_lot_risk_score(spark, d):
-    return AL.lot_risk_score(V.lots(_t(spark, d)))
+    return AL.lot_risk_score(V.lots(_t(spark, d), warehouse=False))
 
 
 # ------------------------------------------------------------------ demand and calendar
@@ -202,8 +202,9 @@ def q_calendar_features(spark, d):
 
 @query("festival_multiplier")
 def q_festival_multiplier(spark, d):
-    days = _t(spark, d).lineitem.select(F.col("l_shipdate").cast("date").alias("date")).distinct()
-    out = V.with_festival(days, "date", "fm", year=P.fiscal_year)
+    t = _t(spark, d)
+    days = t.lineitem.select(F.col("l_shipdate").cast("date").alias("date")).distinct()
+    out = V.with_festival(days, F.broadcast(V.festival_dim(spark, V.years_of(*V.bounds(t, P)))), "date", "fm")
     return out.select("date", r4("fm").alias("festival_multiplier"))
 
 
@@ -293,7 +294,7 @@ def q_regression_metrics(spark, d):
 
 # ------------------------------------------------------------------ tier D batch operators
 def _stock_at_year_end(t):
-    return PL.stock_by_series(V.active_lots(t, P.year_end))
+    return PL.stock_by_series(V.active_lots(t, V.bounds(t, P)[1]))
 
 
 @query("d_dedup_lines")
@@ -320,8 +321,9 @@ def q_d_stock_aware_purchase(spark, d):
 @query("d_stockout_rate")
 def q_d_stockout_rate(spark, d):
     t = _t(spark, d)
-    lo = V.lots(t, P.year_start - dt.timedelta(days=16), P.year_end + dt.timedelta(days=1))
-    return PL.stockout_rate(lo, V.demand(t, P), P.year_start, P.year_end)
+    start, end = V.bounds(t, P)
+    lo = V.lots(t) if P.fiscal_year is None else V.lots(t, start - dt.timedelta(days=V.longest_shelf_life(t)), end + dt.timedelta(days=1))
+    return PL.stockout_rate(lo, V.demand(t, P), start, end)
 
 
 @query("d_overview_counts")
@@ -332,7 +334,7 @@ def q_d_overview_counts(spark, d):
 
 @query("d_net_wastage_saved")
 def q_d_net_wastage_saved(spark, d):
-    return PL.net_wastage_saved(V.fy_lots(_t(spark, d), P))
+    return PL.net_wastage_saved(V.fy_lots(_t(spark, d), P, warehouse=False))
 
 
 @query("d_over_order_factor")
@@ -363,7 +365,8 @@ def q_d_sensor_gaps(spark, d):
 
 @query("d_sensor_offline")
 def q_d_sensor_offline(spark, d):
-    return PL.sensor_offline(PL.sensor_gaps(V.sensor_readings(_t(spark, d)), P.sensor_gap_minutes))
+    r = V.sensor_readings(_t(spark, d))
+    return PL.sensor_offline(r, PL.sensor_gaps(r, P.sensor_gap_minutes))
 
 
 @query("d_cold_start")
@@ -384,7 +387,7 @@ def q_d_fifo(spark, d):
 
 @query("d_supplier_degradation")
 def q_d_supplier_degradation(spark, d):
-    return PL.supplier_degradation(V.lots(_t(spark, d)))
+    return PL.supplier_degradation(V.lots(_t(spark, d), warehouse=False))
 
 
 @query("d_naive_baselines")

@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import statistics
 
-FY_START = "DATE '2000-01-01'"
-FY_END = "DATE '2000-12-31'"
+FY_START = "(SELECT d0 FROM rng)"
+FY_END = "(SELECT d1 FROM rng)"
 AS_OF = "DATE '2000-06-30'"
 
+RNG = """
+rng AS (SELECT CAST(min(l_shipdate) AS DATE) AS d0, CAST(max(l_shipdate) AS DATE) AS d1 FROM lineitem)"""
+
 SKU_PART = """
 sku_part AS (
   SELECT p_partkey, p_brand AS sku_id, p_brand AS sku_name,
@@ -39,7 +42,7 @@ lines AS (
   SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_discount, l_tax, l_linestatus, l_shipdate,
          sp.sku_id, sp.sku_name, sp.category, sp.shelf_life_days, sp.ideal_temp_c, sp.price_per_kg, sp.base_demand,
          sw.warehouse_id, sw.warehouse_name
-  FROM lineitem JOIN sku_part sp ON l_partkey = sp.p_partkey JOIN sup_wh sw ON l_suppkey = sw.s_suppkey
+  FROM lineitem LEFT JOIN sku_part sp ON l_partkey = sp.p_partkey LEFT JOIN sup_wh sw ON l_suppkey = sw.s_suppkey
 )"""
 
 LOTS = """
@@ -88,7 +91,7 @@ FY_LOTS = f"""
 fy_lots AS (SELECT * FROM lots WHERE procurement_date BETWEEN {FY_START} AND {FY_END})"""
 
 FESTIVALS = """
-festivals(name, fdate, mult, win) AS (VALUES
+festivals0(name, fdate, mult, win) AS (VALUES
   ('Pongal / Makar Sankranti', DATE '2000-01-15', CAST(1.6 AS DOUBLE), 3),
   ('Republic Day', DATE '2000-01-26', CAST(1.3 AS DOUBLE), 2),
   ('Maha Shivratri', DATE '2000-03-08', CAST(1.5 AS DOUBLE), 2),
@@ -101,13 +104,14 @@ festivals(name, fdate, mult, win) AS (VALUES
   ('Diwali', DATE '2000-11-01', CAST(2.5 AS DOUBLE), 5),
   ('Eid ul-Adha', DATE '2000-06-17', CAST(2.0 AS DOUBLE), 3),
   ('Christmas', DATE '2000-12-25', CAST(1.8 AS DOUBLE), 4),
-  ('New Year Eve', DATE '2000-12-31', CAST(2.0 AS DOUBLE), 2))"""
+  ('New Year Eve', DATE '2000-12-31', CAST(2.0 AS DOUBLE), 2)),
+festivals AS (SELECT name, make_date(CAST(y AS BIGINT), month(fdate), day(fdate)) AS fdate, mult, win
+              FROM festivals0, (SELECT unnest(range(year(d0) - 1, year(d1) + 2)) AS y FROM rng) yy)"""
 
 DEMAND = f"""
 facts AS (
   SELECT CAST(l_shipdate AS DATE) AS date, sku_id, warehouse_id, sum(l_quantity) AS sold_kg
-  FROM lines WHERE l_shipdate >= TIMESTAMP '2000-01-01' AND l_shipdate < TIMESTAMP '2001-01-01'
-  GROUP BY 1, 2, 3
+  FROM lines GROUP BY 1, 2, 3
 ),
 series AS (
   SELECT DISTINCT f.sku_id, d.sku_name, d.category, f.warehouse_id, f.warehouse_id || ' HUB' AS warehouse_name,
@@ -243,7 +247,7 @@ forecast AS (
   FROM fc1
 )"""
 
-BASE = [SKU_PART, SKU_DIM, SUP_WH, LINES, LOTS, FY_LOTS, FESTIVALS, DEMAND, ACTIVE, FEATURES, STATE]
+BASE = [RNG, SKU_PART, SKU_DIM, SUP_WH, LINES, LOTS, FY_LOTS, FESTIVALS, DEMAND, ACTIVE, FEATURES, STATE]
 
 
 def with_base(body: str) -> str:
@@ -297,11 +301,11 @@ SELECT category, {r2('sum(lot_value)')} AS total_value, {r2('sum(spoiled_value)'
 FROM lots GROUP BY category""")
 
 sql("wastage_by_month", f"""
-SELECT CAST(month(procurement_date) AS INTEGER) AS month, strftime(make_date(2000, CAST(month(procurement_date) AS INTEGER), 1), '%b') AS month_name,
+SELECT CAST(year(procurement_date) AS INTEGER) AS year, CAST(month(procurement_date) AS INTEGER) AS month, strftime(make_date(2000, CAST(month(procurement_date) AS INTEGER), 1), '%b') AS month_name,
        {r2('sum(spoiled_value)')} AS spoiled, {r2('sum(lot_value)')} AS total,
        {r4('sum(spoiled_value) / sum(lot_value) * 100.0')} AS wastage_pct,
        {r4('sum(spoiled_value) / 1e5')} AS spoiled_lakhs
-FROM lots GROUP BY 1, 2""")
+FROM lots GROUP BY 1, 2, 3""")
 
 sql("wastage_by_sku", f"""
 SELECT sku_name, category, {r4('avg(spoilage_pct)')} AS mean_spoilage_pct FROM lots GROUP BY sku_name, category""")
@@ -317,21 +321,22 @@ SELECT category, {r4('avg(over_order_factor)')} AS avg_over_order, {r2('sum(spoi
 FROM lots GROUP BY category""")
 
 sql("kpi_month_delta", f"""
-, lm AS (SELECT CAST(month(procurement_date) AS INTEGER) AS month, sum(lot_value) AS tv, sum(spoiled_value) AS sv,
-               sum(quantity_kg) - sum(spoiled_kg) AS sup FROM fy_lots GROUP BY 1),
-inv AS (SELECT month, sum(m) * (sum(ps) / sum(n)) AS inv FROM
-        (SELECT CAST(month(procurement_date) AS INTEGER) AS month, sku_id, avg(quantity_kg) AS m,
-                sum(price_per_kg) AS ps, count(*) AS n FROM fy_lots GROUP BY 1, 2) q GROUP BY month),
-dm AS (SELECT month, sum(actual_demand_kg) AS dem, sum(revenue) AS rev FROM demand GROUP BY month),
+, lm AS (SELECT CAST(year(procurement_date) AS INTEGER) AS year, CAST(month(procurement_date) AS INTEGER) AS month,
+               sum(lot_value) AS tv, sum(spoiled_value) AS sv,
+               sum(quantity_kg) - sum(spoiled_kg) AS sup FROM fy_lots GROUP BY 1, 2),
+inv AS (SELECT year, month, sum(m) * (sum(ps) / sum(n)) AS inv FROM
+        (SELECT CAST(year(procurement_date) AS INTEGER) AS year, CAST(month(procurement_date) AS INTEGER) AS month, sku_id,
+                avg(quantity_kg) AS m, sum(price_per_kg) AS ps, count(*) AS n FROM fy_lots GROUP BY 1, 2, 3) q GROUP BY 1, 2),
+dm AS (SELECT CAST(year(date) AS INTEGER) AS year, month, sum(actual_demand_kg) AS dem, sum(revenue) AS rev FROM demand GROUP BY 1, 2),
 k AS (
-  SELECT dm.month, {r4('lm.sv / lm.tv * 100.0')} AS wastage_pct,
+  SELECT dm.year, dm.month, {r4('lm.sv / lm.tv * 100.0')} AS wastage_pct,
          least(CAST(100.0 AS DOUBLE), round(lm.sup / dm.dem * 100.0 + 1e-9, 1)) AS fill_rate,
          least(CAST(68.0 AS DOUBLE), round(dm.rev / greatest(coalesce(inv.inv, 0.0), CAST(1.0 AS DOUBLE)) + 1e-9, 1)) AS turnover
-  FROM dm LEFT JOIN lm ON dm.month = lm.month LEFT JOIN inv ON dm.month = inv.month)
-SELECT month, wastage_pct, fill_rate, turnover,
-       {r4('wastage_pct - lag(wastage_pct) OVER (ORDER BY month)')} AS wastage_pct_delta,
-       {r4('fill_rate - lag(fill_rate) OVER (ORDER BY month)')} AS fill_rate_delta,
-       {r4('turnover - lag(turnover) OVER (ORDER BY month)')} AS turnover_delta
+  FROM dm LEFT JOIN lm USING (year, month) LEFT JOIN inv USING (year, month))
+SELECT year, month, wastage_pct, fill_rate, turnover,
+       {r4('wastage_pct - lag(wastage_pct) OVER (ORDER BY year, month)')} AS wastage_pct_delta,
+       {r4('fill_rate - lag(fill_rate) OVER (ORDER BY year, month)')} AS fill_rate_delta,
+       {r4('turnover - lag(turnover) OVER (ORDER BY year, month)')} AS turnover_delta
 FROM k""")
 
 sql("filtered_lots", """
@@ -518,16 +523,13 @@ FROM naive GROUP BY sku_id""")
 # ------------------------------------------------------------------ tier D
 YE_STOCK = """
 , st AS (SELECT sku_id, warehouse_id, sum(quantity_kg) AS stock_kg FROM lots
-         WHERE procurement_date <= DATE '2000-12-31' AND (DATE '2000-12-31' - procurement_date) <= shelf_life_days
+         WHERE procurement_date <= (SELECT d1 FROM rng) AND ((SELECT d1 FROM rng) - procurement_date) <= shelf_life_days
          GROUP BY 1, 2)"""
 
 sql("d_dedup_lines", """
-SELECT l_orderkey, l_linenumber, n_copies, CAST(l_shipdate AS DATE) AS ship_date, l_partkey, l_suppkey,
-       l_quantity AS quantity_kg
-FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n_copies,
-             row_number() OVER (PARTITION BY l_orderkey, l_linenumber
-                                ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC) AS rn
-      FROM lineitem) x WHERE rn = 1""")
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_shipdate AS DATE) AS ship_date, count(*) AS n_copies,
+       max(l_quantity) AS quantity_kg
+FROM lineitem GROUP BY 1, 2, 3, 4, 5""")
 
 sql("d_missing_fill", """
 SELECT date, sku_id, warehouse_id, sold_kg,
@@ -555,7 +557,7 @@ FROM k""")
 sql("d_stockout_rate", f"""
 , av0 AS (SELECT sku_id, warehouse_id, quantity_kg,
                  CAST(unnest(generate_series(procurement_date, expiry_date - 1, INTERVAL 1 DAY)) AS DATE) AS date
-          FROM lots WHERE l_shipdate >= TIMESTAMP '1999-12-16' AND l_shipdate < TIMESTAMP '2001-01-01'),
+          FROM lots),
 av AS (SELECT sku_id, warehouse_id, date, sum(quantity_kg) AS avail_kg FROM av0
        WHERE date BETWEEN {FY_START} AND {FY_END} GROUP BY 1, 2, 3),
 j AS (SELECT d.warehouse_id, d.actual_demand_kg AS dem,
@@ -572,11 +574,11 @@ SELECT (SELECT {r2('sum(quantity_kg)')} FROM active) AS total_inventory_kg,
        (SELECT count(DISTINCT sku_id) FROM active WHERE risk_level IN ('CRITICAL', 'HIGH')) AS high_risk_products""")
 
 sql("d_net_wastage_saved", f"""
-, m AS (SELECT CAST(month(procurement_date) AS INTEGER) AS month, sum(lot_value) AS tv, sum(spoiled_value) AS sv
-        FROM fy_lots GROUP BY 1),
+, m AS (SELECT CAST(year(procurement_date) AS INTEGER) AS year, CAST(month(procurement_date) AS INTEGER) AS month,
+              sum(lot_value) AS tv, sum(spoiled_value) AS sv FROM fy_lots GROUP BY 1, 2),
 b AS (SELECT *, sum(sv) OVER w / sum(tv) OVER w * 100 AS base, sv / tv * 100 AS cur FROM m
-      WINDOW w AS (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT month, {r2('tv')} AS total_value, {r4('cur')} AS wastage_pct, {r4('base')} AS baseline_pct,
+      WINDOW w AS (ORDER BY year, month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT year, month, {r2('tv')} AS total_value, {r4('cur')} AS wastage_pct, {r4('base')} AS baseline_pct,
        {r2('(base - cur) / 100 * tv')} AS net_saved
 FROM b""")
 
@@ -623,9 +625,10 @@ gaps AS (SELECT room, prev_ts AS gap_start, ts AS gap_end, {r4('(epoch_us(ts) -
 sql("d_sensor_gaps", SENSOR_GAPS + "\nSELECT * FROM gaps")
 
 sql("d_sensor_offline", SENSOR_GAPS + f"""
-SELECT room, count(*) AS n_gaps, {r2('sum(gap_minutes)')} AS offline_minutes, 1 AS sensor_offline_flag,
-       sum(gap_minutes) > 120.0 AS needs_inspection
-FROM gaps GROUP BY room""")
+SELECT r.room, CAST(coalesce(n, 0) AS BIGINT) AS n_gaps, {r2('coalesce(m, 0.0)')} AS offline_minutes,
+       CAST(n IS NOT NULL AS INTEGER) AS sensor_offline_flag, coalesce(m, 0.0) > 120.0 AS needs_inspection
+FROM (SELECT DISTINCT room FROM rd) r LEFT JOIN (SELECT room, count(*) AS n, sum(gap_minutes) AS m FROM gaps GROUP BY room) g
+  ON r.room = g.room""")
 
 sql("d_cold_start", f"""
 , seen AS (SELECT sku_id, warehouse_id, count(DISTINCT date) AS n_obs FROM facts GROUP BY 1, 2),

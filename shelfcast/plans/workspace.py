@@ -37,11 +37,11 @@ class Workspace:
 
     @cached_property
     def lots(self) -> DataFrame:
-        return self._keep(V.lots(self.t))
+        return V.lots(self.t)
 
     @cached_property
     def fy_lots(self) -> DataFrame:
-        start, end = self.p.year_start, self.p.year_end
+        start, end = V.bounds(self.t, self.p)
         return self.lots.filter(F.col("procurement_date").between(F.lit(start), F.lit(end)))
 
     @cached_property

@@ -6,6 +6,8 @@ because every view below is a lazy DataFrame plan over ``spark.read``.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -18,7 +20,6 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 # projected row -> <= ~100 MB per executor). Override per session with the
 # ``shelfcast.broadcast.maxRows`` conf.
 BROADCAST_MAX_ROWS = 1_000_000
-_ROW_COUNTS: dict[str, int] = {}
 
 # Views defined once per (session, table folder, view, arguments). A
 # DataFrame is an immutable lazy plan, so handing the same one to every query
@@ -59,26 +60,28 @@ class Tables:
             hit = _VIEWS[key] = (self.spark, build())
         return hit[1]
 
-    def spread(self, df: DataFrame, table: str) -> DataFrame:
-        """Round-robin ``df`` (a pruned, filtered scan of ``table``) over the
-        session's default parallelism only when the table scans as fewer
-        splits than that: a file written as one row group is one task
-        however large it is. Large inputs have far more splits than cores
-        and are returned unchanged (no shuffle). Filters and column pruning
-        still reach the scan below the repartition."""
-        n = self.view(f"splits:{table}", (), lambda: getattr(self, table).rdd.getNumPartitions())
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if n < cores else df
+    def spread(self, df: DataFrame) -> DataFrame:
+        """``df`` dealt round-robin over ``shelfcast.scan.partitions``, or as
+        it is where that setting is unset. For tables kept as files of one row
+        group, which scan as one task however large they are."""
+        n = self.spark.conf.get("shelfcast.scan.partitions", None)
+        return df.repartition(int(n)) if n else df
+
+    def date_range(self) -> tuple[dt.date, dt.date]:
+        """First and last ship date (one row of one column; once per session
+        and folder). An empty table has the one day 1970-01-01."""
+        def scan():
+            from pyspark.sql import functions as F
+            return self.lineitem.agg(F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("z")).first()
+        r = self.view("date_range", (), scan)
+        return (r.a.date(), r.z.date()) if r.a else (dt.date(1970, 1, 1), dt.date(1970, 1, 1))
 
     def broadcast_cap(self) -> int:
         return int(self.spark.conf.get("shelfcast.broadcast.maxRows", str(BROADCAST_MAX_ROWS)))
 
     def row_count(self, name: str) -> int:
-        """Row count of a table (Parquet footers only; cached per path)."""
-        p = self.path(name)
-        if p not in _ROW_COUNTS:
-            _ROW_COUNTS[p] = self.spark.read.parquet(p).count()
-        return _ROW_COUNTS[p]
+        """Row count of a table (Parquet footers only), forgotten with the views."""
+        return self.view(f"rows:{name}", (), lambda: self.spark.read.parquet(self.path(name)).count())
 
     def broadcast_if_small(self, df: DataFrame, base_table: str) -> DataFrame:
         """Broadcast ``df`` only when its base table (whose row count bounds

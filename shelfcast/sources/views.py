@@ -4,7 +4,7 @@
   (no dimension join needed for lots or demand);
 * warehouse = region reached through supplier -> nation -> region;
 * lots = one row per ``lineitem`` row (J3 star join + B6-B9 projections);
-* demand = FY sums per (date, sku, warehouse), densified per series (J8);
+* demand = sums per (date, sku, warehouse), densified per series (J8);
 * active lots = lots in stock at ``as_of`` (B10-B14);
 * sensor readings = ``events`` with a room and temperature.
 
@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.columns import (clip, day_name, is_weekend, lookup, pick,
-                                 rnd, sigmoid, weekday)
+from ..functions.columns import clip, day_name, is_weekend, pick, rnd, weekday
+from ..operators import lots as L
 from .tables import Tables
 
 
@@ -92,20 +92,21 @@ def supplier_warehouse(t: Tables) -> DataFrame:
                     F.concat(F.col("r_name"), F.lit(" HUB")).alias("warehouse_name")))
 
 
-def festival_dim(spark, year: int = C.FISCAL_YEAR) -> DataFrame:
-    """S6 festival calendar moved to ``year`` (fixed 13-row constant)."""
-    rows = [(n, dt.date.fromisoformat(f"{year}-{md}"), float(m), int(w)) for n, md, m, w in C.FESTIVALS]
+def festival_dim(spark, years: tuple[int, ...]) -> DataFrame:
+    """S6 default festival calendar in each of ``years`` (13 rows a year)."""
+    rows = [(n, dt.date.fromisoformat(f"{y}-{md}"), float(m), int(w)) for y in years for n, md, m, w in C.FESTIVALS]
     return spark.createDataFrame(rows, "name string, date date, demand_multiplier double, window_days int")
 
 
-def festival_days(spark, year: int = C.FISCAL_YEAR, years: tuple[int, ...] | None = None) -> DataFrame:
-    """J2 as an equi-join table: each festival exploded to the days of its
-    window with the tapered multiplier, max over overlapping festivals.
-    Bounded by the constant calendar (13 festivals x <= 19 days per year)."""
-    ys = years or (year,)
-    f = festival_dim(spark, ys[0])
-    for y in ys[1:]:
-        f = f.unionByName(festival_dim(spark, y))
+def years_of(start: dt.date, end: dt.date) -> tuple[int, ...]:
+    """Calendar years whose festivals can reach a day of the range."""
+    return tuple(range(start.year - 1, end.year + 2))
+
+
+def festival_days(f: DataFrame) -> DataFrame:
+    """J2 as an equi-join table: each festival of a calendar (date,
+    demand_multiplier, window_days) exploded to the days of its window with
+    the tapered multiplier, max over overlapping festivals."""
     days = f.select("demand_multiplier", "window_days", "date",
                     F.explode(F.sequence(F.date_sub("date", F.col("window_days")),
                                          F.date_add("date", F.col("window_days")))).alias("day"))
@@ -114,11 +115,10 @@ def festival_days(spark, year: int = C.FISCAL_YEAR, years: tuple[int, ...] | Non
     return days.groupBy("day").agg(F.max(val).alias("fest_mult"))
 
 
-def with_festival(df: DataFrame, date_col: str = "date", out: str = "festival_multiplier",
-                  spark=None, year: int = C.FISCAL_YEAR, years: tuple[int, ...] | None = None) -> DataFrame:
-    """B2: max(1.0, best festival match) per row, by a broadcast equi join."""
-    spark = spark or df.sparkSession
-    fd = F.broadcast(festival_days(spark, year, years)).withColumnRenamed("day", "_fday")
+def with_festival(df: DataFrame, festivals: DataFrame, date_col: str = "date", out: str = "festival_multiplier") -> DataFrame:
+    """B2: max(1.0, best festival match) per row, by an equi join. A calendar
+    of the caller's own is joined as Spark sees fit."""
+    fd = festival_days(festivals).withColumnRenamed("day", "_fday")
     return (df.join(fd, F.col(date_col) == F.col("_fday"), "left")
             .withColumn(out, F.greatest(F.lit(1.0), F.coalesce(F.col("fest_mult"), F.lit(1.0))))
             .drop("_fday", "fest_mult"))
@@ -126,20 +126,27 @@ def with_festival(df: DataFrame, date_col: str = "date", out: str = "festival_mu
 
 # ------------------------------------------------------------------ lines + dims
 def lines(t: Tables, start: dt.date | None = None, end_exclusive: dt.date | None = None,
-          lineitem_df: DataFrame | None = None) -> DataFrame:
-    """lineitem x part attributes x supplier warehouse (J3). ``lineitem_df``
-    replaces the lineitem scan (e.g. a file stream: stream-static joins)."""
+          lineitem_df: DataFrame | None = None, warehouse: bool = True) -> DataFrame:
+    """lineitem x part attributes x supplier warehouse (J3, left joins: every
+    line stays, with the member UNKNOWN where a dimension lacks its key).
+    ``lineitem_df`` replaces the lineitem scan (e.g. a file stream:
+    stream-static joins); without ``warehouse`` supplier is not joined."""
     li = shipdate_between(
         (lineitem_df if lineitem_df is not None else t.lineitem).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                           "l_discount", "l_tax", "l_linestatus", "l_shipdate"),
         start, end_exclusive)
     if lineitem_df is None:
-        li = t.spread(li, "lineitem")
+        li = t.spread(li)
     parts = t.broadcast_if_small(part_skus(t), "part")
+    j = li.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left").drop("p_partkey")
+    unknown = [F.coalesce(c, F.lit(C.UNKNOWN)).alias(c) for c in ("sku_id", "sku_name", "category")]
+    j = j.select(*[c for c in j.columns if c not in ("sku_id", "sku_name", "category")], *unknown)
+    if not warehouse:
+        return j
     sups = t.broadcast_if_small(supplier_warehouse(t), "supplier")
-    return (li.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-            .join(sups, F.col("l_suppkey") == F.col("s_suppkey"))
-            .drop("p_partkey", "s_suppkey"))
+    j = j.join(sups, F.col("l_suppkey") == F.col("s_suppkey"), "left").drop("s_suppkey")
+    return (j.withColumn("warehouse_id", F.coalesce("warehouse_id", F.lit(C.UNKNOWN)))
+            .withColumn("warehouse_name", F.coalesce("warehouse_name", F.lit(f"{C.UNKNOWN} HUB"))))
 
 
 def _temp_deviation(k: Column) -> Column:
@@ -147,17 +154,19 @@ def _temp_deviation(k: Column) -> Column:
 
 
 def lots(t: Tables, start: dt.date | None = None, end_exclusive: dt.date | None = None,
-         lineitem_df: DataFrame | None = None) -> DataFrame:
-    """Historical lots (FIXTURES 2: lots) with B6-B9 columns. Over the
-    table scan the view is defined once per session (``Tables.view``)."""
+         lineitem_df: DataFrame | None = None, warehouse: bool = True) -> DataFrame:
+    """Historical lots (FIXTURES 2: lots) with B6-B9 columns, without the
+    warehouse columns (and their joins) on request. Over the table scan the
+    view is defined once per session (``Tables.view``)."""
     if lineitem_df is None:
-        return t.view("lots", (start, end_exclusive, t.broadcast_cap()), lambda: _lots(t, start, end_exclusive, None))
-    return _lots(t, start, end_exclusive, lineitem_df)
+        return t.view("lots", (start, end_exclusive, warehouse, t.broadcast_cap(), t.spark.conf.get("shelfcast.scan.partitions", None)),
+                      lambda: _lots(t, start, end_exclusive, None, warehouse))
+    return _lots(t, start, end_exclusive, lineitem_df, warehouse)
 
 
 def _lots(t: Tables, start: dt.date | None, end_exclusive: dt.date | None,
-          lineitem_df: DataFrame | None) -> DataFrame:
-    base = lines(t, start, end_exclusive, lineitem_df)
+          lineitem_df: DataFrame | None, warehouse: bool) -> DataFrame:
+    base = lines(t, start, end_exclusive, lineitem_df, warehouse)
     dev = _temp_deviation((F.col("l_orderkey") + F.col("l_linenumber")) % 100)
     b = base.select(
         "*",
@@ -166,54 +175,50 @@ def _lots(t: Tables, start: dt.date | None, end_exclusive: dt.date | None,
         F.col("l_shipdate").cast("date").alias("procurement_date"),
         dev.alias("temp_deviation_c"),
     )
-    b = b.withColumn("effective_shelf_life", F.greatest(
-        F.lit(1), F.col("shelf_life_days") - F.floor(F.col("temp_deviation_c") * F.lit(0.4)).cast("int")).cast("int"))
+    b = b.withColumn("quantity_kg", F.col("l_quantity")).withColumn("_over", F.lit(1.1) + F.lit(5.0) * F.abs(F.col("l_discount")))
+    b = L.with_effective_life(b)
     b = b.withColumn("inspection_day", (F.col("l_orderkey") % (F.col("effective_shelf_life") + 1)).cast("int"))
-    age = F.col("inspection_day") / F.col("effective_shelf_life")
-    over_raw = F.lit(1.1) + F.lit(5.0) * F.abs(F.col("l_discount"))
-    cat_rate = lookup(C.CATEGORY_BASE_SPOIL, "category", C.DEFAULT_BASE_SPOIL)
-    b = b.withColumn("_age", F.least(F.lit(1.0), age)).withColumn("_cat_rate", cat_rate)
-    score_x = (F.col("_age") * 2.5 + F.col("temp_deviation_c") / 6.0 * 1.8
-               + (over_raw - 1.0) * 0.6 + F.col("_cat_rate") * 1.5)
-    b = b.withColumn("spoil_prob", clip(sigmoid((score_x - 2.0) * 2.5), 0.02, 0.95))
+    b = L.with_freshness(b, age_days=F.col("inspection_day"))
+    b = L.with_spoilage_probability(b, over_order=F.col("_over"))
     u = ((F.col("l_orderkey") * 31 + F.col("l_partkey") * 17) % 1000) / 1000.0
     b = b.withColumn("did_spoil", (u < F.col("spoil_prob")).cast("int"))
     b = b.withColumn("spoilage_pct", F.when(F.col("did_spoil") == 1,
                                             rnd(F.lit(0.15) + F.lit(8.0) * F.abs(F.col("l_tax")), 2))
                      .otherwise(F.lit(0.0)))
-    b = b.withColumn("spoiled_kg", rnd(F.col("l_quantity") * F.col("spoilage_pct"), 1))
-    risk = F.floor(F.col("_age") * 45 + F.col("temp_deviation_c") * 7 + F.col("_cat_rate") * 80)
+    b = L.with_risk_score(L.with_financials(b))
     return b.select(
         "lot_id",
         F.col("l_suppkey").alias("supplier_id"),
-        "sku_id", "sku_name", "category", "warehouse_id", "warehouse_name",
+        "sku_id", "sku_name", "category", *(["warehouse_id", "warehouse_name"] if warehouse else []),
         "procurement_date",
-        F.date_add("procurement_date", F.col("effective_shelf_life")).alias("expiry_date"),
-        "shelf_life_days", "effective_shelf_life",
-        F.col("l_quantity").alias("quantity_kg"),
-        rnd(over_raw, 2).alias("over_order_factor"),
+        "expiry_date", "shelf_life_days", "effective_shelf_life", "quantity_kg",
+        rnd("_over", 2).alias("over_order_factor"),
         "ideal_temp_c",
         (F.col("ideal_temp_c") + F.col("temp_deviation_c")).cast("int").alias("actual_temp_c"),
-        "temp_deviation_c", "price_per_kg",
-        rnd(F.col("l_quantity") * F.col("price_per_kg"), 2).alias("lot_value"),
-        "did_spoil", "spoilage_pct", "spoiled_kg",
-        rnd(F.col("spoiled_kg") * F.col("price_per_kg"), 2).alias("spoiled_value"),
-        (F.col("effective_shelf_life") - F.col("inspection_day")).cast("int").alias("days_to_expiry"),
-        clip(risk, 0, 100).cast("int").alias("risk_score"),
-        rnd(F.col("_age"), 2).alias("age_pct"),
+        "temp_deviation_c", "price_per_kg", "lot_value",
+        "did_spoil", "spoilage_pct", "spoiled_kg", "spoiled_value", "days_to_expiry", "risk_score",
+        rnd("age", 2).alias("age_pct"),
         "spoil_prob", "inspection_day",
         (F.col("l_linestatus") == "F").alias("dispatched"),
         "l_orderkey", "l_linenumber", "l_partkey",
     )
 
 
-def fy_bounds(p: C.Params = C.DEFAULT) -> tuple[dt.date, dt.date]:
-    return p.year_start, p.year_end + dt.timedelta(days=1)
+def bounds(t: Tables, p: C.Params = C.DEFAULT) -> tuple[dt.date, dt.date]:
+    """First and last day of the demand view: the data's own range, or one
+    fiscal year on request."""
+    if p.fiscal_year is None:
+        return t.date_range()
+    return dt.date(p.fiscal_year, 1, 1), dt.date(p.fiscal_year, 12, 31)
 
 
-def fy_lots(t: Tables, p: C.Params = C.DEFAULT) -> DataFrame:
-    """Lots procured in the fiscal year (for fill rate and turnover)."""
-    return lots(t, *fy_bounds(p))
+def fy_lots(t: Tables, p: C.Params = C.DEFAULT, warehouse: bool = True) -> DataFrame:
+    """Lots procured in the period of the demand view (for fill rate and
+    turnover); the whole range needs no filter."""
+    if p.fiscal_year is None:
+        return lots(t, warehouse=warehouse)
+    start, end = bounds(t, p)
+    return lots(t, start, end + dt.timedelta(days=1), warehouse=warehouse)
 
 
 # ------------------------------------------------------------------ demand
@@ -241,28 +246,29 @@ def demand_facts(t: Tables, start: dt.date | None = None, end_exclusive: dt.date
     return g.select("date", "sku_id", "warehouse_id", "sold_kg", *_series_attributes())
 
 
+def series(df: DataFrame) -> DataFrame:
+    return df.select("sku_id", "warehouse_id").distinct()
+
+
 def demand(t: Tables, p: C.Params = C.DEFAULT) -> DataFrame:
     """The demand fact table (FIXTURES 2: demand): every series seen in the
-    fiscal year, densified over all its days (J8). The facts are aggregated
-    once; each series then gathers its own (date -> kg) entries (at most one
-    per day of the year, a calendar-bounded group) and explodes the full day
-    sequence, looking each day up in that map, so there is no self-join and
-    the lines are scanned once. Each series has exactly one row per day, so
-    per-series windows downstream are bounded. Defined once per session."""
-    return t.view("demand", (p, t.broadcast_cap()), lambda: _demand(t, p))
+    period (by default the data's own date range), densified over all its
+    days (J8): the days of each series, exploded from one sequence, left
+    joined to the daily facts. Both sides come from one aggregate of the
+    lines, whose exchange Spark reuses. Each series has exactly one row per
+    day, so per-series windows downstream are bounded by the calendar.
+    Defined once per session."""
+    return t.view("demand", (p, t.broadcast_cap(), t.spark.conf.get("shelfcast.scan.partitions", None)), lambda: _demand(t, p))
 
 
 def _demand(t: Tables, p: C.Params) -> DataFrame:
-    start, end_x = fy_bounds(p)
-    ln = lines(t, start, end_x)
+    start, end = bounds(t, p)
+    ln = lines(t, *(() if p.fiscal_year is None else (start, end + dt.timedelta(days=1))))
     facts = (ln.groupBy(F.col("l_shipdate").cast("date").alias("date"), "sku_id", "warehouse_id")
              .agg(F.sum("l_quantity").alias("sold_kg")))
-    per_series = facts.groupBy("sku_id", "warehouse_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("date", "sold_kg"))).alias("_sold"))
-    g = per_series.select("sku_id", "warehouse_id", "_sold",
-                          F.explode(F.sequence(F.lit(p.year_start), F.lit(p.year_end))).alias("date"))
-    g = g.select("date", "sku_id", "warehouse_id", F.try_element_at("_sold", F.col("date")).alias("sold_kg"),
-                 *_series_attributes())
+    days = series(facts).select("sku_id", "warehouse_id", F.explode(F.sequence(F.lit(start), F.lit(end))).alias("date"))
+    g = days.join(facts, ["date", "sku_id", "warehouse_id"], "left")
+    g = g.select("date", "sku_id", "warehouse_id", "sold_kg", *_series_attributes())
     kg = F.col("base_demand") + F.coalesce(F.col("sold_kg"), F.lit(0.0))
     doy = F.dayofyear("date")
     temp = seasonal_temp(doy)
@@ -279,39 +285,34 @@ def _demand(t: Tables, p: C.Params) -> DataFrame:
         doy.alias("day_of_year"),
         "base_demand", "sold_kg",
     )
-    g = with_festival(g, "date", "_fest", year=p.fiscal_year)
+    g = with_festival(g, F.broadcast(festival_dim(t.spark, years_of(start, end))), "date", "_fest")
     return g.withColumn("festival_multiplier", rnd("_fest", 2)).drop("_fest")
 
 
 # ------------------------------------------------------------------ active lots
 def active_lots(t: Tables, as_of: dt.date = C.AS_OF, full: bool = False) -> DataFrame:
     """Lots in stock at ``as_of`` (base shelf life, Q14), with tier,
-    in-band score and action. Shelf life is at most 15 days, so the scan is
-    bounded to the last 16 days of ship dates (pushed to Parquet). Defined
-    once per session."""
-    return t.view("active_lots", (as_of, full, t.broadcast_cap()), lambda: _active_lots(t, as_of, full))
+    in-band score and action. The scan is bounded to the longest shelf life
+    of the SKU dimension before ``as_of`` (pushed to Parquet). Defined once
+    per session."""
+    return t.view("active_lots", (as_of, full, t.broadcast_cap(), t.spark.conf.get("shelfcast.scan.partitions", None)), lambda: _active_lots(t, as_of, full))
+
+
+def longest_shelf_life(t: Tables) -> int:
+    """Days, from the SKU dimension (one row; once per session and folder)."""
+    return t.view("longest_shelf_life", (), lambda: part_skus(t).agg(F.max("shelf_life_days")).first()[0]) or 0
 
 
 def _active_lots(t: Tables, as_of: dt.date, full: bool) -> DataFrame:
-    from ..functions.columns import recommended_action, risk_tier, tier_score
-    lo = lots(t, as_of - dt.timedelta(days=16), as_of + dt.timedelta(days=1))
-    days_old = F.datediff(F.lit(as_of), F.col("procurement_date"))
-    a = lo.filter((F.col("procurement_date") <= F.lit(as_of)) & (days_old <= F.col("shelf_life_days")))
-    a = a.withColumn("days_remaining", (F.col("shelf_life_days") - days_old).cast("int"))
-    pct = F.col("days_remaining") / F.col("shelf_life_days")
-    a = (a.withColumn("_pct", pct)
-         .withColumn("risk_level", risk_tier("_pct"))
-         .withColumn("risk_score", tier_score("_pct"))
-         .withColumn("pct_shelf_remaining", rnd(F.col("_pct") * 100.0, 1))
-         .withColumn("recommended_action", recommended_action("risk_level"))
-         .withColumn("lot_value_inr", F.col("lot_value"))
-         .withColumn("expiry_date", F.date_add("procurement_date", F.col("shelf_life_days"))))
+    from ..operators.lots import active_lots as in_stock
+    lo = lots(t, as_of - dt.timedelta(days=longest_shelf_life(t)), as_of + dt.timedelta(days=1))
+    a = in_stock(lo, as_of)
     cols = ["lot_id", "sku_id", "sku_name", "category", "warehouse_id", "warehouse_name",
             "procurement_date", "expiry_date", "days_remaining", "shelf_life_days",
             "pct_shelf_remaining", "quantity_kg", "price_per_kg", "lot_value_inr",
             "risk_score", "risk_level", "recommended_action", "temp_deviation_c"]
     if full:
-        cols += ["supplier_id", "over_order_factor", "age_pct", "dispatched", "_pct"]
+        cols += ["supplier_id", "over_order_factor", "age_pct", "dispatched", "effective_shelf_life", "_pct"]
     return a.select(*cols)
 
 
