@@ -139,10 +139,9 @@ def naive_mape_by_sku(demand: DataFrame, p: C.Params = C.DEFAULT) -> DataFrame:
     g = pr.groupBy("sku_id").agg((F.avg(_ape("actual", "pred_ma7")) * 100).alias("m7"),
                                  (F.avg(_ape("actual", "pred_lag7")) * 100).alias("l7"),
                                  F.count("*").alias("n_test"))
-    allw = Window.partitionBy()
     return g.select("sku_id", r4("m7").alias("mape"), r4("l7").alias("mape_lag7"),
                     r4(F.try_divide(F.col("l7") - F.col("m7"), F.col("l7")) * 100).alias("improvement_pct"),
-                    "n_test", r4(F.avg("m7").over(allw)).alias("avg_mape")).orderBy("mape", "sku_id")
+                    "n_test", r4(g.agg(F.avg("m7")).scalar()).alias("avg_mape"))
 
 
 def mape_summary(mape: DataFrame, col: str = "mape") -> DataFrame:
@@ -153,10 +152,8 @@ def mape_summary(mape: DataFrame, col: str = "mape") -> DataFrame:
 
 def mape_histogram(mape: DataFrame, col: str = "mape", bins: int = 15) -> DataFrame:
     """Equal-width histogram between min and max, at most ``bins`` bins.
-    The per-SKU table has one row per SKU, so the un-partitioned window is
-    over a small aggregated frame."""
-    w = Window.partitionBy()
-    lo, hi = F.min(col).over(w), F.max(col).over(w)
+    The limits are scalar subqueries over the per-SKU table."""
+    lo, hi = mape.agg(F.min(col)).scalar(), mape.agg(F.max(col)).scalar()
     width = (F.col("_hi") - F.col("_lo")) / bins
     b = (mape.select(col, lo.alias("_lo"), hi.alias("_hi"))
          .withColumn("bucket", F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(

@@ -18,7 +18,7 @@ import datetime as dt
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
@@ -50,17 +50,26 @@ def _fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
 
 
 # ------------------------------------------------------------------ M3, M4
-def split_bucket() -> Column:
-    """Deterministic 0..99 bucket from the lot's natural key (M3). The same
-    cut applies inside each label, so the split is stratified by label."""
-    k = (F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729 + F.col("l_partkey") * 31
-         + F.col("supplier_id") * 13)
-    return F.pmod(k, F.lit(100))
+SPLIT_BUCKETS = 4096
 
 
-def with_split(lots: DataFrame, test_fraction: float = C.DEFAULT.spoil_test_fraction) -> DataFrame:
-    cut = int(round(100 * (1 - test_fraction)))
-    return lots.withColumn("is_train", split_bucket() < cut)
+def split_bucket(key: str = "lot_id") -> Column:
+    """Bucket of a row by the md5 of its key."""
+    return F.conv(F.substring(F.md5(F.col(key).cast("binary")), 1, 3), 16, 10).cast("int")
+
+
+def with_split(lots: DataFrame, test_fraction: float = C.DEFAULT.spoil_test_fraction, label: str = "did_spoil",
+               key: str = "lot_id") -> DataFrame:
+    """M3: stratified split. Rows of each label are ordered by the hash bucket
+    of their key and cut where the label's own share of training rows is
+    reached: counts per (label, bucket), at most SPLIT_BUCKETS rows a label."""
+    counts = lots.groupBy(F.col(label).alias("_l"), split_bucket(key).alias("_b")).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy("_l")
+    upto, total = F.sum("_n").over(w.orderBy("_b")), F.sum("_n").over(w)
+    cut = (counts.withColumn("_in", upto <= F.lit(1 - test_fraction) * total).where("_in")
+           .groupBy("_l").agg(F.max("_b").alias("_cut")))
+    return (lots.join(F.broadcast(cut), F.col(label) == F.col("_l"), "left")  # a row per label
+            .withColumn("is_train", F.coalesce(split_bucket(key) <= F.col("_cut"), F.lit(False))).drop("_l", "_cut"))
 
 
 def balanced_weights(df: DataFrame, label: str = "did_spoil") -> DataFrame:
@@ -74,13 +83,19 @@ def balanced_weights(df: DataFrame, label: str = "did_spoil") -> DataFrame:
 
 
 # ------------------------------------------------------------------ M1, M2, M5
+def label_stages(columns: dict[str, str]) -> list:
+    """M1: alphabetical index of each text column as a plain number. The
+    arithmetic drops the indexer's nominal metadata, so trees split the number
+    (as the source does) and no bin count limits the number of levels."""
+    out = [StringIndexer(inputCol=c, outputCol=f"_{e}", stringOrderType="alphabetAsc", handleInvalid="keep") for c, e in columns.items()]
+    plain = ", ".join(f"double(_{e}) + 0.0D AS {e}" for e in columns.values())
+    return [*out, SQLTransformer(statement=f"SELECT *, {plain} FROM __THIS__")]
+
+
 def spoilage_pipeline(p: C.Params = C.DEFAULT) -> Pipeline:
     return Pipeline(stages=[
-        StringIndexer(inputCol="category", outputCol="category_enc", stringOrderType="alphabetAsc",
-                      handleInvalid="keep"),
-        StringIndexer(inputCol="warehouse_id", outputCol="warehouse_enc", stringOrderType="alphabetAsc",
-                      handleInvalid="keep"),
-        VectorAssembler(inputCols=C.SPOILAGE_FEATURES, outputCol="features"),
+        *label_stages({"category": "category_enc", "warehouse_id": "warehouse_enc"}),
+        VectorAssembler(inputCols=C.SPOILAGE_FEATURES, outputCol="features", handleInvalid="skip"),
         RandomForestClassifier(featuresCol="features", labelCol="did_spoil", weightCol="class_weight",
                                numTrees=p.rf_trees, maxDepth=p.rf_depth, minInstancesPerNode=p.rf_min_leaf,
                                seed=p.seed),
@@ -89,8 +104,15 @@ def spoilage_pipeline(p: C.Params = C.DEFAULT) -> Pipeline:
 
 def _spoil_frame(lots: DataFrame) -> DataFrame:
     return lots.select("lot_id", "category", "warehouse_id", "did_spoil", "age_pct", "temp_deviation_c",
-                       "over_order_factor", "quantity_kg", "shelf_life_days", "price_per_kg",
-                       "l_orderkey", "l_linenumber", "l_partkey", "supplier_id")
+                       "over_order_factor", "quantity_kg", "shelf_life_days", "price_per_kg")
+
+
+def encoded(df: DataFrame, column: str, out: str) -> DataFrame:
+    """M1 as a frame: 0-based alphabetical index of ``column`` (a row number
+    over its distinct values, joined back)."""
+    levels = df.select(F.col(column).alias("_v")).distinct()
+    levels = levels.select("_v", (F.row_number().over(Window.orderBy("_v")) - 1).cast("double").alias(out))
+    return df.join(levels, F.col(column) == F.col("_v"), "left").drop("_v")
 
 
 def train_spoilage_model(lots: DataFrame, p: C.Params = C.DEFAULT, cache_key=None):
@@ -134,14 +156,13 @@ def classification_metrics(scored: DataFrame, label: str = "did_spoil", pred: st
 
 
 def confusion_matrix(scored: DataFrame, label: str = "did_spoil", pred: str = "prediction") -> DataFrame:
-    """M8: rows actual, columns predicted, over the fixed 2 x 2 domain."""
-    cells = scored.groupBy(F.col(label).cast("int").alias("actual"),
-                           F.col(pred).cast("int").alias("predicted")).agg(F.count("*").alias("n"))
-    dom = F.array(*[F.struct(F.lit(a).alias("actual"), F.lit(b).alias("predicted"))
-                    for a in (0, 1) for b in (0, 1)])
-    spine = cells.select(F.explode(dom).alias("c")).select("c.actual", "c.predicted").distinct()
-    return (spine.join(cells, ["actual", "predicted"], "left")
-            .select("actual", "predicted", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
+    """M8: rows actual, columns predicted, over the fixed 2 x 2 domain (J5):
+    four counts in one aggregate, exploded."""
+    y, yh = F.col(label).cast("int"), F.col(pred).cast("int")
+    cells = [(a, b) for a in (0, 1) for b in (0, 1)]
+    one = scored.agg(*[F.count_if((y == a) & (yh == b)).alias(f"c{a}{b}") for a, b in cells])
+    rows = F.array(*[F.struct(F.lit(a).alias("actual"), F.lit(b).alias("predicted"), F.col(f"c{a}{b}").alias("n")) for a, b in cells])
+    return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def feature_importance(model: PipelineModel, spark, features=C.SPOILAGE_FEATURES, k: int | None = None) -> DataFrame:
@@ -160,12 +181,10 @@ def available_features(df: DataFrame, features=C.DEMAND_FEATURES) -> list[str]:
 
 def demand_pipeline(p: C.Params = C.DEFAULT, features=C.DEMAND_FEATURES) -> Pipeline:
     return Pipeline(stages=[
-        StringIndexer(inputCol="sku_id", outputCol="sku_idx", stringOrderType="alphabetAsc", handleInvalid="keep"),
-        StringIndexer(inputCol="warehouse_id", outputCol="wh_idx", stringOrderType="alphabetAsc",
-                      handleInvalid="keep"),
+        *label_stages({"sku_id": "sku_idx", "warehouse_id": "wh_idx"}),
         VectorAssembler(inputCols=list(features) + ["sku_idx", "wh_idx"], outputCol="features"),
         GBTRegressor(featuresCol="features", labelCol="actual_demand_kg", maxIter=p.gbt_iters,
-                     maxDepth=p.gbt_depth, stepSize=p.gbt_step, seed=p.seed, maxBins=64),
+                     maxDepth=p.gbt_depth, stepSize=p.gbt_step, seed=p.seed),
     ])
 
 
@@ -198,7 +217,7 @@ def demand_model_mape(test: DataFrame) -> DataFrame:
     g = test.groupBy("sku_id").agg((F.avg(_ape("actual", "predicted")) * 100).alias("m"),
                                    F.count("*").alias("n_test"))
     return g.select("sku_id", r4("m").alias("mape"), "n_test",
-                    r4(F.avg("m").over(Window.partitionBy())).alias("avg_mape")).orderBy("mape", "sku_id")
+                    r4(g.agg(F.avg("m")).scalar()).alias("avg_mape"))
 
 
 def actual_vs_predicted(test: DataFrame, sku_id: str | None = None) -> DataFrame:
@@ -214,11 +233,11 @@ def actual_vs_predicted(test: DataFrame, sku_id: str | None = None) -> DataFrame
 
 
 def metrics_as_lists(test: DataFrame) -> DataFrame:
-    """per SKU, the test actuals and predictions as date-ordered lists
-    (bounded by the test tail of each series) and as JSON text."""
-    g = test.groupBy("sku_id").agg(
-        F.sort_array(F.collect_list(F.struct("date", "warehouse_id", "actual", "predicted"))).alias("_r"))
-    return g.select("sku_id", F.col("_r.actual").alias("test_actual"), F.col("_r.predicted").alias("test_predicted"),
+    """per series, the test actuals and predictions as date-ordered lists
+    (bounded by the test days of one series) and as JSON text."""
+    g = test.groupBy(*SERIES).agg(
+        F.sort_array(F.collect_list(F.struct("date", "actual", "predicted"))).alias("_r"))
+    return g.select(*SERIES, F.col("_r.actual").alias("test_actual"), F.col("_r.predicted").alias("test_predicted"),
                     F.to_json(F.col("_r")).alias("records_json"))
 
 
@@ -303,9 +322,10 @@ def generate_forecast(model: PipelineModel | None, demand: DataFrame, p: C.Param
 
 # ------------------------------------------------------------------ D24
 def score_active_lots(model: PipelineModel, active_full: DataFrame) -> DataFrame:
-    """Classifier risk (0-100) for lots in stock; age is the share of
-    base shelf life used at ``as_of``."""
-    a = active_full.withColumn("age_pct", F.round(F.lit(1.0) - F.col("_pct"), 2))
+    """Classifier risk (0-100) for lots in stock; age is the share of the
+    effective shelf life used at ``as_of``, as in training."""
+    days = F.col("shelf_life_days") - F.col("days_remaining")
+    a = active_full.withColumn("age_pct", F.round(F.least(F.lit(1.0), days / F.col("effective_shelf_life")), 2))
     s = score_spoilage(model, a)
     return s.select("lot_id", "sku_id", "warehouse_id", "risk_level", "risk_score",
                     F.round(F.col("spoil_proba") * 100, 1).alias("model_risk_score"),

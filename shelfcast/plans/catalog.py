@@ -21,6 +21,7 @@ from ..operators import kpis as K
 from ..operators import models as M
 from ..operators import planning as PL
 from ..operators.models import with_split
+from ..session import ensure_checkpoint_dir
 from ..sources import views as V
 from ..sources.tables import Tables
 from ..streaming import streams as ST
@@ -46,6 +47,7 @@ def _grid(t: Tables) -> DataFrame:
     folder) for plans that read it in several branches: it is bounded by
     series x days at any scale, while recomputing it re-reads the fiscal
     year of lineitem."""
+    ensure_checkpoint_dir(t.spark)
     return V.demand(t, P).checkpoint(eager=True)
 
 
@@ -273,7 +275,7 @@ def q_history_and_forecast(spark, d):
 
 @query("naive_mape_by_sku")
 def q_naive_mape_by_sku(spark, d):
-    return FC.naive_mape_by_sku(V.demand(_t(spark, d), P), P)
+    return FC.naive_mape_by_sku(V.demand(_t(spark, d), P), P).orderBy("mape", "sku_id")
 
 
 @query("mape_summary")
@@ -428,22 +430,68 @@ def q_stream_lot_alerts(spark, d):
 
 @query("stream_daily_kpi")
 def q_stream_daily_kpi(spark, d):
-    return ST.run(ST.daily_kpis(ST.stream_table(spark, d, "events")), "daily_kpi")
+    return ST.run_bounded(ST.stream_table(spark, d, "events"), ST.daily_kpis, "daily_kpi")
 
 
 @query("stream_coldchain_windows")
 def q_stream_coldchain(spark, d):
-    return ST.run(ST.coldchain_windows(ST.stream_table(spark, d, "events")), "coldchain")
+    return ST.run_bounded(ST.stream_table(spark, d, "events"), ST.coldchain_windows, "coldchain")
 
 
 @query("stream_sensor_sessions")
 def q_stream_sensor_sessions(spark, d):
-    return ST.run(ST.sensor_sessions(ST.stream_table(spark, d, "events")), "sensor_sessions")
+    return ST.run_bounded(ST.stream_table(spark, d, "events"), ST.sensor_sessions, "sensor_sessions")
 
 
 @query("stream_dedup_readings")
 def q_stream_dedup(spark, d):
-    return ST.run(ST.dedup_readings(ST.stream_table(spark, d, "events")), "dedup_readings")
+    return ST.run_bounded(ST.stream_table(spark, d, "events"), ST.dedup_readings, "dedup_readings")
+
+
+# ------------------------------------------------------------------ model layer that SQL can repeat
+@query("series_rows")
+def q_series_rows(spark, d):
+    dm = V.demand(_t(spark, d), P)
+    return dm.filter((F.col("sku_id") == "Brand#11") & (F.col("warehouse_id") == "ASIA")).select("date", "sku_id", "warehouse_id", "actual_demand_kg")
+
+
+@query("spoilage_features")
+def q_spoilage_features(spark, d):
+    lo = M.encoded(M.encoded(V.lots(_t(spark, d)), "category", "category_enc"), "warehouse_id", "warehouse_enc")
+    return lo.select("lot_id", *C.SPOILAGE_FEATURES)
+
+
+@query("spoilage_split")
+def q_spoilage_split(spark, d):
+    lo = M.with_split(V.lots(_t(spark, d), warehouse=False), P.spoil_test_fraction)
+    return lo.groupBy("did_spoil", "is_train").agg(F.count("*").alias("n_lots"))
+
+
+@query("class_weights")
+def q_class_weights(spark, d):
+    lo = M.balanced_weights(M.with_split(V.lots(_t(spark, d), warehouse=False), P.spoil_test_fraction).filter("is_train"))
+    return lo.groupBy("did_spoil").agg(r4(F.max("class_weight")).alias("class_weight"), F.count("*").alias("n_train"))
+
+
+def _ruled(spark, d):
+    """Lots with the rule 'spoils when its probability is at least one half'."""
+    return V.lots(_t(spark, d), warehouse=False).withColumn("prediction", (F.col("spoil_prob") >= 0.5).cast("double"))
+
+
+@query("rule_metrics")
+def q_rule_metrics(spark, d):
+    return M.classification_metrics(_ruled(spark, d))
+
+
+@query("rule_confusion")
+def q_rule_confusion(spark, d):
+    return M.confusion_matrix(_ruled(spark, d))
+
+
+@query("naive_actual_vs_predicted")
+def q_naive_actual_vs_predicted(spark, d):
+    pr = FC.naive_predictions(V.demand(_t(spark, d), P), P).withColumnRenamed("pred_ma7", "predicted")
+    return M.actual_vs_predicted(pr)
 
 
 # ------------------------------------------------------------------ ML (rows-only checks)
@@ -472,7 +520,7 @@ def q_feature_importance(spark, d):
 
 @query("demand_model_mape")
 def q_demand_model_mape(spark, d):
-    return M.demand_model_mape(_demand_model(spark, d)[1])
+    return M.demand_model_mape(_demand_model(spark, d)[1]).orderBy("mape", "sku_id")
 
 
 @query("actual_vs_predicted")

@@ -588,14 +588,54 @@ SELECT f3.sku_id, f3.warehouse_id, {r2('coalesce(st.stock_kg, 0.0)')} AS stock_k
        CASE WHEN f3.f3 = 0 THEN NULL ELSE {r4('coalesce(st.stock_kg, 0.0) / f3.f3')} END AS over_order_factor
 FROM f3 LEFT JOIN st ON f3.sku_id = st.sku_id AND f3.warehouse_id = st.warehouse_id""")
 
-sql("d_target_encoding", f"""
-, tr AS (SELECT * FROM lots
-         WHERE ((l_orderkey * 7919 + l_linenumber * 104729 + l_partkey * 31 + supplier_id * 13) % 100) < 80)
+SPLIT = """
+, sb AS (SELECT *, CAST('0x' || substr(md5(lot_id), 1, 3) AS INTEGER) AS b FROM lots),
+sc AS (SELECT did_spoil, b, count(*) AS n FROM sb GROUP BY 1, 2),
+sk AS (SELECT did_spoil, max(b) AS cut FROM (SELECT *, sum(n) OVER (PARTITION BY did_spoil ORDER BY b) AS upto,
+              sum(n) OVER (PARTITION BY did_spoil) AS total FROM sc) q WHERE upto <= CAST(0.8 AS DOUBLE) * total GROUP BY 1),
+sp AS (SELECT sb.*, coalesce(sb.b <= sk.cut, false) AS is_train FROM sb LEFT JOIN sk ON sb.did_spoil = sk.did_spoil)"""
+
+sql("d_target_encoding", SPLIT + f"""
+, tr AS (SELECT * FROM sp WHERE is_train)
 SELECT category AS level, {r4('avg(did_spoil)')} AS encoding, count(*) AS n_train, 'category' AS feature
 FROM tr GROUP BY category
 UNION ALL
 SELECT warehouse_id, {r4('avg(did_spoil)')}, count(*), 'warehouse_id' FROM tr GROUP BY warehouse_id""")
 
+sql("spoilage_split", SPLIT + " SELECT did_spoil, is_train, count(*) AS n_lots FROM sp GROUP BY 1, 2")
+
+sql("class_weights", SPLIT + f"""
+SELECT did_spoil, {r4('sum(count(*)) OVER () / (count(*) OVER () * CAST(count(*) AS DOUBLE))')} AS class_weight, count(*) AS n_train
+FROM sp WHERE is_train GROUP BY 1""")
+
+sql("spoilage_features", """
+, ce AS (SELECT category, CAST(row_number() OVER (ORDER BY category) - 1 AS DOUBLE) AS category_enc FROM (SELECT DISTINCT category FROM lots) q),
+we AS (SELECT warehouse_id, CAST(row_number() OVER (ORDER BY warehouse_id) - 1 AS DOUBLE) AS warehouse_enc FROM (SELECT DISTINCT warehouse_id FROM lots) q)
+SELECT lot_id, age_pct, temp_deviation_c, over_order_factor, quantity_kg, shelf_life_days, price_per_kg, category_enc, warehouse_enc
+FROM lots JOIN ce USING (category) JOIN we USING (warehouse_id)""")
+
+_RULED = ", z AS (SELECT did_spoil AS y, CAST(spoil_prob >= 0.5 AS INTEGER) AS p FROM lots)"
+
+sql("rule_metrics", _RULED + f"""
+, c AS (SELECT count(*) FILTER (WHERE y = 1 AND p = 1) AS tp, count(*) FILTER (WHERE y = 0 AND p = 1) AS fp,
+               count(*) FILTER (WHERE y = 1 AND p = 0) AS fn, count(*) FILTER (WHERE y = 0 AND p = 0) AS tn FROM z)
+SELECT {r4('(tp + tn) / (tp + tn + fp + fn)')} AS accuracy, {r4('2 * tp / (2 * tp + fp + fn)')} AS f1_score,
+       {r4('tp / (tp + fp)')} AS precision_spoil, {r4('tp / (tp + fn)')} AS recall_spoil, tp + fn AS support_spoil,
+       {r4('tn / (tn + fn)')} AS precision_no_spoil, {r4('tn / (tn + fp)')} AS recall_no_spoil, tn + fp AS support_no_spoil,
+       tp + tn + fp + fn AS n_test FROM c""")
+
+sql("rule_confusion", _RULED + """
+SELECT CAST(a AS INTEGER) AS actual, CAST(b AS INTEGER) AS predicted, (SELECT count(*) FROM z WHERE y = a AND p = b) AS n
+FROM range(0, 2) r(a), range(0, 2) s(b)""")
+
+sql("series_rows", """
+SELECT date, sku_id, warehouse_id, actual_demand_kg FROM demand WHERE sku_id = 'Brand#11' AND warehouse_id = 'ASIA'""")
+
+sql("naive_actual_vs_predicted", f"""
+SELECT sku_id, warehouse_id, date, CAST(row_number() OVER (PARTITION BY sku_id, warehouse_id ORDER BY date) AS INTEGER) AS step,
+       {r4('actual')} AS actual, {r4('pred_ma7')} AS predicted
+FROM naive WHERE sku_id = (SELECT min(sku_id) FROM naive)""")
+
 sql("d_discount_rule", f"""
 , x AS (SELECT *, 30.0 - (pct - 0.4) / CAST(0.2 AS DOUBLE) * 15.0 AS off FROM active WHERE pct >= 0.4 AND pct <= 0.6)
 SELECT lot_id, sku_id, warehouse_id, pct_shelf_remaining, {r2('off')} AS discount_pct,
@@ -730,10 +770,6 @@ FROM g""")
 
 
 # ------------------------------------------------------------------ streaming (final sink tables)
-# One file = one micro-batch, then the no-data batch: the watermark is
-# max(ts) - 1 hour and a window / session is emitted when its end <= watermark.
-WM = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
-
 sql("stream_lot_alerts", f"""
 , a AS (SELECT *, days_to_expiry / effective_shelf_life AS p FROM lots)
 SELECT lot_id, sku_id, category, warehouse_id, procurement_date, days_to_expiry, effective_shelf_life,
@@ -748,7 +784,7 @@ sql("stream_daily_kpi", f"""
 SELECT window_start, window_end, count(*) AS n_events, count(*) FILTER (WHERE event_type = 'purchase') AS n_purchases,
        round(sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0.0 END), 2) AS sold_value,
        count(*) FILTER (WHERE event_type = 'error') AS n_errors
-FROM d GROUP BY 1, 2 HAVING window_end <= {WM}""")
+FROM d GROUP BY 1, 2""")
 
 sql("stream_coldchain_windows", f"""
 , rd AS (SELECT CAST(user_id % 10 AS INTEGER) AS room, ts, value / 10.0 AS temp_c,
@@ -757,7 +793,7 @@ sql("stream_coldchain_windows", f"""
 w AS (SELECT room, temp_c, b - INTERVAL (k * 15) MINUTE AS window_start FROM rd, range(0, 4) r(k))
 SELECT room, window_start, window_start + INTERVAL 1 HOUR AS window_end, max(temp_c) AS max_temp_c,
        {r4('avg(temp_c)')} AS avg_temp_c, count(*) AS n_readings
-FROM w GROUP BY 1, 2 HAVING window_start + INTERVAL 1 HOUR <= {WM}""")
+FROM w GROUP BY 1, 2""")
 
 sql("stream_sensor_sessions", f"""
 , rd AS (SELECT CAST(user_id % 10 AS INTEGER) AS room, ts, event_id,
@@ -768,7 +804,7 @@ s0 AS (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY room ORDER BY ts, event_id
 s1 AS (SELECT *, sum(new_s) OVER (PARTITION BY room ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM s0)
 SELECT room, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n_readings,
        max(temp_c) AS max_temp_c
-FROM s1 GROUP BY room, sid HAVING max(ts) + INTERVAL 30 MINUTE <= {WM}""")
+FROM s1 GROUP BY room, sid""")
 
 sql("stream_dedup_readings", """
 SELECT event_id, room, ts, temp_c FROM (

@@ -3,8 +3,9 @@ shared checkpoint folder the cluster names in ``spark.checkpoint.dir``."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -71,29 +72,45 @@ def _is_local(spark: SparkSession) -> bool:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint root.
-
-    Reads ``spark.checkpoint.dir`` from the session (the cluster's shared
-    folder). Only when it is unset *and* the master is local (tests, bench)
-    is a scratch folder created under /tmp.
-    """
+    """The shared checkpoint root, set on the context where that has none:
+    ``spark.checkpoint.dir`` of the session (the cluster's shared folder), else
+    the folder the context has, else, on a local master only (tests, bench), a
+    folder below the warehouse."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not root:
-        current = sc.getCheckpointDir()
-        if current:
-            return current
+        if current := sc.getCheckpointDir():
+            return os.path.dirname(current)  # the context adds a folder of its own
         if not _is_local(spark):
             raise RuntimeError("spark.checkpoint.dir is not set; a shared folder is required on a cluster")
-        root = tempfile.mkdtemp(prefix="shelfcast-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
     return root
 
 
+_SCRATCH: dict[str, SparkSession] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint root (stream sinks, model
     artifacts, materialised intermediates)."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH[path] = spark
+    return path
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete the scratch folders of this session; those left go at exit."""
+    for p in [p for p, s in _SCRATCH.items() if s is spark]:
+        del _SCRATCH[p]
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def _release_all() -> None:
+    for s in {id(s): s for s in _SCRATCH.values()}.values():
+        with contextlib.suppress(Exception):  # the session may be gone
+            release_scratch(s)

@@ -10,6 +10,7 @@ import datetime as dt
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -71,7 +72,6 @@ class Tables:
         """First and last ship date (one row of one column; once per session
         and folder). An empty table has the one day 1970-01-01."""
         def scan():
-            from pyspark.sql import functions as F
             return self.lineitem.agg(F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("z")).first()
         r = self.view("date_range", (), scan)
         return (r.a.date(), r.z.date()) if r.a else (dt.date(1970, 1, 1), dt.date(1970, 1, 1))
@@ -88,7 +88,6 @@ class Tables:
         ``df``'s, e.g. a projection or a many-to-one join of it) is under the
         row cap; otherwise leave the join strategy to Catalyst and AQE
         (shuffle join, runtime broadcast when small, skew-join splitting)."""
-        from pyspark.sql import functions as F
         return F.broadcast(df) if self.row_count(base_table) <= self.broadcast_cap() else df
 
 
@@ -105,8 +104,7 @@ DEMAND_SCHEMA = T.StructType([
     T.StructField("price_per_kg", T.DoubleType()),
     T.StructField("revenue", T.DoubleType()),
     T.StructField("temp_c", T.DoubleType()),
-    T.StructField("day_name", T.StringType()),
-    T.StructField("day_of_week", T.IntegerType()),
+    T.StructField("day_of_week", T.StringType()),
     T.StructField("is_weekend", T.IntegerType()),
     T.StructField("month", T.IntegerType()),
     T.StructField("day_of_year", T.IntegerType()),
@@ -170,7 +168,16 @@ def read_csv_table(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def load_demand(spark, path):
-    return read_csv_table(spark, path, "demand")
+    """The 16-column demand file, whose day_of_week is a day name: read as
+    day_name, with day_of_week (0 = Monday) from the date."""
+    d = read_csv_table(spark, path, "demand").withColumnRenamed("day_of_week", "day_name")
+    return d.withColumn("day_of_week", F.weekday("date").cast("int"))
+
+
+def save_demand(df: DataFrame, path: str) -> None:
+    """The same file from a demand frame (day_name written as day_of_week)."""
+    cols = [F.col("day_name" if f.name == "day_of_week" else f.name).alias(f.name) for f in DEMAND_SCHEMA.fields]
+    write_table(df.select(*cols), path, fmt="csv")
 
 
 def load_lots(spark, path):
@@ -196,18 +203,27 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
 
 
 def build_if_absent(spark: SparkSession, path: str, build) -> DataFrame:
-    """Derive and write a table only when it is missing, then read it."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(jvm_path):
-        write_table(build(), path, mode="ignore")
+    """Derive and write a table only when it is missing or was left
+    unfinished (no _SUCCESS), then read it."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        write_table(build(), path, mode="overwrite")
     return spark.read.parquet(path)
 
 
 # ------------------------------------------------------------------ S5
-def save_model(model, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model, path: str, metrics: DataFrame | None = None, importances: DataFrame | None = None) -> None:
+    """The model, with its metrics and importances beside it where given."""
+    model.write().overwrite().save(f"{path}/model")
+    for name, df in (("metrics", metrics), ("importances", importances)):
+        if df is not None:
+            write_table(df, f"{path}/{name}")
 
 
 def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+    return PipelineModel.load(f"{path}/model")
+
+
+def load_model_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """``metrics`` or ``importances`` of a saved model."""
+    return spark.read.parquet(f"{path}/{name}")

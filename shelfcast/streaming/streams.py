@@ -8,13 +8,17 @@ drives a query with ``trigger(availableNow=True)`` (all data present now,
 then the trailing no-data batch that closes watermark-expired state) and
 reads the sink back as a batch DataFrame.
 
-Output mode is ``append`` throughout: a window or session is written once,
-when the watermark passes its end; rows older than the watermark are
-dropped.
+Output mode is ``append``: a window or session is written once, when the
+watermark passes its end; rows older than the watermark are dropped.
+``run_bounded`` is for an input that ends: after the input is read it feeds
+one row of the far future through the same query and checkpoint, which moves
+the watermark past every window still open, so all of them are in the sink.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,16 +28,15 @@ from ..sources import views as V
 from ..sources.tables import Tables
 
 DELAY = "1 hour"
+BATCH_BYTES = 16 << 30
 
 
-def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
-    """A file stream over one driver table (schema from the batch reader)."""
+def stream_table(spark: SparkSession, sf_dir: str, name: str, max_bytes: int = BATCH_BYTES) -> DataFrame:
+    """A file stream over one driver table (schema from the batch reader), in
+    micro-batches of at most ``max_bytes`` of files."""
     root = sf_dir.rstrip("/")
     schema = spark.read.parquet(f"{root}/{name}.parquet").schema
-    r = spark.readStream.schema(schema)
-    if max_files:
-        r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(f"{root}/{name}*.parquet")
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes).parquet(f"{root}/{name}*.parquet")
 
 
 def run(df: DataFrame, name: str, mode: str = "append", path: str | None = None) -> DataFrame:
@@ -48,6 +51,21 @@ def run(df: DataFrame, name: str, mode: str = "append", path: str | None = None)
     return spark.read.parquet(out)
 
 
+def run_bounded(events: DataFrame, build, name: str, path: str | None = None) -> DataFrame:
+    """Run ``build(events)`` over a stream that ends, until every window and
+    session is written. ``path`` names the sink of a run to resume."""
+    spark = events.sparkSession
+    out = path or scratch_path(spark, f"stream-{name}")
+    flush = out + "-flush"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(flush)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+    df = build(events.unionByName(spark.readStream.schema(events.schema).parquet(flush)))
+    run(df, name, path=out)
+    far = {"ts": dt.datetime(9999, 1, 1), "event_type": "flush", "value": 0.0, "user_id": -1, "event_id": -1}
+    spark.createDataFrame([tuple(far.get(c) for c in events.columns)], events.schema).write.mode("append").parquet(flush)
+    return run(df, name, path=out)
+
+
 def _ntz(c):
     return c.cast("timestamp_ntz")
 
@@ -110,8 +128,9 @@ def sensor_sessions(events_stream: DataFrame, gap: str = "30 minutes", delay: st
 
 # ------------------------------------------------------------------ T5
 def dedup_readings(events_stream: DataFrame, delay: str = DELAY) -> DataFrame:
-    """T5: drop duplicate readings (same room and timestamp) within the
-    watermark; state older than the watermark is released."""
-    r = _readings(events_stream)
-    d = r.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["room", "ts"])
-    return d.select("event_id", "room", _ntz(F.col("ts")).alias("ts"), "temp_c")
+    """T5: one reading per room and timestamp, the one with the smallest
+    event_id; written when the watermark passes it, which also releases its
+    state."""
+    g = (_readings(events_stream).withWatermark("ts", delay).groupBy("room", "ts")
+         .agg(F.min("event_id").alias("event_id"), F.min_by("temp_c", "event_id").alias("temp_c")))
+    return g.select("event_id", "room", _ntz(F.col("ts")).alias("ts"), "temp_c")
