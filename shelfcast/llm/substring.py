@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,19 +69,23 @@ def _longs(values: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))
 
 
+def _digest(words: list[bytes]) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(words))
+
+
 def anchors(docs: DataFrame) -> DataFrame:
-    """(doc_id, hash): the distinct anchors of each document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64())])
+    """(doc_id, digest, hashes): digest of the words and the distinct anchors
+    of each document."""
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("hashes", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                got = [np.unique(windows(t)[2]) for t in part.column(1).to_pylist()]
-                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(g) for g in got])
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(got).view(np.int64))], schema=schema)
+                got = [(_digest(x[0]), np.unique(x[2])) for x in map(windows, part.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[0] for g in got], pa.binary()), _longs([g[1] for g in got])], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, hash long")
+    return docs.mapInArrow(run, "doc_id long, digest binary, hashes array<long>")
 
 
 def extended(seeded: DataFrame) -> DataFrame:
@@ -106,18 +111,21 @@ _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans
 
 
 def _cut(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, repeated): words outside every repeated window."""
+    """Rows (doc_id, text, repeated, copied): words outside every repeated
+    window; in a copy of an earlier document every window is one."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()),
                         ("spans", pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))), ("kept_text", pa.string())])
     for b in batches:
         for lo in range(0, b.num_rows, 512):
             part, out = b.slice(lo, 512), {n: [] for n in schema.names}
-            for d, t, r in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
+            for d, t, r, copied in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), part.column(3).to_pylist()):
                 words, w, _ = windows(t)
                 gone, spans, kept = np.zeros(len(words), bool), [], words
                 if len(w):
                     again = repeats_inside(w)
-                    if r.is_valid:
+                    if copied and _digest(words) in copied:
+                        again[:] = True
+                    elif r.is_valid:
                         again |= np.isin(w.view(np.int64), r.values.to_numpy())
                     if again.any():
                         gone = covered(np.flatnonzero(again), len(words))
@@ -138,15 +146,20 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     doc_id is neither earlier nor later than any, so only its own repeats go."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8())
     known = d.where("doc_id is not null")
-    found = stash(anchors(known), "anchors")
+    all_anchors = stash(anchors(known), "anchors")
+    # a copy of an earlier document holds no window that starts there first
+    # and none that the earlier one lacks: only the earliest goes on
+    classes = all_anchors.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    copies = stash(all_anchors.select("digest", "doc_id").join(classes, "digest").where("doc_id > first").select("doc_id", "digest").distinct(), "copies")
+    found = all_anchors.join(copies, ["doc_id", "digest"], "left_anti").select("doc_id", F.explode("hashes").alias("hash"))
     shared = stash(found.groupBy("hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("hash"), "anchors-shared")
-    seeds = found.join(shared, "hash").groupBy("doc_id").agg(F.collect_set("hash").alias("seeds"))
-    # a document's seeds are bounded by its own length; the texts are dealt by
-    # doc_id once, for the extension and for the cut
+    seeds = found.join(shared, "hash").groupBy("doc_id").agg(F.collect_set("hash").alias("seeds"))  # bounded by the document's length
     wide = stash(extended(known.join(seeds, "doc_id").select("doc_id", "text", "seeds")), "windows")
     first = stash(wide.groupBy("w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "windows-first")
     later = wide.join(first, "w").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("w").alias("repeated"))
-    out = d.join(later, "doc_id", "left").select("doc_id", "text", "repeated").mapInArrow(lambda b: _cut(b, with_text), _RESULT)
+    copied = copies.groupBy("doc_id").agg(F.collect_set("digest").alias("copied"))
+    out = (d.join(later, "doc_id", "left").join(copied, "doc_id", "left").select("doc_id", "text", "repeated", "copied")
+           .mapInArrow(lambda b: _cut(b, with_text), _RESULT))
     return out if with_text else out.drop("kept_text")
 
 
