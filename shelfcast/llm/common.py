@@ -3,8 +3,6 @@ mapping and word / shingle hashing."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,42 +15,18 @@ from shelfcast.session import scratch_path
 
 #: ASCII white space that separates words: 0x20 and 0x09-0x0D (``bytes.split()`` uses the same set)
 WORD = r"[^\x20\x09-\x0D]+"
+BLANKS = " \t\n\x0b\x0c\r"
 SPACE = r"[\x20\x09-\x0D]+"
 SHINGLE = 5
 
-_STASHED: list[tuple[SparkSession, str]] = []
-
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and read it
-    back: a lineage cut that survives lost executors. Folders go at exit."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    _STASHED.append((spark, path))
+    back: a lineage cut that survives lost executors. Folders go at exit, or
+    by ``session.release_scratch``."""
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    path = scratch_path(spark, name)
-    _STASHED.append((spark, path))
-    return path
-
-
-def release(spark: SparkSession) -> None:
-    """Delete every folder that ``stash`` made in this session."""
-    jvm = spark._jvm
-    for s, p in [x for x in _STASHED if x[0] is spark]:
-        _STASHED.remove((s, p))
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-@atexit.register
-def _release_all() -> None:
-    for s, _ in list(_STASHED):
-        with contextlib.suppress(Exception):  # the session may be gone
-            release(s)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

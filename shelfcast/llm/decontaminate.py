@@ -14,15 +14,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SHINGLE, SPACE, documents, stash
+from .common import BLANKS, SHINGLE, SPACE, documents, stash
 
 THRESHOLD = 75  # percent of an item's shingles
-_WS = " \\t\\n\\u000b\\f\\r"
 
 
 def _with_words(df: DataFrame) -> DataFrame:
     """``df`` with _words: lower-case words of text (null text: none)."""
-    t = F.expr(f"btrim(lower(coalesce(text, '')), '{_WS}')")
+    t = F.btrim(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(BLANKS))
     return df.withColumn("_words", F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, SPACE)))
 
 

@@ -13,9 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, stash
+from .common import BLANKS, SPACE, documents, stash
 
-_WS = " \\t\\n\\u000b\\f\\r"
 #: smallest half-width of a fence beyond the quartiles, by measure: mean word
 #: length (tenths of a character), symbols per 1000 word characters, repeated
 #: lines and repeated words per 1000
@@ -29,8 +28,8 @@ def measures(docs: DataFrame) -> DataFrame:
     n_repeat_words (long). Null text has none of them. Windows of three words
     are compared by a 64-bit hash within one document."""
     t = F.coalesce(F.col("text"), F.lit(""))
-    trimmed = F.expr(f"btrim(coalesce(text, ''), '{_WS}')")
-    lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
+    trimmed = F.btrim(t, F.lit(BLANKS))
+    lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     d = docs.withColumn("_words", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE)))
     d = d.withColumn("_lines", lines)
     # sequence() may not count down, hence the when

@@ -21,7 +21,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import documents, map_rows, new_folder, stash, utf8
+from shelfcast.session import scratch_path
+
+from .common import documents, map_rows, stash, utf8
 
 CACHE = 500_000
 #: Fixed values of the file format: zstd skippable-frame magic, format tag.
@@ -293,6 +295,6 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: whole ``documents`` written as a token store and read back."""
     import public_tokenizers
 
-    path = new_folder(spark, "tokens")
+    path = scratch_path(spark, "tokens")
     write_tokens(documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return read_tokens(spark, path)

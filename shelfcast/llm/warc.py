@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder
+from shelfcast.session import scratch_path
 
 #: The header fields of each ARC version.
 ARC_FIELDS = {
@@ -271,6 +271,6 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: every page as a WARC record, read back."""
-    path = new_folder(spark, "warc")
+    path = scratch_path(spark, "warc")
     archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     return read_warc(spark, path).drop("target_uri")
