@@ -187,12 +187,13 @@ def test_fifo_violation(spark):
 
 
 def test_dedup_keeps_one_row_per_key(spark):
-    rows = [(1, 1, dt.datetime(2000, 1, 1), 5, 7, 3.0), (1, 1, dt.datetime(2000, 1, 2), 5, 7, 4.0),
-            (2, 1, dt.datetime(2000, 1, 1), 5, 7, 1.0)]
+    rows = [(1, 1, dt.datetime(2000, 1, 1), 5, 7, 3.0), (1, 1, dt.datetime(2000, 1, 1), 5, 7, 4.0),
+            (1, 1, dt.datetime(2000, 1, 2), 5, 7, 2.0), (2, 1, dt.datetime(2000, 1, 1), 5, 7, 1.0)]
     df = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_shipdate timestamp_ntz, l_partkey long, "
                                      "l_suppkey long, l_quantity double")
-    got = {(r["l_orderkey"], r["l_linenumber"]): (r["n_copies"], r["quantity_kg"]) for r in PL.dedup_lines(df).collect()}
-    assert got == {(1, 1): (2, 4.0), (2, 1): (1, 1.0)}
+    got = {(r["l_orderkey"], r["l_linenumber"], r["ship_date"].day): (r["n_copies"], r["quantity_kg"]) for r in PL.dedup_lines(df).collect()}
+    # another day is another lot, not a copy
+    assert got == {(1, 1, 1): (2, 4.0), (1, 1, 2): (1, 2.0), (2, 1, 1): (1, 1.0)}
 
 
 def test_discount_rule_edges(spark):

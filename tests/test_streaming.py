@@ -57,8 +57,9 @@ def test_duplicate_reading_removed(spark):
     t0 = dt.datetime(2024, 1, 1, 10)
     _write(d, "events-1.parquet", [(1, t0, 11, "view", 40.0, "{}"), (2, t0, 21, "view", 40.0, "{}"),
                                    (3, t0 + dt.timedelta(minutes=5), 11, "view", 41.0, "{}")])
-    out = ST.run(ST.dedup_readings(_stream(spark, d)), "dup_test").collect()
-    assert len(out) == 2  # rooms 1 and 1 at the same ts collapse (11 % 10 == 21 % 10)
+    out = ST.run_bounded(_stream(spark, d), ST.dedup_readings, "dup_test").collect()
+    # rooms 1 and 1 at the same ts collapse (11 % 10 == 21 % 10); the smaller event_id stays
+    assert sorted(r["event_id"] for r in out) == [1, 3]
 
 
 def test_sessions_split_on_gap(spark):
@@ -72,3 +73,14 @@ def test_sessions_split_on_gap(spark):
                  key=lambda r: (r["room"], r["session_start"]))
     # room 1: [10:00, 10:50) and [10:51, 11:21); room 2's session is still open
     assert [(r["room"], r["n_readings"]) for r in out] == [(1, 2), (1, 1)]
+    # a bounded input is flushed: nothing stays open
+    out = ST.run_bounded(_stream(spark, d), ST.sensor_sessions, "sess_bounded").collect()
+    assert sorted((r["room"], r["n_readings"]) for r in out) == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_bounded_daily_kpis_count_every_event(spark):
+    d = tempfile.mkdtemp(prefix="shelfcast-stream-")
+    day = dt.datetime(2024, 1, 1, 10)
+    _write(d, "events-1.parquet", [(i, day + dt.timedelta(hours=i), 1, "purchase", 1.0, "{}") for i in range(40)])
+    out = ST.run_bounded(_stream(spark, d), ST.daily_kpis, "bounded_kpi").collect()
+    assert sum(r["n_events"] for r in out) == 40 and len(out) == 3
