@@ -60,7 +60,7 @@ def test_money_text(spark):
 def test_festival_taper_and_window_edge(spark):
     # Holi 2000-03-25, mult 2.0, window 3: delta 3 -> 2.0 * (1 - 3/4 * 0.4) = 1.4; delta 4 -> 1.0
     days = [(dt.date(2000, 3, 25),), (dt.date(2000, 3, 28),), (dt.date(2000, 3, 29),)]
-    df = V.with_festival(spark.createDataFrame(days, "date date"), "date", "m", spark=spark)
+    df = V.with_festival(spark.createDataFrame(days, "date date"), V.festival_dim(spark, (2000,)), "date", "m")
     got = {r["date"]: r["m"] for r in df.collect()}
     assert got[dt.date(2000, 3, 25)] == pytest.approx(2.0)
     assert got[dt.date(2000, 3, 28)] == pytest.approx(1.4)
@@ -71,7 +71,7 @@ def test_overlapping_festivals_max_wins(spark):
     # Eid ul-Fitr 04-10 (2.2, w4) and Ram Navami 04-17 (1.4, w2) do not overlap;
     # 04-13: Eid delta 3 -> 2.2*(1-3/5*0.4)=1.672 ; Christmas/New Year Eve overlap on 12-29..12-31.
     days = [(dt.date(2000, 12, 29),), (dt.date(2000, 4, 13),)]
-    df = V.with_festival(spark.createDataFrame(days, "date date"), "date", "m", spark=spark)
+    df = V.with_festival(spark.createDataFrame(days, "date date"), V.festival_dim(spark, (2000,)), "date", "m")
     got = {r["date"]: r["m"] for r in df.collect()}
     christmas = 1.8 * (1 - 4 / 5 * 0.4)
     new_year = 2.0 * (1 - 2 / 3 * 0.4)

@@ -229,7 +229,7 @@ def test_workspace_matches_catalog(spark):
             b = sorted(map(tuple, E.queries()[k](spark, SF001).collect()))
             assert a == b, k
         one = ws.series("Brand#1", "ASIA")
-        assert one.count() == 366 and not ws.is_empty(one)
+        assert one.count() == 2499 and not ws.is_empty(one)
         assert ws.filtered(ws.lots, "ASIA HUB", []).select("warehouse_name").distinct().count() == 1
     finally:
         ws.close()

@@ -93,10 +93,11 @@ def test_session_without_checkpoint_dir(spark):
     import subprocess
     import sys
     code = ("from pyspark.sql import SparkSession; s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false')"
-            ".config('spark.checkpoint.dir', '').getOrCreate(); import __spark_entry__ as E; q = E.queries();"
+            ".getOrCreate(); import __spark_entry__ as E; q = E.queries();"
             f"print('ROWS', q['d_supplier_degradation'](s, '{SF001}').count(), q['expected_demand'](s, '{SF001}').count() > 0); s.stop()")
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    out = subprocess.run([sys.executable, "-c", code], cwd=scratch_dir(), env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=300)
+    away = scratch_dir()  # also holds no Spark configuration
+    out = subprocess.run([sys.executable, "-c", code], cwd=away, env=os.environ | {"PYTHONPATH": root, "SPARK_CONF_DIR": away}, capture_output=True, text=True, timeout=300)
     assert "ROWS 10 True" in out.stdout, out.stderr[-2000:]
 
 
