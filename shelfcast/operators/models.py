@@ -33,6 +33,12 @@ from .forecast import _ape, forecast_band, heuristic_forecast, series_state
 _CACHE: dict = {}
 
 
+def clear_models(stopped_only: bool = False) -> None:
+    """Forget fitted models (all, or only those whose session has stopped)."""
+    for k in [k for k, (_, test) in _CACHE.items() if not stopped_only or test.sparkSession.sparkContext._jsc is None]:
+        del _CACHE[k]
+
+
 def _key(df: DataFrame, kind: str, cache_key):
     """Cache key bound to the Spark application (frames die with it)."""
     return None if cache_key is None else (kind, df.sparkSession.sparkContext.applicationId, cache_key)

@@ -530,7 +530,7 @@ def q_actual_vs_predicted(spark, d):
 
 @query("recursive_forecast")
 def q_recursive_forecast(spark, d):
-    return M.generate_forecast(_demand_model(spark, d)[0], V.demand(_t(spark, d), P), P)
+    return M.generate_forecast(_demand_model(spark, d)[0], _grid(_t(spark, d)), P)
 
 
 @query("score_active_lots")

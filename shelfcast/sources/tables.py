@@ -32,7 +32,10 @@ _VIEWS: dict[tuple, tuple] = {}
 
 
 def clear_views(stopped_only: bool = False) -> None:
-    """Forget defined views (all, or only those of stopped sessions)."""
+    """Forget defined views and fitted models (all, or only those of stopped
+    sessions): needed after tables changed on disk."""
+    from ..operators import models
+    models.clear_models(stopped_only)
     for k in [k for k, (s, _) in _VIEWS.items() if not stopped_only or s.sparkContext._jsc is None]:
         del _VIEWS[k]
 
