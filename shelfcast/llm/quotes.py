@@ -95,7 +95,7 @@ def link_quotes(p: DataFrame) -> DataFrame:
     passage; of several the one with most matched words, then the latest."""
     p = p.where("conv_id is not null and turn is not null")
     quoted = p.where("n_passages > 0").select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", "q.*")
-    own = p.select("conv_id", "turn", F.explode("own").alias("hash")).groupBy("conv_id", "hash").agg(F.min("turn").alias("source"))
+    own = stash(p.select("conv_id", "turn", F.explode("own").alias("hash")).groupBy("conv_id", "hash").agg(F.min("turn").alias("source")), "passages")
     hits = quoted.join(own, ["conv_id", "hash"]).where("source < turn")
     return (hits.groupBy("conv_id", "turn", "passage", "level", "source").agg(F.sum("words").alias("words"))
             .groupBy("conv_id", "turn", "passage", "level").agg(F.max(F.struct("words", "source")).alias("m"))
@@ -104,14 +104,14 @@ def link_quotes(p: DataFrame) -> DataFrame:
 
 def threads(up: DataFrame) -> DataFrame:
     """(conv_id, turn, up) with up <= turn -> (conv_id, turn, thread): the first
-    message of its reply tree, by pointer jumping (rounds: log of the depth)."""
-    now = stash(up, "threads")
-    while True:
-        nxt = stash(now.alias("a").join(now.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("far")).alias("b"), ["conv_id", "up"])
-                    .select("conv_id", "turn", F.col("far").alias("up"), (F.col("far") < F.col("up")).alias("moved")), "threads")
-        if not nxt.where("moved").take(1):
-            return nxt.select("conv_id", "turn", F.col("up").alias("thread"))
-        now = nxt.drop("moved")
+    message of its reply tree, by pointer jumping (rounds: log of the depth).
+    Messages that have found theirs are only looked up, not joined again."""
+    now = stash(up.withColumn("done", F.col("up") == F.col("turn")), "threads")
+    while now.where("not done").take(1):
+        there = now.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("far"), F.col("done").alias("found"))
+        moved = now.where("not done").drop("done").join(there, ["conv_id", "up"]).select("conv_id", "turn", F.col("far").alias("up"), F.col("found").alias("done"))
+        now = stash(now.where("done").unionByName(moved), "threads")
+    return now.select("conv_id", "turn", F.col("up").alias("thread"))
 
 
 def conversations(messages: DataFrame) -> DataFrame:
