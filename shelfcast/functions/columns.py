@@ -7,7 +7,6 @@ it stays inside whole-stage codegen; nothing runs in Python per row.
 from __future__ import annotations
 
 import statistics
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -170,7 +169,3 @@ def newsvendor_qty(mu, sigma, z=None, sigma_floor: float = 0.01) -> Column:
     zc = F.lit(z_value() if z is None else z) if not isinstance(z, Column) else z
     q = col(mu) + zc * F.greatest(col(sigma), F.lit(sigma_floor))
     return clamp0(rnd(q, 1))
-
-
-def conj(*conds: Column) -> Column:
-    return reduce(lambda a, b: a & b, conds)

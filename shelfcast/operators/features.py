@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.columns import day_name, dow_multiplier, is_weekend, r4, weekday
+from ..functions.columns import day_name, dow_multiplier, is_weekend, r4, rnd, weekday
 
 SERIES = ["sku_id", "warehouse_id"]
 
@@ -84,11 +84,11 @@ def rolling_features(df: DataFrame, y: str = "actual_demand_kg", keys=SERIES) ->
 
 
 def build_lag_features(df: DataFrame, y: str = "actual_demand_kg", keys=SERIES) -> DataFrame:
-    """Lags + rolling + calendar, then drop rows with any null feature
-    (the first 14 rows of each series). Partitioned by (sku, warehouse), Q1."""
+    """Lags + rolling + calendar, then drop rows with a null in any column
+    (P7), but for ``sold_kg``, which this library adds and which is null on
+    days without a sale. Partitioned by (sku, warehouse), Q1."""
     f = rolling_features(lag_features(df, y, keys=keys), y, keys)
-    need = [f"lag_{n}" for n in C.DEMAND_LAGS] + ["rolling_7_mean", "rolling_7_std", "rolling_14_mean"]
-    return f.na.drop("any", subset=need)
+    return f.na.drop("any", subset=[c for c in f.columns if c != "sold_kg"])
 
 
 def train_test_split(features: DataFrame, p: C.Params = C.DEFAULT, keys=SERIES) -> DataFrame:
@@ -133,3 +133,14 @@ def season_features(demand: DataFrame) -> DataFrame:
                          F.weekofyear("date").alias("week_of_year"),
                          (F.col("festival_multiplier") > 1.0).cast("int").alias("is_festival"))
 
+
+
+def series_lists(rows: DataFrame, y: str = "actual_demand_kg", keys=SERIES) -> DataFrame:
+    """per series, its rows as a date-ordered list: length, first,
+    last, sum of the last seven and the rounded values as JSON text. ``rows``
+    is a bounded tail of each series."""
+    g = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("date", F.col(y).alias("y")))).alias("_r"))
+    v = F.col("_r.y")
+    return g.select(*keys, F.size(v).alias("n"), F.element_at(v, 1).alias("first_y"), F.element_at(v, -1).alias("last_y"),
+                    r4(F.aggregate(F.slice(v, -7, 7), F.lit(0.0), lambda a, x: a + x)).alias("last_7_sum"),
+                    F.to_json(F.transform(v, lambda x: rnd(x, 0).cast("bigint"))).alias("values_json"))

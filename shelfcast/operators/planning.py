@@ -163,13 +163,13 @@ def target_encoding(lots_split: DataFrame, label: str = "did_spoil") -> DataFram
 
 def apply_target_encoding(df: DataFrame, encoding: DataFrame, default: float | None = None) -> DataFrame:
     """D10 applied: ``category_te`` / ``warehouse_te`` columns from the
-    encoding table (one row per category or warehouse: broadcast); unseen
+    encoding table (one row per category or warehouse); unseen
     levels take ``default`` (e.g. the training base rate)."""
     out = df
     for feat, col in [("category", "category_te"), ("warehouse_id", "warehouse_te")]:
         e = (encoding.filter(F.col("feature") == feat)
              .select(F.col("level").alias(f"_{col}_lvl"), F.col("encoding").alias(col)))
-        out = out.join(F.broadcast(e), F.col(feat) == F.col(f"_{col}_lvl"), "left").drop(f"_{col}_lvl")
+        out = out.join(e, F.col(feat) == F.col(f"_{col}_lvl"), "left").drop(f"_{col}_lvl")
         if default is not None:
             out = out.withColumn(col, F.coalesce(col, F.lit(default)))
     return out
@@ -314,7 +314,7 @@ def demand_growth(demand: DataFrame, p: C.Params = C.DEFAULT) -> DataFrame:
 def category_newsvendor(demand: DataFrame, p: C.Params = C.DEFAULT, costs=None,
                         margin: float = ORDER_MARGIN, per_row_z: bool = False) -> DataFrame:
     """Per-category cost ratios; z is folded on the driver per category
-    (a constant table with one row per category, broadcast) and the order
+    (a constant table with one row per category) and the order
     gets a safety margin. ``per_row_z`` computes z from the ratio column with
     the vectorised UDF instead (for cost tables too large to fold)."""
     costs = costs or CATEGORY_COSTS
@@ -325,7 +325,7 @@ def category_newsvendor(demand: DataFrame, p: C.Params = C.DEFAULT, costs=None,
         from ..functions.udfs import norm_ppf
         tbl = tbl.withColumn("z", norm_ppf(F.col("cu") / (F.col("cu") + F.col("co"))))
     st = series_state(demand, p, carry=("category",))
-    j = st.join(F.broadcast(tbl), "category")
+    j = st.join(tbl, "category")
     q = newsvendor_qty("mu", "sigma", F.col("z"), p.sigma_floor)
     return j.select(*SERIES, "category", r4("critical_ratio").alias("critical_ratio"),
                     q.alias("optimal_order"), rnd(q * (1 + margin), 1).alias("order_with_margin"))

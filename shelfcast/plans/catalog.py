@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.columns import r4, rnd
+from ..functions.columns import lakhs_text, lot_code, money_text, pct_text, r4, rnd, thousands_text
 from ..operators import alerts as AL
 from ..operators import features as FE
 from ..operators import forecast as FC
@@ -261,6 +261,24 @@ def q_heuristic_forecast(spark, d):
     return FC.heuristic_forecast(V.demand(_t(spark, d), P), P)
 
 
+@query("forecast_30_days")
+def q_forecast_30_days(spark, d):
+    return FC.heuristic_forecast(V.demand(_t(spark, d), P), P, horizon=30)
+
+
+@query("lot_texts")
+def q_lot_texts(spark, d):
+    a = V.active_lots(_t(spark, d), P.as_of)
+    return a.select("lot_id", lot_code("days_remaining").alias("code"), money_text("lot_value_inr").alias("money"),
+                    lakhs_text("lot_value_inr").alias("lakhs"), thousands_text("lot_value_inr").alias("thousands"),
+                    pct_text("pct_shelf_remaining").alias("pct"))
+
+
+@query("series_lists")
+def q_series_lists(spark, d):
+    return FE.series_lists(FE.tail_rows(V.demand(_t(spark, d), P).select("sku_id", "warehouse_id", "date", "actual_demand_kg"), 14))
+
+
 @query("inventory_recommendations")
 def q_inventory_recommendations(spark, d):
     t = _t(spark, d)

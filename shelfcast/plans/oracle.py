@@ -814,5 +814,24 @@ SELECT event_id, room, ts, temp_c FROM (
   FROM events) x WHERE rn = 1""")
 
 
+# the same forecast with 30 steps
+ORACLE["forecast_30_days"] = ORACLE["heuristic_forecast"].replace("range(1, 15) r(step)", "range(1, 31) r(step)")
+
+sql("lot_texts", """
+SELECT lot_id, 'LOT' || lpad(CAST(days_remaining AS VARCHAR), 4, '0') AS code,
+       '₹' || format('{:,}', CAST(round(lot_value_inr + 1e-9, 0) AS BIGINT)) AS money,
+       '₹' || printf('%.1f', round(lot_value_inr / 1e5 + 1e-9, 1)) || 'L' AS lakhs,
+       '₹' || printf('%.0f', round(lot_value_inr / 1e3 + 1e-9, 0)) || 'K' AS thousands,
+       printf('%.1f', round(pct_shelf_remaining + 1e-9, 1)) || '%' AS pct
+FROM active""")
+
+sql("series_lists", f"""
+, tl AS (SELECT * FROM ranked WHERE rk <= 14)
+SELECT sku_id, warehouse_id, CAST(count(*) AS INTEGER) AS n, max(actual_demand_kg) FILTER (WHERE rk = 14) AS first_y,
+       max(actual_demand_kg) FILTER (WHERE rk = 1) AS last_y, {r4('sum(actual_demand_kg) FILTER (WHERE rk <= 7)')} AS last_7_sum,
+       '[' || string_agg(CAST(CAST(round(actual_demand_kg + 1e-9, 0) AS BIGINT) AS VARCHAR), ',' ORDER BY date) || ']' AS values_json
+FROM tl GROUP BY 1, 2""")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
