@@ -253,10 +253,10 @@ def series(df: DataFrame) -> DataFrame:
 def demand(t: Tables, p: C.Params = C.DEFAULT) -> DataFrame:
     """The demand fact table (FIXTURES 2: demand): every series seen in the
     period (by default the data's own date range), densified over all its
-    days (J8): the days of each series, exploded from one sequence, left
-    joined to the daily facts. Both sides come from one aggregate of the
-    lines, whose exchange Spark reuses. Each series has exactly one row per
-    day, so per-series windows downstream are bounded by the calendar.
+    days (J8). The daily facts of a series are gathered (one entry a day at
+    most, so bounded by the calendar), the days it lacks are added and the
+    list is exploded: no self-join, and the lines are scanned once. Each series
+    has exactly one row per day, so per-series windows downstream are bounded.
     Defined once per session."""
     return t.view("demand", (p, t.broadcast_cap(), t.spark.conf.get("shelfcast.scan.partitions", None)), lambda: _demand(t, p))
 
@@ -266,8 +266,12 @@ def _demand(t: Tables, p: C.Params) -> DataFrame:
     ln = lines(t, *(() if p.fiscal_year is None else (start, end + dt.timedelta(days=1))))
     facts = (ln.groupBy(F.col("l_shipdate").cast("date").alias("date"), "sku_id", "warehouse_id")
              .agg(F.sum("l_quantity").alias("sold_kg")))
-    days = series(facts).select("sku_id", "warehouse_id", F.explode(F.sequence(F.lit(start), F.lit(end))).alias("date"))
-    g = days.join(facts, ["date", "sku_id", "warehouse_id"], "left")
+    # a series' own days and those it lacks (linear: array_except hashes); the
+    # outer explode keeps Catalyst from making the array twice for a filter
+    own = facts.groupBy("sku_id", "warehouse_id").agg(F.collect_list(F.struct("date", "sold_kg")).alias("own"))
+    gaps = F.transform(F.array_except(F.sequence(F.lit(start), F.lit(end)), F.col("own.date")),
+                       lambda d: F.struct(d.alias("date"), F.lit(None).cast("double").alias("sold_kg")))
+    g = own.select("sku_id", "warehouse_id", F.explode_outer(F.concat("own", gaps)).alias("r")).select("sku_id", "warehouse_id", "r.*")
     g = g.select("date", "sku_id", "warehouse_id", "sold_kg", *_series_attributes())
     kg = F.col("base_demand") + F.coalesce(F.col("sold_kg"), F.lit(0.0))
     doy = F.dayofyear("date")
