@@ -214,8 +214,10 @@ def components(edges: DataFrame, limit: int = 100) -> DataFrame:
         if not before[0]:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = tidy(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        # written, so that both sides of the join are exchanged and Spark can
+        # split the neighbours of a node that very many others link to
+        least = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "components-least")
+        large = stash(tidy(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))), "components-large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         e = stash(tidy(large.join(low, "u").select("v", "m").toDF("u", "v").unionByName(low.toDF("u", "v"))), "components")
         now = state(e)
@@ -235,21 +237,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8())
     sig = stash(signatures(docs), "minhash-signatures")
     known = sig.where("n_shingles > 0 and doc_id is not null")
-    classes = stash(known.groupBy("f0", "f1").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("last")).where("u < last").drop("last"), "minhash-classes")
-    copies = known.join(classes, ["f0", "f1"]).where("doc_id <> u").select("u", F.col("doc_id").alias("v"))
-    found = components(candidate_links(docs, sig).unionByName(copies))
-    return (sig.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-            .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    classes = stash(known.groupBy("f0", "f1").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "minhash-classes")
+    # copies stand for their class and are no edges, but for doc_ids that have
+    # rows in several classes and so tie these together
+    tied = known.groupBy("doc_id").agg(F.min(F.struct("f0", "f1")).alias("a"), F.max(F.struct("f0", "f1")).alias("z")).where("a <> z").select("doc_id")
+    ties = known.join(stash(tied, "minhash-tied"), "doc_id").join(classes, ["f0", "f1"]).where("doc_id <> first").select(F.col("first").alias("u"), F.col("doc_id").alias("v"))
+    found = components(candidate_links(docs, sig).unionByName(ties))
+    rep = (sig.join(classes, ["f0", "f1"], "left")
+           .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id"))).otherwise(F.col("doc_id")).alias("rep")))
+    own = found.select(F.col("node").alias("rep"), "component")
+    # a tied doc_id has the component of any of its classes
+    by_id = rep.join(own, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    return (by_id
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: the one
-    with the smallest doc_id (of rows that share it, one). All columns stay."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = stash(gone, "minhash-gone")
-    known = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id is null"))
+    with the smallest doc_id (of rows that share it, the one with the smallest
+    hash). All columns stay. Texts are shuffled only where the lists of ids to
+    drop are too large for Spark to broadcast."""
+    found = stash(near_duplicates(docs), "minhash-found")
+    gone = stash(found.where("not kept").select(F.col("doc_id").alias("_id")).distinct(), "minhash-gone")
+    twice = stash(found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"), "minhash-twice")
+    same = F.col("doc_id") == F.col("_id")
+    left = docs.join(gone, same, "left_anti")
+    cols = [F.col(c) for c in docs.columns]
+    one = F.min_by(F.struct(*cols), F.xxhash64(*cols))
+    return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").groupBy("doc_id").agg(one.alias("_r")).select("_r.*"))
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
