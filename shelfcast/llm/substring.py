@@ -149,7 +149,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     all_anchors = stash(anchors(known), "anchors")
     # a copy of an earlier document holds no window that starts there first
     # and none that the earlier one lacks: only the earliest goes on
-    classes = all_anchors.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    classes = stash(all_anchors.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "copy-classes")
     copies = stash(all_anchors.select("digest", "doc_id").join(classes, "digest").where("doc_id > first").select("doc_id", "digest").distinct(), "copies")
     found = all_anchors.join(copies, ["doc_id", "digest"], "left_anti").select("doc_id", F.explode("hashes").alias("hash"))
     shared = stash(found.groupBy("hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("hash"), "anchors-shared")
