@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from shelfcast.session import scratch_path
 
+from .common import stash
+
 #: The header fields of each ARC version.
 ARC_FIELDS = {
     1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"),
@@ -209,8 +211,8 @@ def archive_pages(pages: DataFrame, path: str, min_bytes: int = 0, arc_version:
     html = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html")).withColumn("sha", F.unhex(F.sha1("html")))
     # page_id and digest only: no payload is shuffled to find equal ones
-    first = (p.where(F.length("html") >= min_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-             .where("n > 1 and first is not null").drop("n"))
+    first = stash(p.where(F.length("html") >= min_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+                  .where("n > 1 and first is not null").drop("n"), "payloads")
     again = (p.select("sha", "page_id").join(first, "sha").where("page_id is null or page_id <> first")
              .groupBy("sha", "page_id").agg(F.max("first").alias("refers_to")))
     key = F.coalesce(F.col("page_id"), F.lit(-(1 << 63) + 1))
