@@ -37,7 +37,7 @@ def main(argv):
     print("| key | " + " | ".join(cols) + " |")
     print("| --- |" + " --- |" * len(cols))
     for k, fn in sorted(E.queries().items()):
-        if k in skip or k.startswith("stream_"):
+        if k in skip or k.startswith(("stream_", "op")) or k == "pipeline":
             continue
         df = fn(spark, sf_dir)
         df.write.format("noop").mode("overwrite").save()
