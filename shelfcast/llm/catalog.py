@@ -2,31 +2,35 @@
 
 from __future__ import annotations
 
-from .tokens import op2_token_store
-from .packing import op5_best_fit_packing
-from .langid import op7_language_id
-from .warc import op9_arc_to_warc
 from .decontaminate import OP6_SQL, op6_decontamination
+from .langid import op7_language_id
+from .minhash import OP1_SQL, op1_minhash_near_dedup
+from .packing import op5_best_fit_packing
 from .pii import op10_pii
 from .quality import OP4_SQL, op4_adaptive_quality
-from .minhash import op1_minhash_near_dedup
-from .substring import op8_substring_dedup
 from .quotes import op3_quotation_linking
+from .substring import OP8_SQL, op8_substring_dedup
+from .tokens import op2_token_store
+from .warc import OP9_SQL, op9_arc_to_warc
 
 QUERIES = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_token_store": op2_token_store,
+    "op3_quotation_linking": op3_quotation_linking,
     "op4_adaptive_quality": op4_adaptive_quality,
-    "op6_decontamination": op6_decontamination,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_decontamination": op6_decontamination,
     "op7_language_id": op7_language_id,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_arc_to_warc": op9_arc_to_warc,
     "op10_pii": op10_pii,
-    "op1_minhash_near_dedup": op1_minhash_near_dedup,
-    "op8_substring_dedup": op8_substring_dedup,
-    "op3_quotation_linking": op3_quotation_linking,
 }
 
-ORACLES: dict[str, str] = {
+#: The others are tested against brute force, round trips or held-out accuracy.
+ORACLES = {
+    "op1_minhash_near_dedup": OP1_SQL,
     "op4_adaptive_quality": OP4_SQL,
     "op6_decontamination": OP6_SQL,
+    "op8_substring_dedup": OP8_SQL,
+    "op9_arc_to_warc": OP9_SQL,
 }

@@ -276,3 +276,16 @@ def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     return read_warc(spark, path).drop("target_uri")
+
+
+OP9_SQL = """
+WITH h AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY x) AS first FROM h),
+b AS (SELECT *, list_transform(range(0, 8), lambda g: CAST('0x' || substr(x, CAST(5 * g + 1 AS INTEGER), 5) AS INTEGER)) AS twenty FROM f)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST(((twenty[CAST(k // 4 AS INTEGER) + 1] >> CAST(15 - 5 * (k % 4) AS INTEGER)) & 31) + 1 AS INTEGER), 1)), '') AS payload_digest,
+       CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM b
+"""
