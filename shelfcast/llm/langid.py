@@ -29,19 +29,24 @@ def letters(t: str) -> bytes:
 
 
 def train(df: DataFrame) -> dict[str, bytes]:
-    """Dictionary content (lower case) per language, frequent languages first, from ``df(doc_id, text, lang)``: the
-    DOCS_PER_LANG rows with the smallest hash of doc_id, SNIPPET characters
-    of each, at most DICT_BYTES. A bounded sample (the row-number limit is
-    applied before the shuffle); more rows do not make the model larger."""
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "s")
+    """Dictionary content (lower case) per language, frequent languages first, from
+    ``df(doc_id, text, lang)``: the DOCS_PER_LANG rows with the smallest hash of doc_id,
+    SNIPPET characters of each, at most DICT_BYTES. A bounded sample: rows above a hash
+    limit that lets about four times as many through never leave their task."""
     df = df.where("lang is not null and doc_id is not null and length(text) > 0")
     often = df.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # a row per language
-    rows = (df.select("lang", "doc_id", F.substring("text", 1, SNIPPET).alias("s"))
+    if not often:
+        return {}
+    top = 1 << 31
+    limit = F.create_map(*[x for r in often for x in (F.lit(r.lang), F.lit(min(top, 4 * DOCS_PER_LANG * top // r["count"] + 1)).cast("long"))])
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(top))
+    w = Window.partitionBy("lang").orderBy("h", "doc_id", "s")
+    rows = (df.where(h < limit[F.col("lang")]).select("lang", "doc_id", h.alias("h"), F.substring("text", 1, SNIPPET).alias("s"))
             .withColumn("r", F.row_number().over(w)).where(F.col("r") <= DOCS_PER_LANG).orderBy("lang", "r").collect())
     out: dict[str, list[bytes]] = {}
     for r in rows:
         out.setdefault(r.lang, []).append(letters(r.s))
-    return {r.lang: b"\n".join(out[r.lang])[:DICT_BYTES] for r in often}
+    return {r.lang: b"\n".join(out[r.lang])[:DICT_BYTES] for r in often if r.lang in out}
 
 
 class Classifier:
