@@ -29,6 +29,14 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 4 MB, where the session has the default of 64 MB: JVM
+    and Python hold several each, and texts gain nothing from larger ones."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("bB") == str(64 << 20):
+        spark.conf.set(key, str(4 << 20))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -40,6 +48,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str, rows: int
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = to_arrow_schema(_parse_datatype_string(schema))
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()

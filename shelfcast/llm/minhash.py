@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, mix, shingle_set, stash, utf8
+from .common import documents, mix, shingle_set, small_batches, stash, utf8
 
 BANDS, ROWS = 32, 4          # a pair at 0.75 shares no key with chance 5e-6
 PERCENT = 75
@@ -234,6 +234,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     text)``. Empty sets (null or blank text) link with nothing. Rows that
     share a doc_id are one node. A null doc_id links with nothing: its
     component is null and it is kept."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8())
     sig = stash(signatures(docs), "minhash-signatures")
     known = sig.where("n_shingles > 0 and doc_id is not null")

@@ -15,7 +15,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_rows
+from .common import documents, map_rows, small_batches
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "card_in_run", "secret")
@@ -167,6 +167,7 @@ def mask_pii(docs: DataFrame) -> DataFrame:
     def masked(s):
         return s.map(mask, na_action="ignore")
 
+    small_batches(docs.sparkSession)
     out = docs.withColumn("text", masked("text"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, grams, mix, stash, utf8, word_hashes
+from .common import documents, grams, mix, small_batches, stash, utf8, word_hashes
 
 SPAN, SEED = 20, 6
 
@@ -144,6 +144,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     the kept text. Null text has no words; texts under SPAN words lose none.
     Rows that share a doc_id do not count as earlier than one another; a null
     doc_id is neither earlier nor later than any, so only its own repeats go."""
+    small_batches(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8())
     known = d.where("doc_id is not null")
     all_anchors = stash(anchors(known), "anchors")

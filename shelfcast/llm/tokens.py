@@ -25,7 +25,7 @@ from shelfcast.session import scratch_path
 
 from .common import documents, map_rows, stash, utf8
 
-CACHE = 500_000
+CACHE = 300_000
 #: Fixed values of the file format: zstd skippable-frame magic, format tag.
 SKIP, TAG = 0x184D2A50, b"SCT2"
 

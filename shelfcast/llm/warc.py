@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.session import scratch_path
 
-from .common import stash
+from .common import small_batches, stash
 
 #: The header fields of each ARC version.
 ARC_FIELDS = {
@@ -194,6 +194,8 @@ def _shards(records: Iterator[bytes], name: str) -> Iterator[pa.RecordBatch]:
 
 def convert_archives(spark: SparkSession, arc_path: str, warc_path: str) -> None:
     """Convert ARC files (plain or gzip) under ``arc_path`` to WARC shards."""
+    small_batches(spark)
+
     def run(batches):
         from pyspark import TaskContext
         rows = (d for b in batches for d in b.column(0).to_pylist())
@@ -208,6 +210,7 @@ def archive_pages(pages: DataFrame, path: str, min_bytes: int = 0, arc_version:
     whole, the others as revisits. Null html is an empty payload; a null
     page_id never is the smallest while others exist; rows that share page_id
     and payload are all written whole."""
+    small_batches(pages.sparkSession)
     html = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html")).withColumn("sha", F.unhex(F.sha1("html")))
     # page_id and digest only: no payload is shuffled to find equal ones
