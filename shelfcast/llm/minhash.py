@@ -6,7 +6,10 @@ All documents that meet at a centre are compared there on full sets: first with
 the centre, then those that it did not take with every other (signatures
 first, sets to confirm). So every pair that shares a band key is examined, and
 no pair is ever emitted but the links of a spanning forest. Centres with many
-members are split into blocks. Components: alternating large-star, small-star.
+members are split into blocks; what such a centre did not take is dealt into
+parts, and each part meets each block in a group of its own: on wide signatures
+first, then, where these leave a chance, on full sets. Components: alternating
+large-star, small-star.
 """
 
 from __future__ import annotations
@@ -32,15 +35,19 @@ _B = _RNG.integers(0, 2**64, _K, dtype=np.uint64, endpoint=False)
 _C = _RNG.integers(0, 2**64, (BANDS, ROWS), dtype=np.uint64, endpoint=False) | np.uint64(1)
 #: equal minima (of 128) from which sets are compared: 4 deviations below 0.75
 _LEAST = int(_K * 0.75 - 4 * (_K * 0.75 * 0.25) ** 0.5)
+#: minima of a wide signature, one byte each, and equal ones from which sets are compared: 6 deviations below 0.75
+WIDE = 512
+_WIDE = (_RNG.integers(0, 2**64, WIDE, dtype=np.uint64, endpoint=False) | np.uint64(1), _RNG.integers(0, 2**64, WIDE, dtype=np.uint64, endpoint=False))
+_WIDE_LEAST = int(WIDE * 0.75 - 6 * (WIDE * 0.75 * 0.25) ** 0.5)
 
 
-def minima(s: np.ndarray) -> np.ndarray:
+def minima(s: np.ndarray, by: tuple[np.ndarray, np.ndarray] = (_A, _B)) -> np.ndarray:
     """Minimum over the set of each of the multiply-add-shift hashes."""
     x = s >> np.uint64(32)
-    out = np.full(_K, 2**32, np.uint64)
+    out = np.full(len(by[0]), 2**32, np.uint64)
     for lo in range(0, len(x), 1024):
-        h = _A[:, None] * x[None, lo:lo + 1024]
-        h += _B[:, None]
+        h = by[0][:, None] * x[None, lo:lo + 1024]
+        h += by[1][:, None]
         h >>= np.uint64(32)
         np.minimum(out, h.min(1), out=out)
     return out
@@ -92,20 +99,16 @@ class Forest:
         self.up[self.find(b)] = self.find(a)
 
 
-def link_group(sets: list[np.ndarray], probes: list[int] | None = None, linked: list[int] | None = None) -> tuple[list[tuple[int, int]], list[int]]:
+def link_group(sets: list[np.ndarray]) -> tuple[list[tuple[int, int]], list[int]]:
     """Links that join every two similar sets of a group, directly or through
-    others, and the members without a way to the first one. With ``probes``
-    only those are compared with the rest; ``linked`` ones are joined already."""
+    others, and the members without a way to the first one."""
     f, links = Forest(len(sets)), []
-    if probes is None:
-        for i in range(1, len(sets)):
-            if similar(sets[0], sets[i]):
-                f.join(0, i)
-                links.append((0, i))
-        probes = [i for i in range(1, len(sets)) if f.find(i) != f.find(0)]
-    for i in linked or ():
-        f.join(linked[0], i)
-    if len(sets) > 2 and probes or linked is not None:
+    for i in range(1, len(sets)):
+        if similar(sets[0], sets[i]):
+            f.join(0, i)
+            links.append((0, i))
+    probes = [i for i in range(1, len(sets)) if f.find(i) != f.find(0)]
+    if len(sets) > 2 and probes:
         sig = np.array([minima(s) for s in sets]).astype(np.uint32)
         for i in probes:
             equal = (sig == sig[i]).sum(1)
@@ -116,7 +119,37 @@ def link_group(sets: list[np.ndarray], probes: list[int] | None = None, linked:
     return links, [i for i in range(len(sets)) if f.find(i) != f.find(0)]
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+def meets(role: np.ndarray, ids: np.ndarray, i: int) -> np.ndarray:
+    """Members that the probe i is compared with: those that the centre has
+    (role 0), and of those it has not (1) the ones with a smaller doc_id, as
+    the larger of two is the probe (2)."""
+    return (role == 0) | (role == 1) & (ids < ids[i])
+
+
+def link_probes(sets: list[np.ndarray], role: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
+    """Links of the probes with the members they meet. Each probe is counted
+    against all sets at once."""
+    n = np.array([len(s) for s in sets])
+    ends = np.cumsum(n)
+    grams, at = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, at = np.zeros(len(grams), np.uint8), at.astype(np.int32)
+    f, links = Forest(len(sets)), []
+    linked = np.flatnonzero(role == 0).tolist()
+    for i in linked:
+        f.join(linked[0], i)
+    for i in np.flatnonzero(role == 2).tolist():
+        own = at[ends[i] - n[i]:ends[i]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[at], ends - n, dtype=np.int64)
+        mark[own] = 0
+        for j in np.flatnonzero((100 * both >= PERCENT * (n + n[i] - both)) & meets(role, ids, i)).tolist():
+            if f.find(i) != f.find(j):
+                f.join(i, j)
+                links.append((i, j))
+    return links
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int, made=shingle_set) -> Iterator[list[tuple]]:
     """Runs of rows with equal first ``keys`` columns, from sorted batches."""
     held: list[tuple] = []
     for b in batches:
@@ -125,7 +158,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple
                 yield held
                 held = []
             # the text becomes its set at once: eight bytes a shingle
-            held.append((*row[:-1], shingle_set(row[-1].as_py())))
+            held.append((*row[:-1], made(row[-1].as_py())))
     if held:
         yield held
 
@@ -155,12 +188,37 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _emit(out)
 
 
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text) -> (doc_id, wide signature), none for an empty set."""
+    for b in batches:
+        sets = [(d, s) for d, t in zip(b.column(0).to_pylist(), b.column(1)) if len(s := shingle_set(t.as_py()))]
+        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in sets], pa.int64()), pa.array([minima(s, _WIDE).astype(np.uint8).tobytes() for _, s in sets], pa.binary())], ["doc_id", "sig"])
+
+
+_DEALT = "centre long, block int, part int, role int, doc_id long"
+
+
+def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (centre, block, part, role, doc_id, wide signature): those without
+    the signature that have any chance of a link in their group."""
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+    for g in _groups(batches, 3, lambda x: np.frombuffer(x, np.uint8)):
+        role, ids, sig = np.array([r[3] for r in g]), np.array([r[4] for r in g]), np.array([r[-1] for r in g])
+        some = np.zeros(len(g), bool)
+        for i in np.flatnonzero(role == 2).tolist():
+            near = ((sig == sig[i]).sum(1) >= _WIDE_LEAST) & meets(role, ids, i)
+            some |= near
+            some[i] = near.any()
+        rows = [g[i][:-1] for i in np.flatnonzero(some).tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, kinds)], ["centre", "block", "part", "role", "doc_id"])
+
+
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (centre, block, role, doc_id, text): members that the centre has
-    (role 0) and has not (1), and probes from other blocks (2)."""
-    for g in _groups(batches, 2):
-        links, _ = link_group([r[-1] for r in g], [i for i, r in enumerate(g) if r[2] == 2], [i for i, r in enumerate(g) if r[2] == 0])
-        yield _emit([(0, None, None, g[i][3], g[j][3]) for i, j in links])
+    """Rows (centre, block, part, role, doc_id, text): links of the probes."""
+    for g in _groups(batches, 3):
+        g = [r for r in g if len(r[-1])]
+        links = link_probes([r[-1] for r in g], np.array([r[3] for r in g]), np.array([r[4] for r in g])) if g else []
+        yield _emit([(0, None, None, g[i][4], g[j][4]) for i, j in links])
 
 
 def candidate_links(docs: DataFrame, sig: DataFrame) -> DataFrame:
@@ -181,20 +239,28 @@ def candidate_links(docs: DataFrame, sig: DataFrame) -> DataFrame:
                      F.lit(0).alias("rest"), F.col("centre").alias("doc_id")))
     texts = docs.where("doc_id is not null").select("doc_id", "text")
 
-    def compared(rows: DataFrame, how) -> DataFrame:
-        return (rows.join(texts, "doc_id").select(*rows.columns, "text").repartition("centre", "block")
-                .sortWithinPartitions("centre", "block", rows.columns[2], "doc_id").mapInArrow(how, _LINKS))
+    def compared(rows: DataFrame, keys: list[str], of: DataFrame, how, schema: str) -> DataFrame:
+        return (rows.join(of, "doc_id").select(*rows.columns, of.columns[-1]).repartition(*keys)
+                .sortWithinPartitions(*rows.columns).mapInArrow(how, schema))
 
-    found = stash(compared(dealt.unionByName(heads), _compare), "minhash-links")
+    found = stash(compared(dealt.unionByName(heads), ["centre", "block"], texts, _compare, _LINKS), "minhash-links")
     links = found.where("kind = 0").select("u", "v")
     left = found.where("kind = 1").select("centre", "block", F.col("u").alias("doc_id")).distinct()
     if left.take(1):
-        # across the blocks of a split centre: what it has not, with every other block
-        other = (left.join(large, "centre").select("centre", "doc_id", F.col("block").alias("own"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
-                 .where("own <> block").select("centre", "block", F.lit(2).alias("role"), "doc_id"))
-        there = (dealt.where("block >= 0").join(left.withColumn("l", F.lit(1)), ["centre", "block", "doc_id"], "left")
-                 .select("centre", "block", F.coalesce(F.col("l"), F.lit(0)).alias("role"), "doc_id"))
-        links = links.unionByName(stash(compared(there.unionByName(other), _probe), "minhash-across").select("u", "v"))
+        # what a split centre has not, in parts no larger than a block, each
+        # with every block but a probe's own: (centre, block, part) is bounded
+        parts = stash(left.join(members, ["centre", "doc_id"]).groupBy("centre").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
+                      .select("centre", split.alias("parts")), "minhash-parts")
+        probes = (left.join(large, "centre").join(parts, "centre")
+                  .select("centre", F.col("block").alias("own"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"),
+                          F.pmod(F.xxhash64("doc_id", F.lit("part")), F.col("parts")).cast("int").alias("part"), F.lit(2).alias("role"), "doc_id")
+                  .where("own <> block").drop("own"))
+        there = (dealt.where("block >= 0").join(parts, "centre").join(left.withColumn("l", F.lit(1)), ["centre", "block", "doc_id"], "left")
+                 .select("centre", "block", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.coalesce("l", F.lit(0)).alias("role"), "doc_id"))
+        across, group = there.unionByName(probes), ["centre", "block", "part"]
+        wide = stash(texts.join(members.join(parts, "centre", "left_semi").select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_wide, "doc_id long, sig binary"), "minhash-wide")
+        near = stash(compared(across, group, wide, _screen, _DEALT), "minhash-near").distinct()
+        links = links.unionByName(stash(compared(near, group, texts, _probe, _LINKS), "minhash-across").select("u", "v"))
     return links
 
 

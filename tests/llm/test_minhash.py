@@ -71,6 +71,28 @@ def test_chain_and_split_centres(spark, monkeypatch):
     assert {r.component_id for r in got} == {0}
 
 
+def test_groups_of_a_split_centre_are_bounded(spark, monkeypatch):
+    """Documents of one template, alike by 0.6 or so and few of them by 0.75:
+    none of the groups compared holds more than a block and a part."""
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(M, "BLOCK_DOCS", 8)
+    sizes, mapped = [], type(spark.range(0)).mapInArrow
+
+    def watched(df, how, schema, *a, **k):
+        if {"centre", "block"} < set(df.columns):
+            keys = [c for c in df.columns if c in ("centre", "block", "part")]
+            sizes.append((keys, df.groupBy(*keys).count().agg(F.max("count")).first()[0]))
+        return mapped(df, how, schema, *a, **k)
+
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", watched)
+    template = prose(225, 11).split()
+    rows = [(k, " ".join(template + [f"own{k}-{i}" for i in range(75)])) for k in range(120)]
+    rows += [(1000 + k, t.replace(f"own{k}-9 ", "other ")) for k, t in rows[5:90:17]]
+    got = check(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sum(not r.kept for r in got) == 5
+    assert len(sizes) > 1 and max(n for _, n in sizes) <= 4 * M.BLOCK_DOCS, sizes
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(0, 64)] + [(100, 101), (5, 5)], "u long, v long")
     got = {r.node: r.component for r in M.components(edges).collect()}
