@@ -443,7 +443,7 @@ def q_d_scenario_value(spark, d):
 # ------------------------------------------------------------------ streaming (availableNow -> Parquet sink)
 @query("stream_lot_alerts")
 def q_stream_lot_alerts(spark, d):
-    return ST.run(ST.lot_alerts(ST.stream_table(spark, d, "lineitem"), _t(spark, d)), "lot_alerts")
+    return ST.run(ST.lot_alerts(ST.stream_table(spark, d, "lineitem", ST.BATCH_BYTES), _t(spark, d)), "lot_alerts")
 
 
 @query("stream_daily_kpi")

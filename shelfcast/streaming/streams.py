@@ -12,7 +12,9 @@ Output mode is ``append``: a window or session is written once, when the
 watermark passes its end; rows older than the watermark are dropped.
 ``run_bounded`` is for an input that ends: after the input is read it feeds
 one row of the far future through the same query and checkpoint, which moves
-the watermark past every window still open, so all of them are in the sink.
+the watermark past every window still open, so all of them are in the sink. Such
+an input is read in one micro-batch: files come by modification time, not by
+``ts``, and after a first batch the watermark would drop rows of later files.
 """
 
 from __future__ import annotations
@@ -31,12 +33,16 @@ DELAY = "1 hour"
 BATCH_BYTES = 16 << 30
 
 
-def stream_table(spark: SparkSession, sf_dir: str, name: str, max_bytes: int = BATCH_BYTES) -> DataFrame:
+def stream_table(spark: SparkSession, sf_dir: str, name: str, max_bytes: int | None = None) -> DataFrame:
     """A file stream over one driver table (schema from the batch reader), in
-    micro-batches of at most ``max_bytes`` of files."""
+    micro-batches of at most ``max_bytes`` of files, where given: for live
+    streams, whose late rows go, and for stateless plans."""
     root = sf_dir.rstrip("/")
     schema = spark.read.parquet(f"{root}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes).parquet(f"{root}/{name}*.parquet")
+    reader = spark.readStream.schema(schema)
+    if max_bytes is not None:
+        reader = reader.option("maxBytesPerTrigger", max_bytes)
+    return reader.parquet(f"{root}/{name}*.parquet")
 
 
 def run(df: DataFrame, name: str, mode: str = "append", path: str | None = None) -> DataFrame:

@@ -84,3 +84,24 @@ def test_bounded_daily_kpis_count_every_event(spark):
     _write(d, "events-1.parquet", [(i, day + dt.timedelta(hours=i), 1, "purchase", 1.0, "{}") for i in range(40)])
     out = ST.run_bounded(_stream(spark, d), ST.daily_kpis, "bounded_kpi").collect()
     assert sum(r["n_events"] for r in out) == 40 and len(out) == 3
+
+
+def test_bounded_keys_take_every_row_of_overlapping_files(spark, monkeypatch):
+    """Files that each span all days, with any byte limit that a key sets
+    shrunk to one byte: the keys equal the batch results."""
+    from pyspark.sql.streaming.readwriter import DataStreamReader
+
+    import __spark_entry__ as E
+    option = DataStreamReader.option
+    monkeypatch.setattr(DataStreamReader, "option", lambda self, key, value: option(self, key, 1 if key == "maxBytesPerTrigger" else value))
+    d = tempfile.mkdtemp(prefix="shelfcast-stream-")
+    folder = os.path.join(d, "events.parquet")
+    os.makedirs(folder)
+    t0 = dt.datetime(2024, 1, 1, 10)
+    for k in range(5):
+        _write(folder, f"part-{k}.parquet", [(100 * k + i, t0 + dt.timedelta(hours=7 * i, minutes=11 * (k % 4)), i, "purchase", float(i), "{}") for i in range(12)])
+    batch = spark.read.parquet(folder)
+    for key, build in (("stream_daily_kpi", ST.daily_kpis), ("stream_coldchain_windows", ST.coldchain_windows),
+                       ("stream_sensor_sessions", ST.sensor_sessions), ("stream_dedup_readings", ST.dedup_readings)):
+        got, want = (sorted(map(tuple, df.collect())) for df in (E.queries()[key](spark, d), build(batch)))
+        assert got == want, key
