@@ -30,9 +30,19 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Added kinds.
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
-_RUN = re.compile(r"(?<![0-9])[0-9]{13,19}(?![0-9])")
-_SECRET = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9_/+-]{20,128}(?![A-Za-z0-9_/+-])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}))")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9_/+-]{20,}+")
+_GROUP = re.compile(r"[0-9]++")
+_ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+#: characters of an IBAN by country
+IBAN_LENGTH = {c: n for n, cs in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC"}.items() for c in cs.split()}
+#: digits of a card, the usual number first, and how cards are printed
+_CARD_LENGTHS = (16, 15, 14, 13, 19, 18, 17)
+_PRINTED = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), (4, 3, 3, 3)}
+_ISSUER = re.compile("[3-6]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)")
 _DIGIT = re.compile("[0-9]")
 
 #: start score of a confirmed span by kind, and words whose nearness adds or takes WEIGHT
@@ -101,21 +111,68 @@ def score(t: str, kind: str, lo: int, hi: int) -> float:
     return round(min(1.0, max(0.0, SCORE[kind] + WEIGHT * bool(near & FOR[kind]) - WEIGHT * bool(near & AGAINST))), 3)
 
 
+def ibans(t: str) -> list[tuple[int, int]]:
+    """Of each start the country's length, else the longest that ends a group."""
+    out, last = [], 0
+    for m in _IBAN.finditer(t):
+        lo, x = m.start(), m[1]
+        if lo < last:
+            continue
+        ends = [k for k in range(len(x), 14, -1) if x[k - 1] != " " and t[lo + k:lo + k + 1] not in _ALNUM]
+        ends.sort(key=lambda k: k - x.count(" ", 0, k) != IBAN_LENGTH.get(x[:2]))
+        if hi := next((lo + k for k in ends if mod97(x[:k])), 0):
+            out.append((lo, hi))
+            last = hi
+    return out
+
+
+def cards_in_runs(t: str) -> list[tuple[int, int]]:
+    """Runs of whole digit groups inside longer sequences. Luhn holds for a
+    tenth of all numbers, so several groups count only if they are printed as a
+    card is and an issuer has the number, or beside a word for a card."""
+    out = []
+    for m in _CARD.finditer(t):
+        groups = [g.span() for g in _GROUP.finditer(t, *m.span())]
+        i = 0
+        while i < len(groups):
+            sizes, windows = [], {}
+            for lo, hi in groups[i:i + 19]:
+                sizes.append(hi - lo)
+                if (n := sum(sizes)) > 19:
+                    break
+                if n >= 13:
+                    windows[n] = (len(sizes), hi)
+            lo = groups[i][0]
+            for n in _CARD_LENGTHS:
+                if n in windows:
+                    k, hi = windows[n]
+                    number = t[lo:hi].replace(" ", "").replace("-", "")
+                    if luhn(number) and (k == 1 or tuple(sizes[:k]) in _PRINTED and _ISSUER.match(number) or score(t, "card_in_run", lo, hi) > SCORE["card_in_run"]):
+                        out.append((lo, hi))
+                        i += k - 1
+                        break
+            i += 1
+    return out
+
+
+def secrets(t: str) -> list[tuple[int, int]]:
+    return [m.span() for m in _SECRET.finditer(t) if any(map(str.isdigit, m[0])) and any(map(str.isalpha, m[0]))]
+
+
 def find_spans(t: str) -> list[tuple[str, int, int, float]]:
     """All kept spans, by kind as listed and then by start."""
     base = base_spans(t)
     out = [(k, lo, hi, score(t, k, lo, hi)) for k in BASE for lo, hi in base[k]]
     if not _DIGIT.search(t):
         return out
-    for kind, pattern, good in (("iban", _IBAN, mod97), ("card_in_run", _RUN, luhn),
-                                ("secret", _SECRET, lambda s: any(map(str.isdigit, s)) and any(map(str.isalpha, s)))):
+    for kind, found in (("iban", ibans), ("card_in_run", cards_in_runs), ("secret", secrets)):
         taken = sorted((lo, hi) for _, lo, hi, _ in out)
         starts, ends = [x[0] for x in taken], list(accumulate((x[1] for x in taken), max))
-        for m in pattern.finditer(t):
-            if good(m[0]) and (x := score(t, kind, *m.span())) >= MIN_SCORE:
-                i = bisect_left(starts, m.end())  # of the spans that start before its end, does one reach into it?
-                if not i or ends[i - 1] <= m.start():
-                    out.append((kind, *m.span(), x))
+        for lo, hi in found(t):
+            if (x := score(t, kind, lo, hi)) >= MIN_SCORE:
+                i = bisect_left(starts, hi)  # of the spans that start before its end, does one reach into it?
+                if not i or ends[i - 1] <= lo:
+                    out.append((kind, lo, hi, x))
     return out
 
 

@@ -99,6 +99,20 @@ def test_pii_query(spark):
         assert (got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone) == tuple(sum(b[0] == k for b in base) for k in PI.BASE)
 
 
+def test_pii_spans_end_where_the_validator_says():
+    kept = lambda t: [(k, t[lo:hi]) for k, lo, hi, _ in PI.find_spans(t)]
+    for tail in (" BIC COBADEFFXXX", " 50 EUR", " 2024 paid", ""):
+        assert kept("iban DE89370400440532013000" + tail) == [("iban", "DE89370400440532013000")]
+        assert kept("iban DE89 3704 0044 0532 0130 00" + tail) == [("iban", "DE89 3704 0044 0532 0130 00")]
+    assert kept("no AB12 3456 7890 1234 DE89 3704 0044 0532 0130 00 50") == [("iban", "DE89 3704 0044 0532 0130 00")]
+    assert kept("card 4111 1111 1111 1111 12/26") == [("card_in_run", "4111 1111 1111 1111")]
+    assert kept("12 4111-1111-1111-1111 123") == [("card_in_run", "4111-1111-1111-1111")]
+    assert kept("years 2001 2002 2003 2004 2005 2006 2007 2008 2009 2010 2011 2012") == []
+    token = "aB3dE5fG" * 40
+    assert kept("token " + token) == [("secret", token)]
+    assert PI.mask("iban DE89370400440532013000 BIC X, card 4111 1111 1111 1111 12/26") == "iban <IBAN> BIC X, card <CARD_IN_RUN> 12/26"
+
+
 def test_pii_validators_context_and_mask(edge_docs, no_docs):
     assert PI.mod97("GB82 WEST 1234 5698 7654 32") and not PI.mod97("GB82 WEST 1234 5698 7654 33")
     kinds = [s[0] for s in PI.find_spans("iban GB82 WEST 1234 5698 7654 32")]
