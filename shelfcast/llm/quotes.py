@@ -1,7 +1,7 @@
 """op3: quotation linking.
 
 Messages are split into own text and quoted passages by nesting level; the
-normalised passages and lines are hashed and joined to the earliest message of
+normalised passages, paragraphs and lines are hashed and joined to the earliest message of
 the conversation whose own text has them. A message replies to the message
 that its first-level quotes come from; reply-ordered conversations follow,
 without quotes. Lookup is by (conversation, hash) against one earliest turn
@@ -11,6 +11,7 @@ each, so common lines make no pairs.
 from __future__ import annotations
 
 import re
+from itertools import groupby
 
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,7 @@ from .common import map_rows, stash
 _QUOTE = re.compile(r"(?:[ \t]{0,3}>)+")
 #: fixed phrases that end a line which introduces a quotation
 _INTRO = re.compile(r"^\s*\S.{0,200}\s(?:wrote|writes|schrieb|schreibt|escribió|a écrit)\s?:\s*$")
-MIN_WORDS = 3  # shorter lines are looked up only as part of their passage
+MIN_WORDS = 3  # shorter lines and paragraphs are looked up only as part of their passage
 
 
 def normalise(lines: list[str]) -> str:
@@ -66,10 +67,12 @@ def own_units(body: str) -> set[str]:
 
 
 def quote_units(lines: list[str]) -> dict[str, int]:
-    """Lookup units of a passage and their words; the whole outweighs its lines."""
+    """Lookup units of a passage and their words; the whole outweighs its
+    paragraphs and lines."""
     whole = normalise(lines)
-    units = {u: len(u.split()) for x in lines if (u := normalise([x])).count(" ") >= MIN_WORDS - 1}
-    units[whole] = 2 * len(whole.split())
+    paragraphs = [list(p) for some, p in groupby(lines, key=bool) if some]
+    units = {u: len(u.split()) for x in [*paragraphs, *([x] for x in lines)] if (u := normalise(x)).count(" ") >= MIN_WORDS - 1}
+    units[whole] = 3 * len(whole.split())
     return units
 
 

@@ -288,6 +288,15 @@ def test_quotes(spark):
     assert QU.conversations(spark.createDataFrame([], MAIL)).count() == 0
 
 
+def test_quotes_of_some_paragraphs_wrapped_anew(spark):
+    a, b, c = (prose(24, k).split() for k in (81, 82, 83))
+    cut = lambda ws, n, by="": "\n".join(by + " ".join(ws[i:i + n]) for i in range(0, len(ws), n))
+    rows = [(1, 0, "user", "\n\n".join(cut(x, 8) for x in (a, b, c)), 0, ""), (1, 1, "assistant", "something else", 0, ""),
+            (1, 2, "user", cut(a, 7, "> ") + "\n>\n" + cut(c, 7, "> ") + "\nagreed", 0, "")]
+    got = {r.turn: r for r in QU.conversations(spark.createDataFrame(rows, MAIL)).collect()}
+    assert got[2].by_quote and got[2].reply_to == 0 and got[2].n_linked == 1
+
+
 def test_quotes_query_equals_brute_force(spark):
     rows = spark.read.parquet(f"{SF001}/conversations.parquet").collect()
     got = {(r.conv_id, r.turn): r for r in E.queries()["op3_quotation_linking"](spark, SF001).collect()}
