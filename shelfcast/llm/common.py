@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfcast.session import scratch_path
@@ -103,3 +103,23 @@ def shingle_set(text: bytes, k: int = SHINGLE) -> np.ndarray:
     if len(words) < k:
         return mix(grams(h, len(words)) + np.uint64(len(words)))
     return np.unique(grams(h, k))
+
+
+# ---------------------------------------------------------------- places in an order
+def ranked(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """``df`` (cheap to read twice) with ``idx``, the 0-based place of a row in
+    its group by ``order``, and ``n``, the rows of the group. One range shuffle
+    over group and order deals a hot group over many tasks; the places come
+    from the partitions' own counts, so no task sees a whole group. Rows equal
+    in all of ``order`` take places in any order."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(group), *order]
+    at = stash(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+               .withColumn("_at", F.monotonically_increasing_id()), name)
+    part = F.shiftright("_at", 33)
+    inside = Window.partitionBy(group).orderBy("_part")
+    heads = (at.groupBy(part.alias("_part"), group).agg(F.min("_at").alias("_first"), F.count("*").alias("_c"))
+             .select("_part", group, (F.sum("_c").over(inside) - F.col("_c") - F.col("_first")).alias("_base"),
+                     F.sum("_c").over(Window.partitionBy(group)).alias("n")))
+    return (at.withColumn("_part", part).join(heads, ["_part", group])
+            .withColumn("idx", F.col("_base") + F.col("_at")).drop("_part", "_at", "_base"))
