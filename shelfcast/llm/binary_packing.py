@@ -18,31 +18,70 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import documents, map_rows, stash
-from .tokens import CACHE, Holder
+from .tokens import Holder, _Chars
+
+#: pieces that a worker keeps, of each generation (about 200 bytes a piece)
+CACHE = 250_000
+
+#: marks that are no part of a contraction
+_MARKS = "!#$%&()*+,-./:;<=>?@[\\]^_`{|}~\""
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, at long, ids array<bigint>"
 
 
+def _letters(p: str) -> bool:
+    """Whether the tokenizer takes ``p`` as one run of letters (of alphabets
+    that every Unicode version knows)."""
+    return p.isalpha() and (p.isascii() or max(p) < "\u0250")
+
+
 class _Pieces(dict):
     """Text between two blanks -> ids (little-endian uint32) of it behind
     ``before``; None where white space touches its ends, as the tokenizer then
-    need not break there."""
+    need not break there. Two generations: past CACHE entries the young one
+    becomes the old one, and what is still in use moves back."""
 
     def __init__(self, tok: Tokenizer, before: str, plain: _Pieces | None = None):
         super().__init__()
-        self.tok, self.before, self.plain = tok, before, plain or self
+        self.tok, self.model, self.before, self.plain = tok, tok.model, before, self if plain is None else plain
+        self.chars, self.old = _Chars(tok), {}
+        self.first = before.translate(self.chars)
+
+    def age(self) -> None:
+        if len(self) > CACHE:
+            self.old = dict(self)
+            self.clear()
 
     def ids(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def word(self, w: str) -> bytes:
+        """Ids of a run of letters: the model alone, on the characters that the
+        tokenizer's own pre-tokenizer makes of them."""
+        v = self.old.get(w)
+        if v is None:
+            v = array("I", [x.id for x in self.model.tokenize(self.first + (w if w.isascii() else w.translate(self.chars)))]).tobytes()
+        if len(w) < 64:
+            self[w] = v
+        return v
+
     def __missing__(self, p: str) -> bytes | None:
+        if p.isalpha() and _letters(p):
+            return self.word(p)
+        head = p.rstrip(_MARKS)
+        if len(head) < len(p) and _letters(head):  # marks behind letters are a run of their own
+            v = self.old.get(p) or (self.get(head) or self.word(head)) + self.plain[p[len(head):]]
+            if len(p) < 64:
+                self[p] = v
+            return v
         if not p or p[0].isspace() or p[-1].isspace():
             return None
         lines = p.split("\n")
         if len(lines) > 1 and not any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
             # a line end between two words is a token of its own
-            return self[lines[0]] + b"".join(self.plain["\n"] + self.plain[x] for x in lines[1:])
-        v = self.ids(self.before + p)
+            end = self.plain.newline
+            return self[lines[0]] + b"".join(end + self.plain[x] for x in lines[1:])
+        v = self.old.get(p) or self.ids(self.before + p)
         if len(p) < 64:
             self[p] = v
         return v
@@ -56,17 +95,14 @@ class SpacedEncoder:
     def __init__(self, json: str):
         self.tok = Tokenizer.from_str(json)
         self.plain = _Pieces(self.tok, "")
-        self.plain["\n"] = self.plain.ids("\n")
+        self.plain.newline = self.plain.ids("\n")
         self.spaced = _Pieces(self.tok, " ", self.plain)
 
     def encode(self, text: str) -> bytes:
-        if len(self.plain) + len(self.spaced) > CACHE:
-            nl = self.plain["\n"]
-            self.plain.clear()
-            self.spaced.clear()
-            self.plain["\n"] = nl
+        self.plain.age()
+        self.spaced.age()
         p = text.split(" ")
-        got = [self.plain[p[0]] if p[0] != "\n" else None, *map(self.spaced.__getitem__, p[1:])]
+        got = [self.plain[p[0]], *map(self.spaced.__getitem__, p[1:])]
         if None not in got:
             return b"".join(got)
         out, lo = [], 0
