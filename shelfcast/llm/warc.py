@@ -92,8 +92,9 @@ def split_http(block: bytes) -> tuple[bytes, bytes]:
     return (head + sep, body) if sep else (b"", block)
 
 
-def record_id(url: str, date: str, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_ID_SPACE, f'{url} {date} {digest}')}>"
+def record_id(url: str, date: str, digest: str, kind: str = "", place: str = "") -> str:
+    """``place`` tells records apart that are equal in the rest: page, file and offset, ..."""
+    return f"<urn:uuid:{uuid.uuid5(_ID_SPACE, f'{url} {date} {digest} {kind} {place}')}>"
 
 
 def warc_record(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -106,18 +107,18 @@ def warcinfo(name: str) -> bytes:
                         ("Content-Type", "application/warc-fields")], b"software: shelfcast\r\nformat: WARC File Format 1.1\r\n")
 
 
-def convert(head: dict[str, str], block: bytes, refers_to: tuple[str, str] | None = None) -> bytes:
+def convert(head: dict[str, str], block: bytes, place: str = "", refers_to: dict[str, str] | None = None) -> bytes:
     """One ARC record as a WARC record: ``response`` for HTTP, ``resource``
     for other content, ``revisit`` (HTTP header kept, payload left out) where
-    ``refers_to`` gives the URL and the page of the record with the payload."""
+    ``refers_to`` gives the headers that name the record with the payload."""
     http, payload = split_http(block) if block.startswith(b"HTTP/") else (b"", block)
     digest, date = base32_sha1(payload), warc_date(head["Archive-date"])
     kind = "revisit" if refers_to else "response" if http else "resource"
-    headers = [("WARC-Type", kind), ("WARC-Record-ID", record_id(head["URL"], date, digest)), ("WARC-Date", date),
+    headers = [("WARC-Type", kind), ("WARC-Record-ID", record_id(head["URL"], date, digest, kind, place)), ("WARC-Date", date),
                ("WARC-Target-URI", head["URL"]), ("WARC-IP-Address", head["IP-address"]), ("WARC-Payload-Digest", f"sha1:{digest}"),
                ("Content-Type", "application/http;msgtype=response" if http else head["Content-type"])]
     if refers_to:
-        headers += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To-Target-URI", refers_to[0]), ("X-Refers-To-Page", refers_to[1])]
+        headers += [("WARC-Profile", REVISIT_PROFILE), *refers_to.items()]
         block = http
     return warc_record([*headers, ("WARC-Block-Digest", f"sha1:{base32_sha1(block)}")], block)
 
@@ -198,35 +199,39 @@ def convert_archives(spark: SparkSession, arc_path: str, warc_path: str) -> None
 
     def run(batches):
         from pyspark import TaskContext
-        rows = (d for b in batches for d in b.column(0).to_pylist())
-        return _shards((convert(h, x) for d in rows for h, x in iter_arc(b"".join(gunzip(d)))), f"arc-{TaskContext.get().partitionId()}")
+        rows = (x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        return _shards((convert(h, x, f"{name} {k}") for name, d in rows for k, (h, x) in enumerate(iter_arc(b"".join(gunzip(d))))), f"arc-{TaskContext.get().partitionId()}")
 
-    write_warc(spark.read.format("binaryFile").load(arc_path).select("content").mapInArrow(run, "shard binary"), warc_path)
+    write_warc(spark.read.format("binaryFile").load(arc_path).select("path", "content").mapInArrow(run, "shard binary"), warc_path)
 
 
 def archive_pages(pages: DataFrame, path: str, min_bytes: int = 0, arc_version: int = 2, date: str = "19700101000000") -> None:
     """Pages -> ARC records -> WARC shards under ``path``. Of equal payloads of
     at least ``min_bytes`` bytes the one with the smallest page_id is written
-    whole, the others as revisits. Null html is an empty payload; a null
-    page_id never is the smallest while others exist; rows that share page_id
-    and payload are all written whole."""
+    whole, the others as revisits that name its URI, date and record. Null html
+    is an empty payload; a null page_id never is the smallest while others
+    exist; rows that share page_id and payload are all written whole or all
+    revisits, and a revisit then names them by URI and date alone."""
     small_batches(pages.sparkSession)
     html = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html")).withColumn("sha", F.unhex(F.sha1("html")))
-    # page_id and digest only: no payload is shuffled to find equal ones
-    first = stash(p.where(F.length("html") >= min_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-                  .where("n > 1 and first is not null").drop("n"), "payloads")
-    again = (p.select("sha", "page_id").join(first, "sha").where("page_id is null or page_id <> first")
-             .groupBy("sha", "page_id").agg(F.max("first").alias("refers_to")))
+    # page_id, url and digest only: no payload is shuffled to find equal ones
+    ids = stash(p.groupBy("sha", "page_id").agg(F.min("url").alias("url"), F.count("*").alias("rows"), F.max(F.length("html")).alias("bytes")), "payload-pages")
+    first = stash(ids.where(F.col("bytes") >= min_bytes).groupBy("sha").agg(
+        F.min_by(F.struct("page_id", "url", "rows"), "page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first.page_id is not null").drop("n"), "payloads")
     key = F.coalesce(F.col("page_id"), F.lit(-(1 << 63) + 1))
-    j = (p.withColumn("k", key).join(again.withColumn("k", key).drop("page_id"), ["sha", "k"], "left")
-         .select("page_id", "url", "html", "refers_to"))
+    marks = (ids.join(first, "sha", "left").where("first is null or page_id is null or page_id <> first.page_id")
+             .where("rows > 1 or first is not null").select("sha", key.alias("k"), "first", (F.col("rows") > 1).alias("equal"))
+             .unionByName(ids.join(first, "sha").where("page_id = first.page_id and rows > 1").select("sha", key.alias("k"), F.lit(None).cast("struct<page_id: bigint, url: string, rows: bigint>").alias("first"), F.lit(True).alias("equal"))))
+    j = (p.withColumn("k", key).join(marks, ["sha", "k"], "left")
+         .select("page_id", "url", "html", "first", F.coalesce("equal", F.lit(False)).alias("equal")))
 
     def run(batches):
         from pyspark import TaskContext
-        name = f"pages-{TaskContext.get().partitionId()}"
+        name, seen = f"pages-{TaskContext.get().partitionId()}", 0
 
         def records():
+            nonlocal seen
             for b in batches:
                 for lo in range(0, b.num_rows, 64):
                     rows = b.slice(lo, 64).to_pylist()
@@ -238,8 +243,15 @@ def archive_pages(pages: DataFrame, path: str, min_bytes: int = 0, arc_version:
                                               b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: %s\r\nContent-Length: %d\r\n\r\n"
                                               % (str(page).encode(), len(r["html"])) + r["html"], at, name))
                     for r, (head, block) in zip(rows, iter_arc(b"".join(arc)), strict=True):
-                        to = r["refers_to"]
-                        yield convert(head, block, None if to is None else (f"page:{to}", str(to)))
+                        to, said = r["first"], None
+                        if to is not None:
+                            uri, day = to["url"] or f"page:{to['page_id']}", warc_date(date)
+                            said = {"WARC-Refers-To-Target-URI": uri, "WARC-Refers-To-Date": day, "X-Refers-To-Page": str(to["page_id"])}
+                            if to["rows"] == 1:
+                                said["WARC-Refers-To"] = record_id(uri, day, base32_sha1(split_http(block)[1]), "response", f"page {to['page_id']}")
+                        seen += 1
+                        page = f"page {'' if r['page_id'] is None else r['page_id']}"
+                        yield convert(head, block, f"{page} {name} {seen}" if r["equal"] else page, said)
         return _shards(records(), name)
 
     write_warc(j.mapInArrow(run, "shard binary"), path)
@@ -249,7 +261,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of WARC shards with digests checked: payload_bytes and
     payload_digest are of the full payload, for revisits as the record says."""
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
-                        ("record_type", pa.string()), ("refers_to", pa.int64()), ("target_uri", pa.string())])
+                        ("record_type", pa.string()), ("refers_to", pa.int64()), ("target_uri", pa.string()), ("record_id", pa.string()),
+                        ("record_date", pa.string()), ("refers_to_record", pa.string()), ("refers_to_uri", pa.string()), ("refers_to_date", pa.string())])
 
     def run(batches):
         for b in batches:
@@ -267,18 +280,21 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     rows.append({"page_id": int(x) if (x := fields.get("X-Page-Id")) else None,
                                  "payload_bytes": int(fields["Content-Length"]) if kind == "revisit" else len(payload),
                                  "payload_digest": digest, "record_type": kind, "target_uri": head["warc-target-uri"],
-                                 "refers_to": int(head["x-refers-to-page"]) if "x-refers-to-page" in head else None})
+                                 "refers_to": int(head["x-refers-to-page"]) if "x-refers-to-page" in head else None,
+                                 "record_id": head["warc-record-id"], "record_date": head["warc-date"], "refers_to_record": head.get("warc-refers-to"),
+                                 "refers_to_uri": head.get("warc-refers-to-target-uri"), "refers_to_date": head.get("warc-refers-to-date")})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return (spark.read.format("binaryFile").load(path).select("content")
-            .mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string"))
+            .mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, "
+                             "record_id string, record_date string, refers_to_record string, refers_to_uri string, refers_to_date string"))
 
 
 def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: every page as a WARC record, read back."""
     path = scratch_path(spark, "warc")
     archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    return read_warc(spark, path).drop("target_uri")
+    return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP9_SQL = """
