@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from .common import documents, map_rows, utf8
 
-#: bounds of the learned model: documents and dictionary bytes per language
-DOCS_PER_LANG, SNIPPET, DICT_BYTES = 400, 2048, 1 << 17
-CHUNK, LEVEL, SHORT, SHORT_LEVEL = 4096, 3, 1024, 12
+#: bounds of the learned model: documents per language, characters of a piece
+#: of each (a dictionary is all pieces: about 128 KB), and languages
+DOCS_PER_LANG, PIECE, MAX_LANGS = 400, 320, 256
+CHUNK, LEVEL = 4096, 6
 MIN_MARGIN = 0.01
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
@@ -30,43 +31,43 @@ def letters(t: str) -> bytes:
 
 def train(df: DataFrame) -> dict[str, bytes]:
     """Dictionary content (lower case) per language, frequent languages first, from
-    ``df(doc_id, text, lang)``: the DOCS_PER_LANG rows with the smallest hash of doc_id,
-    SNIPPET characters of each, at most DICT_BYTES. A bounded sample: rows above a hash
-    limit that lets about four times as many through never leave their task."""
+    ``df(doc_id, text, lang)``: of the DOCS_PER_LANG rows with the smallest hash of
+    doc_id a piece of PIECE characters each, from a place anywhere in the text that
+    the hash chooses. A bounded sample: rows above a hash limit that lets about four
+    times as many through never leave their task. More than MAX_LANGS values of lang
+    are an error, as each has a dictionary in every worker."""
     df = df.where("lang is not null and doc_id is not null and length(text) > 0")
-    often = df.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # a row per language
+    often = df.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS + 1).collect()  # a row per language
     if not often:
         return {}
+    if len(often) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     top = 1 << 31
     limit = F.create_map(*[x for r in often for x in (F.lit(r.lang), F.lit(min(top, 4 * DOCS_PER_LANG * top // r["count"] + 1)).cast("long"))])
     h = F.pmod(F.xxhash64("doc_id"), F.lit(top))
     w = Window.partitionBy("lang").orderBy("h", "doc_id", "s")
-    rows = (df.where(h < limit[F.col("lang")]).select("lang", "doc_id", h.alias("h"), F.substring("text", 1, SNIPPET).alias("s"))
+    place = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.lit(1), F.char_length("text") - PIECE + 1)).cast("int") + 1
+    rows = (df.where(h < limit[F.col("lang")]).select("lang", "doc_id", h.alias("h"), F.substring("text", place, F.lit(PIECE)).alias("s"))
             .withColumn("r", F.row_number().over(w)).where(F.col("r") <= DOCS_PER_LANG).orderBy("lang", "r").collect())
     out: dict[str, list[bytes]] = {}
     for r in rows:
         out.setdefault(r.lang, []).append(letters(r.s))
-    return {r.lang: b"\n".join(out[r.lang])[:DICT_BYTES] for r in often if r.lang in out}
+    return {r.lang: b"\n".join(out[r.lang]) for r in often if r.lang in out}
 
 
 class Classifier:
     def __init__(self, model: dict[str, bytes]):
-        self.langs = list(model)
-        self.by = {}
-        for level in (LEVEL, SHORT_LEVEL):
-            cs = []
-            for k in self.langs:
-                d = zstandard.ZstdCompressionDict(model[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=level)
-                cs.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
-            self.by[level] = cs
+        self.langs, self.by = list(model), []
+        for k in self.langs:
+            d = zstandard.ZstdCompressionDict(model[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=LEVEL)
+            self.by.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
 
     def sizes(self, text: bytes) -> list[int]:
         """Bytes of the whole text under every dictionary, chunk by chunk, so
         that a long text cannot become a dictionary of its own."""
-        cs = self.by[SHORT_LEVEL if len(text) < SHORT else LEVEL]
         chunks = [text[lo:lo + CHUNK] for lo in range(0, len(text), CHUNK)]
-        return [sum(len(c.compress(x)) for x in chunks) for c in cs]
+        return [sum(len(c.compress(x)) for x in chunks) for c in self.by]
 
     def __call__(self, text: bytes) -> tuple[str, float, bool]:
         """Language, score (share of the weight 2^-bytes over the smallest) and
