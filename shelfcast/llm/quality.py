@@ -4,8 +4,9 @@ DataFrame functions only. Each document gets a few integer measures; their
 distribution per (lang, source) is kept as a mergeable quantile sketch: counts
 per log-linear bucket (exact below 64, six significant bits above, so a
 quantile is within 1/32). Counts of buckets add, so the sketches of a language
-or of the whole corpus are sums, which small groups fall back to. Quartile
-fences replace fixed cutoffs and are joined back to the measures.
+or of the whole corpus are sums, to which the limits of small groups are drawn.
+Limits from each group's own percentiles replace fixed cutoffs and are joined
+back to the measures.
 """
 
 from __future__ import annotations
@@ -15,12 +16,16 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, SPACE, documents, stash
 
-#: smallest half-width of a fence beyond the quartiles, by measure: mean word
-#: length (tenths of a character), symbols per 1000 word characters, repeated
-#: lines and repeated words per 1000
-WIDTH = {"mean10": 15, "symbols": 20, "dup_lines": 400, "repeats": 350}
-FENCE = 3            # quartile ranges beyond the quartile
-MIN_GROUP = 200      # documents from which a group has thresholds of its own
+#: limits by measure: two percentiles of the group's sketch and how many times
+#: the way between them a limit lies beyond, at least by the last number (small
+#: against the measure: it only counts where all documents are alike). Junk is a
+#: share of any source, so symbols, which junk alone is full of, are measured
+#: below that share; repeated lines and words have long tails among clean texts.
+#: Measures: mean word length (tenths of a character), symbols per 1000 word
+#: characters, repeated lines and repeated words per 1000.
+RULES = {"mean10": (25, 75, 5, 3), "symbols": (50, 75, 3, 10), "dup_lines": (50, 99, 1, 50), "repeats": (50, 99, 1, 50)}
+#: documents by which a group's limits are drawn to those of its language, and these to all
+SHRINK = 100
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -76,34 +81,41 @@ def sketch(measured: DataFrame) -> DataFrame:
 
 def thresholds(sk: DataFrame) -> DataFrame:
     """(lang, source, lo_mean10, hi_mean10, hi_symbols, hi_dup_lines,
-    hi_repeats), from the finest of (lang, source), lang and all that has
-    MIN_GROUP documents, else from all. A null lang or source is a group."""
-    keys = sk.select("lang", "source").distinct()
+    hi_repeats) by RULES. The limits of a language are averaged with those of
+    all documents, a group's with its language's, by their documents against
+    SHRINK: no size is a switch. A null lang or source is a group."""
     levels = sk.select(F.lit(0).alias("level"), "lang", "source", "measure", "bucket", "n").unionByName(
         sk.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n")).select(F.lit(1).alias("level"), "lang", F.lit(None).cast("string").alias("source"), "measure", "bucket", "n")).unionByName(
         sk.groupBy("measure", "bucket").agg(F.sum("n").alias("n")).select(F.lit(2).alias("level"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), "measure", "bucket", "n"))
     group = ["level", "lang", "source", "measure"]
+
+    def rule(i):
+        return F.create_map(*[F.lit(x) for k, v in RULES.items() for x in (k, v[i])])[F.col("measure")]
+
     # a group has a row per bucket: at most 64 + 32 for each power of two
     total = F.sum("n").over(Window.partitionBy(*group))
     upto = F.sum("n").over(Window.partitionBy(*group).orderBy("bucket"))
     q = (levels.withColumn("total", total).withColumn("upto", upto).groupBy(*group)
-         .agg(F.max("total").alias("total"), F.min(F.when(4 * F.col("upto") >= F.col("total"), F.col("bucket"))).alias("q1"),
-              F.min(F.when(4 * F.col("upto") >= 3 * F.col("total"), F.col("bucket"))).alias("q3")))
-    width = F.greatest(FENCE * (F.col("q3") - F.col("q1")), F.create_map(*[F.lit(x) for kv in WIDTH.items() for x in kv])[F.col("measure")])
-    q = q.withColumn("lo", F.col("q1") - width).withColumn("hi", F.col("q3") + width)
+         .agg(F.max("total").alias("total"), F.min(F.when(100 * F.col("upto") >= rule(0) * F.col("total"), F.col("bucket"))).alias("a"),
+              F.min(F.when(100 * F.col("upto") >= rule(1) * F.col("total"), F.col("bucket"))).alias("z")))
+    width = F.greatest(rule(2) * (F.col("z") - F.col("a")), rule(3))
+    q = q.withColumn("lo", F.greatest(F.lit(0), F.col("a") - width)).withColumn("hi", F.col("z") + width)
 
     def pick(side, m):
         return F.max(F.when(F.col("measure") == m, F.col(side))).cast("long").alias(f"{side}_{m}")
 
-    wide = q.groupBy("level", "lang", "source").agg(F.max("total").alias("total"), pick("lo", "mean10"), *[pick("hi", m) for m in WIDTH])
-    cols = ["lo_mean10", *[f"hi_{m}" for m in WIDTH]]
-    own = wide.where("level = 0").select(F.col("lang").alias("l0"), F.col("source").alias("s0"), F.col("total").alias("n0"), F.struct(*cols).alias("t0"))
-    lang = wide.where("level = 1").select(F.col("lang").alias("l1"), F.col("total").alias("n1"), F.struct(*cols).alias("t1"))
-    every = wide.where("level = 2").select(F.lit(1).alias("one"), F.struct(*cols).alias("t2"))
-    j = (keys.join(own, F.col("lang").eqNullSafe(F.col("l0")) & F.col("source").eqNullSafe(F.col("s0")))
-         .join(lang, F.col("lang").eqNullSafe(F.col("l1"))).withColumn("one", F.lit(1)).join(every, "one"))
-    best = F.when(F.col("n0") >= MIN_GROUP, F.col("t0")).when(F.col("n1") >= MIN_GROUP, F.col("t1")).otherwise(F.col("t2"))
-    return j.select("lang", "source", best.alias("t")).select("lang", "source", "t.*")
+    cols = ["lo_mean10", *[f"hi_{m}" for m in RULES]]
+    wide = q.groupBy("level", "lang", "source").agg(F.max("total").alias("total"), pick("lo", "mean10"), *[pick("hi", m) for m in RULES])
+    every = wide.where("level = 2").select(F.struct(*cols).alias("t")).scalar()  # one row
+
+    def drawn(n, own, to, names):
+        return F.struct(*[F.expr(f"({n} * {own}.{c} + {SHRINK} * {to}.{c}) div ({n} + {SHRINK})").alias(c) for c in names])
+
+    lang = (wide.where("level = 1").select(F.col("lang").alias("l1"), F.col("total").alias("n1"), F.struct(*cols).alias("t1"))
+            .withColumn("t2", every).select("l1", drawn("n1", "t1", "t2", cols).alias("t1")))
+    own = wide.where("level = 0").select("lang", "source", F.col("total").alias("n0"), F.struct(*cols).alias("t0"))
+    j = own.join(lang, F.col("lang").eqNullSafe(F.col("l1")))
+    return j.select("lang", "source", drawn("n0", "t0", "t1", cols).alias("t")).select("lang", "source", "t.*")
 
 
 def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
@@ -119,7 +131,9 @@ def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def assess(docs: DataFrame) -> DataFrame:
-    """Measures and verdict for every row of ``docs(doc_id, text, lang, source)``."""
+    """Measures and verdict for every row of ``docs(doc_id, text, lang, source)``.
+    Null and empty texts have no words and fail the base rules; rows that share
+    a doc_id, or have none, are judged singly; an empty table gives no rows."""
     measured = stash(measures(docs.select("doc_id", "lang", "source", "text")).drop("text"), "quality-measures")
     limits = stash(thresholds(sketch(measured)), "quality-limits")
     return judge(measured, limits).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -176,23 +190,23 @@ lv AS (SELECT 0 AS level, lang, source, measure, bucket, count(*) AS n FROM x GR
 c AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total,
              sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bucket) AS upto FROM lv),
 q AS (SELECT level, lang, source, measure, max(total) AS total,
-             min(bucket) FILTER (WHERE 4 * upto >= total) AS q1, min(bucket) FILTER (WHERE 4 * upto >= 3 * total) AS q3
+             min(bucket) FILTER (WHERE 100 * upto >= CASE measure WHEN 'mean10' THEN 25 ELSE 50 END * total) AS a,
+             min(bucket) FILTER (WHERE 100 * upto >= CASE measure WHEN 'mean10' THEN 75 WHEN 'symbols' THEN 75 ELSE 99 END * total) AS z
       FROM c GROUP BY ALL),
-f AS (SELECT level, lang, source, measure, total,
-             q1 - greatest(3 * (q3 - q1), CASE measure WHEN 'mean10' THEN 15 WHEN 'symbols' THEN 20 WHEN 'dup_lines' THEN 400 ELSE 350 END) AS lo,
-             q3 + greatest(3 * (q3 - q1), CASE measure WHEN 'mean10' THEN 15 WHEN 'symbols' THEN 20 WHEN 'dup_lines' THEN 400 ELSE 350 END) AS hi
-      FROM q),
-chosen AS (
-  SELECT v.doc_id, f.measure, f.lo, f.hi,
-         row_number() OVER (PARTITION BY v.doc_id, f.measure ORDER BY CASE WHEN f.level = 2 OR f.total >= 200 THEN f.level ELSE 9 END) AS rn
-  FROM v JOIN f ON (f.level = 0 AND v.lang IS NOT DISTINCT FROM f.lang AND v.source IS NOT DISTINCT FROM f.source)
-               OR (f.level = 1 AND v.lang IS NOT DISTINCT FROM f.lang) OR f.level = 2),
-t AS (SELECT doc_id, max(lo) FILTER (WHERE measure = 'mean10') AS lo_mean10, max(hi) FILTER (WHERE measure = 'mean10') AS hi_mean10,
+f AS (SELECT level, lang, source, measure, total, z, a,
+             greatest(CASE measure WHEN 'mean10' THEN 5 WHEN 'symbols' THEN 3 ELSE 1 END * (z - a),
+                      CASE measure WHEN 'mean10' THEN 3 WHEN 'symbols' THEN 10 ELSE 50 END) AS width FROM q),
+b AS (SELECT level, lang, source, measure, CAST(total AS BIGINT) AS n, CAST(greatest(0, a - width) AS BIGINT) AS lo, CAST(z + width AS BIGINT) AS hi FROM f),
+l AS (SELECT b.lang, b.measure, (b.n * b.lo + 100 * e.lo) // (b.n + 100) AS lo, (b.n * b.hi + 100 * e.hi) // (b.n + 100) AS hi
+      FROM b JOIN b AS e ON e.level = 2 AND e.measure = b.measure WHERE b.level = 1),
+o AS (SELECT b.lang, b.source, b.measure, (b.n * b.lo + 100 * l.lo) // (b.n + 100) AS lo, (b.n * b.hi + 100 * l.hi) // (b.n + 100) AS hi
+      FROM b JOIN l ON b.lang IS NOT DISTINCT FROM l.lang AND b.measure = l.measure WHERE b.level = 0),
+t AS (SELECT lang, source, max(lo) FILTER (WHERE measure = 'mean10') AS lo_mean10, max(hi) FILTER (WHERE measure = 'mean10') AS hi_mean10,
              max(hi) FILTER (WHERE measure = 'symbols') AS hi_symbols, max(hi) FILTER (WHERE measure = 'dup_lines') AS hi_dup_lines,
              max(hi) FILTER (WHERE measure = 'repeats') AS hi_repeats
-      FROM chosen WHERE rn = 1 GROUP BY doc_id)
+      FROM o GROUP BY lang, source)
 SELECT v.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce(mean10 BETWEEN lo_mean10 AND hi_mean10 AND symbols <= hi_symbols
                                     AND dup_lines <= hi_dup_lines AND repeats <= hi_repeats, FALSE) AS kept
-FROM v LEFT JOIN t ON t.doc_id = v.doc_id
+FROM v LEFT JOIN t ON v.lang IS NOT DISTINCT FROM t.lang AND v.source IS NOT DISTINCT FROM t.source
 """
