@@ -133,13 +133,15 @@ class Holder:
 def train_dictionary(df: DataFrame, holder: Holder, end_id: int, sample_docs: int = 1024,
                      sample_bytes: int = 16384, dict_bytes: int = 65536) -> bytes:
     """Raw bytes of a zstd dictionary trained on serialized id arrays of the
-    ``sample_docs`` documents with the smallest hash of doc_id (a bounded
-    sample: at most sample_docs * sample_bytes bytes reach the driver). Empty
-    when the sample is too small to train on."""
-    ids = [r[0] for r in (df.select("doc_id").where("doc_id is not null").distinct()
-                          .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).collect())]
-    if not ids:
+    ``sample_docs`` rows with the smallest hash of doc_id (a bounded sample: at
+    most sample_docs * sample_bytes bytes reach the driver, however often an id
+    repeats). Empty when the sample is too small to train on."""
+    df = df.where("doc_id is not null")
+    h = F.xxhash64("doc_id")
+    least = df.select(h.alias("h")).orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    if least is None:
         return b""
+    rows = df.where(h <= least).orderBy(h, "doc_id", F.xxhash64("text")).limit(sample_docs).repartition(16)
 
     def make():
         enc = holder.encoder()
@@ -150,7 +152,7 @@ def train_dictionary(df: DataFrame, holder: Holder, end_id: int, sample_docs: in
                     "doc_id": c["doc_id"]}
         return f
 
-    got = map_rows(df.where(F.col("doc_id").isin(ids)).select("doc_id", utf8()), make, "doc_id long, s binary").collect()
+    got = map_rows(rows.select("doc_id", utf8()), make, "doc_id long, s binary").collect()
     samples = [bytes(r.s) for r in sorted(got, key=lambda r: (r.doc_id, bytes(r.s)))]
     try:
         return zstandard.train_dictionary(dict_bytes, samples).as_bytes()
