@@ -325,13 +325,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     hash). All columns stay. Texts are shuffled only where the lists of ids to
     drop are too large for Spark to broadcast."""
     found = stash(near_duplicates(docs), "minhash-found")
-    gone = stash(found.where("not kept").select(F.col("doc_id").alias("_id")).distinct(), "minhash-gone")
-    twice = stash(found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"), "minhash-twice")
-    same = F.col("doc_id") == F.col("_id")
-    left = docs.join(gone, same, "left_anti")
+    gone = stash(found.where("not kept").select("doc_id").distinct(), "minhash-gone")
+    twice = stash(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "minhash-twice")
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     cols = [F.col(c) for c in docs.columns]
     one = F.min_by(F.struct(*cols), F.xxhash64(*cols))
-    return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").groupBy("doc_id").agg(one.alias("_r")).select("_r.*"))
+    once, more = (left.join(twice, "doc_id", how).select(*docs.columns) for how in ("left_anti", "left_semi"))
+    return once.unionByName(more.groupBy("doc_id").agg(one.alias("_r")).select("_r.*"))
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
