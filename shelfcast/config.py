@@ -103,6 +103,8 @@ UNKNOWN = "UNKNOWN"
 @dataclass(frozen=True)
 class Params:
     fiscal_year: int | None = None  # None: the whole date range of the data
+    first_day: _dt.date = _dt.date(1970, 1, 1)  # plausible ship dates: others are
+    last_day: _dt.date = _dt.date(2069, 12, 31)  # reported and no part of the demand range
     as_of: _dt.date = AS_OF
     horizon: int = 14
     level_window: int = 30          # last-N rows for mean / std of a series

@@ -86,9 +86,10 @@ def rolling_features(df: DataFrame, y: str = "actual_demand_kg", keys=SERIES) ->
 def build_lag_features(df: DataFrame, y: str = "actual_demand_kg", keys=SERIES) -> DataFrame:
     """Lags + rolling + calendar, then drop rows with a null in any column
     (P7), but for ``sold_kg``, which this library adds and which is null on
-    days without a sale. Partitioned by (sku, warehouse), Q1."""
+    days without a sale, and for price, revenue and shelf life, which a sku
+    without attributes lacks. Partitioned by (sku, warehouse), Q1."""
     f = rolling_features(lag_features(df, y, keys=keys), y, keys)
-    return f.na.drop("any", subset=[c for c in f.columns if c != "sold_kg"])
+    return f.na.drop("any", subset=[c for c in f.columns if c not in ("sold_kg", "price_per_kg", "revenue", "shelf_life_days")])
 
 
 def train_test_split(features: DataFrame, p: C.Params = C.DEFAULT, keys=SERIES) -> DataFrame:
@@ -101,7 +102,16 @@ def train_test_split(features: DataFrame, p: C.Params = C.DEFAULT, keys=SERIES)
             .withColumn("row_in_series", F.col("_rn")).drop("_rn", "_cut"))
 
 
-# ------------------------------------------------------------------ W5, A10
+# ------------------------------------------------------------------ P2, W5, A10
+def series_rows(demand: DataFrame, sku_id: str | None = None, warehouse_id: str | None = None) -> DataFrame:
+    """The rows of one sku, one warehouse or one series; of all by default."""
+    out = demand.select("date", *SERIES, "actual_demand_kg")
+    for name, value in (("sku_id", sku_id), ("warehouse_id", warehouse_id)):
+        if value is not None:
+            out = out.where(F.col(name) == value)
+    return out
+
+
 def tail_rows(df: DataFrame, n: int, keys=SERIES, order: str = "date") -> DataFrame:
     """Last ``n`` rows per series (window rank, no global sort)."""
     w = Window.partitionBy(*keys).orderBy(F.desc(order))

@@ -2,14 +2,14 @@
 
 * Spoilage: ``Pipeline(StringIndexer x2, VectorAssembler, RandomForest)``
   with balanced class weights and a deterministic stratified hash split.
-* Demand: one pooled ``GBTRegressor`` over all series (sku and warehouse are
-  indexed features) instead of one model per SKU; per-SKU MAPE comes from a
-  grouped aggregate over the test predictions.
+* Demand: one boosted model per SKU, all grown at once from grouped histograms
+  (``boosting``), or one pooled ``GBTRegressor`` over all series (sku and
+  warehouse are indexed features); per-SKU MAPE comes from a grouped aggregate
+  over the test predictions.
 * Recursive forecast: one row of state per series (an array of the last 14
   values); each horizon step derives the lag/rolling features from the array
-  with built-in array functions, scores all series with one
-  ``model.transform`` and appends the prediction. Lineage is cut with
-  ``checkpoint()`` into the shared checkpoint folder every few steps.
+  with built-in array functions, scores it with the ensemble compiled to SQL
+  and appends the prediction: one fold over an array, one job.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.columns import clamp0, r4
-from ..session import ensure_checkpoint_dir
+from . import boosting as BO
+from . import trees as TR
 from .features import SERIES, build_lag_features, train_test_split
 from .forecast import _ape, forecast_band, heuristic_forecast, series_state
 
@@ -217,6 +218,23 @@ def train_demand_model(demand: DataFrame, p: C.Params = C.DEFAULT, cache_key=Non
     return out
 
 
+def train_sku_models(demand: DataFrame, p: C.Params = C.DEFAULT, trees: int | None = None, depth: int | None = None, bins: int = 64, cache_key=None):
+    """One boosted model per SKU over the feature rows of its series;
+    returns (models, test predictions clamped at 0)."""
+    trees, depth = trees or p.gbt_iters, depth or p.gbt_depth
+    k = _key(demand, "sku", (cache_key, trees, depth, bins) if cache_key else None)
+    if k in _CACHE:
+        return _CACHE[k]
+    rows = demand_feature_rows(demand, p)
+    model = BO.train_boosted(rows.filter(F.col("split") == "train"), "sku_id", C.DEMAND_FEATURES, "actual_demand_kg", trees, depth, p.gbt_step, bins)
+    test = (BO.score_boosted(rows.filter(F.col("split") == "test"), model, "sku_id", C.DEMAND_FEATURES, depth, bins)
+            .select(*SERIES, "date", "row_in_series", F.col("actual_demand_kg").alias("actual"), clamp0("prediction").alias("predicted")))
+    out = (model, test)
+    if k is not None:
+        _CACHE[k] = out
+    return out
+
+
 def demand_model_mape(test: DataFrame) -> DataFrame:
     """M12 + B21: MAPE per SKU on the chronological tail, ascending, with the
     mean over SKUs as a reference column."""
@@ -227,12 +245,9 @@ def demand_model_mape(test: DataFrame) -> DataFrame:
 
 
 def actual_vs_predicted(test: DataFrame, sku_id: str | None = None) -> DataFrame:
-    """The test rows of one SKU (the first SKU key when not given), with
-    a step index per series."""
-    first = test.agg(F.min("sku_id").alias("_s")) if sku_id is None else None
+    """The test rows of one SKU (of all when not given), with a step
+    index per series."""
     t = test if sku_id is None else test.filter(F.col("sku_id") == sku_id)
-    if first is not None:
-        t = t.join(F.broadcast(first), F.col("sku_id") == F.col("_s")).drop("_s")
     w = Window.partitionBy(*SERIES).orderBy("date")
     return t.select(*SERIES, "date", F.row_number().over(w).alias("step"),
                     r4("actual").alias("actual"), r4("predicted").alias("predicted"))
@@ -248,65 +263,77 @@ def metrics_as_lists(test: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ B18, B19, J7
-def _mean(arr: Column) -> Column:
-    return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x) / F.size(arr)
+def _features_sql(date: str = "date_add(last_date, i)") -> dict[str, str]:
+    """SQL of the demand features at step ``i`` from the state ``s.h`` (the
+    last 14 values) and the arrays of temperatures and festival multipliers."""
+    def mean(a):
+        return f"(aggregate({a}, 0e0, (q, v) -> q + v) / size({a}))"
+
+    week = "slice(s.h, -7, 7)"
+    std = f"transform(array({mean(week)}), m -> sqrt(aggregate({week}, 0e0, (q, v) -> q + (v - m) * (v - m)) / 6))[0]"
+    return {**{f"lag_{n}": f"element_at(s.h, {-n})" for n in C.DEMAND_LAGS},
+            "rolling_7_mean": mean(week), "rolling_7_std": std, "rolling_14_mean": mean("slice(s.h, -14, 14)"),
+            "day_of_week": f"weekday({date})", "month": f"month({date})", "day_of_year": f"dayofyear({date})",
+            "is_weekend": f"IF(weekday({date}) >= 5, 1, 0)", "temp_c": "temps[i - 1]", "festival_multiplier": "fests[i - 1]"}
+
+
+def forecast_state(demand: DataFrame, horizon: int, known_future: bool = False, festivals: DataFrame | None = None) -> DataFrame:
+    """Per series what a recursive forecast starts from: last date, the last 14
+    values, and the temperature and festival multiplier of each step."""
+    from ..sources.views import festival_dim, seasonal_temp, with_festival, years_of
+    w = Window.partitionBy(*SERIES).orderBy(F.desc("date"))
+    tail = demand.select(*SERIES, "date", "actual_demand_kg", "temp_c", F.row_number().over(w).alias("_rk")).filter(F.col("_rk") <= 14)
+    st = (tail.groupBy(*SERIES)
+          .agg(F.max("date").alias("last_date"), F.max(F.when(F.col("_rk") == 1, F.col("temp_c"))).alias("_temp"),
+               F.sort_array(F.collect_list(F.struct("date", F.col("actual_demand_kg").alias("y")))).alias("_tail"))
+          .select(*SERIES, "last_date", "_temp", F.col("_tail.y").alias("hist")))
+    steps = F.sequence(F.lit(1), F.lit(horizon))
+    if not known_future:
+        return st.select(*SERIES, "last_date", "hist", F.array_repeat("_temp", horizon).alias("temps"),
+                         F.array_repeat(F.lit(1.0), horizon).alias("fests"))
+    if festivals is None:
+        last = demand.agg(F.max("date")).first()[0]
+        festivals = festival_dim(demand.sparkSession, years_of(last, last + dt.timedelta(days=horizon)) if last else (1970,))
+    days = st.select("last_date").distinct().select("last_date", F.explode(steps).alias("i")).withColumn("_d", F.date_add("last_date", F.col("i")))
+    days = with_festival(days, festivals, "_d", "_fm")
+    fests = days.groupBy("last_date").agg(F.sort_array(F.collect_list(F.struct("i", F.round("_fm", 2).alias("v"))))["v"].alias("fests"))
+    temps = F.transform(steps, lambda i: seasonal_temp(F.dayofyear(F.date_add("last_date", i))))
+    return st.join(fests, "last_date").select(*SERIES, "last_date", "hist", temps.alias("temps"), "fests")
 
 
-def _std_samp(arr: Column) -> Column:
-    m = _mean(arr)
-    ss = F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + (x - m) * (x - m))
-    return F.sqrt(ss / (F.size(arr) - 1))
+def fold_forecast(state: DataFrame, horizon: int, row: str, score: str) -> DataFrame:
+    """B18 as one projection: a fold over the steps whose state is the history
+    and the predictions; each step makes ``row`` from it, scores it (``score``
+    over ``x``) and appends the value, clamped at 0. No job per step."""
+    step = (f"transform(array({row}), x -> transform(array(greatest({score}, 0e0) + 0e0), y -> "
+            "named_struct('h', slice(concat(s.h, array(y)), -14, 14), 'p', concat(s.p, array(y))))[0])[0]")
+    fold = f"aggregate(sequence(1, {horizon}), named_struct('h', hist, 'p', CAST(array() AS array<double>)), (s, i) -> {step}, s -> s.p)"
+    out = state.select(*SERIES, "last_date", F.posexplode(F.expr(fold)).alias("_pos", "_f"))
+    return out.select(*SERIES, (F.col("_pos") + 1).alias("step"), F.date_add("last_date", F.col("_pos") + 1).alias("date"), "_f")
 
 
 def recursive_forecast(model: PipelineModel, demand: DataFrame, p: C.Params = C.DEFAULT,
-                       horizon: int | None = None, checkpoint_every: int = 5,
-                       known_future: bool = False, festivals: DataFrame | None = None) -> DataFrame:
-    """Feed each prediction back as the next step's lags. By default the
-    temperature is the last one seen and the festival multiplier 1.0 (Q7);
-    ``known_future`` takes both from the calendar instead (the seasonal
-    temperature cycle and ``festivals``, by default the built-in calendar of
-    the years around the last date)."""
-    from ..sources.views import festival_dim, seasonal_temp, with_festival, years_of
+                       horizon: int | None = None, known_future: bool = False, festivals: DataFrame | None = None) -> DataFrame:
+    """Feed each prediction back as the next step's lags, with the pooled
+    model compiled to SQL. By default the temperature is the last one seen and
+    the festival multiplier 1.0 (Q7); ``known_future`` takes both from the
+    calendar instead (the seasonal temperature cycle and ``festivals``, by
+    default the built-in calendar of the years around the last date)."""
     h = horizon or p.horizon
-    ensure_checkpoint_dir(demand.sparkSession)
-    if known_future:
-        last = demand.agg(F.max("date")).first()[0]
-        calendar = festivals or festival_dim(demand.sparkSession, years_of(last, last + dt.timedelta(days=h)) if last else (1970,))
-    w = Window.partitionBy(*SERIES).orderBy(F.desc("date"))
-    tail = demand.select(*SERIES, "date", "actual_demand_kg", "temp_c", F.row_number().over(w).alias("_rk")) \
-        .filter(F.col("_rk") <= 14)
-    st = (tail.groupBy(*SERIES)
-          .agg(F.max("date").alias("last_date"),
-               F.max(F.when(F.col("_rk") == 1, F.col("temp_c"))).alias("last_temp"),
-               F.sort_array(F.collect_list(F.struct(F.col("date"), F.col("actual_demand_kg").alias("y"))))
-               .alias("_tail"))
-          .select(*SERIES, "last_date", "last_temp", F.col("_tail.y").alias("hist"),
-                  F.array().cast("array<double>").alias("preds")))
-    for i in range(1, h + 1):
-        d = F.date_add("last_date", F.lit(i))
-        hist = F.col("hist")
-        feats = st.select(
-            "*",
-            *[F.element_at(hist, -n).alias(f"lag_{n}") for n in C.DEMAND_LAGS],
-            _mean(F.slice(hist, -7, 7)).alias("rolling_7_mean"),
-            _std_samp(F.slice(hist, -7, 7)).alias("rolling_7_std"),
-            _mean(F.slice(hist, -14, 14)).alias("rolling_14_mean"),
-            F.weekday(d).cast("int").alias("day_of_week"), F.month(d).alias("month"),
-            F.dayofyear(d).alias("day_of_year"), (F.weekday(d) >= 5).cast("int").alias("is_weekend"),
-            (seasonal_temp(F.dayofyear(d)) if known_future else F.col("last_temp")).alias("temp_c"),
-            *([] if known_future else [F.lit(1.0).alias("festival_multiplier")]))
-        if known_future:
-            feats = with_festival(feats.withColumn("_d", d), calendar, "_d", "_fm")
-            feats = feats.withColumn("festival_multiplier", F.round("_fm", 2)).drop("_d", "_fm")
-        scored = model.transform(feats).withColumn("_p", clamp0("prediction"))
-        st = scored.select(*SERIES, "last_date", "last_temp",
-                           F.slice(F.concat(hist, F.array("_p")), -14, 14).alias("hist"),
-                           F.concat("preds", F.array("_p")).alias("preds"))
-        if i % checkpoint_every == 0 and i < h:
-            st = st.checkpoint(eager=True)
-    out = st.select(*SERIES, "last_date", F.posexplode("preds").alias("_pos", "_f"))
-    return out.select(*SERIES, (F.col("_pos") + 1).alias("step"),
-                      F.date_add("last_date", F.col("_pos") + 1).alias("date"), "_f")
+    feats = _features_sql()
+    labels, trees = TR.compile_pipeline(model, demand.sparkSession, {n: f"x.{n}" for n in feats})
+    row = f"named_struct({', '.join(f'{chr(39)}{n}{chr(39)}, {x}' for n, x in feats.items())})"
+    state = forecast_state(demand, h, known_future, festivals).selectExpr("*", *[f"{x} AS {n}" for n, x in labels.items()])
+    return fold_forecast(state, h, row, TR.sum_sql(trees))
+
+
+def recursive_forecast_by_sku(model: DataFrame, demand: DataFrame, p: C.Params = C.DEFAULT, depth: int = 4, bins: int = 64,
+                              horizon: int | None = None, known_future: bool = False, festivals: DataFrame | None = None) -> DataFrame:
+    """B18 with one boosted model per SKU; series of SKUs without one are left out."""
+    h = horizon or p.horizon
+    feats = _features_sql()
+    state = forecast_state(demand, h, known_future, festivals).join(model, "sku_id")
+    return fold_forecast(state, h, BO.bins_sql([feats[n] for n in C.DEMAND_FEATURES], bins), BO.boosted_score("x", "base", "trees", depth))
 
 
 def generate_forecast(model: PipelineModel | None, demand: DataFrame, p: C.Params = C.DEFAULT,

@@ -59,6 +59,7 @@ def rules() -> list:
         ("expiry_before_procurement", F.col("expiry_date") < F.col("procurement_date")),
         ("null_key", F.col("sku_id").isNull() | F.col("warehouse_id").isNull()),
         ("unknown_key", (F.col("sku_id") == C.UNKNOWN) | (F.col("warehouse_id") == C.UNKNOWN)),
+        ("implausible_date", ~F.coalesce(F.col("procurement_date").between(F.lit(C.DEFAULT.first_day), F.lit(C.DEFAULT.last_day)), F.lit(False))),
         ("spoiled_exceeds_quantity", F.col("spoiled_kg") > F.col("quantity_kg")),
     ]
 
@@ -96,21 +97,42 @@ def stock_aware_purchase(forecast: DataFrame, stock: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ D6
-def stockout_rate(lots: DataFrame, demand: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
-    """Unfilled kg / demanded kg per warehouse. A lot is available from
-    procurement to the day before expiry. Lots of a series with the same two
-    days are summed first, then exploded to their days (at most the shelf
-    life), then joined on (sku, warehouse, day)."""
-    days = F.sequence(F.col("procurement_date"), F.date_sub("expiry_date", 1))
-    batches = lots.groupBy(*SERIES, "procurement_date", "expiry_date").agg(F.sum("quantity_kg").alias("quantity_kg"))
-    avail = (batches.select(*SERIES, "quantity_kg", F.explode(days).alias("date"))
-             .filter((F.col("date") >= F.lit(start)) & (F.col("date") <= F.lit(end)))
-             .groupBy(*SERIES, "date").agg(F.sum("quantity_kg").alias("avail_kg")))
-    j = demand.select(*SERIES, "date", "actual_demand_kg").join(avail, [*SERIES, "date"], "left")
-    unfilled = clamp0(F.col("actual_demand_kg") - F.coalesce("avail_kg", F.lit(0.0)))
-    g = j.groupBy("warehouse_id").agg(F.sum("actual_demand_kg").alias("dem"), F.sum(unfilled).alias("unf"))
+def stock_events(lots: DataFrame) -> DataFrame:
+    """Changes of a series' stock by day: what arrives on its procurement day
+    and leaves on its expiry day, with the kg sold that day (in these tables a
+    lot is sold as it arrives). Two rows a batch, however long it keeps; a lot
+    without an expiry day is no stock."""
+    batches = lots.groupBy(*SERIES, "procurement_date", "expiry_date").agg(F.sum("quantity_kg").alias("kg"))
+    both = F.array(F.struct(F.col("procurement_date").alias("date"), F.when(F.col("expiry_date").isNotNull(), F.col("kg")).otherwise(F.lit(0.0)).alias("delta_kg"), F.col("kg").alias("sold_kg")),
+                   F.struct(F.col("expiry_date").alias("date"), (-F.col("kg")).alias("delta_kg"), F.lit(0.0).alias("sold_kg")))
+    return (batches.select(*SERIES, F.explode(both).alias("e")).where("e.date is not null").groupBy(*SERIES, "e.date")
+            .agg(F.sum("e.delta_kg").alias("delta_kg"), F.sum("e.sold_kg").alias("sold_kg")))
+
+
+def stockout_rate(events: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
+    """Unfilled kg / demanded kg per warehouse over the days ``start`` to
+    ``end``, from ``stock_events`` with each series' daily ``base_demand``. A
+    sweep: between two events of a series stock and demand stay as they are, so
+    an interval counts by its days and no day is a row. Demand of a day is the
+    base and what was sold; stock is what arrived less what expired by then.
+    Series without a sale in the period have no demand."""
+    w = Window.partitionBy(*SERIES).orderBy("date")
+    whole = Window.partitionBy(*SERIES)
+    day = F.col("date")
+    a, z = F.lit(start), F.lit(end)
+    inside = day.between(a, z)
+    e = events.select(*SERIES, "date", "base_demand", "sold_kg", F.sum("delta_kg").over(w).alias("stock"),
+                      F.coalesce(F.lead("date").over(w), F.date_add(z, 1)).alias("next"), F.lag("date").over(w).alias("prev"),
+                      F.max(F.when(F.col("sold_kg") > 0, inside).otherwise(F.lit(False))).over(whole).alias("live")).where("live")
+    # days of [date, next) after the day itself, and those before the first event
+    quiet = F.greatest(F.lit(0), F.datediff(F.least("next", F.date_add(z, 1)), F.greatest(F.date_add("date", 1), a)))
+    ahead = F.when(F.col("prev").isNull(), F.greatest(F.lit(0), F.datediff(F.least(day, F.date_add(z, 1)), a))).otherwise(F.lit(0))
+    base, today = F.col("base_demand"), F.col("base_demand") + F.col("sold_kg")
+    dem = F.when(inside, today).otherwise(F.lit(0.0)) + base * (quiet + ahead)
+    unf = F.when(inside, clamp0(today - F.col("stock"))).otherwise(F.lit(0.0)) + clamp0(base - F.col("stock")) * quiet + base * ahead
+    g = e.groupBy("warehouse_id").agg(F.sum(dem).alias("dem"), F.sum(unf).alias("unf"))
     return g.select("warehouse_id", r2("dem").alias("demand_kg"), r2("unf").alias("unfilled_kg"),
-                    r4(F.col("unf") / F.col("dem") * 100).alias("stockout_rate_pct"))
+                    r4(F.try_divide(F.col("unf"), F.col("dem")) * 100).alias("stockout_rate_pct"))
 
 
 # ------------------------------------------------------------------ D7
@@ -277,6 +299,51 @@ def fifo_check(active_full: DataFrame) -> DataFrame:
                     "dispatched", (F.col("dispatched") & F.coalesce(older, F.lit(False))).alias("fifo_violation"))
 
 
+def _tiled(df: DataFrame, day: str, key: str, kg: str) -> DataFrame:
+    """Places [lo, hi) of rows on their series' line of kg, by day and key:
+    running sums inside a (series, day) behind the sums of the days before, so
+    that a hot series is spread over its days."""
+    d = df.where(F.col(kg) > 0).select(*SERIES, F.col(day).alias("_day"), F.col(key).alias("_key"), F.col(kg).alias("_kg"))
+    upto = Window.partitionBy(*SERIES).orderBy("_day")
+    days = (d.groupBy(*SERIES, "_day").agg(F.sum("_kg").alias("_sum"), F.count("*").alias("_n"))
+            .select(*SERIES, "_day", (F.sum("_sum").over(upto) - F.col("_sum")).alias("_before"),
+                    F.sum("_sum").over(Window.partitionBy(*SERIES)).alias("total"), F.sum("_n").over(Window.partitionBy(*SERIES)).alias("n")))
+    inside = Window.partitionBy(*SERIES, "_day").orderBy("_key")
+    return (d.withColumn("_in", F.sum("_kg").over(inside)).join(days, [*SERIES, "_day"])
+            .select(*SERIES, "_key", (F.col("_before") + F.col("_in") - F.col("_kg")).alias("lo"), (F.col("_before") + F.col("_in")).alias("hi"), "total", "n"))
+
+
+def fifo_allocation(lots: DataFrame, dispatches: DataFrame, bucket_rows: int = 4096) -> DataFrame:
+    """D17 as quantities: the kg of each dispatch (series, dispatch_id,
+    dispatch_date, kg) taken from the series' lots (lot_id, procurement_date,
+    quantity_kg), oldest first; ties by id. Both sides tile a line of kg from 0,
+    and a piece on which neither changes is one allocation, so no pairs are
+    formed. The line is cut into stretches of about ``bucket_rows`` rows, which
+    the windows work on. What the lots cannot cover has a null lot_id; kg of 0
+    or less and null kg take no part."""
+    a = _tiled(lots, "procurement_date", "lot_id", "quantity_kg")
+    b = _tiled(dispatches, "dispatch_date", "dispatch_id", "kg")
+    size = (a.select(*SERIES, "total", "n").unionByName(b.select(*SERIES, "total", "n")).groupBy(*SERIES)
+            .agg((F.max("total") / F.ceil(F.sum(F.lit(1)) / bucket_rows)).alias("width")))
+    line = (a.withColumn("kind", F.lit("lot")).unionByName(b.withColumn("kind", F.lit("dispatch")))
+            .select(*SERIES, "kind", F.struct(F.col("_key").alias("id")).alias("what"), "lo", "hi", "total"))
+    # behind its last row a side has nothing: an interval without an id
+    ends = line.groupBy(*SERIES, "kind").agg(F.max("hi").alias("lo")).withColumn("hi", F.lit(float("inf"))).withColumn("what", F.struct(F.lit(None).cast("string").alias("id")))
+    line = line.drop("total").unionByName(ends).join(size, SERIES)
+    last = F.floor(F.when(F.col("hi") == float("inf"), F.col("lo")).otherwise(F.col("hi")) / F.col("width"))
+    cut = (line.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / F.col("width")), last)))
+           .withColumn("lo", F.greatest("lo", F.col("bucket") * F.col("width"))).where("lo < hi"))
+    w = Window.partitionBy(*SERIES, "bucket").orderBy("lo")
+    edge = (F.col("bucket") + 1) * F.col("width")
+    one = cut.groupBy(*SERIES, "bucket", "lo").agg(F.max(F.when(F.col("kind") == "lot", F.struct("what", "hi"))).alias("lot"),
+                                                   F.max(F.when(F.col("kind") == "dispatch", F.struct("what", "hi"))).alias("dispatch"), F.max("width").alias("width"))
+    held = one.select(*SERIES, "lo", F.last("lot", ignorenulls=True).over(w).alias("lot"), F.last("dispatch", ignorenulls=True).over(w).alias("dispatch"),
+                      F.coalesce(F.lead("lo").over(w), edge).alias("edge"))
+    end = F.least(F.col("edge"), F.col("dispatch.hi"), F.coalesce("lot.hi", F.lit(float("inf"))))
+    kg = held.select(*SERIES, F.col("dispatch.what.id").alias("dispatch_id"), F.col("lot.what.id").alias("lot_id"), (end - F.col("lo")).alias("kg"))
+    return (kg.where("dispatch_id is not null and kg > 0").groupBy(*SERIES, "dispatch_id", "lot_id").agg(F.sum("kg").alias("kg")))
+
+
 # ------------------------------------------------------------------ D18
 def supplier_degradation(lots: DataFrame) -> DataFrame:
     """Spoilage by supplier with a global degradation rank."""
@@ -314,8 +381,8 @@ def demand_growth(demand: DataFrame, p: C.Params = C.DEFAULT) -> DataFrame:
 def category_newsvendor(demand: DataFrame, p: C.Params = C.DEFAULT, costs=None,
                         margin: float = ORDER_MARGIN, per_row_z: bool = False) -> DataFrame:
     """Per-category cost ratios; z is folded on the driver per category
-    (a constant table with one row per category) and the order
-    gets a safety margin. ``per_row_z`` computes z from the ratio column with
+    (a constant table with one row per category; a category without a row has
+    the default costs) and the order gets a safety margin. ``per_row_z`` computes z from the ratio column with
     the vectorised UDF instead (for cost tables too large to fold)."""
     costs = costs or CATEGORY_COSTS
     spark = demand.sparkSession
@@ -325,8 +392,9 @@ def category_newsvendor(demand: DataFrame, p: C.Params = C.DEFAULT, costs=None,
         from ..functions.udfs import norm_ppf
         tbl = tbl.withColumn("z", norm_ppf(F.col("cu") / (F.col("cu") + F.col("co"))))
     st = series_state(demand, p, carry=("category",))
-    j = st.join(tbl, "category")
-    q = newsvendor_qty("mu", "sigma", F.col("z"), p.sigma_floor)
+    j = (st.join(F.broadcast(tbl), "category", "left")
+         .withColumn("critical_ratio", F.coalesce("critical_ratio", F.lit(p.cost_under / (p.cost_under + p.cost_over)))))
+    q = newsvendor_qty("mu", "sigma", F.coalesce("z", F.lit(z_value(p.cost_under, p.cost_over))), p.sigma_floor)
     return j.select(*SERIES, "category", r4("critical_ratio").alias("critical_ratio"),
                     q.alias("optimal_order"), rnd(q * (1 + margin), 1).alias("order_with_margin"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.columns import lakhs_text, lot_code, money_text, pct_text, r4, rnd, thousands_text
+from ..functions.columns import lakhs_text, lot_code, money_text, pct_text, r2, r4, rnd, thousands_text
 from ..operators import alerts as AL
 from ..operators import features as FE
 from ..operators import forecast as FC
@@ -25,6 +25,7 @@ from ..session import ensure_checkpoint_dir
 from ..sources import views as V
 from ..sources.tables import Tables
 from ..streaming import streams as ST
+from ..streaming import tier_state as TI
 
 P = C.DEFAULT
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -158,7 +159,7 @@ def q_alert_table(spark, d):
 def q_procurement_schedule(spark, d):
     t = _t(spark, d)
     series = (V.series(V.lines(t))
-              .select("sku_id", "warehouse_id", V.sku_attrs("sku_id")["shelf_life_days"].alias("shelf_life_days")))
+              .transform(lambda s: V.with_series_attributes(t, s)).select("sku_id", "warehouse_id", "shelf_life_days"))
     return AL.procurement_schedule(series, *V.bounds(t, P))
 
 
@@ -342,8 +343,8 @@ def q_d_stock_aware_purchase(spark, d):
 def q_d_stockout_rate(spark, d):
     t = _t(spark, d)
     start, end = V.bounds(t, P)
-    lo = V.lots(t) if P.fiscal_year is None else V.lots(t, start - dt.timedelta(days=V.longest_shelf_life(t)), end + dt.timedelta(days=1))
-    return PL.stockout_rate(lo, V.demand(t, P), start, end)
+    lo = V.lots(t, start - dt.timedelta(days=0 if P.fiscal_year is None else V.longest_shelf_life(t)), end + dt.timedelta(days=1))
+    return PL.stockout_rate(V.with_series_attributes(t, PL.stock_events(lo)), start, end)
 
 
 @query("d_overview_counts")
@@ -405,6 +406,14 @@ def q_d_fifo(spark, d):
     return PL.fifo_check(V.active_lots(_t(spark, d), P.as_of, full=True))
 
 
+@query("d_fifo_allocation")
+def q_d_fifo_allocation(spark, d):
+    a = V.active_lots(_t(spark, d), P.as_of, full=True)
+    out = a.where("dispatched").select("sku_id", "warehouse_id", F.col("lot_id").alias("dispatch_id"), F.col("expiry_date").alias("dispatch_date"), F.col("quantity_kg").alias("kg"))
+    got = PL.fifo_allocation(a, out)
+    return got.select("sku_id", "warehouse_id", "dispatch_id", "lot_id", r2("kg").alias("kg"), F.coalesce(F.col("dispatch_id") != F.col("lot_id"), F.lit(True)).alias("other_lot"))
+
+
 @query("d_supplier_degradation")
 def q_d_supplier_degradation(spark, d):
     return PL.supplier_degradation(V.lots(_t(spark, d), warehouse=False))
@@ -446,6 +455,19 @@ def q_stream_lot_alerts(spark, d):
     return ST.run(ST.lot_alerts(ST.stream_table(spark, d, "lineitem", ST.BATCH_BYTES), _t(spark, d)), "lot_alerts")
 
 
+@query("stream_tier_changes")
+def q_stream_tier_changes(spark, d):
+    t = _t(spark, d)
+    far = {"l_shipdate": dt.datetime(2200, 1, 1), "l_orderkey": -1, "l_linestatus": "O", "l_linenumber": 0, "l_partkey": t.part.agg(F.min("p_partkey")).first()[0]}
+    got = ST.run_bounded(ST.stream_table(spark, d, "lineitem"), lambda li: TI.tier_changes(ST.lot_readings(li, t)), "tier_changes", flush_row=far)
+    return got.where("not startswith(lot_id, '-1-')")
+
+
+@query("stream_dedup_events")
+def q_stream_dedup_events(spark, d):
+    return ST.run_bounded(ST.stream_table(spark, d, "events"), ST.dedup_events, "dedup_events").where("event_type <> 'flush'")
+
+
 @query("stream_daily_kpi")
 def q_stream_daily_kpi(spark, d):
     return ST.run_bounded(ST.stream_table(spark, d, "events"), ST.daily_kpis, "daily_kpi")
@@ -469,8 +491,7 @@ def q_stream_dedup(spark, d):
 # ------------------------------------------------------------------ model layer that SQL can repeat
 @query("series_rows")
 def q_series_rows(spark, d):
-    dm = V.demand(_t(spark, d), P)
-    return dm.filter((F.col("sku_id") == "Brand#11") & (F.col("warehouse_id") == "ASIA")).select("date", "sku_id", "warehouse_id", "actual_demand_kg")
+    return FE.series_rows(V.demand(_t(spark, d), P))
 
 
 @query("spoilage_features")
@@ -551,6 +572,35 @@ def q_recursive_forecast(spark, d):
     return M.generate_forecast(_demand_model(spark, d)[0], _grid(_t(spark, d)), P)
 
 
+#: a small ensemble per SKU that SQL can grow as well
+SMALL = {"trees": 2, "depth": 2, "bins": 16}
+
+
+@query("sku_model_mape")
+def q_sku_model_mape(spark, d):
+    return M.demand_model_mape(M.train_sku_models(V.demand(_t(spark, d), P), P, cache_key=(d, P))[1]).orderBy("mape", "sku_id")
+
+
+@query("sku_model_forecast")
+def q_sku_model_forecast(spark, d):
+    dm = _grid(_t(spark, d))
+    f = M.recursive_forecast_by_sku(M.train_sku_models(dm, P, cache_key=(d, P))[0], dm, P, P.gbt_depth)
+    return FC.forecast_band(f.join(FC.series_state(dm, P).select(*FE.SERIES, "sigma"), FE.SERIES), P)
+
+
+@query("sku_small_model_mape")
+def q_sku_small_model_mape(spark, d):
+    return M.demand_model_mape(M.train_sku_models(V.demand(_t(spark, d), P), P, **SMALL, cache_key=(d, P))[1])
+
+
+@query("sku_small_model_forecast")
+def q_sku_small_model_forecast(spark, d):
+    dm = V.demand(_t(spark, d), P)
+    model = M.train_sku_models(dm, P, **SMALL, cache_key=(d, P))[0]
+    f = M.recursive_forecast_by_sku(model, dm, P, SMALL["depth"], SMALL["bins"])
+    return f.select("sku_id", "warehouse_id", "step", "date", r4("_f").alias("forecast_kg"))
+
+
 @query("score_active_lots")
 def q_score_active_lots(spark, d):
     return M.score_active_lots(_spoil(spark, d)[0], V.active_lots(_t(spark, d), P.as_of, full=True))

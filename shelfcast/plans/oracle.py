@@ -269,6 +269,106 @@ def sql(name: str, body: str) -> None:
     ORACLE[name] = with_base(body)
 
 
+# ------------------------------------------------------------------ boosted trees per sku
+def boosted(trees: int, depth: int, bins: int, rate: float) -> str:
+    """CTEs that grow the trees: per tree and level the nodes of all rows, their
+    histograms and the best split of each node; r holds residuals of the
+    training rows and minus the prediction's sum of leaves for the others."""
+    names = ["lag_1", "lag_2", "lag_3", "lag_7", "lag_14", "rolling_7_mean", "rolling_7_std", "rolling_14_mean",
+             "day_of_week", "month", "day_of_year", "is_weekend", "temp_c", "festival_multiplier"]
+    xs = "[" + ", ".join(f"CAST({n} AS DOUBLE)" for n in names) + "]"
+    out = [f"""
+brows AS MATERIALIZED (
+  SELECT sku_id, warehouse_id, date, actual_demand_kg AS y, split = 'train' AS tr, {xs} AS f
+  FROM (SELECT *, count(*) OVER (PARTITION BY sku_id, warehouse_id) AS nf FROM split2) q WHERE nf >= 50
+)""", """
+bbounds AS MATERIALIZED (
+  SELECT sku_id, list(lo ORDER BY i) AS lo, list(hi ORDER BY i) AS hi, any_value(base) AS base
+  FROM (SELECT sku_id, i, min(f[i]) AS lo, max(f[i]) AS hi, avg(y) AS base FROM brows, range(1, 15) r(i) WHERE tr GROUP BY sku_id, i) q GROUP BY sku_id
+)""", f"""
+n_1_0 AS MATERIALIZED (
+  SELECT sku_id, warehouse_id, date, y, tr, y - base AS r, 1 AS node, CAST(0 AS DOUBLE) AS p,
+         list_transform(range(1, 15), lambda i: CASE WHEN hi[i] > lo[i] THEN greatest(0, least({bins - 1}, CAST(floor((f[i] - lo[i]) / (hi[i] - lo[i]) * {bins}) AS INTEGER))) ELSE 0 END) AS x
+  FROM brows JOIN bbounds USING (sku_id)
+)"""]
+    for k in range(1, trees + 1):
+        for d in range(depth):
+            out.append(f"""
+s_{k}_{d} AS MATERIALIZED (
+  SELECT sku_id, node, i, bin FROM (
+    SELECT *, row_number() OVER (PARTITION BY sku_id, node ORDER BY g DESC, i, bin) AS rn FROM (
+      SELECT *, CAST(sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) - st * st / nt AS FLOAT) AS g FROM (
+        SELECT sku_id, node, i, bin, sum(s) OVER u AS sl, sum(n) OVER u AS nl, sum(s) OVER w AS st, sum(n) OVER w AS nt
+        FROM (SELECT sku_id, node, i, x[i] AS bin, sum(r) AS s, count(*) AS n FROM n_{k}_{d}, range(1, 15) t(i) WHERE tr GROUP BY 1, 2, 3, 4) h
+        WINDOW w AS (PARTITION BY sku_id, node, i), u AS (PARTITION BY sku_id, node, i ORDER BY bin)) c
+      WHERE nt > nl) q) z WHERE rn = 1 AND g > 0
+)""")
+            out.append(f"""
+n_{k}_{d + 1} AS MATERIALIZED (
+  SELECT n.* REPLACE (2 * n.node + CASE WHEN x[s.i] > s.bin THEN 1 ELSE 0 END AS node)
+  FROM n_{k}_{d} n LEFT JOIN s_{k}_{d} s ON n.sku_id = s.sku_id AND n.node = s.node
+)""")
+        out.append(f"""
+v_{k} AS MATERIALIZED (SELECT sku_id, node, avg(r) * CAST({rate} AS DOUBLE) AS v FROM n_{k}_{depth} WHERE tr GROUP BY 1, 2)""")
+        out.append(f"""
+n_{k + 1}_0 AS MATERIALIZED (
+  SELECT n.* REPLACE (n.r - coalesce(v, 0) AS r, n.p + coalesce(v, 0) AS p, 1 AS node)
+  FROM n_{k}_{depth} n LEFT JOIN v_{k} v ON n.sku_id = v.sku_id AND n.node = v.node
+)""")
+    return "," + ",".join(out)
+
+
+def boosted_value(trees: int, depth: int, x: str) -> str:
+    """Sum of the leaves that the binned features reach, from columns of bmodel."""
+    def node(k, at):
+        if at >= 1 << depth:
+            return f"v_{k}_{at}"
+        return f"CASE WHEN i_{k}_{at} IS NOT NULL AND {x}[i_{k}_{at}] > b_{k}_{at} THEN {node(k, 2 * at + 1)} ELSE {node(k, 2 * at)} END"
+    return " + ".join(f"({node(k, 1)})" for k in range(1, trees + 1))
+
+
+def boosted_model(trees: int, depth: int) -> str:
+    """bmodel: one row per sku, a column per node."""
+    cols, joins = [], []
+    for k in range(1, trees + 1):
+        for d in range(depth):
+            inner = ", ".join(f"max(CASE WHEN node = {n} THEN i END) AS i_{k}_{n}, max(CASE WHEN node = {n} THEN bin END) AS b_{k}_{n}" for n in range(1 << d, 2 << d))
+            cols += [f"{c}_{k}_{n}" for n in range(1 << d, 2 << d) for c in "ib"]
+            joins.append(f"LEFT JOIN (SELECT sku_id, {inner} FROM s_{k}_{d} GROUP BY sku_id) q_{k}_{d} USING (sku_id)")
+        inner = ", ".join(f"max(CASE WHEN node = {n} THEN v END) AS w_{k}_{n}" for n in range(1 << depth, 2 << depth))
+        cols += [f"coalesce(w_{k}_{n}, 0) AS v_{k}_{n}" for n in range(1 << depth, 2 << depth)]
+        joins.append(f"LEFT JOIN (SELECT sku_id, {inner} FROM v_{k} GROUP BY sku_id) l_{k} USING (sku_id)")
+    return f"""
+, bmodel AS MATERIALIZED (SELECT sku_id, lo, hi, base, {', '.join(cols)} FROM bbounds {' '.join(joins)})"""
+
+
+SMALL = (2, 2, 16, 0.08)
+sql("sku_small_model_mape", boosted(*SMALL) + f"""
+, m AS (SELECT n.sku_id, avg(abs(y - greatest(base + p, 0)) / greatest(abs(y), 2.220446049250313e-16)) * 100 AS m, count(*) AS n_test
+        FROM n_{SMALL[0] + 1}_0 n JOIN bbounds USING (sku_id) WHERE NOT tr GROUP BY n.sku_id)
+SELECT sku_id, {r4('m')} AS mape, n_test, round(avg(m) OVER () + 1e-9, 4) AS avg_mape FROM m""")
+
+sql("sku_small_model_forecast", boosted(*SMALL) + boosted_model(*SMALL[:2]) + f"""
+, start AS (
+  SELECT sku_id, warehouse_id, max(date) AS last_date, arg_max(temp_c, date) AS t, list(actual_demand_kg ORDER BY date) AS h
+  FROM (SELECT *, row_number() OVER (PARTITION BY sku_id, warehouse_id ORDER BY date DESC) AS rk FROM demand) q WHERE rk <= 14 GROUP BY 1, 2),
+fold AS (
+  WITH RECURSIVE z AS (
+    SELECT sku_id, warehouse_id, last_date, t, h, 0 AS step, CAST(NULL AS DOUBLE) AS y FROM start
+    UNION ALL
+    SELECT sku_id, warehouse_id, last_date, t, list_append(h[2:14], y), step, y FROM (
+      SELECT sku_id, warehouse_id, last_date, t, h, step, greatest(base + {boosted_value(*SMALL[:2], 'x')}, 0) AS y FROM (
+        SELECT c.* EXCLUDE (f), m.*  EXCLUDE (sku_id),
+               list_transform(range(1, 15), lambda i: CASE WHEN hi[i] > lo[i] THEN greatest(0, least({SMALL[2] - 1}, CAST(floor((f[i] - lo[i]) / (hi[i] - lo[i]) * {SMALL[2]}) AS INTEGER))) ELSE 0 END) AS x
+        FROM (SELECT sku_id, warehouse_id, last_date, t, h, step + 1 AS step,
+                     [h[14], h[13], h[12], h[8], h[1], list_avg(h[8:14]), list_stddev_samp(h[8:14]), list_avg(h),
+                      CAST(isodow(last_date + CAST(step + 1 AS INTEGER)) - 1 AS DOUBLE), CAST(month(last_date + CAST(step + 1 AS INTEGER)) AS DOUBLE),
+                      CAST(dayofyear(last_date + CAST(step + 1 AS INTEGER)) AS DOUBLE),
+                      CAST(CASE WHEN isodow(last_date + CAST(step + 1 AS INTEGER)) >= 6 THEN 1 ELSE 0 END AS DOUBLE), t, CAST(1.0 AS DOUBLE)] AS f
+              FROM z WHERE step < 14) c JOIN bmodel m ON c.sku_id = m.sku_id) e) g)
+  SELECT * FROM z)
+SELECT sku_id, warehouse_id, CAST(step AS INTEGER) AS step, last_date + CAST(step AS INTEGER) AS date, {r4('y')} AS forecast_kg FROM fold WHERE step > 0""")
+
 # ------------------------------------------------------------------ KPIs
 sql("wastage_kpi", f"""
 SELECT {r2('sum(lot_value)')} AS total_value, {r2('sum(spoiled_value)')} AS spoiled_value,
@@ -629,12 +729,12 @@ SELECT CAST(a AS INTEGER) AS actual, CAST(b AS INTEGER) AS predicted, (SELECT co
 FROM range(0, 2) r(a), range(0, 2) s(b)""")
 
 sql("series_rows", """
-SELECT date, sku_id, warehouse_id, actual_demand_kg FROM demand WHERE sku_id = 'Brand#11' AND warehouse_id = 'ASIA'""")
+SELECT date, sku_id, warehouse_id, actual_demand_kg FROM demand""")
 
 sql("naive_actual_vs_predicted", f"""
 SELECT sku_id, warehouse_id, date, CAST(row_number() OVER (PARTITION BY sku_id, warehouse_id ORDER BY date) AS INTEGER) AS step,
        {r4('actual')} AS actual, {r4('pred_ma7')} AS predicted
-FROM naive WHERE sku_id = (SELECT min(sku_id) FROM naive)""")
+FROM naive""")
 
 sql("d_discount_rule", f"""
 , x AS (SELECT *, 30.0 - (pct - 0.4) / CAST(0.2 AS DOUBLE) * 15.0 AS off FROM active WHERE pct >= 0.4 AND pct <= 0.6)
@@ -703,6 +803,22 @@ SELECT a.lot_id, a.sku_id, a.warehouse_id, a.procurement_date, CAST(rk.fifo_rank
 FROM a LEFT JOIN o ON a.sku_id = o.sku_id AND a.warehouse_id = o.warehouse_id
 JOIN rk ON a.sku_id = rk.sku_id AND a.warehouse_id = rk.warehouse_id AND a.procurement_date = rk.procurement_date""")
 
+sql("stream_tier_changes", """
+, a AS (SELECT lot_id, risk_level, CAST(procurement_date AS TIMESTAMP) + to_milliseconds(CAST(effective_shelf_life AS BIGINT) * pct * 864000 + 1) AS alert_ts,
+               CASE WHEN dispatched THEN CAST(procurement_date + inspection_day AS TIMESTAMP) END AS gone
+        FROM lots, (VALUES ('HIGH', 60), ('CRITICAL', 80)) v(risk_level, pct))
+SELECT lot_id, alert_ts, risk_level FROM a WHERE gone IS NULL OR alert_ts <= gone""")
+
+sql("stream_dedup_events", """
+SELECT DISTINCT event_id, ts, event_type, user_id, value FROM events""")
+
+sql("d_fifo_allocation", f"""
+, la AS (SELECT sku_id, warehouse_id, lot_id, quantity_kg AS kg, sum(quantity_kg) OVER (PARTITION BY sku_id, warehouse_id ORDER BY procurement_date, lot_id) AS hi FROM active),
+di AS (SELECT sku_id, warehouse_id, lot_id, quantity_kg AS kg, sum(quantity_kg) OVER (PARTITION BY sku_id, warehouse_id ORDER BY expiry_date, lot_id) AS hi FROM active WHERE dispatched)
+SELECT d.sku_id, d.warehouse_id, d.lot_id AS dispatch_id, l.lot_id, {r2('least(l.hi, d.hi) - greatest(l.hi - l.kg, d.hi - d.kg)')} AS kg, d.lot_id <> l.lot_id AS other_lot
+FROM di d JOIN la l ON d.sku_id = l.sku_id AND d.warehouse_id = l.warehouse_id
+WHERE least(l.hi, d.hi) > greatest(l.hi - l.kg, d.hi - d.kg)""")
+
 sql("d_supplier_degradation", f"""
 , g AS (SELECT supplier_id, count(*) AS n_lots, CAST(sum(did_spoil) AS BIGINT) AS n_spoiled,
                {r2('sum(spoiled_value)')} AS spoiled_value FROM lots GROUP BY 1)

@@ -40,12 +40,35 @@ def clear_views(stopped_only: bool = False) -> None:
         del _VIEWS[k]
 
 
+class _Same:
+    """Equal to itself over the same frame only."""
+
+    def __init__(self, df: DataFrame | None):
+        self.df = df
+
+    def __hash__(self) -> int:
+        return id(self.df)
+
+    def __eq__(self, other) -> bool:
+        return isinstance(other, _Same) and self.df is other.df
+
+
 class Tables:
-    """Lazy accessor: ``Tables(spark, dir).lineitem`` -> DataFrame."""
+    """Lazy accessor: ``Tables(spark, dir).lineitem`` -> DataFrame. ``skus``
+    and ``warehouses`` are dimension tables of the caller's own (one row per
+    sku_id with name, category, shelf life, ideal temperature, price and base
+    demand; one per warehouse_id with name and city) in place of the attributes
+    that the views derive from brand and region."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, skus: DataFrame | None = None, warehouses: DataFrame | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.skus, self.warehouses = skus, warehouses
+
+    def dims(self) -> tuple:
+        """Names the caller's dimensions in the key of a view (the frames
+        themselves: an id could be that of a frame long gone)."""
+        return (_Same(self.skus), _Same(self.warehouses))
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}.parquet"
@@ -71,12 +94,14 @@ class Tables:
         n = self.spark.conf.get("shelfcast.scan.partitions", None)
         return df.repartition(int(n)) if n else df
 
-    def date_range(self) -> tuple[dt.date, dt.date]:
-        """First and last ship date (one row of one column; once per session
-        and folder). An empty table has the one day 1970-01-01."""
+    def date_range(self, first: dt.date, last: dt.date) -> tuple[dt.date, dt.date]:
+        """First and last ship date within the plausible days (one row of one
+        column; once per session and folder), so that one wrong date does not
+        stretch every series. Without such a row it is the one day 1970-01-01."""
         def scan():
-            return self.lineitem.agg(F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("z")).first()
-        r = self.view("date_range", (), scan)
+            day = F.col("l_shipdate").cast("date")
+            return self.lineitem.where(day.between(F.lit(first), F.lit(last))).agg(F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("z")).first()
+        r = self.view("date_range", (first, last), scan)
         return (r.a.date(), r.z.date()) if r.a else (dt.date(1970, 1, 1), dt.date(1970, 1, 1))
 
     def broadcast_cap(self) -> int:

@@ -31,17 +31,23 @@ def _ts(d: dt.date) -> Column:
 
 def shipdate_between(lineitem: DataFrame, start: dt.date | None = None,
                      end_exclusive: dt.date | None = None) -> DataFrame:
-    """Pushable range filter on the raw ship timestamp."""
+    """Pushable range filter on the raw ship timestamp, and on the month where
+    the table is partitioned by it."""
+    months = "ship_month" in lineitem.columns
     if start is not None:
         lineitem = lineitem.filter(F.col("l_shipdate") >= _ts(start))
+        lineitem = lineitem.filter(F.col("ship_month") >= start.year * 100 + start.month) if months else lineitem
     if end_exclusive is not None:
+        last = end_exclusive - dt.timedelta(days=1)
         lineitem = lineitem.filter(F.col("l_shipdate") < _ts(end_exclusive))
+        lineitem = lineitem.filter(F.col("ship_month") <= last.year * 100 + last.month) if months else lineitem
     return lineitem
 
 
 # ------------------------------------------------------------------ dimensions
 def brand_number(brand="p_brand") -> Column:
-    return F.substring(F.col(brand), 7, 8).cast("int")
+    """Null for a brand without a number (the member UNKNOWN, foreign names)."""
+    return F.substring(F.col(brand), 7, 8).try_cast("int")
 
 
 def sku_attrs(brand: str = "p_brand") -> dict[str, Column]:
@@ -64,17 +70,23 @@ def sku_columns(brand: str = "p_brand") -> list[Column]:
 
 
 def part_skus(t: Tables) -> DataFrame:
-    """p_partkey -> sku attributes (projection only)."""
-    return t.part.select("p_partkey", *sku_columns())
+    """p_partkey -> sku attributes: a projection, or a join of the caller's
+    own sku dimension (``Tables(skus=...)``)."""
+    if t.skus is None:
+        return t.part.select("p_partkey", *sku_columns())
+    return t.part.select("p_partkey", F.col("p_brand").alias("sku_id")).join(t.skus.select(*sku_attrs()), "sku_id", "left")
 
 
 def sku_dim(t: Tables) -> DataFrame:
-    """S6 sku dimension: one row per brand (partial + final distinct)."""
-    return t.part.select("p_brand").distinct().select(*sku_columns())
+    """S6 sku dimension: one row per brand (partial + final distinct), or the
+    caller's own."""
+    return t.part.select("p_brand").distinct().select(*sku_columns()) if t.skus is None else t.skus.select(*sku_attrs())
 
 
 def warehouse_dim(t: Tables) -> DataFrame:
-    """S6 warehouse dimension: one row per region."""
+    """S6 warehouse dimension: one row per region, or the caller's own."""
+    if t.warehouses is not None:
+        return t.warehouses.select("warehouse_id", "warehouse_name", "city")
     return t.region.select(F.col("r_name").alias("warehouse_id"),
                            F.concat(F.col("r_name"), F.lit(" HUB")).alias("warehouse_name"),
                            F.col("r_name").alias("city"))
@@ -85,11 +97,13 @@ def supplier_warehouse(t: Tables) -> DataFrame:
     fixed-size TPC-H dimensions; Catalyst broadcasts them by size."""
     geo = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")) \
         .select("n_nationkey", "r_name")
-    return (t.supplier.select("s_suppkey", "s_nationkey")
-            .join(geo, F.col("s_nationkey") == F.col("n_nationkey"))
-            .select("s_suppkey",
-                    F.col("r_name").alias("warehouse_id"),
-                    F.concat(F.col("r_name"), F.lit(" HUB")).alias("warehouse_name")))
+    out = (t.supplier.select("s_suppkey", "s_nationkey")
+           .join(geo, F.col("s_nationkey") == F.col("n_nationkey"))
+           .select("s_suppkey", F.col("r_name").alias("warehouse_id"),
+                   F.concat(F.col("r_name"), F.lit(" HUB")).alias("warehouse_name")))
+    if t.warehouses is None:
+        return out
+    return out.drop("warehouse_name").join(t.warehouses.select("warehouse_id", "warehouse_name"), "warehouse_id", "left")
 
 
 def festival_dim(spark, years: tuple[int, ...]) -> DataFrame:
@@ -131,10 +145,8 @@ def lines(t: Tables, start: dt.date | None = None, end_exclusive: dt.date | None
     line stays, with the member UNKNOWN where a dimension lacks its key).
     ``lineitem_df`` replaces the lineitem scan (e.g. a file stream:
     stream-static joins); without ``warehouse`` supplier is not joined."""
-    li = shipdate_between(
-        (lineitem_df if lineitem_df is not None else t.lineitem).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-                          "l_discount", "l_tax", "l_linestatus", "l_shipdate"),
-        start, end_exclusive)
+    li = shipdate_between(lineitem_df if lineitem_df is not None else t.lineitem, start, end_exclusive).select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_linestatus", "l_shipdate")
     if lineitem_df is None:
         li = t.spread(li)
     parts = t.broadcast_if_small(part_skus(t), "part")
@@ -159,7 +171,7 @@ def lots(t: Tables, start: dt.date | None = None, end_exclusive: dt.date | None
     warehouse columns (and their joins) on request. Over the table scan the
     view is defined once per session (``Tables.view``)."""
     if lineitem_df is None:
-        return t.view("lots", (start, end_exclusive, warehouse, t.broadcast_cap(), t.spark.conf.get("shelfcast.scan.partitions", None)),
+        return t.view("lots", (start, end_exclusive, warehouse, t.dims(), t.broadcast_cap(), t.spark.conf.get("shelfcast.scan.partitions", None)),
                       lambda: _lots(t, start, end_exclusive, None, warehouse))
     return _lots(t, start, end_exclusive, lineitem_df, warehouse)
 
@@ -205,10 +217,10 @@ def _lots(t: Tables, start: dt.date | None, end_exclusive: dt.date | None,
 
 
 def bounds(t: Tables, p: C.Params = C.DEFAULT) -> tuple[dt.date, dt.date]:
-    """First and last day of the demand view: the data's own range, or one
-    fiscal year on request."""
+    """First and last day of the demand view: the range of the data's plausible
+    ship dates, or one fiscal year on request."""
     if p.fiscal_year is None:
-        return t.date_range()
+        return t.date_range(p.first_day, p.last_day)
     return dt.date(p.fiscal_year, 1, 1), dt.date(p.fiscal_year, 12, 31)
 
 
@@ -229,12 +241,25 @@ def seasonal_temp(day_of_year: Column) -> Column:
                 15.0, 45.0)
 
 
-def _series_attributes(sku: str = "sku_id", wh: str = "warehouse_id") -> list[Column]:
-    """sku and warehouse attributes recomputed from the keys (they are pure
-    functions of the brand / region), so aggregates group on keys only."""
-    a = sku_attrs(sku)
-    return [a[n].alias(n) for n in ["sku_name", "category", "shelf_life_days", "price_per_kg", "base_demand"]] + [
-        F.concat(F.col(wh), F.lit(" HUB")).alias("warehouse_name")]
+SKU_VALUES = ["sku_name", "category", "shelf_life_days", "price_per_kg", "base_demand"]
+
+
+def with_series_attributes(t: Tables, df: DataFrame) -> DataFrame:
+    """sku and warehouse attributes by the keys, so aggregates group on keys
+    only: recomputed (they are pure functions of brand and region), or joined
+    from the caller's dimensions. A sku without attributes has its id as name,
+    the category UNKNOWN, no base demand, and null price and shelf life."""
+    if t.skus is None:
+        out = df.select("*", *[c.alias(n) for n, c in sku_attrs("sku_id").items() if n in SKU_VALUES])
+    else:
+        out = df.join(t.skus.select("sku_id", *SKU_VALUES), "sku_id", "left")
+    if t.warehouses is None:
+        out = out.withColumn("warehouse_name", F.concat("warehouse_id", F.lit(" HUB")))
+    else:
+        out = (out.join(t.warehouses.select("warehouse_id", "warehouse_name"), "warehouse_id", "left")
+               .withColumn("warehouse_name", F.coalesce("warehouse_name", F.concat("warehouse_id", F.lit(" HUB")))))
+    defaults = {"sku_name": F.col("sku_id"), "category": F.lit(C.UNKNOWN), "base_demand": F.lit(0.0)}
+    return out.withColumns({n: F.coalesce(n, d) for n, d in defaults.items()})
 
 
 def demand_facts(t: Tables, start: dt.date | None = None, end_exclusive: dt.date | None = None) -> DataFrame:
@@ -243,7 +268,7 @@ def demand_facts(t: Tables, start: dt.date | None = None, end_exclusive: dt.date
     ln = lines(t, start, end_exclusive)
     g = (ln.groupBy(F.col("l_shipdate").cast("date").alias("date"), "sku_id", "warehouse_id")
          .agg(F.sum("l_quantity").alias("sold_kg")))
-    return g.select("date", "sku_id", "warehouse_id", "sold_kg", *_series_attributes())
+    return with_series_attributes(t, g.select("date", "sku_id", "warehouse_id", "sold_kg"))
 
 
 def series(df: DataFrame) -> DataFrame:
@@ -258,12 +283,12 @@ def demand(t: Tables, p: C.Params = C.DEFAULT) -> DataFrame:
     list is exploded: no self-join, and the lines are scanned once. Each series
     has exactly one row per day, so per-series windows downstream are bounded.
     Defined once per session."""
-    return t.view("demand", (p, t.broadcast_cap(), t.spark.conf.get("shelfcast.scan.partitions", None)), lambda: _demand(t, p))
+    return t.view("demand", (p, t.dims(), t.broadcast_cap(), t.spark.conf.get("shelfcast.scan.partitions", None)), lambda: _demand(t, p))
 
 
 def _demand(t: Tables, p: C.Params) -> DataFrame:
     start, end = bounds(t, p)
-    ln = lines(t, *(() if p.fiscal_year is None else (start, end + dt.timedelta(days=1))))
+    ln = lines(t, start, end + dt.timedelta(days=1))
     facts = (ln.groupBy(F.col("l_shipdate").cast("date").alias("date"), "sku_id", "warehouse_id")
              .agg(F.sum("l_quantity").alias("sold_kg")))
     # a series' own days and those it lacks (linear: array_except hashes); the
@@ -271,8 +296,9 @@ def _demand(t: Tables, p: C.Params) -> DataFrame:
     own = facts.groupBy("sku_id", "warehouse_id").agg(F.collect_list(F.struct("date", "sold_kg")).alias("own"))
     gaps = F.transform(F.array_except(F.sequence(F.lit(start), F.lit(end)), F.col("own.date")),
                        lambda d: F.struct(d.alias("date"), F.lit(None).cast("double").alias("sold_kg")))
-    g = own.select("sku_id", "warehouse_id", F.explode_outer(F.concat("own", gaps)).alias("r")).select("sku_id", "warehouse_id", "r.*")
-    g = g.select("date", "sku_id", "warehouse_id", "sold_kg", *_series_attributes())
+    values = [*SKU_VALUES, "warehouse_name"]
+    own = with_series_attributes(t, own)
+    g = own.select("sku_id", "warehouse_id", *values, F.explode_outer(F.concat("own", gaps)).alias("r")).select("sku_id", "warehouse_id", *values, "r.*")
     kg = F.col("base_demand") + F.coalesce(F.col("sold_kg"), F.lit(0.0))
     doy = F.dayofyear("date")
     temp = seasonal_temp(doy)
@@ -299,12 +325,12 @@ def active_lots(t: Tables, as_of: dt.date = C.AS_OF, full: bool = False) -> Data
     in-band score and action. The scan is bounded to the longest shelf life
     of the SKU dimension before ``as_of`` (pushed to Parquet). Defined once
     per session."""
-    return t.view("active_lots", (as_of, full, t.broadcast_cap(), t.spark.conf.get("shelfcast.scan.partitions", None)), lambda: _active_lots(t, as_of, full))
+    return t.view("active_lots", (as_of, full, t.dims(), t.broadcast_cap(), t.spark.conf.get("shelfcast.scan.partitions", None)), lambda: _active_lots(t, as_of, full))
 
 
 def longest_shelf_life(t: Tables) -> int:
     """Days, from the SKU dimension (one row; once per session and folder)."""
-    return t.view("longest_shelf_life", (), lambda: part_skus(t).agg(F.max("shelf_life_days")).first()[0]) or 0
+    return t.view("longest_shelf_life", (t.dims(),), lambda: part_skus(t).agg(F.max("shelf_life_days")).first()[0]) or 0
 
 
 def _active_lots(t: Tables, as_of: dt.date, full: bool) -> DataFrame:

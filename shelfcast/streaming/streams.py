@@ -10,16 +10,19 @@ reads the sink back as a batch DataFrame.
 
 Output mode is ``append``: a window or session is written once, when the
 watermark passes its end; rows older than the watermark are dropped.
-``run_bounded`` is for an input that ends: after the input is read it feeds
-one row of the far future through the same query and checkpoint, which moves
-the watermark past every window still open, so all of them are in the sink. Such
-an input is read in one micro-batch: files come by modification time, not by
-``ts``, and after a first batch the watermark would drop rows of later files.
+``run_bounded`` is for an input that ends: one row of the far future is read
+with it, which moves the watermark past every window still open, so all of them
+are in the sink after one run. Such an input is read in one micro-batch: files
+come by modification time, not by ``ts``, and after a first batch the watermark
+would drop rows of later files. State lies in RocksDB, on disk and not on the
+heap, and in the checkpoint.
 """
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +34,19 @@ from ..sources.tables import Tables
 
 DELAY = "1 hour"
 BATCH_BYTES = 16 << 30
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextlib.contextmanager
+def rocks_store(spark: SparkSession) -> Iterator[None]:
+    """Queries that start inside keep their state in RocksDB."""
+    was = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(STORE) if was is None else spark.conf.set(STORE, was)
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, max_bytes: int | None = None) -> DataFrame:
@@ -49,27 +65,25 @@ def run(df: DataFrame, name: str, mode: str = "append", path: str | None = None)
     """Run a streaming plan to completion into a Parquet sink; return the sink."""
     spark = df.sparkSession
     out = path or scratch_path(spark, f"stream-{name}")
-    q = (df.writeStream.format("parquet").outputMode(mode)
-         .option("path", out).option("checkpointLocation", out + "-checkpoint")
-         .queryName(f"{name}_{abs(hash(out)) % 10**8}")
-         .trigger(availableNow=True).start())
+    with rocks_store(spark):
+        q = (df.writeStream.format("parquet").outputMode(mode)
+             .option("path", out).option("checkpointLocation", out + "-checkpoint")
+             .queryName(f"{name}_{abs(hash(out)) % 10**8}")
+             .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(out)
 
 
-def run_bounded(events: DataFrame, build, name: str, path: str | None = None) -> DataFrame:
+def run_bounded(events: DataFrame, build, name: str, path: str | None = None, flush_row: dict | None = None) -> DataFrame:
     """Run ``build(events)`` over a stream that ends, until every window and
-    session is written. ``path`` names the sink of a run to resume."""
+    session is written. ``path`` names the sink of a run to resume; what comes
+    after its first run is late."""
     spark = events.sparkSession
     out = path or scratch_path(spark, f"stream-{name}")
     flush = out + "-flush"
-    folder = spark._jvm.org.apache.hadoop.fs.Path(flush)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
-    df = build(events.unionByName(spark.readStream.schema(events.schema).parquet(flush)))
-    run(df, name, path=out)
-    far = {"ts": dt.datetime(9999, 1, 1), "event_type": "flush", "value": 0.0, "user_id": -1, "event_id": -1}
-    spark.createDataFrame([tuple(far.get(c) for c in events.columns)], events.schema).write.mode("append").parquet(flush)
-    return run(df, name, path=out)
+    far = {"ts": dt.datetime(9999, 1, 1), "event_type": "flush", "value": 0.0, "user_id": -1, "event_id": -1, **(flush_row or {})}
+    spark.createDataFrame([tuple(far.get(c) for c in events.columns)], events.schema).write.mode("ignore").parquet(flush)
+    return run(build(events.unionByName(spark.readStream.schema(events.schema).parquet(flush))), name, path=out)
 
 
 def _ntz(c):
@@ -140,3 +154,23 @@ def dedup_readings(events_stream: DataFrame, delay: str = DELAY) -> DataFrame:
     g = (_readings(events_stream).withWatermark("ts", delay).groupBy("room", "ts")
          .agg(F.min("event_id").alias("event_id"), F.min_by("temp_c", "event_id").alias("temp_c")))
     return g.select("event_id", "room", _ntz(F.col("ts")).alias("ts"), "temp_c")
+
+
+def dedup_events(events_stream: DataFrame, delay: str = DELAY) -> DataFrame:
+    """T5: the first event of each event_id, as it comes; the id stays in the
+    state until the watermark is ``delay`` past it, so repeats that are later
+    than that are late themselves."""
+    e = events_stream.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "user_id", "value")
+    return e.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"]).withColumn("ts", _ntz(F.col("ts")))
+
+
+# ------------------------------------------------------------------ T1 with state
+def lot_readings(lineitem: DataFrame, t: Tables) -> DataFrame:
+    """Readings of each lot, from a table or a stream of lines: as it arrives,
+    and, where it was dispatched, on its inspection day, when it is gone."""
+    lo = V.lots(t, lineitem_df=lineitem, warehouse=False)
+    came = F.struct(F.col("procurement_date").cast("timestamp").alias("ts"), F.lit(False).alias("gone"))
+    left = F.struct(F.date_add("procurement_date", F.col("inspection_day")).cast("timestamp").alias("ts"), F.lit(True).alias("gone"))
+    both = F.when(F.col("dispatched"), F.array(came, left)).otherwise(F.array(came))
+    return (lo.select("lot_id", F.col("procurement_date").cast("timestamp").alias("procured"), F.col("effective_shelf_life").alias("days"), F.explode(both).alias("r"))
+            .select("lot_id", "r.ts", "procured", "days", "r.gone"))
