@@ -5,13 +5,13 @@ from __future__ import annotations
 from .binary_packing import op12_binary_packing
 from .decontaminate import OP6_SQL, op6_decontamination
 from .langid import op7_language_id
-from .merkle import op11_merkle_manifest
+from .merkle import OP11_SQL, op11_merkle_manifest
 from .minhash import OP1_SQL, op1_minhash_near_dedup
 from .packing import op5_best_fit_packing
 from .pii import op10_pii
 from .quality import OP4_SQL, op4_adaptive_quality
 from .quotes import op3_quotation_linking
-from .spelling import op13_spelling_variants
+from .spelling import OP13_SQL, op13_spelling_variants
 from .substring import OP8_SQL, op8_substring_dedup
 from .tokens import op2_token_store
 from .warc import OP9_SQL, op9_arc_to_warc
@@ -39,4 +39,6 @@ ORACLES = {
     "op6_decontamination": OP6_SQL,
     "op8_substring_dedup": OP8_SQL,
     "op9_arc_to_warc": OP9_SQL,
+    "op11_merkle_manifest": OP11_SQL,
+    "op13_spelling_variants": OP13_SQL,
 }

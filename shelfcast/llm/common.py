@@ -123,3 +123,10 @@ def ranked(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
                      F.sum("_c").over(Window.partitionBy(group)).alias("n")))
     return (at.withColumn("_part", part).join(heads, ["_part", group])
             .withColumn("idx", F.col("_base") + F.col("_at")).drop("_part", "_at", "_base"))
+
+
+# ---------------------------------------------------------------- SQL
+#: crc32 by bytes, for DuckDB: the table of its 256 steps
+CRC_SQL = r"""
+crc_table AS (SELECT list(list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)) ORDER BY i) AS t
+              FROM range(256) AS r(i))"""

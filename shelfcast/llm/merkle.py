@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, ranked, small_batches, stash
+from .common import CRC_SQL, documents, ranked, small_batches, stash
 
 FAN, LEVELS = 16, 2
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -285,3 +285,44 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(hit, F.translate("text", abc, abc.lower())).otherwise(F.col("text"))
     trees, top = build(documents(spark, sf_dir), shown={"text": text})
     return proofs(trees, top)
+
+
+OP11_SQL = r"""
+WITH RECURSIVE""" + CRC_SQL + r""",
+ids AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS s FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)),
+hit AS (SELECT doc_id, xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(s, ''), lambda c: CAST(ascii(c) AS BIGINT)),
+                                       lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 5 = 0 AS tampered FROM ids, crc_table),
+f AS (SELECT d.doc_id, d.source, d.text, coalesce(tampered, FALSE) AS tampered,
+             coalesce(octet_length(encode(CAST(d.doc_id AS VARCHAR))) || ':' || d.doc_id, '-') || coalesce(octet_length(encode(d.source)) || ':' || d.source, '-')
+             || coalesce(octet_length(encode(d.lang)) || ':' || d.lang, '-') || coalesce(octet_length(encode(CAST(d.n_chars AS VARCHAR))) || ':' || d.n_chars, '-') AS head,
+             coalesce(octet_length(encode(d.text)) || ':', '') AS size
+      FROM documents AS d LEFT JOIN hit ON hit.doc_id = d.doc_id),
+l AS (SELECT doc_id, source, sha256(head || coalesce(size || text, '-')) AS leaf,
+             CASE WHEN tampered THEN sha256(head || coalesce(size || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-'))
+                  ELSE sha256(head || coalesce(size || text, '-')) END AS shown FROM f),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM l),
+tree AS (
+  SELECT 0 AS h, source, CAST(i AS BIGINT) AS i, CAST(n AS BIGINT) AS n, leaf AS d FROM p
+  UNION ALL
+  SELECT h + 1, source, i // 16, (n + 15) // 16, sha256(string_agg(d, '' ORDER BY i)) FROM tree WHERE n > 1 GROUP BY h, source, i // 16, n),
+sub AS (SELECT source, d, row_number() OVER (ORDER BY source IS NOT NULL, encode(source)) - 1 AS i, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (
+  SELECT 0 AS h, CAST(i AS BIGINT) AS i, CAST(n AS BIGINT) AS n, d FROM sub
+  UNION ALL
+  SELECT h + 1, i // 16, (n + 15) // 16, sha256(string_agg(d, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY h, i // 16, n),
+run AS (SELECT h, source, i // 16 AS r, string_agg(d, '' ORDER BY i) AS ds FROM tree WHERE n > 1 GROUP BY ALL),
+toprun AS (SELECT h, i // 16 AS r, string_agg(d, '' ORDER BY i) AS ds FROM top WHERE n > 1 GROUP BY ALL),
+walk AS (
+  SELECT 0 AS step, 0 AS h, FALSE AS up, doc_id, source, leaf, CAST(i AS BIGINT) AS i, CAST(n AS BIGINT) AS n, shown AS node, '' AS proof, row_number() OVER () AS k FROM p
+  UNION ALL
+  SELECT step + 1, CASE WHEN NOT w.up AND w.n = 1 THEN 0 ELSE w.h + 1 END, w.up OR w.n = 1, doc_id, w.source, leaf,
+         CASE WHEN NOT w.up AND w.n = 1 THEN sub.i ELSE w.i // 16 END, CASE WHEN NOT w.up AND w.n = 1 THEN sub.n ELSE (w.n + 15) // 16 END,
+         CASE WHEN NOT w.up AND w.n = 1 THEN node ELSE sha256(substr(coalesce(run.ds, toprun.ds), 1, 64 * (w.i % 16)) || node || substr(coalesce(run.ds, toprun.ds), 64 * (w.i % 16) + 65)) END,
+         CASE WHEN NOT w.up AND w.n = 1 THEN proof ELSE proof || substr(coalesce(run.ds, toprun.ds), 1, 64 * (w.i % 16)) || substr(coalesce(run.ds, toprun.ds), 64 * (w.i % 16) + 65) END, k
+  FROM walk AS w LEFT JOIN run ON NOT w.up AND w.n > 1 AND run.h = w.h AND run.source IS NOT DISTINCT FROM w.source AND run.r = w.i // 16
+       LEFT JOIN toprun ON w.up AND toprun.h = w.h AND toprun.r = w.i // 16
+       LEFT JOIN sub ON NOT w.up AND w.n = 1 AND sub.source IS NOT DISTINCT FROM w.source
+  WHERE NOT (w.up AND w.n = 1))
+SELECT w.doc_id, w.leaf, sub.d AS subroot, top.d AS root, sha256(w.proof) AS proof_sha256, w.node AS folded_root, w.node = top.d AS verified
+FROM walk AS w JOIN top ON top.n = 1 JOIN sub ON sub.source IS NOT DISTINCT FROM w.source WHERE w.up AND w.n = 1
+"""

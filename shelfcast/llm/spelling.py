@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, stash, utf8
+from .common import CRC_SQL, documents, small_batches, stash, utf8
 
 RUN = re.compile("[a-zÀ-ÿ]+")
 #: words that meet in one group before it is cut further
@@ -151,3 +151,24 @@ def spelling_forms(words: DataFrame, ratio: int = 2, group: int = GROUP) -> Data
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: words of all ``documents`` with form and root."""
     return spelling_forms(word_counts(documents(spark, sf_dir)))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE""" + CRC_SQL + r""",
+runs AS (SELECT doc_id, run, count(*) AS c FROM (
+           SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+bytes AS (SELECT *, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM runs WHERE length(run) >= 5),
+h AS (SELECT run, c, xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(range(0, length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)),
+                                     lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM bytes, crc_table),
+w AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (
+        SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM h)
+      WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+pairs AS (SELECT a.word AS a, b.word AS b FROM cut AS a JOIN cut AS b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+          UNION SELECT cut.word, w.word FROM cut JOIN w ON w.word = cut.rest UNION SELECT w.word, cut.word FROM cut JOIN w ON w.word = cut.rest),
+best AS (SELECT a AS word, count(*) AS n_near, arg_min(b, (-n, b)) AS near, max(n) AS m FROM pairs JOIN w ON w.word = b GROUP BY a),
+g AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * w.n THEN near END AS form, CASE WHEN m >= 2 * w.n THEN m END AS form_n FROM w LEFT JOIN best ON best.word = w.word),
+chain AS (SELECT word, word AS root FROM g UNION ALL SELECT chain.word, g.form FROM chain JOIN g ON g.word = chain.root WHERE g.form IS NOT NULL)
+SELECT g.word, g.form, chain.root, g.n, CAST(g.n_near AS BIGINT) AS n_near, g.form_n
+FROM g JOIN chain ON chain.word = g.word JOIN g AS e ON e.word = chain.root AND e.form IS NULL
+"""

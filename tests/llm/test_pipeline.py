@@ -16,6 +16,19 @@ def test_stages_keep_columns_and_empty_tables(spark, no_docs):
             docs = out
 
 
+def test_stages_with_clashing_names(spark):
+    """Extra columns with the names that stages use inside."""
+    names = ["_id", "_gone", "_r", "_words", "_0", "_l", "_s", "d", "g", "bin", "leaf", "n_words", "hash", "rows"]
+    base = [(k, prose(120, 300 + k), "en", "s", 9) for k in range(40)] + [(100, prose(120, 300), "en", "s", 9)]
+    docs = spark.createDataFrame([(*r, *([7] * len(names))) for r in base], ["doc_id", "text", "lang", "source", "n_chars", *names])
+    columns = docs.columns
+    for name, stage in P.STAGES:
+        docs = stash(stage(spark, docs, SF001), f"test-{name}")
+        assert docs.count() == (41 if name == "quality" else 40)
+        if name != "packing":
+            assert docs.columns == columns
+
+
 def test_planted(spark):
     item = spark.read.parquet(f"{SF001}/benchmark.parquet").first().text
     clean = [(k, prose(200, 100 + k)) for k in range(300)]

@@ -164,6 +164,57 @@ def test_sketches_merge(spark):
     assert sorted(map(tuple, whole), key=str) == sorted(map(tuple, Q.thresholds(merged).collect()), key=str)
 
 
+def test_limits_are_learned(spark):
+    """What is junk in one source is usual in another: 300 documents each, of
+    which 5 % carry far more symbols, repeated lines, repeated words or longer
+    words than the rest of their source."""
+    def text(k, kind, much):
+        w = prose(120, k).split()
+        if kind == "symbols":
+            w = [x + "#" * much for x in w]
+        elif kind == "dup_lines":  # lines of single marks, so that only lines repeat
+            return " ".join(w) + "\n" + "\n".join(["-"] * 1 if much == 0 else [x for i in range(12) for x in (f"l{k}n{i}", "=" * (1 + i % (13 - much)))])
+        elif kind == "repeats":
+            w = w + w[:10 * much] if much else w
+        elif kind == "mean10":
+            w = [x + "qrst"[:much] * 2 for x in w]
+        return " ".join(w)
+
+    rows = []
+    for s, (kind, usual, junk) in enumerate([("symbols", 0, 2), ("symbols", 2, 4), ("repeats", 0, 5), ("mean10", 0, 4), ("mean10", 4, 0)]):
+        for i in range(300):
+            much = junk if i % 20 == 0 else usual
+            if kind == "symbols" and usual and i % 20:  # two symbols a word on average, with a spread
+                much = 1 + i % 3
+            rows.append((1000 * s + i, text(1000 * s + i, kind, much), "en", f"{s}-{kind}", i % 20 == 0))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, junk boolean")
+    got = {r.doc_id: r.kept for r in Q.assess(df).collect()}
+    share = {}
+    for i, _, _, s, junk in rows:
+        share.setdefault((s, junk), []).append(got[i])
+    share = {k: sum(v) / len(v) for k, v in share.items()}
+    assert share["0-symbols", True] == 0 and share["0-symbols", False] > 0.95
+    assert share["1-symbols", False] > 0.95  # up to three symbols a word are usual there
+    assert share["2-repeats", False] > 0.95
+    assert share["3-mean10", True] == 0 and share["3-mean10", False] > 0.95
+    assert share["4-mean10", False] > 0.95
+    limits = {r.source: r for r in Q.thresholds(Q.sketch(Q.measures(df))).collect()}
+    assert limits["1-symbols"].hi_symbols > 5 * limits["0-symbols"].hi_symbols
+    assert limits["4-mean10"].lo_mean10 > limits["3-mean10"].hi_mean10
+
+
+def test_small_groups_are_drawn_to_their_language(spark):
+    """Limits change smoothly with the number of documents of a group."""
+    rows = [(i, prose(100, i), "en", "big") for i in range(400)] + [(1000 + i, " ".join(x + "#" for x in prose(100, i).split()), "en", "small") for i in range(30)]
+    for n in (1, 10, 30):
+        df = spark.createDataFrame([r for r in rows if r[3] == "big" or r[0] < 1000 + n], "doc_id long, text string, lang string, source string")
+        x = {r.source: r.hi_symbols for r in Q.thresholds(Q.sketch(Q.measures(df))).collect()}
+        assert x["big"] <= x["small"]
+        if n > 1:
+            assert x["small"] > last
+        last = x["small"]
+
+
 # ------------------------------------------------------------------ op6
 def grams(t):
     w = SPLIT.findall((t or "").lower())
@@ -173,16 +224,21 @@ def grams(t):
 def test_decontamination(spark, edge_docs, no_docs):
     words = prose(60000, 2).split()
     items = [(1, " ".join(words[30000:30040]).upper()), (2, " ".join(words[100:130] + ["no"] * 30)), (3, None), (4, ""), (5, "one two"),
-             (6, " ".join(["swap", *words[500:560]])), (None, prose(80, 3)), (7, prose(50, 77)), (1, "another text under the same id")]
+             (6, " ".join(["swap", *words[500:560]])), (None, prose(80, 3)), (7, prose(50, 77)), (1, "another text under the same id"),
+             (8, "FIVE words"), (9, "words in here\tonly"), (10, "nowhere")]
     items = spark.createDataFrame(items, "item_id long, text string")
     got = sorted(map(str, ((r.doc_id, r.item_id, r.n_item, r.n_shared) for r in D.contaminated(edge_docs, items).collect())))
     want = set()
     for i, t in rows_of(edge_docs):
         for r in items.collect():
             a, b = grams(r.text), grams(t)
+            if a and (k := len(min(a))) < 5:  # a short item is looked for among the runs of as many words
+                w = SPLIT.findall((t or "").lower())
+                b = {tuple(w[j:j + k]) for j in range(len(w) - k + 1)}
             if r.item_id is not None and a and 100 * len(a & b) >= 75 * len(a):
                 want.add(str((i, r.item_id, len(a), len(a & b))))
     assert got == sorted(want) and any("(8, 1," in x for x in got)
+    assert {"(-5, 8, 1, 1)", "(-5, 9, 1, 1)", "(6, 5, 1, 1)"} <= set(got)
     kept = D.drop_contaminated(edge_docs, items)
     assert kept.columns == edge_docs.columns and 8 not in [r.doc_id for r in kept.collect()]
     assert D.contaminated(no_docs, items).count() == 0 and D.drop_contaminated(edge_docs, items.limit(0)).count() == edge_docs.count()
@@ -205,7 +261,61 @@ def test_language_edges(edge_docs, no_docs):
     assert L.classify(no_docs, model).count() == 0
 
 
+def test_language_equals_a_plain_version(spark):
+    """The sample by sorting all rows, and every whole text against every dictionary."""
+    import math
+
+    import zstandard
+    docs = documents(spark, SF001).limit(120)
+    h, place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)), F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.lit(1), F.char_length("text") - 319))
+    rows = docs.where("lang is not null and text <> ''").select("lang", "doc_id", "text", h.alias("h"), place.alias("at")).collect()
+    by = {}
+    for r in sorted(rows, key=lambda r: (r.h, r.doc_id)):
+        by.setdefault(r.lang, []).append(r)
+    dicts = {k: b"\n".join(b" ".join(re.sub("[^a-z\u0080-\U0010ffff]", " ", r.text[r.at:r.at + 320].lower()).encode().split()) for r in v[:400]) for k, v in by.items()}
+    model = L.train(docs)
+    assert model == dicts and list(model) == sorted(by, key=lambda k: (-len(by[k]), k))
+    got = {r.doc_id: r for r in L.classify(docs, model).collect()}
+    for r in rows[:40]:
+        text = b" ".join(re.sub("[^a-z\u0080-\U0010ffff]", " ", r.text.lower()).encode().split())
+        n = []
+        for k in model:
+            d = zstandard.ZstdCompressionDict(dicts[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=6)
+            c = zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+            n.append(sum(len(c.compress(text[i:i + 4096])) for i in range(0, len(text), 4096)))
+        assert got[r.doc_id].lang_pred == list(model)[n.index(min(n))]
+        assert got[r.doc_id].score == pytest.approx(1 / sum(math.exp2(min(n) - x) for x in n))
+
+
+def test_too_many_languages(spark):
+    df = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.concat(F.lit("l"), "id").alias("lang"))
+    with pytest.raises(ValueError, match="256 languages"):
+        L.train(df)
+
+
 # ------------------------------------------------------------------ op9
+def test_revisits_name_their_response(spark):
+    """In the archive itself: ids are unique, and what a revisit names is a
+    response with its payload."""
+    rows = [(i, f"http://h/{i % 7}", f"payload {i % 5}") for i in range(40)] + [(50, None, "payload 1"), (0, "http://h/0", "payload 0"), (51, "http://x", "twice"), (51, "http://x", "twice"), (52, "http://y", "twice")]
+    path = scratch_path(spark, "test-warc")
+    W.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), path)
+    got = W.read_warc(spark, path).collect()
+    assert len(got) == len(rows) == len({r.record_id for r in got})
+    by_id = {r.record_id: r for r in got}
+    named = 0
+    for r in got:
+        if r.record_type == "revisit":
+            same = [x for x in got if x.record_type == "response" and x.payload_digest == r.payload_digest]
+            assert (r.refers_to_uri, r.refers_to_date) in {(x.target_uri, x.record_date) for x in same} and r.refers_to in {x.page_id for x in same}
+            if r.refers_to_record:
+                named += 1
+                x = by_id[r.refers_to_record]
+                assert x in same and x.page_id == r.refers_to and x.target_uri == r.refers_to_uri
+    assert named >= 30 and any(r.record_type == "revisit" and r.refers_to == 51 and not r.refers_to_record for r in got)
+
+
 def test_arc_versions_and_damage():
     date = "20240102030405"
     for v in (1, 2):
@@ -310,6 +420,52 @@ def test_quotes_query_equals_brute_force(spark):
             assert x.reply_to == (r.turn - 1 if (r.conv_id, r.turn - 1) in turns else None)
 
 
+def test_planted_quotations_are_linked(spark):
+    """Whole, partial, re-wrapped, nested and repeated quotations of messages
+    of unique sentences: each finds the message it was taken from."""
+    import random
+    rng, rows, want = random.Random(3), [], {}
+    for conv in range(60):
+        paragraphs = {}
+        for turn in range(8):
+            own = [prose(rng.randint(14, 30), conv * 100000 + turn * 1000 + k).split() for k in range(rng.randint(1, 3))]
+            paragraphs[turn] = own
+            lines = []
+            if turn and rng.random() < 0.8:
+                to = rng.randrange(turn)
+                kind = rng.choice(["whole", "part", "wrapped", "nested", "lines"])
+                src = paragraphs[to] if kind != "part" else [rng.choice(paragraphs[to])]
+                width = 9 if kind == "wrapped" else 6
+                mark = "> "
+                if kind == "nested":  # a quotation inside the quotation comes first, one level down
+                    deep = rng.randrange(turn)
+                    lines += [f"> > {' '.join(paragraphs[deep][0][i:i + 6])}" for i in range(0, len(paragraphs[deep][0]), 6)] + [">"]
+                for p in src:
+                    if kind == "lines":
+                        lines.append(mark + " ".join(p[:6]).upper())
+                    else:
+                        lines += [mark + " ".join(p[i:i + width]) for i in range(0, len(p), width)] + [">"]
+                lines += ["", "my answer follows"]
+                want[conv, turn] = to
+            body = "\n\n".join("\n".join(" ".join(p[i:i + 6]) for i in range(0, len(p), 6)) for p in own)
+            rows.append((conv, turn, "user", "\n".join([*lines, body])))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r for r in QU.conversations(df).collect()}
+    assert len(want) > 250
+    for key, to in want.items():
+        assert got[key].by_quote and got[key].reply_to == to, key
+    for key, r in got.items():
+        if key not in want:
+            assert not r.by_quote and r.reply_to == (key[1] - 1 if key[1] else None)
+        assert ">" not in r.body
+
+
+def test_long_message(spark):
+    long = prose(60000, 5)
+    got = {r.turn: r for r in QU.conversations(spark.createDataFrame([(1, 0, "user", long), (1, 1, "user", "> " + long + "\nyes")], "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1].by_quote and got[1].reply_to == 0 and got[0].body == long
+
+
 def test_deep_thread(spark):
     rows = [(1, k, "user", f"message number {k} of many words") for k in range(130)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")

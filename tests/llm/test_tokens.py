@@ -72,6 +72,15 @@ def test_round_trip_small_shards_and_random_access(spark, edge_docs):
         T.read_document(blob, 0, dictionary + b"x")
 
 
+def test_dictionary_sample_is_bounded_in_rows(spark, monkeypatch):
+    """One doc_id holds all rows: only so many reach the driver."""
+    seen, train = [], T.zstandard.train_dictionary
+    monkeypatch.setattr(T.zstandard, "train_dictionary", lambda n, samples: seen.append(len(samples)) or train(n, samples))
+    df = spark.range(5000).selectExpr("7L as doc_id", "concat('word number ', id) as text")
+    T.train_dictionary(df, T.Holder(spark, PATH), 2, sample_docs=64)
+    assert seen == [64]
+
+
 def test_empty(spark, no_docs):
     path = scratch_path(spark, "test-tokens")
     T.write_tokens(no_docs, path, PATH, end_id=2)
