@@ -127,6 +127,8 @@ class Params:
     gbt_iters: int = 100
     gbt_depth: int = 4
     gbt_step: float = 0.08
+    sku_iters: int = 16             # boosted models per SKU: fewer, larger steps, as
+    sku_step: float = 0.35          # each tree is four jobs over all SKUs
     seed: int = 42
     alert_filter: tuple = ("CRITICAL", "HIGH", "MEDIUM")
     top_alerts: int = 5

@@ -10,6 +10,7 @@ by the key and a fold over its trees.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,12 +41,20 @@ def boosted_score(x: str, base: str, trees: str, depth: int) -> str:
     return f"{base} + aggregate({trees}, 0D, (s, t) -> s + t.v[{leaf} - {1 << depth}])"
 
 
-def _stash(df: DataFrame, name: str) -> DataFrame:
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written into the shared checkpoint folder and read back."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Written rows kept in executors, over all cores: small files would be
+    read by few tasks. What is lost is read again."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return (df.repartition(cores) if df.rdd.getNumPartitions() < cores else df).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _grow_level(rows: DataFrame, state: DataFrame, level: int, depth: int, rate: float, min_leaf: int) -> DataFrame:
     """``state`` (key, trees, f, b: the trees since the rows were written and
     the splits of the one that grows) with the splits of one more level, or, at
@@ -53,7 +62,7 @@ def _grow_level(rows: DataFrame, state: DataFrame, level: int, depth: int, rate:
     done = f"aggregate(trees, 0D, (s, t) -> s + t.v[{_walk(depth, 'x', 't.f', 't.b')} - {1 << depth}])"
     at = rows.join(state, "_key").select("_key", F.expr(_walk(level)).alias("node"), F.expr(f"r - {done}").alias("r"), "x")
     hist = (at.select("_key", "node", "r", F.posexplode("x").alias("i", "bin")).groupBy("_key", "node", "i", "bin")
-            .agg(F.sum("r").alias("s"), F.count("*").alias("n")))
+            .agg(F.sum("r").alias("s"), F.count("*").alias("n")).repartition("_key"))  # at most nodes * features * bins rows a key
     whole = Window.partitionBy("_key", "node", "i")
     upto = whole.orderBy("bin")
     c = hist.select("_key", "node", "i", "bin", F.sum("s").over(upto).alias("sl"), F.sum("n").over(upto).alias("nl"),
@@ -88,21 +97,23 @@ def train_boosted(rows: DataFrame, key: str, features: list[str], label: str, tr
     level at most; residuals are written anew every ``cut_every`` trees."""
     names = [f"_f{i}" for i in range(len(features))]
     rows = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(label).alias("_y"), *[F.col(c).alias(n) for c, n in zip(features, names)])
-    bounds = _stash(rows.groupBy("_key").agg(F.array(*[F.min(F.col(c).cast("double")) for c in names]).alias("lo"),
+    bounds = stash(rows.groupBy("_key").agg(F.array(*[F.min(F.col(c).cast("double")) for c in names]).alias("lo"),
                                              F.array(*[F.max(F.col(c).cast("double")) for c in names]).alias("hi"), F.avg("_y").alias("base")), "boost-bounds")
-    at = _stash(rows.join(bounds, "_key").select("_key", F.expr(bins_sql(names, bins)).alias("x"), (F.col("_y") - F.col("base")).alias("r")), "boost-rows")
+    at = _spread(stash(rows.join(bounds, "_key").select("_key", F.expr(bins_sql(names, bins)).alias("x"), (F.col("_y") - F.col("base")).alias("r")), "boost-rows"))
     none = F.array().cast("array<int>")
     start = bounds.select("_key", F.array().cast("array<struct<f: array<int>, b: array<int>, v: array<double>>>").alias("trees"), none.alias("f"), none.alias("b"))
     state, held = start, []
     for k in range(1, trees + 1):
         for level in range(depth):
-            state = _stash(_grow_level(at, state, level, depth, rate, min_leaf), "boost-state")
+            state = stash(_grow_level(at, state, level, depth, rate, min_leaf), "boost-state")
         if k % cut_every == 0 or k == trees:
             held.append(state.select("_key", F.lit(k).alias("k"), "trees"))
             if k < trees:
                 gone = F.expr(f"r - aggregate(trees, 0D, (s, t) -> s + t.v[{_walk(depth, 'x', 't.f', 't.b')} - {1 << depth}])")
-                at = _stash(at.join(state, "_key").select("_key", "x", gone.alias("r")), "boost-rows")
+                last, at = at, _spread(stash(at.join(state, "_key").select("_key", "x", gone.alias("r")), "boost-rows"))
+                last.unpersist()
                 state = start
+    at.unpersist()
     alls = held[0]
     for t in held[1:]:
         alls = alls.unionByName(t)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.columns import clamp0, dow_multiplier, newsvendor_qty, r4, rnd, z_value
-from .features import SERIES, build_lag_features, train_test_split
+from .features import SERIES, series_window
 
 Y = "actual_demand_kg"
 
@@ -124,12 +124,15 @@ def _ape(y, pred):
 
 def naive_predictions(demand: DataFrame, p: C.Params = C.DEFAULT, keys=SERIES) -> DataFrame:
     """The two naive baselines on the chronological test tail (same
-    feature rows and split as the demand model): 7-day moving average of the
-    previous days and same day last week."""
-    s = train_test_split(build_lag_features(demand, keys=keys), p, keys)
-    return s.filter(F.col("split") == "test").select(
-        *keys, "date", "row_in_series", F.col(Y).alias("actual"),
-        F.col("rolling_7_mean").alias("pred_ma7"), F.col("lag_7").alias("pred_lag7"))
+    feature rows and split as the demand model: those with 14 values before
+    them): 7-day moving average of the previous days and same day last week."""
+    w = series_window(keys)
+    rows = demand.select(*keys, "date", F.col(Y).alias("actual"), F.avg(Y).over(w.rowsBetween(-7, -1)).alias("pred_ma7"),
+                         F.lag(Y, 7).over(w).alias("pred_lag7"), F.count(Y).over(w.rowsBetween(-14, -1)).alias("_before"))
+    rows = rows.where("_before = 14 and actual is not null").drop("_before")
+    s = rows.select("*", F.row_number().over(w).alias("row_in_series"), F.count("*").over(Window.partitionBy(*keys)).alias("_n"))
+    cut = F.greatest(F.lit(p.min_train_rows), F.floor(F.col("_n") * F.lit(p.train_fraction)).cast("int"))
+    return s.where(F.col("row_in_series") > cut).select(*keys, "date", "row_in_series", "actual", "pred_ma7", "pred_lag7")
 
 
 def naive_mape_by_sku(demand: DataFrame, p: C.Params = C.DEFAULT) -> DataFrame:
@@ -141,7 +144,7 @@ def naive_mape_by_sku(demand: DataFrame, p: C.Params = C.DEFAULT) -> DataFrame:
                                  F.count("*").alias("n_test"))
     return g.select("sku_id", r4("m7").alias("mape"), r4("l7").alias("mape_lag7"),
                     r4(F.try_divide(F.col("l7") - F.col("m7"), F.col("l7")) * 100).alias("improvement_pct"),
-                    "n_test", r4(g.agg(F.avg("m7")).scalar()).alias("avg_mape"))
+                    "n_test", r4(F.avg("m7").over(Window.partitionBy())).alias("avg_mape"))  # a row per sku
 
 
 def mape_summary(mape: DataFrame, col: str = "mape") -> DataFrame:
@@ -152,10 +155,10 @@ def mape_summary(mape: DataFrame, col: str = "mape") -> DataFrame:
 
 def mape_histogram(mape: DataFrame, col: str = "mape", bins: int = 15) -> DataFrame:
     """Equal-width histogram between min and max, at most ``bins`` bins.
-    The limits are scalar subqueries over the per-SKU table."""
-    lo, hi = mape.agg(F.min(col)).scalar(), mape.agg(F.max(col)).scalar()
+    The limits are windows over the per-SKU table (a row per SKU)."""
+    every = Window.partitionBy()
     width = (F.col("_hi") - F.col("_lo")) / bins
-    b = (mape.select(col, lo.alias("_lo"), hi.alias("_hi"))
+    b = (mape.select(col, F.min(col).over(every).alias("_lo"), F.max(col).over(every).alias("_hi"))
          .withColumn("bucket", F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
              F.least(F.floor((F.col(col) - F.col("_lo")) / width), F.lit(bins - 1)).cast("int"))))
     return (b.groupBy("bucket").agg(F.count("*").alias("n_skus"), F.first("_lo").alias("_lo"),

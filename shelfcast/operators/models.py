@@ -221,12 +221,13 @@ def train_demand_model(demand: DataFrame, p: C.Params = C.DEFAULT, cache_key=Non
 def train_sku_models(demand: DataFrame, p: C.Params = C.DEFAULT, trees: int | None = None, depth: int | None = None, bins: int = 64, cache_key=None):
     """One boosted model per SKU over the feature rows of its series;
     returns (models, test predictions clamped at 0)."""
-    trees, depth = trees or p.gbt_iters, depth or p.gbt_depth
+    trees, depth = trees or p.sku_iters, depth or p.gbt_depth
     k = _key(demand, "sku", (cache_key, trees, depth, bins) if cache_key else None)
     if k in _CACHE:
         return _CACHE[k]
-    rows = demand_feature_rows(demand, p)
-    model = BO.train_boosted(rows.filter(F.col("split") == "train"), "sku_id", C.DEMAND_FEATURES, "actual_demand_kg", trees, depth, p.gbt_step, bins)
+    own = [c for c in demand.columns if c in (*SERIES, "date", "actual_demand_kg", *C.DEMAND_FEATURES)]
+    rows = BO.stash(demand_feature_rows(demand.select(*own), p), "feature-rows")  # read by bounds, bins and scoring
+    model = BO.train_boosted(rows.filter(F.col("split") == "train"), "sku_id", C.DEMAND_FEATURES, "actual_demand_kg", trees, depth, p.sku_step, bins)
     test = (BO.score_boosted(rows.filter(F.col("split") == "test"), model, "sku_id", C.DEMAND_FEATURES, depth, bins)
             .select(*SERIES, "date", "row_in_series", F.col("actual_demand_kg").alias("actual"), clamp0("prediction").alias("predicted")))
     out = (model, test)
@@ -241,7 +242,7 @@ def demand_model_mape(test: DataFrame) -> DataFrame:
     g = test.groupBy("sku_id").agg((F.avg(_ape("actual", "predicted")) * 100).alias("m"),
                                    F.count("*").alias("n_test"))
     return g.select("sku_id", r4("m").alias("mape"), "n_test",
-                    r4(g.agg(F.avg("m")).scalar()).alias("avg_mape"))
+                    r4(F.avg("m").over(Window.partitionBy())).alias("avg_mape"))  # a row per sku
 
 
 def actual_vs_predicted(test: DataFrame, sku_id: str | None = None) -> DataFrame:

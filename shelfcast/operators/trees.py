@@ -83,4 +83,4 @@ def sum_sql(trees: list[str]) -> str:
 def score_compiled(df: DataFrame, labels: dict[str, str], trees: list[str], out: str) -> DataFrame:
     """``df`` with the ensemble's value as a column of plain SQL."""
     own = [f"{sql} AS {name}" for name, sql in labels.items()]
-    return df.selectExpr("*", *own).selectExpr("*", f"{sum_sql(trees)} AS {out}").drop(*labels)
+    return df.drop(*labels).selectExpr("*", *own).selectExpr("*", f"{sum_sql(trees)} AS {out}").drop(*labels)

@@ -342,7 +342,7 @@ def boosted_model(trees: int, depth: int) -> str:
 , bmodel AS MATERIALIZED (SELECT sku_id, lo, hi, base, {', '.join(cols)} FROM bbounds {' '.join(joins)})"""
 
 
-SMALL = (2, 2, 16, 0.08)
+SMALL = (2, 2, 16, 0.35)
 sql("sku_small_model_mape", boosted(*SMALL) + f"""
 , m AS (SELECT n.sku_id, avg(abs(y - greatest(base + p, 0)) / greatest(abs(y), 2.220446049250313e-16)) * 100 AS m, count(*) AS n_test
         FROM n_{SMALL[0] + 1}_0 n JOIN bbounds USING (sku_id) WHERE NOT tr GROUP BY n.sku_id)

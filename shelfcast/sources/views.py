@@ -147,7 +147,7 @@ def lines(t: Tables, start: dt.date | None = None, end_exclusive: dt.date | None
     stream-static joins); without ``warehouse`` supplier is not joined."""
     li = shipdate_between(lineitem_df if lineitem_df is not None else t.lineitem, start, end_exclusive).select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_linestatus", "l_shipdate")
-    if lineitem_df is None:
+    if lineitem_df is None or lineitem_df.isStreaming:
         li = t.spread(li)
     parts = t.broadcast_if_small(part_skus(t), "part")
     j = li.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left").drop("p_partkey")

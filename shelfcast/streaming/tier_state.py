@@ -51,19 +51,21 @@ class TierChanges(StatefulProcessor):
         return procured, days, level
 
     def _keep(self, lot: tuple) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
         self.lot.update(lot)
         if lot[2] + 1 < len(LEVELS):
             self.handle.registerTimer(begins(*lot[:2], lot[2] + 1))
 
+    def _held(self) -> tuple | None:
+        lot = self.lot.get()  # each call is a round trip to the store
+        return None if lot is None else tuple(lot)
+
     def _rows(self, key, out: list) -> Iterator[pd.DataFrame]:
         out = [x for x in out if x[1] in self.wanted]
         if out:
             yield pd.DataFrame({"lot_id": [key[0]] * len(out), "alert_ms": [x[0] for x in out], "risk_level": [x[1] for x in out]})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        lot = tuple(self.lot.get()) if self.lot.exists() else None
+        lot = was = self._held()
         out: list = []
         taken = sorted((int(r.ms), bool(r.gone), int(r.procured), int(r.days)) for df in rows for r in df.itertuples())
         for ms, gone, procured, days in taken:
@@ -76,22 +78,21 @@ class TierChanges(StatefulProcessor):
             if level > (lot[2] if lot is not None else -1):
                 out.append((ms, LEVELS[level][0]))
             lot = (procured, days, level)
-        if lot is None:
+        if was is not None:
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
-            self.lot.clear()
-        else:
+            if lot is None:
+                self.lot.clear()
+        if lot is not None:
             self._keep(lot)
         yield from self._rows(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.lot.exists():
+        lot = self._held()
+        if lot is None:
             return
         out: list = []
-        lot = self._until(tuple(self.lot.get()), timerValues.getCurrentWatermarkInMs(), out)
-        self.lot.update(lot)
-        if lot[2] + 1 < len(LEVELS):
-            self.handle.registerTimer(begins(*lot[:2], lot[2] + 1))
+        self._keep(self._until(lot, timerValues.getCurrentWatermarkInMs(), out))
         yield from self._rows(key, out)
 
     def close(self) -> None:

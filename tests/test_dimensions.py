@@ -35,7 +35,7 @@ def holes(spark, tmp_path_factory):
 @pytest.fixture(scope="module", autouse=True)
 def small_models():
     was = catalog.P
-    catalog.P = dataclasses.replace(was, rf_trees=3, rf_depth=3, gbt_iters=2, gbt_depth=2)
+    catalog.P = dataclasses.replace(was, rf_trees=3, rf_depth=3, gbt_iters=2, gbt_depth=2, sku_iters=1)
     yield
     catalog.P = was
 

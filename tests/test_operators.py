@@ -243,3 +243,59 @@ def test_apply_target_encoding(spark):
     got = {r["lot_id"]: (r["category_te"], r["warehouse_te"])
            for r in PL.apply_target_encoding(lots, enc, default=0.1).collect()}
     assert got == {"l1": (0.4, 0.3), "l2": (0.1, 0.3)}
+
+
+# ------------------------------------------------------------------ D6, D17
+def test_stockout_sweep_equals_days(spark):
+    """The sweep against a day by day count; stock from before the period, lots
+    that keep longer than it, a lot without an expiry day."""
+    import random
+
+    rng, d0 = random.Random(2), dt.date(2024, 1, 1)
+    start, end = dt.date(2024, 1, 20), dt.date(2024, 3, 1)
+    lots = []
+    for _ in range(300):
+        p = d0 + dt.timedelta(days=rng.randrange(70))
+        lots.append((rng.choice("AB"), rng.choice("XYZ"), p, p + dt.timedelta(days=rng.choice([1, 2, 5, 90])), float(rng.randint(1, 30))))
+    lots += [("A", "X", dt.date(2024, 2, 1), None, 4.0), ("C", "X", dt.date(2024, 1, 2), dt.date(2024, 2, 1), 50.0)]  # C has no sale in the period
+    df = spark.createDataFrame(lots, "sku_id string, warehouse_id string, procurement_date date, expiry_date date, quantity_kg double")
+    got = {r.warehouse_id: (r.demand_kg, r.unfilled_kg) for r in PL.stockout_rate(PL.stock_events(df).withColumn("base_demand", F.lit(7.0)), start, end).collect()}
+    want = {}
+    for sku, wh in {(x[0], x[1]) for x in lots if start <= x[2] <= end}:
+        for k in range((end - start).days + 1):
+            day = start + dt.timedelta(days=k)
+            mine = [x for x in lots if x[:2] == (sku, wh)]
+            dem = 7.0 + sum(x[4] for x in mine if x[2] == day)
+            have = sum(x[4] for x in mine if x[3] and x[2] <= day < x[3])
+            a, b = want.get(wh, (0.0, 0.0))
+            want[wh] = (a + dem, b + max(0.0, dem - have))
+    assert got == {k: pytest.approx(v) for k, v in want.items()}
+
+
+@pytest.mark.parametrize("bucket", [3, 17, 4096])
+def test_fifo_allocation_equals_brute_force(spark, bucket):
+    import random
+
+    rng, d0 = random.Random(7), dt.date(2024, 1, 1)
+    day = lambda: d0 + dt.timedelta(days=rng.randrange(12))
+    lots = [("A", "X", f"l{i:03}", day(), float(rng.choice([0, 1, 2, 5, 40]))) for i in range(120)]
+    out = [("A", "X", f"d{i:03}", day(), float(rng.choice([0, 1, 3, 9]))) for i in range(150)]
+    lots += [("B", "X", "b1", d0, 10.0), ("C", "X", "c1", d0, 5.0), ("A", "X", "null", d0, None)]
+    out += [("B", "X", "db", d0, 25.0), ("D", "X", "dd", d0, 4.0)]  # more than B has; D has no lots
+    got = PL.fifo_allocation(spark.createDataFrame(lots, "sku_id string, warehouse_id string, lot_id string, procurement_date date, quantity_kg double"),
+                             spark.createDataFrame(out, "sku_id string, warehouse_id string, dispatch_id string, dispatch_date date, kg double"), bucket).collect()
+    want = {}
+    for s in "ABCD":
+        stock = [[x[2], x[4]] for x in sorted((x for x in lots if x[0] == s and x[4]), key=lambda x: (x[3], x[2]))]
+        for x in sorted((x for x in out if x[0] == s and x[4]), key=lambda x: (x[3], x[2])):
+            need = x[4]
+            while need > 0:
+                while stock and stock[0][1] == 0:
+                    stock.pop(0)
+                take = min(need, stock[0][1]) if stock else need
+                key = (s, x[2], stock[0][0] if stock else None)
+                want[key] = want.get(key, 0.0) + take
+                need -= take
+                if stock:
+                    stock[0][1] -= take
+    assert {(r.sku_id, r.dispatch_id, r.lot_id): r.kg for r in got} == {k: pytest.approx(v) for k, v in want.items()} and len(got) == len(want)

@@ -105,3 +105,74 @@ def test_bounded_keys_take_every_row_of_overlapping_files(spark, monkeypatch):
                        ("stream_sensor_sessions", ST.sensor_sessions), ("stream_dedup_readings", ST.dedup_readings)):
         got, want = (sorted(map(tuple, df.collect())) for df in (E.queries()[key](spark, d), build(batch)))
         assert got == want, key
+
+
+# ------------------------------------------------------------------ state in RocksDB, restarts
+def test_duplicates_late_rows_and_a_restart(spark):
+    """Repeats within the watermark go, in one batch, over batches and over a
+    restart; what is behind the watermark goes as late; the state holds no more
+    ids than the delay allows."""
+    from shelfcast.session import scratch_path
+    d, out = tempfile.mkdtemp(prefix="shelfcast-stream-"), scratch_path(spark, "dedup-restart")
+    t0 = dt.datetime(2024, 1, 1, 10)
+    at = lambda m: t0 + dt.timedelta(minutes=m)
+    _write(d, "e-1.parquet", [(1, at(0), 1, "view", 1.0, "{}"), (1, at(0), 1, "view", 1.0, "{}"), (2, at(5), 1, "view", 2.0, "{}")])
+    _write(d, "e-2.parquet", [(2, at(5), 1, "view", 2.0, "{}"), (3, at(30), 1, "view", 3.0, "{}")])
+    first = ST.run(ST.dedup_events(_stream(spark, d)), "dedup_restart", path=out)
+    assert sorted(r.event_id for r in first.collect()) == [1, 2, 3]
+    # after a restart: a repeat of an id in the state, then the watermark moves far on
+    _write(d, "e-3.parquet", [(3, at(30), 1, "view", 3.0, "{}"), (4, at(600), 1, "view", 4.0, "{}")])
+    _write(d, "e-4.parquet", [(5, at(610), 1, "view", 5.0, "{}")])
+    _write(d, "e-5.parquet", [(6, at(2), 1, "view", 6.0, "{}"), (4, at(600), 1, "view", 4.0, "{}")])  # 6 is late
+    df = ST.dedup_events(_stream(spark, d))
+    with ST.rocks_store(spark):
+        q = (df.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", out + "-checkpoint")
+             .trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert sorted(r.event_id for r in spark.read.parquet(out).collect()) == [1, 2, 3, 4, 5]
+    state = q.recentProgress[-1]["stateOperators"][0]
+    assert state["numRowsTotal"] <= 2 and any("rocksdb" in k for k in state["customMetrics"])
+
+
+def _readings(spark, rows):
+    return spark.createDataFrame(rows, "lot_id string, ts timestamp, procured timestamp, days int, gone boolean")
+
+
+def test_tier_changes_equal_the_batch_version(spark):
+    """By time alone, by a reading that shortens the shelf life, none for lots
+    that are gone before, again after a fall, a jump over a level; over batches
+    and after a restart."""
+    from shelfcast.session import scratch_path
+    from shelfcast.streaming import tier_state as TI
+    t0 = dt.datetime(2024, 1, 1)
+    day = lambda x: t0 + dt.timedelta(days=x)
+    rows = [
+        ("time", day(0), day(0), 10, False),
+        ("gone", day(0), day(0), 10, False), ("gone", day(7), day(0), 10, True),
+        ("never", day(0), day(0), 20, False), ("never", day(2), day(0), 20, True),
+        ("warm", day(0), day(0), 20, False), ("warm", day(5), day(0), 6, False),
+        ("cold", day(7), day(0), 10, False), ("cold", day(7.5), day(0), 40, False),
+        ("late start", day(9), day(0), 10, False), ("old", day(12), day(0), 10, False),
+        ("back", day(0), day(0), 10, False), ("back", day(1), day(0), 10, True), ("back", day(3), day(2), 5, False),
+    ]
+    far = ("~", day(400), day(400), 10, False)
+    want = sorted(map(tuple, TI.tier_changes_batch(_readings(spark, [*rows, far])).where("lot_id <> '~'").collect()))
+    assert {(r[0], r[2]) for r in want} == {("time", "HIGH"), ("time", "CRITICAL"), ("gone", "HIGH"), ("warm", "CRITICAL"), ("cold", "HIGH"), ("cold", "CRITICAL"),
+                                            ("late start", "CRITICAL"), ("old", "CRITICAL"), ("back", "HIGH"), ("back", "CRITICAL")}
+    assert sum(r[0] == "cold" for r in want) == 3  # HIGH by the first reading, and again as time passes
+    folder, out = scratch_path(spark, "readings"), scratch_path(spark, "tiers")
+    schema = _readings(spark, rows).schema
+    by_time = sorted(rows, key=lambda r: r[1])
+    for part in (by_time[:6], by_time[6:11], [*by_time[11:], far], [("~~", day(401), day(401), 10, False)]):
+        _readings(spark, part).coalesce(1).write.mode("append").parquet(folder)
+        got = ST.run(TI.tier_changes(spark.readStream.schema(schema).parquet(folder)), "tiers", path=out)  # a restart each time
+    assert sorted(map(tuple, got.where("not startswith(lot_id, '~')").collect())) == want
+
+
+def test_lot_readings(spark):
+    from shelfcast.sources.tables import Tables
+
+    from .conftest import SF001
+    t = Tables(spark, SF001)
+    r = ST.lot_readings(t.lineitem, t)
+    assert r.where("not gone").count() == 6000 and r.where("gone and ts < procured").count() == 0

@@ -86,7 +86,7 @@ def test_boosting_without_rows(spark):
 
 def test_boosting_beats_the_mean(spark):
     """On the features of the given series, with a weekly demand of each sku's own."""
-    p = dataclasses.replace(SMALL, fiscal_year=2000, gbt_step=0.5)
+    p = dataclasses.replace(SMALL, fiscal_year=2000, sku_step=0.5)
     weekly = 20.0 + F.pmod(F.xxhash64("sku_id", "day_of_week"), F.lit(9)) * 5.0
     dm = V.demand(Tables(spark, SF001), p).withColumn("actual_demand_kg", weekly)
     own = M.train_sku_models(dm, p, trees=6)[1]
