@@ -57,9 +57,9 @@ def sku_attrs(brand: str = "p_brand") -> dict[str, Column]:
     return {
         "sku_id": F.col(brand),
         "sku_name": F.col(brand),
-        "category": pick(C.CATEGORIES, cat_idx),
+        "category": F.when(bn.isNotNull(), pick(C.CATEGORIES, cat_idx)),
         "shelf_life_days": (F.lit(2) + bn % 14).cast("int"),
-        "ideal_temp_c": pick(C.CATEGORY_IDEAL_TEMP, cat_idx).cast("int"),
+        "ideal_temp_c": F.when(bn.isNotNull(), pick(C.CATEGORY_IDEAL_TEMP, cat_idx)).cast("int"),
         "price_per_kg": (F.lit(20) + F.lit(17) * bn).cast("double"),
         "base_demand": (F.lit(10) + F.lit(3) * bn).cast("double"),
     }
