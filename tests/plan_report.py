@@ -31,7 +31,8 @@ def main(argv):
     from shelfcast.session import build_session
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.1"
     skip = {"spoilage_model_metrics", "confusion_matrix", "feature_importance", "demand_model_mape",
-            "actual_vs_predicted", "recursive_forecast", "score_active_lots"}
+            "actual_vs_predicted", "recursive_forecast", "score_active_lots",
+            "sku_model_mape", "sku_model_forecast", "sku_small_model_mape", "sku_small_model_forecast"}
     spark = build_session()
     cols = ["shuffle", "reused", "bhj", "smj", "shj", "nlj", "window", "lineitem_scans", "topk"]
     print("| key | " + " | ".join(cols) + " |")

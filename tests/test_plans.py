@@ -11,7 +11,8 @@ import __spark_entry__ as E
 from .conftest import SF001
 
 MODEL_KEYS = {"spoilage_model_metrics", "confusion_matrix", "feature_importance", "demand_model_mape",
-              "actual_vs_predicted", "recursive_forecast", "score_active_lots"}
+              "actual_vs_predicted", "recursive_forecast", "score_active_lots",
+              "sku_model_mape", "sku_model_forecast", "sku_small_model_mape", "sku_small_model_forecast"}
 KEYS = sorted(k for k in E.queries() if k not in MODEL_KEYS and not k.startswith(("stream_", "op")) and k != "pipeline")
 
 
