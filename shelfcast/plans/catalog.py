@@ -459,7 +459,7 @@ def q_stream_lot_alerts(spark, d):
 def q_stream_tier_changes(spark, d):
     t = _t(spark, d)
     far = {"l_shipdate": dt.datetime(2200, 1, 1), "l_orderkey": -1, "l_linestatus": "O", "l_linenumber": 0, "l_partkey": t.part.agg(F.min("p_partkey")).first()[0]}
-    got = ST.run_bounded(ST.stream_table(spark, d, "lineitem"), lambda li: TI.tier_changes(ST.lot_readings(li, t)), "tier_changes", flush_row=far)
+    got = ST.run_bounded(ST.stream_table(spark, d, "lineitem"), lambda li: TI.tier_changes(ST.lot_readings(li, t), buckets=TI.buckets_for(t.row_count("lineitem"))), "tier_changes", flush_row=far)
     return got.where("not startswith(lot_id, '-1-')")
 
 

@@ -1,8 +1,9 @@
 """T1 with state: an alert when a lot's tier rises, by a reading or by time.
 
-The state of a lot is its procurement, shelf life and level; an event-time
-timer stands at the moment its share of shelf life next falls below a tier's
-bound. The watermark fires it, so the alert needs no new event of the lot.
+The state of a lot is its procurement, shelf life and level; lots are kept by
+buckets, with an event-time timer at the moment a share of shelf life next falls
+below a tier's bound. The watermark fires it, so the alert needs no new event of
+the lot.
 """
 
 from __future__ import annotations
@@ -27,84 +28,107 @@ def begins(procured: int, days: int, level: int) -> int:
     return procured + days * (100 - LEVELS[level][1]) * (DAY_MS // 100) + 1
 
 
+def risen(lot: tuple, now: int, out: list) -> tuple:
+    """The lot (procured, days, level) after time alone has passed to ``now``;
+    what that raises goes to ``out``."""
+    procured, days, level = lot
+    while level + 1 < len(LEVELS) and begins(procured, days, level + 1) <= now:
+        level += 1
+        out.append((begins(procured, days, level), LEVELS[level][0]))
+    return procured, days, level
+
+
 class TierChanges(StatefulProcessor):
-    """Rows (lot_id, ms, procured, days, gone) -> one row per rise to one of
-    ``wanted``. A reading may change the shelf life: a lot that jumps levels by
-    it gives one alert, of the new level; a lot that falls back rises anew. A
-    lot that is gone, or at the last level, needs no timer; gone lots leave the
-    state. Rows of a batch are taken in time order, and what time alone would
-    have raised in between is raised first, so batches do not matter."""
+    """Rows (bucket, lot_id, ms, procured, days, gone) -> one row per rise of a
+    lot to one of ``wanted``. A reading may change the shelf life: a lot that
+    jumps levels by it gives one alert, of the new level; a lot that falls back
+    rises anew. A lot that is gone, or at the last level, needs no timer; gone
+    lots leave the state. Rows of a batch are taken in time order, and what
+    time alone would have raised in between is raised first, so batches do not
+    matter. The lots of a bucket share one state value (parallel arrays) and
+    one timer, at the earliest moment that any of them rises: reading, writing
+    and timers are round trips to the store, which a lot each would not bear."""
 
     def __init__(self, wanted: tuple = ("HIGH", "CRITICAL")):
         self.wanted = wanted
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.lot = handle.getValueState("lot", "procured long, days int, level int")
-
-    def _until(self, lot: tuple, now: int, out: list) -> tuple:
-        """The lot after time alone has passed to ``now``."""
-        procured, days, level = lot
-        while level + 1 < len(LEVELS) and begins(procured, days, level + 1) <= now:
-            level += 1
-            out.append((begins(procured, days, level), LEVELS[level][0]))
-        return procured, days, level
-
-    def _keep(self, lot: tuple) -> None:
-        self.lot.update(lot)
-        if lot[2] + 1 < len(LEVELS):
-            self.handle.registerTimer(begins(*lot[:2], lot[2] + 1))
-
-    def _held(self) -> tuple | None:
-        lot = self.lot.get()  # each call is a round trip to the store
-        return None if lot is None else tuple(lot)
-
-    def _rows(self, key, out: list) -> Iterator[pd.DataFrame]:
-        out = [x for x in out if x[1] in self.wanted]
+        self.lots = handle.getValueState("lots", "ids array<string>, procured array<long>, days array<int>, levels array<int>")
+
+    def _held(self) -> dict:
+        """Lots of the bucket: id -> (procured, days, level)."""
+        got = self.lots.get()
+        return {} if got is None else dict(zip(got[0], zip(*got[1:])))
+
+    def _keep(self, lots: dict, was: list) -> None:
+        """Write the lots; of the timers ``was`` only the one still due stays."""
+        if lots:
+            self.lots.update((list(lots), *map(list, zip(*lots.values()))))
+        else:
+            self.lots.clear()
+        due = min((begins(p, d, k + 1) for p, d, k in lots.values() if k + 1 < len(LEVELS)), default=None)
+        for t in was:
+            if t != due:
+                self.handle.deleteTimer(t)
+        if due is not None and due not in was:
+            self.handle.registerTimer(due)
+
+    def _rows(self, out: list) -> Iterator[pd.DataFrame]:
+        out = [x for x in out if x[2] in self.wanted]
         if out:
-            yield pd.DataFrame({"lot_id": [key[0]] * len(out), "alert_ms": [x[0] for x in out], "risk_level": [x[1] for x in out]})
+            yield pd.DataFrame(out, columns=["lot_id", "alert_ms", "risk_level"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        lot = was = self._held()
-        out: list = []
-        taken = sorted((int(r.ms), bool(r.gone), int(r.procured), int(r.days)) for df in rows for r in df.itertuples())
-        for ms, gone, procured, days in taken:
+        lots, out = self._held(), []
+        timers = list(self.handle.listTimers()) if lots else []
+        taken = sorted(x for df in rows for x in zip(df["lot_id"], df["ms"].tolist(), df["gone"].tolist(), df["procured"].tolist(), df["days"].tolist()))
+        for lot_id, ms, gone, procured, days in taken:
+            lot, own = lots.get(lot_id), []
             if lot is not None:
-                lot = self._until(lot, ms, out)
+                lot = risen(lot, ms, own)
             if gone:
-                lot = None
-                continue
-            level = max((k for k in range(len(LEVELS)) if begins(procured, days, k) <= ms), default=-1)
-            if level > (lot[2] if lot is not None else -1):
-                out.append((ms, LEVELS[level][0]))
-            lot = (procured, days, level)
-        if was is not None:
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-            if lot is None:
-                self.lot.clear()
-        if lot is not None:
-            self._keep(lot)
-        yield from self._rows(key, out)
+                lots.pop(lot_id, None)
+            else:
+                level = max((k for k in range(len(LEVELS)) if begins(procured, days, k) <= ms), default=-1)
+                if level > (lot[2] if lot is not None else -1):
+                    own.append((ms, LEVELS[level][0]))
+                lots[lot_id] = (procured, days, level)
+            out.extend((lot_id, *x) for x in own)
+        self._keep(lots, timers)
+        yield from self._rows(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        lot = self._held()
-        if lot is None:
-            return
-        out: list = []
-        self._keep(self._until(lot, timerValues.getCurrentWatermarkInMs(), out))
-        yield from self._rows(key, out)
+        lots, out, now = self._held(), [], timerValues.getCurrentWatermarkInMs()
+        for lot_id, lot in lots.items():
+            own: list = []
+            lots[lot_id] = risen(lot, now, own)
+            out.extend((lot_id, *x) for x in own)
+        self._keep(lots, [])  # the timer that fired is gone
+        yield from self._rows(out)
 
     def close(self) -> None:
         pass
 
 
-def tier_changes(readings: DataFrame, delay: str = "1 hour", wanted: tuple = ("HIGH", "CRITICAL")) -> DataFrame:
+#: lots that a bucket is meant to hold, and buckets where their number is not known
+BUCKET_LOTS, BUCKETS = 1_000, 1 << 14
+
+
+def buckets_for(lots: int) -> int:
+    """Buckets for a stream of that many lots, a power of two."""
+    return 1 << max(0, -(-lots // BUCKET_LOTS) - 1).bit_length()
+
+
+def tier_changes(readings: DataFrame, delay: str = "1 hour", wanted: tuple = ("HIGH", "CRITICAL"), buckets: int = BUCKETS) -> DataFrame:
     """Alerts from a stream of readings (lot_id, ts, procured, days, gone);
-    rows without a shelf life or behind the watermark take no part."""
+    rows without a shelf life or behind the watermark take no part. Lots are
+    kept by ``buckets`` of the hash of their id: a number that a checkpoint
+    keeps, for about BUCKET_LOTS lots in stock each."""
     r = (readings.where("lot_id is not null and days > 0 and procured is not null").withWatermark("ts", delay)
-         .select("lot_id", "ts", F.unix_millis("ts").alias("ms"), F.unix_millis("procured").alias("procured"), F.col("days").cast("int").alias("days"), "gone"))
-    got = r.groupBy("lot_id").transformWithStateInPandas(TierChanges(wanted), CHANGES, "Append", "EventTime")
+         .select(F.pmod(F.xxhash64("lot_id"), F.lit(buckets)).alias("bucket"), "lot_id", "ts", F.unix_millis("ts").alias("ms"), F.unix_millis("procured").alias("procured"),
+                 F.col("days").cast("int").alias("days"), F.coalesce("gone", F.lit(False)).alias("gone")))
+    got = r.groupBy("bucket").transformWithStateInPandas(TierChanges(wanted), CHANGES, "Append", "EventTime")
     return got.select("lot_id", F.timestamp_millis("alert_ms").cast("timestamp_ntz").alias("alert_ts"), "risk_level")
 
 

@@ -176,3 +176,26 @@ def test_lot_readings(spark):
     t = Tables(spark, SF001)
     r = ST.lot_readings(t.lineitem, t)
     assert r.where("not gone").count() == 6000 and r.where("gone and ts < procured").count() == 0
+
+
+def test_tier_changes_keep_lots_by_buckets(spark):
+    """200 lots in 4 buckets: one state row a bucket, the alerts of the batch version."""
+    from shelfcast.session import scratch_path
+    from shelfcast.streaming import tier_state as TI
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(f"lot-{i}", t0 + dt.timedelta(days=i % 5), t0 + dt.timedelta(days=i % 5), 4 + i % 9, False) for i in range(200)]
+    rows += [(f"lot-{i}", t0 + dt.timedelta(days=i % 5 + 3), t0 + dt.timedelta(days=i % 5), 4 + i % 9, True) for i in range(0, 200, 3)]
+    far = ("~", t0 + dt.timedelta(days=400), t0 + dt.timedelta(days=400), 10, False)
+    want = sorted(map(tuple, TI.tier_changes_batch(_readings(spark, [*rows, far])).where("lot_id <> '~'").collect()))
+    folder, out = scratch_path(spark, "bucket-readings"), scratch_path(spark, "bucket-tiers")
+    _readings(spark, [*rows, far]).write.parquet(folder)
+    df = TI.tier_changes(spark.readStream.schema(_readings(spark, rows).schema).parquet(folder), buckets=4)
+    with ST.rocks_store(spark):
+        q = (df.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", out + "-checkpoint")
+             .trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(out).where("lot_id <> '~'").collect())) == want
+    assert q.recentProgress[0]["numInputRows"] == len(rows) + 1
+    assert TI.buckets_for(0) == 1 and TI.buckets_for(1000) == 1 and TI.buckets_for(1001) == 2 and TI.buckets_for(600_000) == 1024
+    kept = spark.read.format("statestore").option("stateVarName", "lots").load(out + "-checkpoint")
+    assert 1 <= kept.count() <= 4
