@@ -75,8 +75,11 @@ def with_split(lots: DataFrame, test_fraction: float = C.DEFAULT.spoil_test_frac
     upto, total = F.sum("_n").over(w.orderBy("_b")), F.sum("_n").over(w)
     cut = (counts.withColumn("_in", upto <= F.lit(1 - test_fraction) * total).where("_in")
            .groupBy("_l").agg(F.max("_b").alias("_cut")))
-    return (lots.join(F.broadcast(cut), F.col(label) == F.col("_l"), "left")  # a row per label
-            .withColumn("is_train", F.coalesce(split_bucket(key) <= F.col("_cut"), F.lit(False))).drop("_l", "_cut"))
+    # null-safe: from a plain equality Catalyst infers "label is not null" and writes the label's whole
+    # expression out into that filter; rows without a label train nothing
+    inside = F.when(F.col(label).isNotNull(), split_bucket(key) <= F.col("_cut"))
+    return (lots.join(F.broadcast(cut), F.col(label).eqNullSafe(F.col("_l")), "left")  # a row per label
+            .withColumn("is_train", F.coalesce(inside, F.lit(False))).drop("_l", "_cut"))
 
 
 def balanced_weights(df: DataFrame, label: str = "did_spoil") -> DataFrame:
@@ -85,8 +88,9 @@ def balanced_weights(df: DataFrame, label: str = "did_spoil") -> DataFrame:
     counts = df.groupBy(label).agg(F.count("*").alias("_nc"))
     tot = counts.select(F.sum("_nc").over(Window.partitionBy()).alias("_n"), F.count("*").over(
         Window.partitionBy()).alias("_k"), label, "_nc")
-    w = tot.select(label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias("class_weight"))
-    return df.join(F.broadcast(w), label)
+    w = tot.select(F.col(label).alias("_l"), F.when(F.col(label).isNotNull(), F.col("_n") / (F.col("_k") * F.col("_nc"))).alias("class_weight"))
+    j = df.join(F.broadcast(w), F.col(label).eqNullSafe(F.col("_l"))).where("class_weight is not null")  # null-safe as in with_split
+    return j.select(label, *[c for c in df.columns if c != label], "class_weight")
 
 
 # ------------------------------------------------------------------ M1, M2, M5

@@ -20,6 +20,7 @@ from ..operators import forecast as FC
 from ..operators import kpis as K
 from ..operators import models as M
 from ..operators import planning as PL
+from ..operators.boosting import stash
 from ..operators.models import with_split
 from ..session import ensure_checkpoint_dir
 from ..sources import views as V
@@ -508,7 +509,8 @@ def q_spoilage_split(spark, d):
 
 @query("class_weights")
 def q_class_weights(spark, d):
-    lo = M.balanced_weights(M.with_split(V.lots(_t(spark, d), warehouse=False), P.spoil_test_fraction).filter("is_train"))
+    labels = stash(V.lots(_t(spark, d), warehouse=False).select("lot_id", "did_spoil"), "lot-labels")  # read by split, weights and counts
+    lo = M.balanced_weights(M.with_split(labels, P.spoil_test_fraction).filter("is_train"))
     return lo.groupBy("did_spoil").agg(r4(F.max("class_weight")).alias("class_weight"), F.count("*").alias("n_train"))
 
 
