@@ -120,10 +120,11 @@ def _spoil_frame(lots: DataFrame) -> DataFrame:
 
 def encoded(df: DataFrame, column: str, out: str) -> DataFrame:
     """M1 as a frame: 0-based alphabetical index of ``column`` (a row number
-    over its distinct values, joined back)."""
+    over its distinct values, which one task orders, so they are broadcast: a
+    shuffle by them would read all rows of a level in one task)."""
     levels = df.select(F.col(column).alias("_v")).distinct()
     levels = levels.select("_v", (F.row_number().over(Window.orderBy("_v")) - 1).cast("double").alias(out))
-    return df.join(levels, F.col(column) == F.col("_v"), "left").drop("_v")
+    return df.join(F.broadcast(levels), F.col(column) == F.col("_v"), "left").drop("_v")
 
 
 def train_spoilage_model(lots: DataFrame, p: C.Params = C.DEFAULT, cache_key=None):
