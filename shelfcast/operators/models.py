@@ -46,7 +46,7 @@ def _key(df: DataFrame, kind: str, cache_key):
 
 
 #: training rows that make a task worth while, and those it holds at most
-TASK_ROWS, MAX_TASK_ROWS = 20_000, 500_000
+TASK_ROWS, MAX_TASK_ROWS = 100_000, 500_000
 
 
 def _dealt(train: DataFrame, rows: int, keys: list[str]) -> DataFrame:

@@ -104,3 +104,42 @@ def test_demand_model_with_many_skus(spark):
     p = dataclasses.replace(SMALL, gbt_iters=2)
     _, test = M.train_demand_model(dm, p)
     assert test.select("sku_id").distinct().count() == 200
+
+
+def _lots(spark, n):
+    i = F.col("id")
+    return spark.range(n).select(F.concat(F.lit("lot-"), i).alias("lot_id"), F.when(i % 17 > 0, (i % 3 == 0).cast("int")).alias("did_spoil"),
+                                 F.when(i % 5 > 0, F.concat(F.lit("C"), i % 4)).alias("category"))
+
+
+def test_split_and_weights_write_out_no_label_filter(spark):
+    """The label's expression must not become a filter below the joins; lots
+    without a label train nothing."""
+    df = M.with_split(_lots(spark, 2000).withColumn("did_spoil", F.col("did_spoil") + F.exp(F.lit(0.0)).cast("int") * F.floor(F.log1p(F.length("lot_id") * 0.0)).cast("int")))
+    out = M.balanced_weights(df.filter("is_train"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Filter" in line and "LOG1P" in line for line in plan.splitlines())
+    got = {r["did_spoil"]: (r["n"], r["w"]) for r in out.groupBy("did_spoil").agg(F.count("*").alias("n"), F.max("class_weight").alias("w")).collect()}
+    assert set(got) == {0, 1} and df.filter("did_spoil is null and is_train").count() == 0
+    total = sum(n for n, _ in got.values())
+    assert all(w == pytest.approx(total / (2 * n)) for n, w in got.values())
+
+
+def test_encoding_shuffles_no_rows_by_level(spark):
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = M.encoded(_lots(spark, 100), "category", "enc")
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        rows = out.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert {(r["category"], r["enc"]) for r in rows} == {(None, None), ("C0", 1.0), ("C1", 2.0), ("C2", 3.0), ("C3", 4.0)}
+
+
+def test_training_rows_are_dealt(spark):
+    """A frame of one partition goes over all cores, one of many small ones to few."""
+    cores = spark.sparkContext.defaultParallelism
+    one = _lots(spark, M.TASK_ROWS * cores).coalesce(1)
+    assert M._dealt(one, M.TASK_ROWS * cores, ["lot_id"]).rdd.getNumPartitions() == cores
+    assert M._dealt(_lots(spark, 100).repartition(64), 100, ["lot_id"]).rdd.getNumPartitions() == 1
