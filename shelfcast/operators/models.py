@@ -226,7 +226,9 @@ def train_demand_model(demand: DataFrame, p: C.Params = C.DEFAULT, cache_key=Non
     if k in _CACHE:
         return _CACHE[k]
     rows = demand_feature_rows(demand, p)
-    model = _fit(demand_pipeline(p, available_features(rows)), rows.filter(F.col("split") == "train"))
+    feats = available_features(rows)
+    rows = BO.stash(rows.select(*SERIES, "date", "row_in_series", "split", "actual_demand_kg", *feats), "feature-rows")  # read by fit and scoring
+    model = _fit(demand_pipeline(p, feats), rows.filter(F.col("split") == "train"), rows.count(), [*SERIES, "date"])
     test = (model.transform(rows.filter(F.col("split") == "test"))
             .withColumn("predicted", clamp0("prediction"))
             .select(*SERIES, "date", "row_in_series", F.col("actual_demand_kg").alias("actual"), "predicted"))

@@ -540,8 +540,8 @@ def _spoil(spark, d):
     return M.train_spoilage_model(V.lots(_t(spark, d)), P, cache_key=(d, P))
 
 
-def _demand_model(spark, d):
-    return M.train_demand_model(V.demand(_t(spark, d), P), P, cache_key=(d, P))
+def _demand_model(spark, d, grid=None):
+    return M.train_demand_model(V.demand(_t(spark, d), P) if grid is None else grid, P, cache_key=(d, P))
 
 
 @query("spoilage_model_metrics")
@@ -571,7 +571,8 @@ def q_actual_vs_predicted(spark, d):
 
 @query("recursive_forecast")
 def q_recursive_forecast(spark, d):
-    return M.generate_forecast(_demand_model(spark, d)[0], _grid(_t(spark, d)), P)
+    dm = _grid(_t(spark, d))
+    return M.generate_forecast(_demand_model(spark, d, dm)[0], dm, P)
 
 
 #: a small ensemble per SKU that SQL can grow as well
