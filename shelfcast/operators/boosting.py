@@ -48,21 +48,27 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Written rows kept in executors, over all cores: small files would be
-    read by few tasks. What is lost is read again."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return (df.repartition(cores) if df.rdd.getNumPartitions() < cores else df).persist(StorageLevel.MEMORY_AND_DISK)
+#: training rows that a task holds at most, and histogram rows that one reduces
+TASK_ROWS, TASK_SUMS = 500_000, 1_000_000
 
 
-def _grow_level(rows: DataFrame, state: DataFrame, level: int, depth: int, rate: float, min_leaf: int) -> DataFrame:
+def _kept(df: DataFrame, tasks: int) -> DataFrame:
+    """Written rows kept in executors, each in the task ``_p`` that it was dealt
+    to, so that a level's sums within a task need no shuffle. What is lost is
+    made again from the rows written."""
+    return df.repartitionById(tasks, F.col("_p")).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _grow_level(rows: DataFrame, state: DataFrame, level: int, depth: int, rate: float, min_leaf: int, parts: int) -> DataFrame:
     """``state`` (key, trees, f, b: the trees since the rows were written and
     the splits of the one that grows) with the splits of one more level, or, at
-    the last, with the tree finished: one aggregate and one window."""
-    done = f"aggregate(trees, 0D, (s, t) -> s + t.v[{_walk(depth, 'x', 't.f', 't.b')} - {1 << depth}])"
-    at = rows.join(state, "_key").select("_key", F.expr(_walk(level)).alias("node"), F.expr(f"r - {done}").alias("r"), "x")
-    hist = (at.select("_key", "node", "r", F.posexplode("x").alias("i", "bin")).groupBy("_key", "node", "i", "bin")
-            .agg(F.sum("r").alias("s"), F.count("*").alias("n")).repartition("_key"))  # at most nodes * features * bins rows a key
+    the last, with the tree finished: sums within each task, then one shuffle
+    by the key for all that follows."""
+    at = rows.join(state, "_key").select("_p", "_key", F.expr(_walk(level)).alias("node"), F.expr("r - d").alias("r"), "x")
+    own = (at.select("_p", "_key", "node", "r", F.posexplode("x").alias("i", "bin")).groupBy("_p", "_key", "node", "i", "bin")
+           .agg(F.sum("r").alias("s"), F.count("*").alias("n")))
+    hist = (own.repartition(parts, "_key").groupBy("_key", "node", "i", "bin")
+            .agg(F.sum("s").alias("s"), F.sum("n").alias("n")))  # at most nodes * features * bins rows a key
     whole = Window.partitionBy("_key", "node", "i")
     upto = whole.orderBy("bin")
     c = hist.select("_key", "node", "i", "bin", F.sum("s").over(upto).alias("sl"), F.sum("n").over(upto).alias("nl"),
@@ -74,7 +80,7 @@ def _grow_level(rows: DataFrame, state: DataFrame, level: int, depth: int, rate:
     split = F.struct(gain.alias("g"), (-F.col("i")).alias("i"), (-F.col("bin")).alias("b"), (F.col("sl") / F.col("nl")).alias("left"), (sr / nr).alias("right"))
     best = c.groupBy("_key", "node").agg(F.max(F.when(gain > 0, split)).alias("c"), F.max(F.col("st") / F.col("nt")).alias("mean"))
     found = best.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("node", F.struct("c", "mean")))).alias("m"))  # at most 2^level entries
-    j = state.join(found, "_key", "left")
+    j = found.join(state, "_key")  # every key has rows in each level; the state is the small side, no shuffle
     nodes = F.sequence(F.lit(1 << level), F.lit((2 << level) - 1))
     f = F.concat("f", F.transform(nodes, lambda n: F.coalesce(-F.try_element_at("m", n)["c"]["i"], F.lit(0))))
     b = F.concat("b", F.transform(nodes, lambda n: F.coalesce(-F.try_element_at("m", n)["c"]["b"], F.lit(ALWAYS_LEFT))))
@@ -92,37 +98,55 @@ def train_boosted(rows: DataFrame, key: str, features: list[str], label: str, tr
                   rate: float = 0.08, bins: int = 64, min_leaf: int = 1, cut_every: int = 10) -> DataFrame:
     """One model per ``key`` (see MODEL), squared loss, ``rate`` shrinkage, from
     rows without nulls in features and label; rows with a null key train
-    nothing. Equal gains go to the first feature and its lowest bin. One job a
-    level, whose result (a row per key) is written, so a lost executor costs a
-    level at most; residuals are written anew every ``cut_every`` trees."""
+    nothing. Equal gains go to the first feature and its lowest bin. One query a
+    level, whose result (a row per key) is written; its tasks follow the rows
+    and keys, not the session's shuffle partitions. Rows lie in ranges of the
+    key, a hot key's over several tasks. Their sums move on tree by tree
+    (``d``) and residuals are written anew every ``cut_every`` trees, which
+    bounds what a lost executor costs."""
     names = [f"_f{i}" for i in range(len(features))]
     rows = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(label).alias("_y"), *[F.col(c).alias(n) for c, n in zip(features, names)])
-    bounds = stash(rows.groupBy("_key").agg(F.array(*[F.min(F.col(c).cast("double")) for c in names]).alias("lo"),
-                                             F.array(*[F.max(F.col(c).cast("double")) for c in names]).alias("hi"), F.avg("_y").alias("base")), "boost-bounds")
-    at = _spread(stash(rows.join(bounds, "_key").select("_key", F.expr(bins_sql(names, bins)).alias("x"), (F.col("_y") - F.col("base")).alias("r")), "boost-rows"))
+    sized = stash(rows.groupBy("_key").agg(F.array(*[F.min(F.col(c).cast("double")) for c in names]).alias("lo"),
+                                           F.array(*[F.max(F.col(c).cast("double")) for c in names]).alias("hi"), F.avg("_y").alias("base"), F.count("*").alias("n")), "boost-bounds")
+    bounds, size = sized.drop("n"), sized.agg(F.count("*").alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    tasks = max(cores, size["rows"] // TASK_ROWS)
+    parts = max(1, min(cores, size["keys"]), min(size["rows"], size["keys"] << (depth - 1)) * len(names) * bins // TASK_SUMS)
+    binned = rows.join(bounds, "_key").select("_key", F.expr(bins_sql(names, bins)).alias("x"), (F.col("_y") - F.col("base")).alias("r"))
+    dealt = binned.repartitionByRange(tasks, "_key", F.rand(42)).withColumn("_p", F.spark_partition_id())
+    at, last = _kept(stash(dealt, "boost-rows").withColumn("d", F.lit(0.0)), tasks), None
     none = F.array().cast("array<int>")
     start = bounds.select("_key", F.array().cast("array<struct<f: array<int>, b: array<int>, v: array<double>>>").alias("trees"), none.alias("f"), none.alias("b"))
     state, held = start, []
     for k in range(1, trees + 1):
         for level in range(depth):
-            state = stash(_grow_level(at, state, level, depth, rate, min_leaf), "boost-state")
+            state = stash(_grow_level(at, state, level, depth, rate, min_leaf, parts), "boost-state")
+            if last is not None:  # the first level has filled the rows that follow it
+                last.unpersist()
+                last = None
         if k % cut_every == 0 or k == trees:
             held.append(state.select("_key", F.lit(k).alias("k"), "trees"))
-            if k < trees:
-                gone = F.expr(f"r - aggregate(trees, 0D, (s, t) -> s + t.v[{_walk(depth, 'x', 't.f', 't.b')} - {1 << depth}])")
-                last, at = at, _spread(stash(at.join(state, "_key").select("_key", "x", gone.alias("r")), "boost-rows"))
-                last.unpersist()
+        if k < trees:
+            leaf = f"element_at(trees, -1).v[{_walk(depth, 'x', 'element_at(trees, -1).f', 'element_at(trees, -1).b')} - {1 << depth}]"
+            moved = at.join(state, "_key").select("_key", "x", "r", F.expr(f"d + {leaf}").alias("d"), "_p")
+            last = at
+            if k % cut_every == 0:
+                at = _kept(stash(moved.select("_key", "x", F.expr("r - d").alias("r"), "_p"), "boost-rows").withColumn("d", F.lit(0.0)), tasks)
                 state = start
+            else:
+                at = moved.persist(StorageLevel.MEMORY_AND_DISK)
     at.unpersist()
     alls = held[0]
     for t in held[1:]:
         alls = alls.unionByName(t)
     one = alls.groupBy("_key").agg(F.flatten(F.sort_array(F.collect_list(F.struct("k", "trees")))["trees"]).alias("trees"))  # trees / cut_every entries
-    return bounds.join(one, "_key").select(F.col("_key").alias(key), "lo", "hi", "base", "trees")
+    return stash(bounds.join(one, "_key").select(F.col("_key").alias(key), "lo", "hi", "base", "trees"), "boost-model")
 
 
 def score_boosted(rows: DataFrame, model: DataFrame, key: str, features: list[str], depth: int = 4, bins: int = 64, out: str = "prediction") -> DataFrame:
     """``rows`` of the keys that have a model, with the prediction."""
     packed = model.select(F.col(key).alias("_key"), F.struct("lo", "hi", "base", "trees").alias("_model"))
-    j = rows.join(packed, F.col(key) == F.col("_key")).withColumn("_x", F.expr(bins_sql(features, bins, "_model.")))
-    return j.withColumn(out, F.expr(boosted_score("_x", "_model.base", "_model.trees", depth))).drop("_x", "_model", "_key")
+    j = rows.join(packed, F.col(key) == F.col("_key"))
+    # the bins are a lambda's argument, made once a row: as a column they would be written out into the walk and made at every node
+    score = f"transform(array({bins_sql(features, bins, '_model.')}), x -> {boosted_score('x', '_model.base', '_model.trees', depth)})[0]"
+    return j.withColumn(out, F.expr(score)).drop("_model", "_key")

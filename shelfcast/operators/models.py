@@ -246,7 +246,8 @@ def train_sku_models(demand: DataFrame, p: C.Params = C.DEFAULT, trees: int | No
     if k in _CACHE:
         return _CACHE[k]
     own = [c for c in demand.columns if c in (*SERIES, "date", "actual_demand_kg", *C.DEMAND_FEATURES)]
-    rows = BO.stash(demand_feature_rows(demand.select(*own), p), "feature-rows")  # read by bounds, bins and scoring
+    rows = demand_feature_rows(demand.select(*own), p).repartition(demand.sparkSession.sparkContext.defaultParallelism, *SERIES, "date")
+    rows = BO.stash(rows, "feature-rows")  # read by bounds, bins and scoring, a file a core: fewer would be read by few tasks
     model = BO.train_boosted(rows.filter(F.col("split") == "train"), "sku_id", C.DEMAND_FEATURES, "actual_demand_kg", trees, depth, p.sku_step, bins)
     test = (BO.score_boosted(rows.filter(F.col("split") == "test"), model, "sku_id", C.DEMAND_FEATURES, depth, bins)
             .select(*SERIES, "date", "row_in_series", F.col("actual_demand_kg").alias("actual"), clamp0("prediction").alias("predicted")))

@@ -97,6 +97,43 @@ def test_boosting_beats_the_mean(spark):
     assert a[0] < 0.3 * b[0] and a[1] == b[1] == 25
 
 
+def test_boosting_shuffles_once_a_level(spark, monkeypatch):
+    """By a number of partitions of its own, whatever the session's is; rows that are all equal included."""
+    rng = np.random.default_rng(5)
+    rows = [(k, float(a), float(b), float(a + b)) for k in "abc" for a, b in rng.integers(0, 9, (40, 2))] + [("d", 1.0, 1.0, 2.0)] * 300
+    df = spark.createDataFrame(rows, "k string, a double, b double, y double")
+    levels, kept = [], BO.stash
+
+    def stash(d, name):
+        if name == "boost-state":
+            d.collect()
+            levels.append(d._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0])  # as it ran
+        return kept(d, name)
+
+    monkeypatch.setattr(BO, "stash", stash)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "37")
+        model = BO.train_boosted(df, "k", ["a", "b"], "y", trees=3, depth=2, rate=0.5, bins=8, cut_every=2)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(levels) == 6
+    assert [p.count("Exchange hashpartitioning") for p in levels] == [1] * 6 and not any(", 37)" in p for p in levels)
+    got = BO.score_boosted(df, model, "k", ["a", "b"], depth=2, bins=8).collect()
+    for key in "abcd":
+        mine = [r for r in rows if r[0] == key]
+        want = plain_boosting(np.array([r[1:3] for r in mine]), np.array([r[3] for r in mine]), 3, 2, 0.5, 8)
+        assert sorted(r.prediction for r in got if r.k == key) == pytest.approx(sorted(want), abs=1e-9)
+
+
+def test_boosting_bins_a_row_once(spark):
+    """A row's bins are made outside the fold over trees and nodes."""
+    df = spark.createDataFrame([("a", float(i), float(i % 5)) for i in range(20)], "k string, a double, y double")
+    scored = BO.score_boosted(df, BO.train_boosted(df, "k", ["a"], "y", trees=2, depth=2, bins=8), "k", ["a"], depth=2, bins=8)
+    lines = [x for x in scored._jdf.queryExecution().optimizedPlan().toString().split("\n") if "lambdafunction" in x]
+    assert lines and all("FLOOR" in x.split("lambdafunction", 1)[0] and "FLOOR" not in x.split("lambdafunction", 1)[1] for x in lines)
+
+
 # ------------------------------------------------------------------ compiled ensembles
 @pytest.fixture(scope="module")
 def pooled(spark):
