@@ -112,8 +112,9 @@ def train_boosted(rows: DataFrame, key: str, features: list[str], label: str, tr
     cores = rows.sparkSession.sparkContext.defaultParallelism
     tasks = max(cores, size["rows"] // TASK_ROWS)
     parts = max(1, min(cores, size["keys"]), min(size["rows"], size["keys"] << (depth - 1)) * len(names) * bins // TASK_SUMS)
-    binned = rows.join(bounds, "_key").select("_key", F.expr(bins_sql(names, bins)).alias("x"), (F.col("_y") - F.col("base")).alias("r"))
-    dealt = binned.repartitionByRange(tasks, "_key", F.rand(42)).withColumn("_p", F.spark_partition_id())
+    # dealt before the bins are made: a range partitioner reads its input twice
+    dealt = rows.repartitionByRange(tasks, "_key", F.rand(42)).withColumn("_p", F.spark_partition_id())
+    dealt = dealt.join(bounds, "_key").select("_key", F.expr(bins_sql(names, bins)).alias("x"), (F.col("_y") - F.col("base")).alias("r"), "_p")
     at, last = _kept(stash(dealt, "boost-rows").withColumn("d", F.lit(0.0)), tasks), None
     none = F.array().cast("array<int>")
     start = bounds.select("_key", F.array().cast("array<struct<f: array<int>, b: array<int>, v: array<double>>>").alias("trees"), none.alias("f"), none.alias("b"))
