@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.columns import clamp0, r4
 from . import boosting as BO
+from . import forest as FO
 from . import trees as TR
 from .features import SERIES, build_lag_features, train_test_split
 from .forecast import _ape, forecast_band, heuristic_forecast, series_state
@@ -45,8 +46,9 @@ def _key(df: DataFrame, kind: str, cache_key):
     return None if cache_key is None else (kind, df.sparkSession.sparkContext.applicationId, cache_key)
 
 
-#: training rows that make a task worth while, and those it holds at most
-TASK_ROWS, MAX_TASK_ROWS = 100_000, 500_000
+#: training rows that make a task worth while, and those it holds at most; rows of a
+#: frame above which its forest is grown from histograms and not by Spark ML
+TASK_ROWS, MAX_TASK_ROWS, FOREST_ROWS = 100_000, 500_000, 1_000_000
 
 
 def _dealt(train: DataFrame, rows: int, keys: list[str]) -> DataFrame:
@@ -68,6 +70,16 @@ def _fit(pipeline: Pipeline, train: DataFrame, rows: int, keys: list[str]) -> Pi
         train.unpersist()
 
 
+def _fit_large(pipeline: Pipeline, train: DataFrame, rows: int) -> PipelineModel:
+    """``_fit`` of the spoilage pipeline for many rows: the same stages, whose
+    forest is grown by ``forest``; the training rows are written once."""
+    *stages, forest = pipeline.getStages()
+    train = BO.stash(train, "spoil-train")  # read by indexers, bins and blocks
+    ready = Pipeline(stages=stages).fit(train)
+    grown = FO.fit_forest(forest, ready.transform(train), C.SPOILAGE_FEATURES, "lot_id", rows)
+    return PipelineModel([*ready.stages, grown])
+
+
 # ------------------------------------------------------------------ M3, M4
 SPLIT_BUCKETS = 4096
 
@@ -147,7 +159,8 @@ def train_spoilage_model(lots: DataFrame, p: C.Params = C.DEFAULT, cache_key=Non
     rows = BO.stash(_spoil_frame(lots), "spoil-rows")  # read by split, weights, fit and scoring
     df = with_split(rows, p.spoil_test_fraction)
     train = balanced_weights(df.filter("is_train"))
-    model = _fit(spoilage_pipeline(p), train, rows.count(), ["lot_id"])
+    n = rows.count()
+    model = _fit(spoilage_pipeline(p), train, n, ["lot_id"]) if n <= FOREST_ROWS else _fit_large(spoilage_pipeline(p), train, n)
     test = score_spoilage(model, df.filter(~F.col("is_train")))
     out = (model, test)
     if k is not None:
